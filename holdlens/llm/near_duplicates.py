@@ -206,3 +206,15 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     out = known.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The row of ``docs`` with each component's smallest doc_id, and those linked with nothing; the columns stay.
+
+    Of rows with equal doc_id and text one stays.
+    """
+    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    joined = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    joined = joined.join(kept, F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
+    return joined.dropDuplicates(["_key", "_hash"]).select(*columns)

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdlens.llm.decontamination import contaminated
 from holdlens.llm.language_id import identify_languages
 from holdlens.llm.near_duplicates import near_duplicates
+from holdlens.llm.packing import pack
 from holdlens.llm.passages import remove_repeats
 
 
@@ -20,6 +22,12 @@ def _span_text(column: str):
     return F.concat_ws(",", F.transform(column, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))).alias(column)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, as pairs."""
+    out = contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.drop("text_hash").distinct()
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with repeated passages cut out; spans are start-end in bytes of the original."""
     out = remove_repeats(_table(spark, sf_dir, "documents"))
@@ -31,14 +39,21 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences."""
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
