@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from holdlens.llm.chat import format_turns, read_conversations, text_part
 from holdlens.llm.decontamination import contaminated
 from holdlens.llm.language_id import identify_languages
+from holdlens.llm.licenses import scan_licenses
+from holdlens.llm.media import text_media
 from holdlens.llm.near_duplicates import near_duplicates
 from holdlens.llm.packing import pack
 from holdlens.llm.passages import remove_repeats
 
+from holdlens.llm.sharding import shard_by_bytes
+from holdlens.llm.toxicity import grade_toxicity, train
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,12 +34,39 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("text_hash").distinct()
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity grade of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return grade_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+#: A conversation of control strings, which goes through the format as the others do.
+HARD_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their formatted text."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.createDataFrame(HARD_TURNS, "conv_id long, turn long, role string, text string"))
+    return read_conversations(format_turns(turns.withColumn("parts", text_part(F.col("text")))))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with repeated passages cut out; spans are start-end in bytes of the original."""
     out = remove_repeats(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", "n_units", "n_removed", "n_spans", _span_text("removed"), _span_text("kept"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as audio samples, sniffed, carved and read back."""
+    return text_media(_table(spark, sf_dir, "documents"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near-equal bytes."""
+    return shard_by_bytes(_table(spark, sf_dir, "documents"), 16)
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, on two-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
@@ -49,11 +82,23 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses named in every document."""
+    out = scan_licenses(_table(spark, sf_dir, "documents"))
+    spans = F.transform("detections", lambda x: F.concat_ws(":", x["label"], x["start"].cast("string"), x["end"].cast("string")))
+    return out.withColumn("detections", F.concat_ws(",", spans))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_toxicity": op2_toxicity,
+    "op3_chat_format": op3_chat_format,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_media": op5_media,
+    "op6_sharding": op6_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
