@@ -13,6 +13,8 @@ CONTROLS = ["mktcap_proxy", "vol"]
 TARGETS = ["fwd_ret_1m", "fwd_ret_3m"]
 #: Features whose high values are expected to earn less.
 NEGATIVE = {"owner_hhi", "top_owner_share", "fragility_proxy", "stock_sell_pressure", "network_degree", "network_weighted_degree", "network_peer_sell_pressure"}
+#: Parts of the values of a pair of columns that are ranked apart.
+PARTS = 64
 
 
 def to_long(panel: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
@@ -82,7 +84,7 @@ def feature_correlation(panel: DataFrame, features: list[str]) -> DataFrame:
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Spearman correlation of all unordered pairs over rows with both.
 
-    Average ranks come from counts of distinct values that are range-partitioned: each partition ranks its own values
+    Average ranks come from counts of distinct values in parts between quantiles: each part ranks its own values
     and starts from the counts of those before, so no window sees all rows.
     """
     rows = df.select(F.monotonically_increasing_id().alias("row"), *(finite(F.col(c)).alias(c) for c in columns))
@@ -91,8 +93,10 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
     def ranked(side: str) -> DataFrame:
         counts = long.groupBy("a", "b", F.col(side).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = counts.repartitionByRange(n, "a", "b", "v").withColumn("part", F.spark_partition_id())
+        quantiles = F.percentile_approx(side, F.array(*(F.lit(k / PARTS) for k in range(1, PARTS))), 1000)
+        cuts = [(r.a, r.b, r.cuts) for r in long.groupBy("a", "b").agg(quantiles.alias("cuts")).collect()]  # PARTS values a pair
+        cuts = F.broadcast(df.sparkSession.createDataFrame(cuts, "a string, b string, cuts array<double>"))
+        parts = counts.join(cuts, ["a", "b"]).select("a", "b", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
         before = parts.groupBy("a", "b", "part").agg(F.sum("n").alias("in_part")).withColumn("start", F.sum("in_part").over(Window.partitionBy("a", "b").orderBy("part")) - F.col("in_part"))
         upto = F.sum("n").over(Window.partitionBy("a", "b", "part").orderBy("v"))
         return parts.withColumn("upto", upto).join(before, ["a", "b", "part"]).select("a", "b", F.col("v").alias(side), (F.col("start") + F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{side}"))

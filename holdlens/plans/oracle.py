@@ -14,9 +14,9 @@ FEATURES = [*CORE_FEATURES, *CONTROLS]
 def r(x: str, name: str | None = None) -> str:
     """``x`` rounded as the queries round: 6 decimals, fewer where it is large.
 
-    A small shift keeps large values that lie between two results from falling either way.
+    A small shift keeps values that lie between two results from falling either way.
     """
-    return f"(CASE WHEN abs({x}) >= 1e6 THEN round({x} + 0.00137::DOUBLE, 2) WHEN abs({x}) >= 1000 THEN round({x} + 0.0000137::DOUBLE, 4) ELSE round({x}, 6) + 0.0 END)::DOUBLE" + (f" AS {name}" if name else "")
+    return f"(CASE WHEN abs({x}) >= 1e6 THEN round({x} + 0.00137::DOUBLE, 2) WHEN abs({x}) >= 1000 THEN round({x} + 0.0000137::DOUBLE, 4) ELSE round({x} + 0.00000000137::DOUBLE, 6) + 0.0 END)::DOUBLE" + (f" AS {name}" if name else "")
 
 
 def corr(x: str, y: str) -> str:

@@ -29,9 +29,9 @@ MINIMUMS = {"clean_holdings_rows": 100, "common_mapping_rate": 0.5, "panel_month
 def rounded(c: Column) -> Column:
     """6 decimals, fewer where it is large, and no negative zero.
 
-    A small shift keeps large values that lie between two results from falling either way.
+    A small shift keeps values that lie between two results from falling either way.
     """
-    return F.when(F.abs(c) >= 1e6, F.round(c + 0.00137, 2)).when(F.abs(c) >= 1000, F.round(c + 0.0000137, 4)).otherwise(F.round(c, 6) + 0.0)
+    return F.when(F.abs(c) >= 1e6, F.round(c + 0.00137, 2)).when(F.abs(c) >= 1000, F.round(c + 0.0000137, 4)).otherwise(F.round(c + 0.00000000137, 6) + 0.0)
 
 
 class Build:
@@ -270,8 +270,9 @@ _register("fmb_multivariate", "spec:s variable:s months:i mean_coef:d nw_se:d nw
 _register("fmb_model_summary", "spec:s months:i mean_n:d min_n:i mean_adj_r2:d median_adj_r2:d", lambda b: eco.fmb_model_summary(_specs(b), ["spec"]))
 _register("hac_regression", "model:s target:s n:i r2:d variable:s coef:d t:d", lambda b: eco.hac_regression(b.folio.join(b.factors, "month"), ["model", "target"], "month", "gross_dollar_neutral_return", ["mktrf"]))
 _register("factors", "month:s mktrf:d smb:d hml:d", lambda b: b.factors,
-          "(SELECT month, avg(ret) AS mktrf, avg(CASE WHEN size <= 1.0::DOUBLE / 3 THEN ret END) - avg(CASE WHEN size > 2.0::DOUBLE / 3 THEN ret END) AS smb, avg(CASE WHEN price > 2.0::DOUBLE / 3 THEN ret END) - avg(CASE WHEN price <= 1.0::DOUBLE / 3 THEN ret END) AS hml FROM thirds GROUP BY month) WHERE mktrf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL",
-          {"thirds": "SELECT month, ret, row_number() OVER (PARTITION BY month ORDER BY mktcap_proxy, permno) / count(*) OVER (PARTITION BY month) AS size, row_number() OVER (PARTITION BY month ORDER BY prc, permno) / count(*) OVER (PARTITION BY month) AS price FROM monthly WHERE ret IS NOT NULL"})
+          "(SELECT month, " + ", ".join(f"{f} / (SELECT CASE WHEN median(abs({f})) > 0.5 THEN 100 ELSE 1 END FROM fac) AS {f}" for f in ("mktrf", "smb", "hml")) + " FROM fac)",
+          {"thirds": "SELECT month, ret, row_number() OVER (PARTITION BY month ORDER BY mktcap_proxy, permno) / count(*) OVER (PARTITION BY month) AS size, row_number() OVER (PARTITION BY month ORDER BY prc, permno) / count(*) OVER (PARTITION BY month) AS price FROM monthly WHERE ret IS NOT NULL",
+           "fac": "SELECT * FROM (SELECT month, avg(ret) AS mktrf, avg(CASE WHEN size <= 1.0::DOUBLE / 3 THEN ret END) - avg(CASE WHEN size > 2.0::DOUBLE / 3 THEN ret END) AS smb, avg(CASE WHEN price > 2.0::DOUBLE / 3 THEN ret END) - avg(CASE WHEN price <= 1.0::DOUBLE / 3 THEN ret END) AS hml FROM thirds GROUP BY month) WHERE mktrf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL"})
 _register("splits", "target:s test_year:n train_end:n valid_start:n valid_end:n first_test:n", lambda b: b.splits,
           f"(SELECT 'fwd_ret_1m' AS target, y AS test_year, f - 1 - {VALID} - 1 AS train_end, f - 1 - {VALID} AS valid_start, f - 1 AS valid_end, f AS first_test FROM (SELECT substring(month, 1, 4)::INTEGER AS y, min(i) AS f FROM numbered WHERE n > 0 GROUP BY 1)) WHERE train_end >= {MIN_TRAIN}", {"numbered": "SELECT month, n, row_number() OVER (ORDER BY month) - 1 AS i FROM (SELECT month, count(fwd_ret_1m) AS n FROM panel GROUP BY month)"})
 _PRED = "model:s target:s test_year:n month:s permno:i prediction:d actual_return:d"
