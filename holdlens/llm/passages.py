@@ -46,19 +46,20 @@ def _units(texts: pa.Array):
     for a, b, data, offsets in steps(texts):
         w = words(data, offsets, SPACED)
         starts = np.flatnonzero(_unit_starts(data, w))
-        ends = np.append(starts[1:], len(w.start))
+        ends = np.append(starts[1:], len(w.start)) if len(starts) else starts
         place = np.arange(len(w.start)) - np.repeat(starts, ends - starts)
         spread = w.hash + place.astype(np.uint64) * U(0x9E3779B97F4A7C15)
-        size = (ends - starts).astype(np.uint64)
+        size = ends - starts
+        first, last = w.start[starts], w.end[ends - 1]
         if len(starts):
-            low = mix(np.add.reduceat(mix(spread), starts) + size)
-            high = mix(np.add.reduceat(mix(spread ^ U(0xA5A5A5A5A5A5A5A5)), starts) + size)
+            low = mix(np.add.reduceat(mix(spread), starts) + size.astype(np.uint64))
+            high = mix(np.add.reduceat(mix(spread ^ U(0xA5A5A5A5A5A5A5A5)), starts) + size.astype(np.uint64))
         else:
             low = high = np.empty(0, np.uint64)
         rows = np.searchsorted(starts, w.rows)
         for i in range(b - a):
             s = slice(rows[i], rows[i + 1])
-            yield low[s].view(np.int64), high[s].view(np.int64), (ends - starts)[s], w.start[starts[s]] - offsets[i], w.end[ends[s] - 1] - offsets[i]
+            yield low[s].view(np.int64), high[s].view(np.int64), size[s], first[s] - offsets[i], last[s] - offsets[i]
 
 
 def _digests(docs: DataFrame) -> DataFrame:
