@@ -31,11 +31,23 @@ ROUND_TOKENS, CACHE_WORDS, STEP_CHARS = 1 << 20, 1 << 19, 1 << 19
 STEP_TOKENS = 64 * 2048
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it shows, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return [letters[b] for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordEncoder:
     """Ids of whole texts, from remembered ids of what stands between their spaces.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its
-    parts. A text that names one of the tokenizer's special tokens is encoded in one go.
+    parts. A part of Latin letters, but for a comma or full stop at its end, is one word of the tokenizer's
+    model, which is asked directly. A text that names one of the tokenizer's special tokens is encoded in one go.
     """
 
     def __init__(self, path: str):
@@ -44,14 +56,26 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tails = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ",."}
         self._clear()
 
     def _clear(self):
         self.index, self.used = {}, 0
         self.start, self.length, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
+    def _word(self, part: str) -> list[int] | None:
+        tail = part[-1:] if part[-1:] in self.tails else ""
+        word = part[: len(part) - len(tail)]
+        if not word.isalpha() or max(word) > "\xff":
+            return None
+        ids = [t.id for t in self.tokenizer.model.tokenize("".join(map(_BYTE_LETTERS.__getitem__, word.lower().encode())))]
+        return ids + self.tails[tail] if tail else ids
+
     def _learn(self, new: list[str]):
-        got = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        got = list(map(self._word, new))
+        odd = [i for i, x in enumerate(got) if x is None]
+        for i, x in zip(odd, self.tokenizer.encode_batch_fast([new[i] for i in odd], add_special_tokens=False), strict=True):
+            got[i] = x.ids
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         n, total = len(self.index), int(lengths.sum())
         while n + len(new) > len(self.start):
