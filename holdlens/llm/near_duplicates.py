@@ -13,6 +13,7 @@
    and A added, more than (100 R + p A) / (100 + p) of these R + A for a threshold of p percent.
    So one of any R + A - that + 1 of them is shared, and a join of those with
    all that sets i apart finds every such pair, to be confirmed too. So a bucket loses no link.
+   Shingles that nobody else adds to c can't be shared; sets too small without them are no pair.
 
 A pair at exactly the threshold shares no bucket with probability
 ``(1 - 0.8 ** rows) ** bands``: 3e-6 for 32 bands of 5 bins.
@@ -124,16 +125,16 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _against_centres(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, main, linked, n, lacking, centre, spare, probe, apart)`` of member a and centre b, see the module.
+    """``(a, b, main, linked, n, lacking, centre, spare, probe, apart, added)`` of member a and centre b, see the module.
 
     main: a's heaviest centre; n and centre: sizes of their sets; lacking: R; probe: enough of what sets a apart, spare: the
-    number of those left out; apart: all of it, if a isn't linked. Where ``alone``, a is b's only
+    number of those left out; apart: all of it, if a isn't linked; added: what a has and b lacks. Where ``alone``, a is b's only
     member, and both are null.
     """
 
     def run(batches):
         for batch in batches:
-            linked, sizes, probe, apart = [], [], [], []
+            linked, sizes, probe, apart, more = [], [], [], [], []
             for x, y, alone in zip(batch.column("x"), batch.column("y"), batch.column("alone").to_pylist(), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 linked.append(_linked(x, y, percent))
@@ -141,19 +142,22 @@ def _against_centres(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFra
                     sizes.append((len(x), 0, len(y), 0))
                     probe.append(None)
                     apart.append(None)
+                    more.append(None)
                     continue
                 added, lacking = x[~_common(x, y)], y[~_common(y, x)]
                 all_of_it = np.concatenate((mix(added), mix(~lacking))).view(np.int64)
-                shared = (100 * len(lacking) + percent * len(added)) // (100 + percent) + 1
-                sizes.append((len(x), len(lacking), len(y), shared - 1))
-                probe.append(all_of_it[: len(all_of_it) - shared + 1])
+                # a partner isn't linked with the centre and not much smaller than x
+                shared = max((100 * len(lacking) + percent * len(added)) // (100 + percent) + 1, -(-percent * len(x) // 100) - len(y) + len(lacking))
+                sizes.append((len(x), len(lacking), len(y), min(shared - 1, len(all_of_it))))
+                probe.append(all_of_it[: max(0, len(all_of_it) - shared + 1)])
                 apart.append(None if linked[-1] else all_of_it)
+                more.append(all_of_it[: len(added)])
             if not linked:
                 continue
-            yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("main"), pa.array(linked, pa.bool_()), *(pa.array(z, pa.int64()) for z in zip(*sizes, strict=True)), pa.array(probe, pa.list_(pa.int64())), pa.array(apart, pa.list_(pa.int64()))], ["a", "b", "main", "linked", "n", "lacking", "centre", "spare", "probe", "apart"])
+            yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("main"), pa.array(linked, pa.bool_()), *(pa.array(z, pa.int64()) for z in zip(*sizes, strict=True)), pa.array(probe, pa.list_(pa.int64())), pa.array(apart, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))], ["a", "b", "main", "linked", "n", "lacking", "centre", "spare", "probe", "apart", "added"])
 
     made = _with_sets(pairs, sets).select("a", "b", "main", "alone", "x", "y")
-    return made.mapInArrow(run, "a binary, b binary, main binary, linked boolean, n long, lacking long, centre long, spare long, probe array<long>, apart array<long>")
+    return made.mapInArrow(run, "a binary, b binary, main binary, linked boolean, n long, lacking long, centre long, spare long, probe array<long>, apart array<long>, added array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,10 +196,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     links = stars.where("linked").select("a", "b")
     begun = connected_components(links)
     stars = stars.drop("linked").join(begun.select(F.col("node").alias("a"), F.col("label").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    apart = stars.where("apart is not null").select("b", F.col("a").alias("i"), F.col("comp").alias("ci"), F.col("main").alias("mi"), F.col("n").alias("ni"), F.col("lacking").alias("ri"), "centre", F.explode("apart").alias("feature"))
-    probe = stars.select("b", F.col("a").alias("j"), F.col("comp").alias("cj"), F.col("main").alias("mj"), F.col("n").alias("nj"), F.col("lacking").alias("rj"), "spare", F.explode("probe").alias("feature"))
+    adds = stars.where("added is not null").select("b", "a", F.explode("added").alias("feature"))
+    twice = adds.groupBy("b", "feature").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("b", "feature")
+    shareable = adds.join(twice, ["b", "feature"]).groupBy("b", "a").agg(F.count(F.lit(1)).alias("also"))
+    stars = cut(stars.drop("added").join(shareable, ["b", "a"], "left").withColumn("most", F.col("centre") - F.col("lacking") + F.coalesce("also", F.lit(0))))
+    apart = stars.where("apart is not null").select("b", F.col("a").alias("i"), F.col("comp").alias("ci"), F.col("main").alias("mi"), F.col("n").alias("ni"), F.col("lacking").alias("ri"), F.col("most").alias("most_i"), "centre", F.explode("apart").alias("feature"))
+    probe = stars.select("b", F.col("a").alias("j"), F.col("comp").alias("cj"), F.col("main").alias("mj"), F.col("n").alias("nj"), F.col("lacking").alias("rj"), F.col("most").alias("most_j"), "spare", F.explode("probe").alias("feature"))
     # a pair with one main centre is looked at there only, where least sets them apart
-    shared = probe.join(apart, ["b", "feature"]).where("ci != cj and (mi != mj or b = mi)").groupBy("b", "i", "j", "ni", "nj", "ri", "rj", "centre", "spare").agg(F.count(F.lit(1)).alias("found"))
+    shared = probe.join(apart, ["b", "feature"]).where(f"ci != cj and (mi != mj or b = mi) and (100 + {percent}) * least(most_i, most_j) >= {percent} * (ni + nj)").groupBy("b", "i", "j", "ni", "nj", "ri", "rj", "centre", "spare").agg(F.count(F.lit(1)).alias("found"))
     needed = F.floor((percent * (F.col("ni") + F.col("nj")) + 99 + percent) / (100 + percent)) - F.col("centre") + F.col("ri") + F.col("rj")
     between = shared.where(F.col("found") + F.col("spare") >= needed).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     more = cut(_confirmed(between, sets, percent))
