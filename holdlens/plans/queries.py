@@ -100,7 +100,7 @@ class Build:
 
     @cached_property
     def long(self):
-        return signals.to_long(self.panel, FEATURES, signals.TARGETS)
+        return signals.to_long(self.panel, FEATURES, signals.TARGETS).persist()
 
     @cached_property
     def deciles(self):
@@ -117,19 +117,19 @@ class Build:
             for t in signals.TARGETS:
                 part = self.panel.where(F.col(t).isNotNull()).select(F.lit(name).alias("model"), F.lit(t).alias("target"), "month", "permno", (-F.col(c)).alias("prediction"), F.col(t).alias("actual_return"))
                 out = part if out is None else out.unionByName(part)
-        return out
+        return out.persist()
 
     @cached_property
     def book(self):
-        return portfolio.decile_holdings(self.predictions)
+        return portfolio.decile_holdings(self.predictions).persist()
 
     @cached_property
     def folio(self):
-        return portfolio.build_portfolio(self.predictions)
+        return portfolio.build_portfolio(self.predictions).persist()
 
     @cached_property
     def performance(self):
-        return portfolio.performance_summary(self.folio)
+        return portfolio.performance_summary(self.folio).persist()
 
     @cached_property
     def factors(self):
@@ -144,7 +144,7 @@ class Build:
     @cached_property
     def features_z(self):
         z = stats.robust_zscore(self.panel, ["month"], FEATURES)
-        return stats.products(z, [(f"rz_{a}", f"rz_{b}") for a, b in PAIRS], 8.0)
+        return stats.products(z, [(f"rz_{a}", f"rz_{b}") for a, b in PAIRS], 8.0).persist()
 
     @cached_property
     def model_features(self):
