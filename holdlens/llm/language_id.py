@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Components of the vectors, letters of an n-gram, characters worked on at once.
-DIMENSIONS, N, STEP_CHARS = 512, 3, 1 << 19
+DIMENSIONS, N, STEP_CHARS = 512, 3, 1 << 17
 #: A prototype is a sum of whole numbers, so it doesn't depend on the order of its texts.
 SCALE = 1 << 20
 
@@ -83,7 +83,7 @@ def text_vectors(texts: list[str | None]):
         for j in range(N):
             vectors *= np.roll(base, j, axis=1)[rest % a]
             rest //= a
-        step = max(1, (4 << 20) // len(kinds))
+        step = max(1, (1 << 20) // len(kinds))
         for s in range(0, len(rows), step):
             mine = (middle >= s) & (middle < s + step)
             n = min(step, len(rows) - s)

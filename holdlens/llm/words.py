@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one step works on; a longer text is worked on alone.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 
 U = np.uint64
 _rng = np.random.default_rng(20240607)
