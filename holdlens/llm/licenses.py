@@ -71,7 +71,7 @@ OTHER = [
     ("permissive-bsd-text", "redistribution and use", r"redistribution and use in source and binary forms, with or without modification", 80, 0.95),
     ("copyright", "copyright", r"copyright (?:\(c\)|\xc2\xa9|\d{4})", 20, 0.3),
     ("proprietary", "proprietary", r"proprietary and confidential", 40, 0.6),
-    ("proprietary", "without permission", r"(?:may not|not to) be (?:copied|reproduced|redistributed) without (?:written )?permission", 40, 0.6),
+    ("proprietary", "permission", r"(?:may not|not to) be (?:copied|reproduced|redistributed) without (?:written )?permission", 40, 0.6),
     ("reserved", "rights reserved", r"(?:all|some|no) rights reserved", 10, 0.4),
 ]
 _GRANT = r"(?:licen[sc]ed under|released under|distributed under|available under|provided under|covered by|subject to|under the terms of)(?: the terms of)?(?: an?| the)? "
@@ -132,8 +132,8 @@ class Scanner:
 
     def detections(self, low: bytes) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) of what is left after suppression; ``low``: bytes with A-Z as a-z."""
-        # white space inside a keyword may be any in the text
-        plain = low.decode("latin-1").translate(_SPACES)
+        # white space inside a keyword may be any run in the text; only presence is asked
+        plain = b" ".join(low.split()).decode("latin-1")
         present = {key for _, key in self.filter.iter(plain)}
         if not present:
             return []
@@ -146,7 +146,6 @@ class Scanner:
         return kept
 
 
-_SPACES = {9: " ", 10: " ", 13: " "}
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _BASE = re.compile(b"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(b"(" + _GAP.join(p.encode().split()) + b")" for p in BASE_PHRASES) + b")(?![0-9a-z\x80-\xff])")
