@@ -3,14 +3,15 @@
 A unit is a stretch of a line that begins at the line's start, after a sentence's
 end, or where a capital follows a word without one, so the units of a passage are the
 same wherever it was put. A unit's digest is that of its words (runs without ASCII
-white space, A-Z as a-z), so spacing and ASCII case don't matter. Digests are grouped
-over all documents; the occurrence with the smallest (doc_id, text hash, place) stays.
-Later ones are removed where repeats that stand side by side have ``least_words``
-words or more: short stock phrases alone are left in place.
+white space, A-Z as a-z), so spacing and ASCII case don't matter. Whole lines of several
+units have a digest as well. Digests are grouped over all documents; the occurrence with the
+smallest (doc_id, text hash, place) stays. Later whole lines go from a few words or bytes on, and pieces of lines
+where repeats that stand side by side have ``least_words`` words or more: short stock phrases inside lines stay.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
@@ -26,40 +27,61 @@ _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?\n")] = True
 
 
-def _unit_starts(data: np.ndarray, w) -> np.ndarray:
-    """Which words of a step begin a unit."""
+def _unit_starts(data: np.ndarray, w) -> tuple[np.ndarray, np.ndarray]:
+    """Which words of a step begin a unit, and which a line."""
     n = len(w.start)
-    out = np.zeros(n, bool)
+    out, begins = np.zeros(n, bool), np.zeros(n, bool)
     if not n:
-        return out
-    out[w.rows[:-1][w.rows[:-1] < n]] = True
+        return out, begins
+    begins[w.rows[:-1][w.rows[:-1] < n]] = True
     first, second = data[w.start], data[np.minimum(w.start + 1, len(data) - 1)]
     capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     out[1:] |= _ENDS[data[w.end[:-1] - 1]] | (capital[1:] & ~capital[:-1])
     lines = np.cumsum(data == 10)
-    out[1:] |= lines[w.start[1:]] != lines[w.end[:-1] - 1]
-    return out
+    begins[1:] |= lines[w.start[1:]] != lines[w.end[:-1] - 1]
+    return out | begins, begins
+
+
+def _digest(h: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of the digests of runs of words."""
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    place = np.arange(len(h)) - np.repeat(starts, size)
+    spread, n = h + place.astype(np.uint64) * U(0x9E3779B97F4A7C15), size.astype(np.uint64)
+    return tuple(mix(np.add.reduceat(mix(spread ^ salt), starts) + n).view(np.int64) for salt in (U(0), U(0xA5A5A5A5A5A5A5A5)))
+
+
+@dataclass
+class Units:
+    """The units of a text and its lines; the digests of lines of several units follow those of the units."""
+
+    low: np.ndarray
+    high: np.ndarray
+    size: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    line: np.ndarray  #: first unit of each line, and the number of units
+    digest: np.ndarray  #: where each line's digest is
 
 
 def _units(texts: pa.Array):
-    """Of each text: units' digests (two halves), words, and first byte and byte after the last."""
+    """The Units of each text."""
     for a, b, data, offsets in steps(texts):
         w = words(data, offsets, SPACED)
-        starts = np.flatnonzero(_unit_starts(data, w))
-        ends = np.append(starts[1:], len(w.start)) if len(starts) else starts
-        place = np.arange(len(w.start)) - np.repeat(starts, ends - starts)
-        spread = w.hash + place.astype(np.uint64) * U(0x9E3779B97F4A7C15)
-        size = ends - starts
-        first, last = w.start[starts], w.end[ends - 1]
-        if len(starts):
-            low = mix(np.add.reduceat(mix(spread), starts) + size.astype(np.uint64))
-            high = mix(np.add.reduceat(mix(spread ^ U(0xA5A5A5A5A5A5A5A5)), starts) + size.astype(np.uint64))
-        else:
-            low = high = np.empty(0, np.uint64)
-        rows = np.searchsorted(starts, w.rows)
+        is_start, begins = _unit_starts(data, w)
+        starts, lines = np.flatnonzero(is_start), np.flatnonzero(begins)
+        size, long = np.diff(np.append(starts, len(w.start))), np.diff(np.append(lines, len(w.start)))
+        first, last = w.start[starts], w.end[starts + size - 1]
+        low, high = _digest(w.hash, starts, size)
+        line_low, line_high = _digest(w.hash, lines, long)
+        unit_of = np.searchsorted(starts, lines)
+        several = np.diff(np.append(unit_of, len(starts))) > 1
+        rows, line_rows = np.searchsorted(starts, w.rows), np.searchsorted(lines, w.rows)
         for i in range(b - a):
-            s = slice(rows[i], rows[i + 1])
-            yield low[s].view(np.int64), high[s].view(np.int64), size[s], first[s] - offsets[i], last[s] - offsets[i]
+            s, t = slice(rows[i], rows[i + 1]), slice(line_rows[i], line_rows[i + 1])
+            many, of, n = several[t], unit_of[t] - rows[i], rows[i + 1] - rows[i]
+            digest = np.where(many, n + np.cumsum(many) - 1, of)
+            yield Units(np.append(low[s], line_low[t][many]), np.append(high[s], line_high[t][many]), size[s], first[s] - offsets[i], last[s] - offsets[i], np.append(of, n), digest)
 
 
 def _digests(docs: DataFrame) -> DataFrame:
@@ -67,21 +89,35 @@ def _digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found = list(_units(batch.column("text")))
             if found:
-                low, high = (pa.array([x[k] for x in found], pa.list_(pa.int64())) for k in (0, 1))
+                low, high = (pa.array([getattr(x, k) for x in found], pa.list_(pa.int64())) for k in ("low", "high"))
                 yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), low, high], ["doc_id", "text_hash", "low", "high"])
 
     return docs.mapInArrow(run, "doc_id long, text_hash long, low array<long>, high array<long>")
 
 
-def _runs(repeat: np.ndarray, size: np.ndarray, least_words: int) -> list[tuple[int, int]]:
-    """First unit and unit after the last of each run of repeats with enough words."""
-    edge = np.flatnonzero(np.diff(repeat.astype(np.int8), prepend=0, append=0))
-    return [(s, e) for s, e in zip(edge[::2], edge[1::2], strict=True) if size[s:e].sum() >= least_words]
+def _edges(mark: np.ndarray) -> list[tuple[int, int]]:
+    """First unit and unit after the last of each run of marked ones."""
+    edge = np.flatnonzero(np.diff(mark.astype(np.int8), prepend=0, append=0))
+    return list(zip(edge[::2], edge[1::2], strict=True))
+
+
+def _runs(repeat: np.ndarray, u: Units, least_words: int, line_words: int, line_bytes: int) -> list[tuple[int, int]]:
+    """First unit and unit after the last of each run that goes."""
+    n = len(u.size)
+    gone = np.zeros(n, bool)
+    for s, e, d in zip(u.line[:-1], u.line[1:], u.digest, strict=True) if repeat.any() else ():
+        if repeat[d] and (u.size[s:e].sum() >= line_words or u.end[e - 1] - u.start[s] >= line_bytes):
+            gone[s:e] = True
+    for s, e in _edges(repeat[:n] | gone):
+        if u.size[s:e].sum() >= least_words:
+            gone[s:e] = True
+    return _edges(gone)
 
 
-def remove_repeats(docs: DataFrame, *, least_words: int = 25) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, least_words: int = 25, line_words: int = 4, line_bytes: int = 24) -> DataFrame:
     """All columns of ``docs`` with the text cut, and ``n_units``, ``n_removed``, ``n_spans``, ``removed``, ``kept``.
 
+    A repeated line goes if it has ``line_words`` words or ``line_bytes`` bytes; other repeats from ``least_words`` words on.
     removed, kept: arrays of (start, end) in bytes of the original text as UTF-8, in order; together they
     cover it. No row is dropped. A null text stays null with no spans, an empty one
     stays empty. Rows that share doc_id and text are one document; null ids rank first.
@@ -102,12 +138,12 @@ def remove_repeats(docs: DataFrame, *, least_words: int = 25) -> DataFrame:
         for batch in batches:
             texts, found = batch.column("text").cast(pa.string()), batch.column("_places")
             out = [[] for _ in range(6)]
-            for i, (_, _, size, start, end) in enumerate(_units(texts)):
+            for i, u in enumerate(_units(texts)):
                 data = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else None
-                n, repeat = len(size), np.zeros(len(size), bool)
+                n, start, repeat = len(u.size), u.start, np.zeros(len(u.low), bool)
                 if found[i].is_valid:
                     repeat[found[i].values.to_numpy(zero_copy_only=False)] = True
-                gone = _runs(repeat, size, least_words)
+                gone = _runs(repeat, u, least_words, line_words, line_bytes)
                 removed = [(int(start[s]), int(start[e]) if e < n else len(data)) for s, e in gone]
                 marks = [0, *(x for r in removed for x in r), len(data or b"")]
                 kept = [(s, e) for s, e in list(pairwise(marks))[::2] if s < e]
