@@ -1,8 +1,9 @@
 """Removal of repeated lines and passages by hashing normalised units.
 
 A unit is a stretch of a line that begins at the line's start, after a sentence's
-end, or where a capital follows a word without one, so the units of a passage are the
-same wherever it was put. A unit's digest is that of its words (runs without ASCII
+end, or where a capital follows a word without one. Where there is no such mark for
+``QUIET`` words, one also begins where the hash of the last three words is the least nearby, so the units of a
+passage are the same wherever it was put. Text without spaces is cut after its full-width stops. A unit's digest is that of its words (runs without ASCII
 white space, A-Z as a-z), so spacing and ASCII case don't matter. Whole lines of several
 units have a digest as well. Digests are grouped over all documents; the occurrence with the
 smallest (doc_id, text hash, place) stays. Later whole lines go from a few words or bytes on, and pieces of lines
@@ -23,8 +24,33 @@ from holdlens.llm.cluster import cut
 from holdlens.llm.words import SPACED, mix, steps, words
 
 U = np.uint64
-_ENDS = np.zeros(256, bool)
-_ENDS[list(b".!?\n")] = True
+#: Words without a mark after which hashes cut: where one is the least of those up to REACH words away.
+QUIET, REACH = 12, 4
+_P = U(0x9E3779B97F4A7C15)
+#: By code point below 0x10000: capitals, ends of sentences, what may follow these, and stops that end a word of text without spaces.
+_POINTS = range(0x10000)
+_CAPITAL = np.fromiter((chr(i).isupper() for i in _POINTS), bool)
+_ENDS, _CLOSES, _WIDE = (np.isin(_POINTS, [ord(c) for c in x]) for x in (".!?\n\u2026\u037e\u0589\u061f\u06d4\u0964\u0965\u1362\u3002\uff01\uff0e\uff1f\uff61", "\"')]}*\u00bb\u2019\u201d\u203a\u300d\u300f\uff09", "\u3001\u3002\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61"))
+
+
+def _points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Code points of up to three bytes that begin at ``at``; 0 for longer ones."""
+    a, b, c = (data[np.minimum(at + k, len(data) - 1)].astype(np.int32) for k in range(3))
+    return np.where(a < 0x80, a, np.where(a < 0xE0, (a & 31) << 6 | b & 63, np.where(a < 0xF0, (a & 15) << 12 | (b & 63) << 6 | c & 63, 0)))
+
+
+def _last_points(data: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code point before each ``end``, and where it begins."""
+    at = end - 1
+    for _ in range(3):
+        at = at - ((data[at] & 0xC0) == 0x80)
+    return _points(data, at), at
+
+
+def _wide_stops(data: np.ndarray) -> np.ndarray:
+    """The bytes after full-width stops."""
+    at = np.flatnonzero((data == 0xE3) | (data == 0xEF))
+    return at[_WIDE[_points(data, at)]] + 3 if len(at) else at
 
 
 def _unit_starts(data: np.ndarray, w) -> tuple[np.ndarray, np.ndarray]:
@@ -34,21 +60,38 @@ def _unit_starts(data: np.ndarray, w) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return out, begins
     begins[w.rows[:-1][w.rows[:-1] < n]] = True
-    first, second = data[w.start], data[np.minimum(w.start + 1, len(data) - 1)]
-    capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    out[1:] |= _ENDS[data[w.end[:-1] - 1]] | (capital[1:] & ~capital[:-1])
+    capital = _CAPITAL[_points(data, w.start)]
+    last, at = _last_points(data, w.end)
+    for _ in range(2):  # quotes and brackets after a stop
+        inner = _CLOSES[last] & (at > w.start)
+        before, where = _last_points(data, np.maximum(at, 1))
+        last, at = np.where(inner, before, last), np.where(inner, where, at)
+    out[1:] |= _ENDS[last[:-1]] | _WIDE[last[:-1]] | (capital[1:] & ~capital[:-1])
     lines = np.cumsum(data == 10)
     begins[1:] |= lines[w.start[1:]] != lines[w.end[:-1] - 1]
-    return out | begins, begins
+    out |= begins
+    # what hashes say depends on the words nearby alone, and on marks among the last QUIET ones
+    place = np.arange(n)
+    quiet = place - np.maximum.accumulate(np.where(out, place, 0)) >= QUIET
+    # none so near a line's end that the next line, or row of the step, has a say
+    line = np.flatnonzero(begins)
+    quiet &= np.append(line, n)[np.searchsorted(line, place, side="right")] - place > REACH
+    three = np.zeros(n, np.uint64)
+    for j in (3, 2, 1):
+        three[3:] = mix(three[3:] * _P + w.hash[3 - j : n - j])
+    padded = np.pad(three, REACH, constant_values=U(2**64 - 1))
+    least = np.lib.stride_tricks.sliding_window_view(padded, 2 * REACH + 1).min(1)
+    return out | (quiet & (three == least)), begins
 
 
 def _digest(h: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two halves of the digests of runs of words."""
+    """The digests of runs of words, 64 and 32 bits."""
     if not len(starts):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int32)
     place = np.arange(len(h)) - np.repeat(starts, size)
     spread, n = h + place.astype(np.uint64) * U(0x9E3779B97F4A7C15), size.astype(np.uint64)
-    return tuple(mix(np.add.reduceat(mix(spread ^ salt), starts) + n).view(np.int64) for salt in (U(0), U(0xA5A5A5A5A5A5A5A5)))
+    low, high = (mix(np.add.reduceat(mix(spread ^ salt), starts) + n).view(np.int64) for salt in (U(0), U(0xA5A5A5A5A5A5A5A5)))
+    return low, high.astype(np.int32)
 
 
 @dataclass
@@ -67,7 +110,7 @@ class Units:
 def _units(texts: pa.Array):
     """The Units of each text."""
     for a, b, data, offsets in steps(texts):
-        w = words(data, offsets, SPACED)
+        w = words(data, offsets, SPACED, _wide_stops(data))
         is_start, begins = _unit_starts(data, w)
         starts, lines = np.flatnonzero(is_start), np.flatnonzero(begins)
         size, long = np.diff(np.append(starts, len(w.start))), np.diff(np.append(lines, len(w.start)))
@@ -89,10 +132,10 @@ def _digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found = list(_units(batch.column("text")))
             if found:
-                low, high = (pa.array([getattr(x, k) for x in found], pa.list_(pa.int64())) for k in ("low", "high"))
+                low, high = (pa.array([getattr(x, k) for x in found], pa.list_(kind)) for k, kind in (("low", pa.int64()), ("high", pa.int32())))
                 yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), low, high], ["doc_id", "text_hash", "low", "high"])
 
-    return docs.mapInArrow(run, "doc_id long, text_hash long, low array<long>, high array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, low array<long>, high array<int>")
 
 
 def _edges(mark: np.ndarray) -> list[tuple[int, int]]:
@@ -109,7 +152,7 @@ def _runs(repeat: np.ndarray, u: Units, least_words: int, line_words: int, line_
         if repeat[d] and (u.size[s:e].sum() >= line_words or u.end[e - 1] - u.start[s] >= line_bytes):
             gone[s:e] = True
     for s, e in _edges(repeat[:n] | gone):
-        if u.size[s:e].sum() >= least_words:
+        if u.size[s:e].sum() >= least_words or u.end[e - 1] - u.start[s] >= 10 * least_words:
             gone[s:e] = True
     return _edges(gone)
 
@@ -117,7 +160,7 @@ def _runs(repeat: np.ndarray, u: Units, least_words: int, line_words: int, line_
 def remove_repeats(docs: DataFrame, *, least_words: int = 25, line_words: int = 4, line_bytes: int = 24) -> DataFrame:
     """All columns of ``docs`` with the text cut, and ``n_units``, ``n_removed``, ``n_spans``, ``removed``, ``kept``.
 
-    A repeated line goes if it has ``line_words`` words or ``line_bytes`` bytes; other repeats from ``least_words`` words on.
+    A repeated line goes if it has ``line_words`` words or ``line_bytes`` bytes; other repeats from ``least_words`` words or ten times as many bytes on.
     removed, kept: arrays of (start, end) in bytes of the original text as UTF-8, in order; together they
     cover it. No row is dropped. A null text stays null with no spans, an empty one
     stays empty. Rows that share doc_id and text are one document; null ids rank first.
@@ -128,7 +171,7 @@ def remove_repeats(docs: DataFrame, *, least_words: int = 25, line_words: int =
     keyed = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
     known = cut(_digests(keyed.select(F.col("_id").alias("doc_id"), F.col("_hash").alias("text_hash"), F.col("text").cast("string").alias("text"))))
     units = known.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("low", "high")).alias("place", "unit")).select("unit.low", "unit.high", "doc_id", "text_hash", "place")
-    groups = units.groupBy("low", "high").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.max(F.struct("doc_id", "text_hash", "place")).alias("last")).where("first != last")
+    groups = units.groupBy("low", "high").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     repeats = units.join(groups.select("low", "high", "first"), ["low", "high"]).where("not (struct(doc_id, text_hash, place) <=> first)")
     places = repeats.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("_places")).select(F.col("doc_id").alias("_id2"), F.col("text_hash").alias("_hash2"), "_places")
     joined = keyed.join(places, keyed["_id"].eqNullSafe(places["_id2"]) & (keyed["_hash"] == places["_hash2"]), "left").drop("_id", "_hash", "_id2", "_hash2")

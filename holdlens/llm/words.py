@@ -100,9 +100,13 @@ def spans(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
-    """The words of a step; A-Z hash as a-z."""
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, cuts: np.ndarray | None = None) -> Words:
+    """The words of a step; A-Z hash as a-z. Words are also cut at the bytes in ``cuts``, which is sorted."""
     start, end = spans(data, table)
+    if cuts is not None and len(cuts) and len(start):
+        of = np.maximum(np.searchsorted(start, cuts, side="right") - 1, 0)
+        cuts = cuts[(cuts > start[of]) & (cuts < end[of])]
+        start, end = np.sort(np.concatenate((start, cuts))), np.sort(np.concatenate((end, cuts)))
     hashes = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):  # whole words, about STEP_BYTES at once

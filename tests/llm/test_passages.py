@@ -1,6 +1,8 @@
 """What goes although it is short or has no sentence marks."""
 
-from holdlens.llm.passages import remove_repeats
+import pyarrow as pa
+
+from holdlens.llm.passages import _units, remove_repeats
 
 
 def _texts(spark, texts):
@@ -14,3 +16,26 @@ def test_repeated_lines_go_from_a_few_words_or_bytes(spark):
     assert got[0] == f"one text\n{line}\n{thai}\nends"
     assert got[1] == "another\nthen" and got[3] == "Ok.\nfourth"
     assert got[2] == f"third {line} inside\nOk."
+
+
+def test_passages_without_marks_go_from_the_middle_of_lines(spark):
+    passage = " ".join(f"word{i * i % 61}x{i}" for i in range(60))
+    got = _texts(spark, [f"here the first host says {passage} and goes on with it", f"another one begins in other ways so {passage} until it ends"])
+    left = got[1].split()
+    assert left[:4] == "another one begins in".split() and left[-3:] == "until it ends".split()
+    assert sum(w in passage.split() for w in left) <= 35
+
+
+def test_other_scripts_have_marks(spark):
+    greek = " ".join(f"\u0388\u03bd\u03b1 \u03bb\u03cc\u03b3\u03b9\u03b1{i} \u03b5\u03b4\u03ce." for i in range(20))
+    chinese = "".join(f"{chr(0x4E00 + 7 * i)}{chr(0x5000 + 11 * i)}\u6211\u4eec\u5728\u8fd9\u91cc\u8bf4{chr(0x6000 + 13 * i)}\u3002" for i in range(30))
+    got = _texts(spark, [f"a {greek} b\n\u7532\u4e59{chinese}\u4e19", f"c {greek} d\n\u4e01\u620a{chinese}\u5df1"])
+    assert greek[30:] not in got[1] and chinese[20:] not in got[1]
+    assert got[1].startswith("c ") and got[1].endswith("d\n\u4e01\u620a" + chinese[:10] + "\u5df1")
+
+
+def test_units_do_not_depend_on_other_rows():
+    texts = [" ".join(f"w{i * k % 97}" for i in range(40 + k)) for k in range(1, 60)]
+    alone = [next(_units(pa.array([t]))).low.tolist() for t in texts]
+    assert [u.low.tolist() for u in _units(pa.array(texts))] == alone
+    assert [u.low.tolist() for u in _units(pa.array(texts[::-1]))] == alone[::-1]
