@@ -141,6 +141,11 @@ class Build:
         raw = m.groupBy(F.last_day("date").alias("date")).agg(F.avg("ret").alias("mkt_rf"), (of(F.col("size") <= 1 / 3) - of(F.col("size") > 2 / 3)).alias("smb"), (of(F.col("price") > 2 / 3) - of(F.col("price") <= 1 / 3)).alias("hml"))
         return portfolio.prepare_factors(raw, "1995-01", "2002-12")
 
+    @cached_property
+    def winsorized_z(self):
+        z = stats.zscore(stats.winsorize(self.panel, ["month"], [*FEATURES, *signals.TARGETS], min_n=50), ["month"], FEATURES)
+        return stats.products(z, [(f"z_{x}", f"z_{y}") for x, y in PAIRS]).persist()
+
     @cached_property
     def features_z(self):
         z = stats.robust_zscore(self.panel, ["month"], FEATURES)
@@ -253,21 +258,19 @@ _register("fmb_summary_univariate", "feature:s target:s months:i mean_coef:d nw_
 
 
 def _specs(b: Build) -> DataFrame:
-    """Coefficients of the multivariate specifications on winsorised z-scores."""
-    cols = [*FEATURES, "fwd_ret_1m"]
-    z = stats.zscore(stats.winsorize(b.panel, ["month"], cols, min_n=50), ["month"], FEATURES)
-    z = stats.products(z, [(f"z_{x}", f"z_{y}") for x, y in PAIRS])
+    """Coefficients of all specifications and targets on winsorised z-scores."""
     named = lambda xs: [f"z_{x}" for x in xs]
     grid = eco.spec_grid(named(DIRECT), named(NETWORK), named(MECHANISM), named(signals.CONTROLS), [f"z_{x}_x_z_{y}" for x, y in PAIRS])
     out = None
-    for name in ("network_core", "full_core_with_controls"):
-        part = eco.fama_macbeth(z, "fwd_ret_1m", grid[name], least=30, per_regressor=4).withColumn("spec", F.lit(name))
-        out = part if out is None else out.unionByName(part)
+    for target in signals.TARGETS:
+        for name, xs in grid.items():
+            part = eco.fama_macbeth(b.winsorized_z, target, xs, least=30, per_regressor=4).withColumns({"spec": F.lit(name), "target": F.lit(target)})
+            out = part if out is None else out.unionByName(part)
     return out
 
 
-_register("fmb_multivariate", "spec:s variable:s months:i mean_coef:d nw_se:d nw_t:d coef_std:d positive_month_share:d", lambda b: eco.fmb_summary(_specs(b), ["spec", "variable"]))
-_register("fmb_model_summary", "spec:s months:i mean_n:d min_n:i mean_adj_r2:d median_adj_r2:d", lambda b: eco.fmb_model_summary(_specs(b), ["spec"]))
+_register("fmb_multivariate", "spec:s target:s variable:s months:i mean_coef:d nw_se:d nw_t:d coef_std:d positive_month_share:d", lambda b: eco.fmb_summary(_specs(b), ["spec", "target", "variable"]))
+_register("fmb_model_summary", "spec:s target:s months:i mean_n:d min_n:i mean_adj_r2:d median_adj_r2:d", lambda b: eco.fmb_model_summary(_specs(b), ["spec", "target"]))
 _register("hac_regression", "model:s target:s n:i r2:d variable:s coef:d t:d", lambda b: eco.hac_regression(b.folio.join(b.factors, "month"), ["model", "target"], "month", "gross_dollar_neutral_return", ["mktrf"]))
 _register("factors", "month:s mktrf:d smb:d hml:d", lambda b: b.factors,
           "(SELECT month, " + ", ".join(f"{f} / (SELECT CASE WHEN median(abs({f})) > 0.5 THEN 100 ELSE 1 END FROM fac) AS {f}" for f in ("mktrf", "smb", "hml")) + " FROM fac)",
@@ -277,7 +280,7 @@ _register("splits", "target:s test_year:n train_end:n valid_start:n valid_end:n
           f"(SELECT 'fwd_ret_1m' AS target, y AS test_year, f - 1 - {VALID} - 1 AS train_end, f - 1 - {VALID} AS valid_start, f - 1 AS valid_end, f AS first_test FROM (SELECT substring(month, 1, 4)::INTEGER AS y, min(i) AS f FROM numbered WHERE n > 0 GROUP BY 1)) WHERE train_end >= {MIN_TRAIN}", {"numbered": "SELECT month, n, row_number() OVER (ORDER BY month) - 1 AS i FROM (SELECT month, count(fwd_ret_1m) AS n FROM panel GROUP BY month)"})
 _PRED = "model:s target:s test_year:n month:s permno:i prediction:d actual_return:d"
 _register("ridge_oos", _PRED, lambda b: models.ridge_oos(b.features_z, b.splits, "fwd_ret_1m", b.model_features))
-_register("boosted_oos", _PRED, lambda b: models.boosted_oos(b.features_z, b.splits.where("test_year >= 2001"), "fwd_ret_1m", b.model_features, rounds=5, depth=3))
+_register("boosted_oos", _PRED, lambda b: models.boosted_oos(b.features_z, b.splits, "fwd_ret_1m", b.model_features))
 _register("feature_importance", "target:s feature:s mean_importance:d", lambda b: models.feature_importance(b.features_z, b.splits, "fwd_ret_1m", b.model_features))
 _rc = {"ics": "SELECT model, target, month, count(*) AS n, covar_pop(rp, ra) / nullif(stddev_pop(rp) * stddev_pop(ra), 0) AS rank_ic FROM (SELECT *, rank() OVER (PARTITION BY model, target, month ORDER BY prediction) + (count(*) OVER (PARTITION BY model, target, month, prediction) - 1) / 2 AS rp, rank() OVER (PARTITION BY model, target, month ORDER BY actual_return) + (count(*) OVER (PARTITION BY model, target, month, actual_return) - 1) / 2 AS ra FROM predictions) GROUP BY ALL HAVING count(*) >= 20",
        "ics_ok": "SELECT * FROM ics WHERE rank_ic IS NOT NULL",
