@@ -78,6 +78,11 @@ def text_vectors(texts: list[str | None]):
         gram, middle = np.zeros(width, np.int64), text[N // 2 : N // 2 + width]
         for j in range(N):
             gram = gram * a + code[j : j + width]
+        # one that goes on into the next text is no text's
+        within = middle == text[N - 1 : N - 1 + width]
+        gram, middle = gram[within], middle[within]
+        if not len(gram):
+            continue
         kinds, kind = np.unique(gram, return_inverse=True)
         vectors, rest = np.ones((len(kinds), DIMENSIONS), np.float32), kinds.copy()
         for j in range(N):
