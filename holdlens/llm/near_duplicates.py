@@ -100,7 +100,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             if found:
                 yield pa.record_batch([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["node", "hashes"])
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.select("doc_id"), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    # null ids can't be joined; the nodes tell which of their sets are wanted
+    texts = texts.join(wanted.select("doc_id"), "doc_id").unionByName(texts.where("doc_id is null"))
     made = texts.mapInArrow(run, "node binary, hashes binary")
     # a doc_id that stands for several texts brings sets that nobody wants
     return made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
