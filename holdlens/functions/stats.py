@@ -31,19 +31,21 @@ def plain_t(x: Column) -> Column:
     return F.when(F.count(x) >= 3, F.avg(x) / F.nullif(F.stddev_samp(x) / F.sqrt(F.count(x)), F.lit(0.0)))
 
 
-def newey_west(df: DataFrame, by: list[str], order: str, value: str, max_lag: int = 6) -> DataFrame:
+def newey_west(df: DataFrame, by: list[str], order: str, value: str, max_lag: int = 6, also: dict[str, Column] | None = None) -> DataFrame:
     """``by``, n, mean, se, t and std of the mean of ``value`` with Bartlett weights, a row for each group.
 
     Nulls are left out, so rows on both sides of one are neighbours. Lags: max_lag, n - 1 at most. One value: no se.
+    ``also``: further aggregates of ``df`` by name, taken in the same pass. All windows and the aggregate share one shuffle.
     """
     group, along = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(order)
-    rows = df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias("x"))
-    rows = rows.withColumn("d", F.col("x") - F.avg("x").over(group))
+    rows = df.where(F.col(value).isNotNull()).withColumn("nw_x", F.col(value).cast("double"))
+    rows = rows.withColumn("nw_d", F.col("nw_x") - F.avg("nw_x").over(group))
     lags = range(1, max_lag + 1)
-    rows = rows.select("*", *(F.lag("d", k).over(along).alias(f"d{k}") for k in lags))
+    rows = rows.select("*", *(F.lag("nw_d", k).over(along).alias(f"nw_d{k}") for k in lags))
     sums = rows.groupBy(*by).agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.sum(F.col("d") * F.col("d")).alias("g0"),
-        *(F.coalesce(F.sum(F.col("d") * F.col(f"d{k}")), F.lit(0.0)).alias(f"g{k}") for k in lags),
+        F.count("nw_x").alias("n"), F.avg("nw_x").alias("mean"), F.stddev_samp("nw_x").alias("std"), F.sum(F.col("nw_d") * F.col("nw_d")).alias("g0"),
+        *(F.coalesce(F.sum(F.col("nw_d") * F.col(f"nw_d{k}")), F.lit(0.0)).alias(f"g{k}") for k in lags),
+        *(c.alias(name) for name, c in (also or {}).items()),
     )
     used = F.least(F.lit(max_lag), F.col("n") - 1)
     var = F.col("g0")
@@ -51,7 +53,7 @@ def newey_west(df: DataFrame, by: list[str], order: str, value: str, max_lag: in
         var = var + F.when(F.lit(k) <= used, 2 * (1 - k / (used + 1.0)) * F.col(f"g{k}")).otherwise(0.0)
     se = F.when(F.col("n") > 1, F.sqrt(F.greatest(var / F.col("n"), F.lit(0.0)) / F.col("n")))
     out = sums.withColumn("se", se)
-    return out.select(*by, "n", "mean", "se", F.when(F.col("se") > 0, F.col("mean") / F.col("se")).alias("t"), "std")
+    return out.select(*by, "n", "mean", "se", F.when(F.col("se") > 0, F.col("mean") / F.col("se")).alias("t"), "std", *(also or {}))
 
 
 def winsorize(df: DataFrame, by: list[str], columns: list[str], low: float = 0.01, high: float = 0.99, min_n: int = 0) -> DataFrame:

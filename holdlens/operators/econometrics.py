@@ -19,6 +19,18 @@ def _square(upper: np.ndarray, k: int) -> np.ndarray:
     return out + np.triu(out, 1).T
 
 
+def _least_norm(sxx: np.ndarray, sxy: np.ndarray) -> np.ndarray:
+    """The solution of ``sxx b = sxy``, of least norm if there are several; rank is told on columns of equal size."""
+    scale = np.sqrt(np.maximum(np.diag(sxx), 1e-300))
+    values, vectors = np.linalg.eigh(sxx / np.outer(scale, scale))
+    full = values > 1e-12 * max(values[-1], 1e-300)
+    beta = vectors[:, full] @ ((vectors[:, full].T @ (sxy / scale)) / values[full]) / scale
+    if full.all():
+        return beta
+    free = np.linalg.qr(vectors[:, ~full] / scale[:, None])[0]
+    return beta - free @ (free.T @ beta)
+
+
 def spec_grid(direct: list[str], network: list[str], mechanism: list[str], controls: list[str], crossed: list[str]) -> dict[str, list[str]]:
     """Regressors of each specification: every signal alone, three families, all signals without and with controls, and products."""
     grid = {f"univariate__{s}": [s] for s in [*direct, *network]}
@@ -44,8 +56,7 @@ def fama_macbeth(df: DataFrame, target: str, xs: list[str], *, by: str = "month"
             out = []
             for r in pdf.itertuples(index=False):
                 sxx, sxy, n = _square(np.array(r.sxx), k), np.array(r.sxy), int(r.n)
-                scale = np.sqrt(np.maximum(np.diag(sxx), 1e-300))
-                beta = np.linalg.lstsq(sxx / np.outer(scale, scale), sxy / scale, rcond=1e-12)[0] / scale
+                beta = _least_norm(sxx, sxy)
                 rss = max(r.syy - 2 * beta @ sxy + beta @ sxx @ beta, 0.0)
                 tss = r.syy - sxy[0] ** 2 / n
                 r2 = 1 - rss / tss if tss > 0 else None
@@ -65,8 +76,14 @@ def fama_macbeth_univariate(long: DataFrame, *, least: int = 50, per_regressor:
 
 def fmb_summary(coefs: DataFrame, by: list[str], *, value: str = "coef", max_lag: int = 6) -> DataFrame:
     """Newey-West mean, se and t of the monthly coefficients, their sd and the share of positive months."""
-    nw = newey_west(coefs, by, "month", value, max_lag).select(*by, F.col("n").alias("months"), F.col("mean").alias("mean_coef"), F.col("se").alias("nw_se"), F.col("t").alias("nw_t"), F.col("std").alias("coef_std"))
-    return nw.join(coefs.groupBy(*by).agg(F.avg((F.col(value) > 0).cast("int")).alias("positive_month_share")), by)
+    nw = newey_west(coefs, by, "month", value, max_lag, also={"positive_month_share": F.avg((F.col(value) > 0).cast("int"))})
+    return nw.select(*by, F.col("n").alias("months"), F.col("mean").alias("mean_coef"), F.col("se").alias("nw_se"), F.col("t").alias("nw_t"), F.col("std").alias("coef_std"), "positive_month_share")
+
+
+def strongest(summary: DataFrame, *, target: str, controls: list[str], t: str = "nw_t", n: int = 10) -> DataFrame:
+    """The ``n`` signals of greatest absolute t for a target: neither constants nor ``controls``; ties by name."""
+    signals = summary.where((F.col("target") == target) & ~F.col("variable").isin("const", *controls) & F.col(t).isNotNull())
+    return signals.withColumn("abs_t", F.abs(t)).orderBy(F.col("abs_t").desc(), "spec", "variable").limit(n)
 
 
 def fmb_model_summary(coefs: DataFrame, by: list[str]) -> DataFrame:

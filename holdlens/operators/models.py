@@ -10,6 +10,8 @@ from holdlens.functions.columns import annualizer, finite
 from holdlens.functions.stats import average_rank, gram, newey_west, rank_share, safe_corr, winsorize
 
 ALPHAS = (0.1, 1.0, 3.0, 10.0, 30.0, 100.0)
+#: Rows with a target that a split needs for training, validation and test.
+LEAST_ROWS = (10000, 1000, 1000)
 
 
 def horizon(target: str) -> int:
@@ -31,12 +33,28 @@ def expanding_splits(panel: DataFrame, target: str, *, valid: int = 24, min_trai
 
 
 def split_months(panel: DataFrame, splits: DataFrame, target: str) -> DataFrame:
-    """``(test_year, role, month)`` of each split."""
+    """``(test_year, role, month)`` of each split; roles are joined by month number, test months by year."""
     months = panel.groupBy("month").agg(F.count(target).alias("n")).withColumn("i", F.row_number().over(Window.orderBy("month")) - 1)
-    role = F.when(F.col("i") < F.col("train_end"), "train").when((F.col("i") >= F.col("valid_start")) & (F.col("i") < F.col("valid_end")), "valid")
-    role = F.coalesce(role, F.when((F.substring("month", 1, 4).cast("int") == F.col("test_year")) & (F.col("n") > 0), "test"))
-    # both sides have a row for each month or year
-    return months.join(F.broadcast(splits), F.lit(True)).select("test_year", role.alias("role"), "month").where("role is not null")
+    span = lambda role, lo, hi: F.struct(F.lit(role).alias("role"), F.col(lo).cast("int").alias("lo"), F.col(hi).cast("int").alias("hi"))
+    ranges = splits.withColumn("zero", F.lit(0)).select("test_year", F.explode(F.array(span("train", "zero", "train_end"), span("valid", "valid_start", "valid_end"))).alias("x")).where("x.lo < x.hi")
+    fitted = ranges.select("test_year", "x.role", F.explode(F.sequence(F.col("x.lo"), F.col("x.hi") - 1)).alias("i")).join(months.select("i", "month"), "i")
+    tests = months.where("n > 0").select("month", F.substring("month", 1, 4).cast("int").alias("test_year")).join(splits.select("test_year"), "test_year")
+    return fitted.select("test_year", "role", "month").unionByName(tests.select("test_year", F.lit("test").alias("role"), "month"))
+
+
+def feature_sets(features: list[str]) -> dict[str, list[str]]:
+    """All features, those without the network, and those of the network and of selling pressure; empty sets are left out."""
+    sets = {"all": features, "no_network": [f for f in features if "network" not in f], "network_pressure": [f for f in features if "network" in f or "sell_pressure" in f]}
+    return {name: xs for name, xs in sets.items() if xs}
+
+
+def enough_rows(panel: DataFrame, splits: DataFrame, target: str, least: tuple[int, int, int] = LEAST_ROWS) -> DataFrame:
+    """The splits whose training, validation and test months have ``least`` rows with a target."""
+    rows = panel.groupBy("month").agg(F.count(target).alias("rows"))  # a row for each month
+    sizes = split_months(panel, splits, target).join(rows, "month").groupBy("test_year")
+    sizes = sizes.agg(*(F.sum(F.when(F.col("role") == role, F.col("rows"))).alias(role) for role in ("train", "valid", "test")))
+    ok = sizes.where(" and ".join(f"{role} >= {n}" for role, n in zip(("train", "valid", "test"), least, strict=True)))
+    return splits.join(ok.select("test_year"), "test_year", "left_semi")
 
 
 def _system(row, k: int) -> tuple[float, float, np.ndarray, np.ndarray]:
@@ -84,10 +102,10 @@ def ridge_oos(panel: DataFrame, splits: DataFrame, target: str, xs: list[str], *
     """``(model, target, test_year, month, permno, prediction, actual_return)`` of the test months."""
     spark = panel.sparkSession
     fits = ridge_fit(panel, splits, target, xs, alphas=alphas)
-    table = spark.createDataFrame([(f["test_year"], f["intercept"], [f["coef"][x] for x in xs]) for f in fits], "test_year int, b0 double, b array<double>")
+    table = spark.createDataFrame([(f["test_year"], (f["intercept"], [f["coef"][x] for x in xs])) for f in fits], "test_year int, ridge_fit struct<b0:double,b:array<double>>")
     tests = split_months(panel, splits, target).where("role = 'test'").join(F.broadcast(table), "test_year")
     rows = panel.where(F.col(target).isNotNull()).join(F.broadcast(tests), "month")  # a row for each month
-    fitted = sum((F.col("b")[i] * F.col(x) for i, x in enumerate(xs)), F.col("b0"))
+    fitted = sum((F.col("ridge_fit.b")[i] * F.col(x) for i, x in enumerate(xs)), F.col("ridge_fit.b0"))
     return rows.select(F.lit(model).alias("model"), F.lit(target).alias("target"), "test_year", "month", "permno", fitted.alias("prediction"), F.col(target).alias("actual_return"))
 
 
@@ -99,7 +117,7 @@ def boosted_oos(panel: DataFrame, splits: DataFrame, target: str, xs: list[str],
     data = winsorize(panel.where(F.col(target).isNotNull()), ["month"], [target]).select("month", "permno", *xs, F.col(target).alias("label"))
     raw = panel.where(F.col(target).isNotNull()).select("month", "permno", *xs, F.col(target).alias("actual_return"))
     vector = VectorAssembler(inputCols=xs, outputCol="features", handleInvalid="skip")
-    months = split_months(panel, splits, target).cache()
+    months = split_months(panel, splits, target).persist()  # rows of months
     out = None
     for year in [r.test_year for r in splits.select("test_year").orderBy("test_year").collect()]:
         role = F.broadcast(months.where(F.col("test_year") == year).select("month", "role"))
@@ -135,6 +153,12 @@ def decile_spread_monthly(predictions: DataFrame) -> DataFrame:
     return p.groupBy(*by).agg(of(1).alias("low"), of(10).alias("high"), F.count(F.lit(1)).alias("n")).withColumn("high_minus_low", F.col("high") - F.col("low"))
 
 
+def best_models(evaluation: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` models of greatest mean rank IC for each target, ties by name."""
+    w = Window.partitionBy("target").orderBy(F.col("rank_ic_mean").desc_nulls_last(), "model")
+    return evaluation.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
 def oos_eval(predictions: DataFrame) -> DataFrame:
     """A row for each model and target: rank IC and spread with Newey-West t, R2 against zero and share of right signs."""
     by = ["model", "target"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdlens.functions.columns import annualizer, month_text
@@ -49,30 +49,43 @@ def apply_costs(portfolio: DataFrame, bps: tuple[int, ...] = COST_BPS, *, basis:
     return portfolio.select("*", *((F.col("gross_dollar_neutral_return") - b / 10000.0 * F.col(basis)).alias(f"net_return_{b}bps") for b in bps))
 
 
-def build_portfolio(predictions: DataFrame, bps: tuple[int, ...] = COST_BPS) -> DataFrame:
-    held = decile_holdings(predictions)
+def portfolio_of(held: DataFrame, bps: tuple[int, ...] = COST_BPS) -> DataFrame:
+    """Returns, turnover and net returns of what ``decile_holdings`` chose."""
     return apply_costs(decile_portfolio(held).join(turnover(held), CELL, "left"), bps)
 
 
+def build_portfolio(predictions: DataFrame, bps: tuple[int, ...] = COST_BPS) -> DataFrame:
+    return portfolio_of(decile_holdings(predictions), bps)
+
+
 def _series(portfolio: DataFrame, columns: list[str]) -> DataFrame:
     each = F.array(*(F.struct(F.lit(c).alias("return_series"), F.col(c).alias("r")) for c in columns))
     rows = portfolio.select(*CELL, "turnover_abs_change", "turnover_one_way", "n_long", "n_short", F.explode(each).alias("x"))
     return rows.select(*CELL, "turnover_abs_change", "turnover_one_way", "n_long", "n_short", "x.*").where("r is not null")
 
 
-def max_drawdown(series: DataFrame, by: list[str], order: str = "month", value: str = "r") -> DataFrame:
-    """``(by, max_drawdown, peak, trough)``: the deepest fall of wealth below its highest value so far.
-
-    The first wealth value is the first peak, so a loss in the first month is none. First months win ties. A null return is 0.
-    """
+def _with_drawdown(series: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """``series`` with the fall of wealth below its highest value so far, and the month of that value."""
     run = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     w = series.withColumn("wealth", F.product(1 + F.coalesce(F.col(value), F.lit(0.0))).over(run))
     w = w.withColumn("peak_wealth", F.max("wealth").over(run)).withColumn("drawdown", F.col("wealth") / F.col("peak_wealth") - 1)
     # the month of the highest wealth so far: the last one that set a new high
     high = F.lag("peak_wealth").over(Window.partitionBy(*by).orderBy(order))
     w = w.withColumn("fresh", high.isNull() | (F.col("wealth") > high))
-    w = w.withColumn("peak_month", F.last(F.when(F.col("fresh"), F.col(order)), ignorenulls=True).over(run))
-    return w.groupBy(*by).agg(F.min("drawdown").alias("max_drawdown"), F.min_by("peak_month", F.struct("drawdown", order)).alias("peak"), F.min_by(order, F.struct("drawdown", order)).alias("trough"))
+    return w.withColumn("peak_month", F.last(F.when(F.col("fresh"), F.col(order)), ignorenulls=True).over(run)).drop("wealth", "peak_wealth", "fresh")
+
+
+def _fall(order: str) -> dict[str, Column]:
+    deepest = F.struct("drawdown", order)
+    return {"max_drawdown": F.min("drawdown"), "peak": F.min_by("peak_month", deepest), "trough": F.min_by(order, deepest)}
+
+
+def max_drawdown(series: DataFrame, by: list[str], order: str = "month", value: str = "r") -> DataFrame:
+    """``(by, max_drawdown, peak, trough)``: the deepest fall of wealth below its highest value so far.
+
+    The first wealth value is the first peak, so a loss in the first month is none. First months win ties. A null return is 0.
+    """
+    return _with_drawdown(series, by, order, value).groupBy(*by).agg(*(c.alias(name) for name, c in _fall(order).items()))
 
 
 def performance_summary(portfolio: DataFrame, bps: tuple[int, ...] = COST_BPS) -> DataFrame:
@@ -82,13 +95,10 @@ def performance_summary(portfolio: DataFrame, bps: tuple[int, ...] = COST_BPS) -
     """
     by = ["model", "target", "return_series"]
     s = _series(portfolio, ["gross_dollar_neutral_return", *(f"net_return_{b}bps" for b in bps)])
-    plain = s.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("months"), F.avg((F.col("r") > 0).cast("int")).alias("hit_rate"), (F.product(1 + F.col("r")) - 1).alias("cumulative_return"),
-        F.avg("turnover_abs_change").alias("avg_turnover_abs_change"), F.avg("turnover_one_way").alias("avg_turnover_one_way"), F.avg("n_long").alias("avg_n_long"), F.avg("n_short").alias("avg_n_short"),
-    )
-    nw = newey_west(s, by, "month", "r").select(*by, F.col("mean").alias("mean_period_return"), F.col("t").alias("nw_t_mean"), "std")
-    fall = max_drawdown(s, by).select(*by, "max_drawdown", F.col("peak").alias("max_drawdown_peak_month"), F.col("trough").alias("max_drawdown_trough_month"))
-    out = plain.join(nw, by).join(fall, by)
+    also = {"hit_rate": F.avg((F.col("r") > 0).cast("int")), "cumulative_return": F.product(1 + F.col("r")) - 1}
+    also |= {f"avg_{c}": F.avg(c) for c in ("turnover_abs_change", "turnover_one_way", "n_long", "n_short")}
+    out = newey_west(_with_drawdown(s, by, "month", "r"), by, "month", "r", also=also | _fall("month"))
+    out = out.withColumnsRenamed({"n": "months", "mean": "mean_period_return", "t": "nw_t_mean", "peak": "max_drawdown_peak_month", "trough": "max_drawdown_trough_month"}).drop("se")
     out = out.withColumns({"annualized_mean_return": annualizer(F.col("target")) * F.col("mean_period_return"), "annualized_volatility": F.sqrt(annualizer(F.col("target"))) * F.col("std")}).drop("std")
     return out.withColumn("sharpe_approx", F.when(F.col("annualized_volatility") > 0, F.col("annualized_mean_return") / F.col("annualized_volatility")))
 
@@ -96,8 +106,8 @@ def performance_summary(portfolio: DataFrame, bps: tuple[int, ...] = COST_BPS) -
 def cost_sensitivity(portfolio: DataFrame, bps: tuple[int, ...] = COST_BPS) -> DataFrame:
     by = ["model", "target", "cost_bps"]
     s = _series(portfolio, [f"net_return_{b}bps" for b in bps]).withColumn("cost_bps", F.regexp_extract("return_series", r"(\d+)bps", 1).cast("int"))
-    nw = newey_west(s, by, "month", "r").select(*by, F.col("n").alias("months"), (annualizer(F.col("target")) * F.col("mean")).alias("annualized_mean_return"), F.col("t").alias("nw_t_mean"))
-    return nw.join(s.groupBy(*by).agg((F.product(1 + F.col("r")) - 1).alias("cumulative_return"), F.avg("turnover_abs_change").alias("avg_turnover_abs_change")), by)
+    nw = newey_west(s, by, "month", "r", also={"cumulative_return": F.product(1 + F.col("r")) - 1, "avg_turnover_abs_change": F.avg("turnover_abs_change")})
+    return nw.select(*by, F.col("n").alias("months"), (annualizer(F.col("target")) * F.col("mean")).alias("annualized_mean_return"), F.col("t").alias("nw_t_mean"), "cumulative_return", "avg_turnover_abs_change")
 
 
 def prepare_factors(raw: DataFrame, start: str, end: str) -> DataFrame:

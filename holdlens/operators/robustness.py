@@ -22,12 +22,17 @@ def group_metrics(df: DataFrame, by: list[str], *, returns: str = "actual_return
         F.count(F.lit(1)).alias("n"), safe_corr(F.col("rp"), F.col("ry")).alias("rank_ic"), (F.avg(leg(F.col("share") >= 0.9)) - F.avg(leg(F.col("share") <= 0.1))).alias("spread"),
         F.avg(((F.col("p") > 0) == (F.col("y") > 0)).cast("int")).alias("hit"), F.count(leg(F.col("share") >= 0.9)).alias("top"), F.count(leg(F.col("share") <= 0.1)).alias("bottom"),
     ).where(F.col("n") >= least)
-    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"))
     kept = F.col("spread").isNotNull()
-    out = out.join(m.groupBy(*by).agg(F.count(F.lit(1)).alias("months"), F.avg(F.when(kept, F.col("top")).otherwise(0)).alias("avg_top_names"), F.avg(F.when(kept, F.col("bottom")).otherwise(0)).alias("avg_bottom_names")), by, "left")
-    for name, value, t in (("rank_ic_mean", "rank_ic", "rank_ic_t_hac6"), ("spread_mean", "spread", "spread_t_hac6"), ("hit_rate_mean", "hit", "hit_rate_t_hac6")):
-        nw = newey_west(m, by, "month", value).select(*by, F.col("mean").alias(name), F.col("t").alias(t), *([F.col("n").alias("_n"), F.col("std").alias("_std")] if value == "spread" else []))
-        out = out.join(nw, by, "left")
+    parts = {"rank_ic": F.col("rank_ic"), "spread": F.col("spread"), "hit": F.col("hit"), "top": F.when(kept, F.col("top")).otherwise(0), "bottom": F.when(kept, F.col("bottom")).otherwise(0)}
+    each = F.array(*(F.struct(F.lit(k).alias("part"), c.cast("double").alias("v")) for k, c in parts.items()))
+    long = m.select(*cell, F.explode(each).alias("x")).select(*cell, "x.*")
+    nw = newey_west(long, [*by, "part"], "month", "v")
+    of = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c)))
+    names = {"avg_top_names": ("top", "mean"), "avg_bottom_names": ("bottom", "mean"), "months": ("hit", "n"), "_n": ("spread", "n"), "_std": ("spread", "std")}
+    for name, part, t in (("rank_ic_mean", "rank_ic", "rank_ic_t_hac6"), ("spread_mean", "spread", "spread_t_hac6"), ("hit_rate_mean", "hit", "hit_rate_t_hac6")):
+        names |= {name: (part, "mean"), t: (part, "t")}
+    wide = nw.groupBy(*by).agg(*(of(*x).alias(name) for name, x in names.items()))
+    out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).join(wide, by, "left")
     ann = annualizer(F.col("target"))
     out = out.withColumns({"months": F.coalesce("months", F.lit(0)), "annualized_spread_approx": F.col("spread_mean") * ann, "annualized_spread_to_vol_proxy": F.when((F.col("_n") > 2) & (F.col("_std") > 0), F.col("spread_mean") / F.col("_std") * F.sqrt(ann))})
     return out.drop("_n", "_std")

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from holdlens.functions.columns import finite
 from holdlens.functions.stats import plain_t, safe_corr
 
+# Names of features, controls and targets, and the features whose high values are expected to earn less.
 CORE_FEATURES = ["owner_count", "owner_hhi", "top_owner_share", "fragility_proxy", "avg_manager_breadth", "stock_sell_pressure", "network_degree", "network_weighted_degree", "network_peer_sell_pressure"]
 CONTROLS = ["mktcap_proxy", "vol"]
 TARGETS = ["fwd_ret_1m", "fwd_ret_3m"]
-#: Features whose high values are expected to earn less.
 NEGATIVE = {"owner_hhi", "top_owner_share", "fragility_proxy", "stock_sell_pressure", "network_degree", "network_weighted_degree", "network_peer_sell_pressure"}
-#: Parts of the values of a pair of columns that are ranked apart.
-PARTS = 64
+#: Rows of a pair of columns that are ranked together, about.
+PART_ROWS = 1 << 18
 
 
 def to_long(panel: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
@@ -72,6 +72,18 @@ def rank_ic_summary(monthly: DataFrame) -> DataFrame:
     )
 
 
+def ranked_by_t(summary: DataFrame, t: str = "directional_t") -> DataFrame:
+    """A summary with its place within the target by the size of ``t``, the strongest first; ties by feature."""
+    w = Window.partitionBy("target").orderBy(F.abs(t).desc_nulls_last(), "feature")
+    return summary.withColumn("place", F.row_number().over(w))
+
+
+def running_spread(spreads: DataFrame) -> DataFrame:
+    """The running sum of the spread in the expected direction; a month without one adds nothing."""
+    along = Window.partitionBy("feature", "target").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    return spreads.withColumn("cum_directional_spread", F.sum(F.coalesce(F.col("high_minus_low") * _direction(), F.lit(0.0))).over(along))
+
+
 def feature_correlation(panel: DataFrame, features: list[str]) -> DataFrame:
     """Pearson correlation of all ordered pairs over rows with both, from one pass."""
     x = {f: finite(F.col(f)) for f in features}
@@ -90,11 +102,12 @@ def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     rows = df.select(F.monotonically_increasing_id().alias("row"), *(finite(F.col(c)).alias(c) for c in columns))
     pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(columns) for b in columns[i + 1 :]))
     long = rows.select("row", F.explode(pairs).alias("p")).select("row", "p.*").where("x is not null and y is not null")
+    n_parts = max(2, min(1000, -(-rows.count() // PART_ROWS)))  # parts only divide the work
 
     def ranked(side: str) -> DataFrame:
         counts = long.groupBy("a", "b", F.col(side).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        quantiles = F.percentile_approx(side, F.array(*(F.lit(k / PARTS) for k in range(1, PARTS))), 1000)
-        cuts = [(r.a, r.b, r.cuts) for r in long.groupBy("a", "b").agg(quantiles.alias("cuts")).collect()]  # PARTS values a pair
+        quantiles = F.percentile_approx(side, F.array(*(F.lit(k / n_parts) for k in range(1, n_parts))), 10 * n_parts + 1000)
+        cuts = [(r.a, r.b, r.cuts) for r in long.groupBy("a", "b").agg(quantiles.alias("cuts")).collect()]  # n_parts values a pair
         cuts = F.broadcast(df.sparkSession.createDataFrame(cuts, "a string, b string, cuts array<double>"))
         parts = counts.join(cuts, ["a", "b"]).select("a", "b", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
         before = parts.groupBy("a", "b", "part").agg(F.sum("n").alias("in_part")).withColumn("start", F.sum("in_part").over(Window.partitionBy("a", "b").orderBy("part")) - F.col("in_part"))

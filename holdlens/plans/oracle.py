@@ -12,11 +12,11 @@ FEATURES = [*CORE_FEATURES, *CONTROLS]
 
 
 def r(x: str, name: str | None = None) -> str:
-    """``x`` rounded as the queries round: 6 decimals, fewer where it is large.
+    """``x`` rounded as the queries round: 6 decimals, fewer where it is large, 9 digits from 1e9 on.
 
     A small shift keeps values that lie between two results from falling either way.
     """
-    return f"(CASE WHEN abs({x}) >= 1e6 THEN round({x} + 0.00137::DOUBLE, 2) WHEN abs({x}) >= 1000 THEN round({x} + 0.0000137::DOUBLE, 4) ELSE round({x} + 0.00000000137::DOUBLE, 6) + 0.0 END)::DOUBLE" + (f" AS {name}" if name else "")
+    return f"(CASE WHEN abs({x}) >= 1e9 THEN printf('%.8e', ({x})::DOUBLE)::DOUBLE WHEN abs({x}) >= 1e6 THEN round({x} + 0.00137::DOUBLE, 2) WHEN abs({x}) >= 1000 THEN round({x} + 0.0000137::DOUBLE, 4) ELSE round({x} + 0.00000000137::DOUBLE, 6) + 0.0 END)::DOUBLE" + (f" AS {name}" if name else "")
 
 
 def corr(x: str, y: str) -> str:
@@ -40,7 +40,7 @@ def newey_west(cte: str, by: str, order: str, value: str, lags: int = 6) -> str:
 
 _long_features = " UNION ALL ".join(f"SELECT month, permno, '{f}' AS feature, {f}::DOUBLE AS x, fwd_ret_1m, fwd_ret_3m FROM panel" for f in FEATURES)
 _long = " UNION ALL ".join(f"SELECT month, permno, feature, '{t}' AS target, x, {t} AS y FROM long_features WHERE x IS NOT NULL AND isfinite(x) AND {t} IS NOT NULL AND isfinite({t})" for t in TARGETS)
-_direction = f"(CASE WHEN feature IN ({', '.join(repr(f) for f in sorted(NEGATIVE))}) THEN -1.0 ELSE 1.0 END)"
+direction = f"(CASE WHEN feature IN ({', '.join(repr(f) for f in sorted(NEGATIVE))}) THEN -1.0 ELSE 1.0 END)"
 _q8 = lambda names: ", ".join(f"round({c}, 8) AS {c}" for c in names)
 
 CTES: dict[str, str] = {

@@ -6,7 +6,7 @@ Columns are named and typed once for both: s string, i long, n int, d rounded do
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from holdlens.functions import stats
 from holdlens.operators import econometrics as eco
 from holdlens.operators import models, network, ownership, portfolio, quality, robustness, signals
-from holdlens.plans.oracle import FEATURES, metrics, newey_west, r, strata, with_ctes
+from holdlens.plans.oracle import FEATURES, direction, metrics, newey_west, r, strata, with_ctes
 from holdlens.sources import sample, scans
+from holdlens.sources.shared import written
 
 #: The sample has 83 months and about a hundred stocks, so gates are lower than the operators' own.
-IC_ROWS, METRIC_ROWS, VALID, MIN_TRAIN = 50, 30, 12, 24
+IC_ROWS, METRIC_ROWS, VALID, MIN_TRAIN, LEAST_ROWS = 50, 30, 12, 24, (1000, 100, 100)
 DIRECT = ["owner_count", "owner_hhi", "top_owner_share", "fragility_proxy", "avg_manager_breadth", "stock_sell_pressure"]
 NETWORK = ["network_degree", "network_weighted_degree", "network_peer_sell_pressure"]
 MECHANISM = ["fragility_proxy", "stock_sell_pressure", "network_peer_sell_pressure"]
@@ -27,15 +28,20 @@ MINIMUMS = {"clean_holdings_rows": 100, "common_mapping_rate": 0.5, "panel_month
 
 
 def rounded(c: Column) -> Column:
-    """6 decimals, fewer where it is large, and no negative zero.
+    """6 decimals, fewer where it is large, 9 digits from 1e9 on, and no negative zero.
 
     A small shift keeps values that lie between two results from falling either way.
     """
-    return F.when(F.abs(c) >= 1e6, F.round(c + 0.00137, 2)).when(F.abs(c) >= 1000, F.round(c + 0.0000137, 4)).otherwise(F.round(c + 0.00000000137, 6) + 0.0)
+    size = F.abs(c)
+    large = F.when(size >= 1e9, F.format_string("%.8e", c).cast("double")).when(size >= 1e6, F.round(c + 0.00137, 2))
+    return large.when(size >= 1000, F.round(c + 0.0000137, 4)).otherwise(F.round(c + 0.00000000137, 6) + 0.0)
 
 
 class Build:
-    """The steps from raw tables to the panel, each made once and lazily."""
+    """The steps from raw tables to the panel, each made once and lazily.
+
+    What several steps read is written to the shared folder, so that plans stay short and executors may be lost.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -70,8 +76,7 @@ class Build:
 
     @cached_property
     def positions(self):
-        """Kept, since the features, the network and the panel all read it."""
-        return ownership.value_and_weight(self.expanded, self.monthly).persist()
+        return written(ownership.value_and_weight(self.expanded, self.monthly), "positions")
 
     @cached_property
     def enriched(self):
@@ -79,7 +84,7 @@ class Build:
 
     @cached_property
     def stock(self):
-        return ownership.stock_features(self.enriched)
+        return written(ownership.stock_features(self.enriched), "stock")
 
     @cached_property
     def degree(self):
@@ -91,7 +96,7 @@ class Build:
 
     @cached_property
     def full_panel(self):
-        return network.attach_network(self.stock, self.degree, self.weighted).persist()
+        return written(network.attach_network(self.stock, self.degree, self.weighted), "panel")
 
     @cached_property
     def panel(self):
@@ -100,11 +105,11 @@ class Build:
 
     @cached_property
     def long(self):
-        return signals.to_long(self.panel, FEATURES, signals.TARGETS).persist()
+        return written(signals.to_long(self.panel, FEATURES, signals.TARGETS), "pairs")
 
     @cached_property
     def deciles(self):
-        return signals.decile_monthly(self.long)
+        return written(signals.decile_monthly(self.long), "deciles")
 
     @cached_property
     def ic(self):
@@ -117,19 +122,19 @@ class Build:
             for t in signals.TARGETS:
                 part = self.panel.where(F.col(t).isNotNull()).select(F.lit(name).alias("model"), F.lit(t).alias("target"), "month", "permno", (-F.col(c)).alias("prediction"), F.col(t).alias("actual_return"))
                 out = part if out is None else out.unionByName(part)
-        return out.persist()
+        return written(out, "predictions")
 
     @cached_property
     def book(self):
-        return portfolio.decile_holdings(self.predictions).persist()
+        return written(portfolio.decile_holdings(self.predictions), "book")
 
     @cached_property
     def folio(self):
-        return portfolio.build_portfolio(self.predictions).persist()
+        return written(portfolio.portfolio_of(self.book), "folio")
 
     @cached_property
     def performance(self):
-        return portfolio.performance_summary(self.folio).persist()
+        return written(portfolio.performance_summary(self.folio), "performance")
 
     @cached_property
     def factors(self):
@@ -144,12 +149,12 @@ class Build:
     @cached_property
     def winsorized_z(self):
         z = stats.zscore(stats.winsorize(self.panel, ["month"], [*FEATURES, *signals.TARGETS], min_n=50), ["month"], FEATURES)
-        return stats.products(z, [(f"z_{x}", f"z_{y}") for x, y in PAIRS]).persist()
+        return written(stats.products(z, [(f"z_{x}", f"z_{y}") for x, y in PAIRS]), "winsorized")
 
     @cached_property
     def features_z(self):
         z = stats.robust_zscore(self.panel, ["month"], FEATURES)
-        return stats.products(z, [(f"rz_{a}", f"rz_{b}") for a, b in PAIRS], 8.0).persist()
+        return written(stats.products(z, [(f"rz_{a}", f"rz_{b}") for a, b in PAIRS], 8.0), "features")
 
     @cached_property
     def model_features(self):
@@ -157,17 +162,44 @@ class Build:
 
     @cached_property
     def splits(self):
-        return models.expanding_splits(self.panel, "fwd_ret_1m", valid=VALID, min_train=MIN_TRAIN)
+        """The splits of both targets."""
+        return written(reduce(DataFrame.unionByName, (models.expanding_splits(self.panel, t, valid=VALID, min_train=MIN_TRAIN) for t in signals.TARGETS)), "splits")
+
+    def splits_of(self, target: str) -> DataFrame:
+        return models.enough_rows(self.panel, self.splits.where(F.col("target") == target), target, LEAST_ROWS)
+
+    def _oos(self, fit: Callable, name: str, sets: list[str]) -> DataFrame:
+        """Out-of-sample predictions of ``fit`` for both targets and the named feature sets."""
+        found = models.feature_sets(self.model_features)
+        splits = {t: written(self.splits_of(t), "splits") for t in signals.TARGETS}
+        return written(reduce(DataFrame.unionByName, (fit(self.features_z, splits[t], t, found[x], model=f"{name}_{x}") for t in signals.TARGETS for x in sets)), name)
+
+    @cached_property
+    def ridge(self):
+        return self._oos(models.ridge_oos, "ridge", ["all", "no_network", "network_pressure"])
+
+    @cached_property
+    def boosted(self):
+        return self._oos(models.boosted_oos, "boosted", ["all", "no_network", "network_pressure"])
+
+    @cached_property
+    def ridge_performance(self):
+        return written(portfolio.performance_summary(portfolio.build_portfolio(self.ridge)), "performance")
 
 
 _builds: dict[tuple[str, str], Build] = {}
 
 
 def build(spark: SparkSession, sf_dir: str) -> Build:
-    """One for each application and folder, so that queries share what is kept."""
+    """One for each application and folder, so that queries share what is written; see ``forget``."""
     return _builds.setdefault((spark.sparkContext.applicationId, sf_dir), Build(spark, sf_dir))
 
 
+def forget() -> None:
+    """Lets all steps be made again, after tables have changed or to time a query alone."""
+    _builds.clear()
+
+
 _TYPES = {"s": ("string", "VARCHAR"), "i": ("long", "BIGINT"), "n": ("int", "INTEGER"), "D": ("date", "DATE"), "b": ("boolean", "BOOLEAN")}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -233,16 +265,24 @@ _register("rank_ic_summary", "feature:s target:s months:i mean_ic:d ic_std:d t_s
           f"(SELECT feature, target, count(*) AS months, avg(rank_ic) AS mean_ic, stddev_samp(rank_ic) AS ic_std, {_t('rank_ic')} AS t_stat, avg((rank_ic > 0)::INTEGER) AS positive_rate, avg(d) AS directional_mean, {_t('d')} AS directional_t FROM signed_i GROUP BY ALL)", _signed)
 
 
+_register("spread_summary_by_t", "feature:s target:s directional_t:d place:n", lambda b: signals.ranked_by_t(signals.spread_summary(signals.spread_monthly(b.deciles))),
+          f"(SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(directional_t) DESC NULLS LAST, feature) AS place FROM (SELECT feature, target, {_t('d')} AS directional_t FROM signed_s GROUP BY ALL))", _signed)
+_register("rank_ic_summary_by_t", "feature:s target:s directional_t:d place:n", lambda b: signals.ranked_by_t(signals.rank_ic_summary(b.ic)),
+          f"(SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(directional_t) DESC NULLS LAST, feature) AS place FROM (SELECT feature, target, {_t('d')} AS directional_t FROM signed_i GROUP BY ALL))", _signed)
+_register("running_spread", "feature:s target:s month:s cum_directional_spread:d", lambda b: signals.running_spread(signals.spread_monthly(b.deciles)),
+          f"(SELECT feature, target, month, sum(coalesce(high_minus_low * {direction}, 0)) OVER (PARTITION BY feature, target ORDER BY month) AS cum_directional_spread FROM spreads)")
+
+
 def _pair(x: str, y: str) -> str:
     a, b = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
     return f"covar_pop({x}, {y}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0)"
 
 
 _register("feature_correlation", "feature_x:s feature_y:s correlation:d", lambda b: signals.feature_correlation(b.panel, signals.CORE_FEATURES), "(" + " UNION ALL ".join(f"SELECT '{x}' AS feature_x, '{y}' AS feature_y, {_pair(x, y)} AS correlation FROM panel" for x in signals.CORE_FEATURES for y in signals.CORE_FEATURES) + ")")
-_RANKED = ["owner_hhi", "stock_sell_pressure", "network_peer_sell_pressure", "fwd_ret_1m"]
+_RANKED = [*FEATURES, *signals.TARGETS]
 _register("spearman_matrix", "feature_x:s feature_y:s n_obs:i spearman:d", lambda b: signals.spearman_matrix(b.panel, _RANKED),
           "(" + " UNION ALL ".join(f"SELECT '{x}' AS feature_x, '{y}' AS feature_y, count(*) AS n_obs, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS spearman FROM (SELECT rank() OVER (ORDER BY {x}) + (count(*) OVER (PARTITION BY {x}) - 1) / 2 AS rx, rank() OVER (ORDER BY {y}) + (count(*) OVER (PARTITION BY {y}) - 1) / 2 AS ry FROM panel WHERE {x} IS NOT NULL AND {y} IS NOT NULL)" for i, x in enumerate(_RANKED) for y in _RANKED[i + 1 :]) + ")")
-_W = ["owner_hhi", "stock_sell_pressure", "fwd_ret_1m"]
+_W = [*FEATURES, *signals.TARGETS]
 _wcols = " ".join(f"{c}:d" for c in _W)
 _wsql = {"cuts": "SELECT month, " + ", ".join(f"quantile_cont({c}, 0.01) AS {c}_lo, quantile_cont({c}, 0.99) AS {c}_hi, count({c}) AS {c}_n" for c in _W) + " FROM panel GROUP BY ALL",
          "winsor": "SELECT p.month, permno, " + ", ".join(f"CASE WHEN {c} IS NULL THEN NULL WHEN {c}_n >= 50 THEN least(greatest({c}, {c}_lo), {c}_hi) ELSE {c} END AS {c}" for c in _W) + " FROM panel p LEFT JOIN cuts USING (month)"}
@@ -258,7 +298,13 @@ _register("fmb_summary_univariate", "feature:s target:s months:i mean_coef:d nw_
 
 
 def _specs(b: Build) -> DataFrame:
-    """Coefficients of all specifications and targets on winsorised z-scores."""
+    """Coefficients of all specifications and targets on winsorised z-scores, made once for each build."""
+    if "coefficients" not in vars(b):
+        b.coefficients = _coefficients(b)
+    return b.coefficients
+
+
+def _coefficients(b: Build) -> DataFrame:
     named = lambda xs: [f"z_{x}" for x in xs]
     grid = eco.spec_grid(named(DIRECT), named(NETWORK), named(MECHANISM), named(signals.CONTROLS), [f"z_{x}_x_z_{y}" for x, y in PAIRS])
     out = None
@@ -266,22 +312,25 @@ def _specs(b: Build) -> DataFrame:
         for name, xs in grid.items():
             part = eco.fama_macbeth(b.winsorized_z, target, xs, least=30, per_regressor=4).withColumns({"spec": F.lit(name), "target": F.lit(target)})
             out = part if out is None else out.unionByName(part)
-    return out
+    return written(out, "coefficients")
 
 
 _register("fmb_multivariate", "spec:s target:s variable:s months:i mean_coef:d nw_se:d nw_t:d coef_std:d positive_month_share:d", lambda b: eco.fmb_summary(_specs(b), ["spec", "target", "variable"]))
+_register("fmb_strongest", "spec:s target:s variable:s months:i mean_coef:d nw_t:d positive_month_share:d", lambda b: eco.strongest(eco.fmb_summary(_specs(b), ["spec", "target", "variable"]), target="fwd_ret_1m", controls=[f"z_{c}" for c in signals.CONTROLS]))
 _register("fmb_model_summary", "spec:s target:s months:i mean_n:d min_n:i mean_adj_r2:d median_adj_r2:d", lambda b: eco.fmb_model_summary(_specs(b), ["spec", "target"]))
 _register("hac_regression", "model:s target:s n:i r2:d variable:s coef:d t:d", lambda b: eco.hac_regression(b.folio.join(b.factors, "month"), ["model", "target"], "month", "gross_dollar_neutral_return", ["mktrf"]))
 _register("factors", "month:s mktrf:d smb:d hml:d", lambda b: b.factors,
           "(SELECT month, " + ", ".join(f"{f} / (SELECT CASE WHEN median(abs({f})) > 0.5 THEN 100 ELSE 1 END FROM fac) AS {f}" for f in ("mktrf", "smb", "hml")) + " FROM fac)",
           {"thirds": "SELECT month, ret, row_number() OVER (PARTITION BY month ORDER BY mktcap_proxy, permno) / count(*) OVER (PARTITION BY month) AS size, row_number() OVER (PARTITION BY month ORDER BY prc, permno) / count(*) OVER (PARTITION BY month) AS price FROM monthly WHERE ret IS NOT NULL",
            "fac": "SELECT * FROM (SELECT month, avg(ret) AS mktrf, avg(CASE WHEN size <= 1.0::DOUBLE / 3 THEN ret END) - avg(CASE WHEN size > 2.0::DOUBLE / 3 THEN ret END) AS smb, avg(CASE WHEN price > 2.0::DOUBLE / 3 THEN ret END) - avg(CASE WHEN price <= 1.0::DOUBLE / 3 THEN ret END) AS hml FROM thirds GROUP BY month) WHERE mktrf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL"})
+_split = lambda t, h: f"SELECT '{t}' AS target, y AS test_year, f - {h} - {VALID} - {h} AS train_end, f - {h} - {VALID} AS valid_start, f - {h} AS valid_end, f AS first_test FROM (SELECT substring(month, 1, 4)::INTEGER AS y, min(i) AS f FROM numbered WHERE n_{t} > 0 GROUP BY 1)"
 _register("splits", "target:s test_year:n train_end:n valid_start:n valid_end:n first_test:n", lambda b: b.splits,
-          f"(SELECT 'fwd_ret_1m' AS target, y AS test_year, f - 1 - {VALID} - 1 AS train_end, f - 1 - {VALID} AS valid_start, f - 1 AS valid_end, f AS first_test FROM (SELECT substring(month, 1, 4)::INTEGER AS y, min(i) AS f FROM numbered WHERE n > 0 GROUP BY 1)) WHERE train_end >= {MIN_TRAIN}", {"numbered": "SELECT month, n, row_number() OVER (ORDER BY month) - 1 AS i FROM (SELECT month, count(fwd_ret_1m) AS n FROM panel GROUP BY month)"})
+          f"(SELECT * FROM ({_split('fwd_ret_1m', 1)} UNION ALL {_split('fwd_ret_3m', 3)}) WHERE train_end >= {MIN_TRAIN})", {"numbered": "SELECT *, row_number() OVER (ORDER BY month) - 1 AS i FROM (SELECT month, count(fwd_ret_1m) AS n_fwd_ret_1m, count(fwd_ret_3m) AS n_fwd_ret_3m FROM panel GROUP BY month)"})
 _PRED = "model:s target:s test_year:n month:s permno:i prediction:d actual_return:d"
-_register("ridge_oos", _PRED, lambda b: models.ridge_oos(b.features_z, b.splits, "fwd_ret_1m", b.model_features))
-_register("boosted_oos", _PRED, lambda b: models.boosted_oos(b.features_z, b.splits, "fwd_ret_1m", b.model_features))
-_register("feature_importance", "target:s feature:s mean_importance:d", lambda b: models.feature_importance(b.features_z, b.splits, "fwd_ret_1m", b.model_features))
+_register("ridge_oos", _PRED, lambda b: b.ridge)
+_register("boosted_oos", _PRED, lambda b: b.boosted)
+_register("feature_importance", "target:s feature:s mean_importance:d", lambda b: reduce(DataFrame.unionByName, (models.feature_importance(b.features_z, b.splits_of(t), t, b.model_features) for t in signals.TARGETS)))
+_register("ridge_eval", "model:s target:s oos_rows:i months:i r2_vs_zero:d sign_hit_rate:d rank_ic_mean:d rank_ic_nw_t:d spread_mean:d spread_nw_t:d annualized_spread_approx:d", lambda b: models.oos_eval(b.ridge))
 _rc = {"ics": "SELECT model, target, month, count(*) AS n, covar_pop(rp, ra) / nullif(stddev_pop(rp) * stddev_pop(ra), 0) AS rank_ic FROM (SELECT *, rank() OVER (PARTITION BY model, target, month ORDER BY prediction) + (count(*) OVER (PARTITION BY model, target, month, prediction) - 1) / 2 AS rp, rank() OVER (PARTITION BY model, target, month ORDER BY actual_return) + (count(*) OVER (PARTITION BY model, target, month, actual_return) - 1) / 2 AS ra FROM predictions) GROUP BY ALL HAVING count(*) >= 20",
        "ics_ok": "SELECT * FROM ics WHERE rank_ic IS NOT NULL",
        "ds": "SELECT *, high - low AS high_minus_low FROM (SELECT model, target, month, avg(CASE WHEN decile = 1 THEN actual_return END) AS low, avg(CASE WHEN decile = 10 THEN actual_return END) AS high, count(*) AS n FROM (SELECT *, least(greatest(ceil(share * 10), 1), 10) AS decile FROM placed) GROUP BY ALL)"}
@@ -289,6 +338,8 @@ _register("spearman_ic", "model:s target:s month:s n:i rank_ic:d", lambda b: mod
 _register("decile_spread", "model:s target:s month:s low:d high:d n:i high_minus_low:d", lambda b: models.decile_spread_monthly(b.predictions), "ds", _rc)
 _register("oos_eval", "model:s target:s oos_rows:i months:i r2_vs_zero:d sign_hit_rate:d rank_ic_mean:d rank_ic_nw_t:d spread_mean:d spread_nw_t:d annualized_spread_approx:d", lambda b: models.oos_eval(b.predictions),
           f"(SELECT a.*, i.mean AS rank_ic_mean, i.t AS rank_ic_nw_t, s.mean AS spread_mean, s.t AS spread_nw_t, (CASE WHEN target LIKE '%3m' THEN 4.0 ELSE 12.0 END) * s.mean AS annualized_spread_approx FROM (SELECT model, target, count(*) AS oos_rows, count(DISTINCT month) AS months, 1 - sum((actual_return - prediction) * (actual_return - prediction)) / nullif(sum(actual_return * actual_return), 0) AS r2_vs_zero, avg((sign(actual_return) = sign(prediction))::INTEGER) AS sign_hit_rate FROM predictions GROUP BY ALL) a LEFT JOIN {newey_west('ics_ok', 'model, target', 'month', 'rank_ic')} i USING (model, target) LEFT JOIN {newey_west('ds', 'model, target', 'month', 'high_minus_low')} s USING (model, target))", _rc)
+_register("best_models", "model:s target:s rank_ic_mean:d place:n", lambda b: models.best_models(models.oos_eval(b.predictions)),
+          f"(SELECT *, row_number() OVER (PARTITION BY target ORDER BY rank_ic_mean DESC NULLS LAST, model) AS place FROM (SELECT model, target, mean AS rank_ic_mean FROM {newey_west('ics_ok', 'model, target', 'month', 'rank_ic')}) QUALIFY place <= 3)", _rc)
 _register("decile_portfolio", "model:s target:s month:s gross_dollar_neutral_return:d short_leg_mean_return:d long_leg_mean_return:d n_short:i n_long:i academic_spread_return:d", lambda b: portfolio.decile_portfolio(b.book), "folio")
 _register("turnover", "model:s target:s month:s turnover_abs_change:d turnover_one_way:d gross_exposure:d net_exposure:d n_names:i", lambda b: portfolio.turnover(b.book), "turn")
 _register("net_returns", "model:s target:s month:s " + " ".join(f"net_return_{c}bps:d" for c in portfolio.COST_BPS), lambda b: b.folio, "costed")
@@ -297,6 +348,8 @@ _PERF = f"{_FALL} months:i hit_rate:d cumulative_return:d avg_turnover_abs_chang
 _register("performance_summary", _PERF, lambda b: b.performance, "perf")
 _register("max_drawdown", _FALL, lambda b: b.performance, "perf")
 _register("cost_sensitivity", "model:s target:s cost_bps:n months:i annualized_mean_return:d nw_t_mean:d cumulative_return:d avg_turnover_abs_change:d", lambda b: portfolio.cost_sensitivity(b.folio), "(SELECT *, regexp_extract(return_series, '([0-9]+)bps', 1)::INTEGER AS cost_bps FROM perf WHERE return_series LIKE 'net%')")
+_register("ridge_performance", _PERF, lambda b: b.ridge_performance)
+_register("ridge_network_delta", "target:s comparison:s delta_net25_annualized_mean_return:d delta_net25_sharpe:d delta_net25_cumulative_return:d", lambda b: robustness.incremental_delta(robustness.model_comparison(b.ridge_performance), "ridge_all", "ridge_no_network"))
 _register("holding_counts", "model:s target:s month:s side:n names:i", lambda b: portfolio.holding_counts(b.book), "(SELECT model, target, month, side, count(*) AS names FROM book GROUP BY ALL)")
 _register("select_headline", _PERF, lambda b: portfolio.select_headline(b.performance), "(SELECT * FROM perf ORDER BY (target = 'fwd_ret_1m' AND return_series = 'net_return_25bps')::INTEGER DESC, sharpe_approx DESC NULLS LAST, annualized_mean_return DESC NULLS LAST, model, target, return_series LIMIT 1)")
 _register("factor_attribution", "model:s target:s return_series:s n:i r2:d variable:s coef:d t:d annualized:d", lambda b: portfolio.factor_attribution(b.folio, b.factors))

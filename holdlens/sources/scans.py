@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +17,24 @@ def calendar_windows(spark: SparkSession, start: str, end: str, months: int) ->
     )
 
 
-def date_predicate(kind: T.DataType, column: str, start: str, end: str) -> str:
-    """A SQL predicate on a date window that suits how the source stores dates."""
+def date_predicate(kind: T.DataType, column: str, start: str, end: str, *, compact: bool = False) -> str:
+    """A SQL predicate on a closed date window that suits how the source stores dates.
+
+    Numbers are yyyymmdd, text is ISO (a time may follow) or, with ``compact``, yyyymmdd; all else is a date or
+    timestamp. The window is half open inside, so a time on the last day is in it and no row falls between two windows.
+    """
+    after = date.fromisoformat(end) + timedelta(days=1)
     if isinstance(kind, T.NumericType):
         return f"{column} BETWEEN {start.replace('-', '')} AND {end.replace('-', '')}"
     if isinstance(kind, T.StringType):
-        return f"{column} BETWEEN '{start}' AND '{end}'"
-    return f"{column} >= DATE '{start}' AND {column} <= DATE '{end}'"
+        a, b = (start.replace("-", ""), f"{after:%Y%m%d}") if compact else (start, after.isoformat())
+        return f"{column} >= '{a}' AND {column} < '{b}'"
+    return f"{column} >= DATE '{start}' AND {column} < DATE '{after}'"
 
 
-def read_jdbc_windows(spark: SparkSession, url: str, table: str, columns: list[str], date_column: str, windows: list[tuple[str, str]], kind: T.DataType | None = None, properties: dict[str, str] | None = None) -> DataFrame:
+def read_jdbc_windows(spark: SparkSession, url: str, table: str, columns: list[str], date_column: str, windows: list[tuple[str, str]], kind: T.DataType | None = None, compact: bool = False, properties: dict[str, str] | None = None) -> DataFrame:
     """A JDBC table with a partition for each window; only ``columns`` are fetched."""
-    predicates = [date_predicate(kind or T.DateType(), date_column, a, b) for a, b in windows]
+    predicates = [date_predicate(kind or T.DateType(), date_column, a, b, compact=compact) for a, b in windows]
     return spark.read.jdbc(url, table, predicates=predicates, properties=properties or {}).select(*columns)
 
 
