@@ -1,30 +1,5 @@
 """What the operators ask of the session: a shared folder and cut lineage."""
 
-from __future__ import annotations
+from holdlens.sources.shared import checkpoint_dir, cut
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary one; a session with
-    executors elsewhere must name a folder that all of them see.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp(prefix="holdlens-checkpoint-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written to the checkpoint folder and read from there from now on."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["checkpoint_dir", "cut"]
