@@ -107,6 +107,11 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, cuts: np.nda
         of = np.maximum(np.searchsorted(start, cuts, side="right") - 1, 0)
         cuts = cuts[(cuts > start[of]) & (cuts < end[of])]
         start, end = np.sort(np.concatenate((start, cuts))), np.sort(np.concatenate((end, cuts)))
+    return Words(span_hashes(data, start, end), start, end, np.searchsorted(start, offsets))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of each span of bytes, in order and apart; A-Z hash as a-z."""
     hashes = np.empty(len(start), np.uint64)
     at = 0
     while at < len(start):  # whole words, about STEP_BYTES at once
@@ -119,7 +124,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, cuts: np.nda
         # the sum from s on, moved back to power 1: divided by P ** s
         hashes[at:to] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
         at = to
-    return Words(hashes, start, end, np.searchsorted(start, offsets))
+    return hashes
 
 
 def shingles(words_of_row: np.ndarray, n: int) -> np.ndarray:

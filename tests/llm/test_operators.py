@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,7 +162,8 @@ def test_word_encoder_is_the_tokenizer():
     letters = [*"aZé ÉßΣσİıÅ.,'!s-\n\t́ ẞ1２中<|x\x1c\x85µªº", "<|endoftext|>", "'s", "’ll"]
     texts = ["".join(rng.choice(letters, 40)) for _ in range(400)]
     e = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
-    assert [list(x) for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert packing.WordEncoder.fits(public_tokenizers.path("word_bpe_49k.json"))
+    assert [list(x) for x in e.encode(pa.array(texts))] == [e.tokenizer.encode(t, add_special_tokens=False).ids + [1] for t in texts]
 
 
 def test_language_id(docs, odd, empty):
