@@ -13,7 +13,9 @@
    and A added, more than (100 R + p A) / (100 + p) of these R + A for a threshold of p percent.
    So one of any R + A - that + 1 of them is shared, and a join of those with
    all that sets i apart finds every such pair, to be confirmed too. So a bucket loses no link.
-   Shingles that nobody else adds to c can't be shared; sets too small without them are no pair.
+   What only one member adds or lacks can't be shared and is left out, the rarest in the star are asked first, so
+   stock edits meet seldom, and sets too small without what they alone add are no pair. Stars whose members are in one component already are done.
+   Sets are sets of 64-bit hashes of shingles, on which links are confirmed.
 
 A pair at exactly the threshold shares no bucket with probability
 ``(1 - 0.8 ** rows) ** bands``: 3e-6 for 32 bands of 5 bins.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdlens.llm.cluster import cut
@@ -127,39 +129,58 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _against_centres(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, main, linked, n, lacking, centre, spare, probe, apart, added)`` of member a and centre b, see the module.
+    """``(a, b, main, linked, n, lacking, centre, shared, added, lacked)`` of member a and centre b, see the module.
 
-    main: a's heaviest centre; n and centre: sizes of their sets; lacking: R; probe: enough of what sets a apart, spare: the
-    number of those left out; apart: all of it, if a isn't linked; added: what a has and b lacks. Where ``alone``, a is b's only
-    member, and both are null.
+    main: a's heaviest centre; n and centre: sizes of their sets; lacking: R; shared: what a partner must have in common of what sets
+    a apart: added, what a has and b lacks, and lacked, the reverse. Where ``alone``, a is b's only member, and both are null.
     """
 
     def run(batches):
         for batch in batches:
-            linked, sizes, probe, apart, more = [], [], [], [], []
+            linked, sizes, more, less = [], [], [], []
             for x, y, alone in zip(batch.column("x"), batch.column("y"), batch.column("alone").to_pylist(), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 linked.append(_linked(x, y, percent))
                 if alone:
                     sizes.append((len(x), 0, len(y), 0))
-                    probe.append(None)
-                    apart.append(None)
                     more.append(None)
+                    less.append(None)
                     continue
                 added, lacking = x[~_common(x, y)], y[~_common(y, x)]
-                all_of_it = np.concatenate((mix(added), mix(~lacking))).view(np.int64)
                 # a partner isn't linked with the centre and not much smaller than x
                 shared = max((100 * len(lacking) + percent * len(added)) // (100 + percent) + 1, -(-percent * len(x) // 100) - len(y) + len(lacking))
-                sizes.append((len(x), len(lacking), len(y), min(shared - 1, len(all_of_it))))
-                probe.append(all_of_it[: max(0, len(all_of_it) - shared + 1)])
-                apart.append(None if linked[-1] else all_of_it)
-                more.append(all_of_it[: len(added)])
+                sizes.append((len(x), len(lacking), len(y), shared))
+                more.append(added.view(np.int64))
+                less.append(lacking.view(np.int64))
             if not linked:
                 continue
-            yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("main"), pa.array(linked, pa.bool_()), *(pa.array(z, pa.int64()) for z in zip(*sizes, strict=True)), pa.array(probe, pa.list_(pa.int64())), pa.array(apart, pa.list_(pa.int64())), pa.array(more, pa.list_(pa.int64()))], ["a", "b", "main", "linked", "n", "lacking", "centre", "spare", "probe", "apart", "added"])
+            yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("main"), pa.array(linked, pa.bool_()), *(pa.array(z, pa.int64()) for z in zip(*sizes, strict=True)), pa.array(more, pa.list_(pa.int64())), pa.array(less, pa.list_(pa.int64()))], ["a", "b", "main", "linked", "n", "lacking", "centre", "shared", "added", "lacked"])
 
     made = _with_sets(pairs, sets).select("a", "b", "main", "alone", "x", "y")
-    return made.mapInArrow(run, "a binary, b binary, main binary, linked boolean, n long, lacking long, centre long, spare long, probe array<long>, apart array<long>, added array<long>")
+    return made.mapInArrow(run, "a binary, b binary, main binary, linked boolean, n long, lacking long, centre long, shared long, added array<long>, lacked array<long>")
+
+
+def _between_members(stars: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: pairs of members of a star that may be linked although their components ``comps`` aren't one yet."""
+    stars = stars.where("added is not null").join(comps.select(F.col("node").alias("a"), F.col("label").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
+    parted = cut(stars.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("b"))
+    stars = cut(stars.join(parted, "b", "left_semi"))
+    tagged = F.concat(F.transform("added", lambda x: F.struct(F.lit(True).alias("adds"), x.alias("feature"))), F.transform("lacked", lambda x: F.struct(F.lit(False).alias("adds"), x.alias("feature"))))
+    each = stars.select("b", "a", F.explode(tagged).alias("x")).select("b", "a", "x.*")
+    times = each.groupBy("b", "adds", "feature").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    told = each.join(times, ["b", "adds", "feature"]).groupBy("b", "a").agg(F.sort_array(F.collect_list(F.struct("times", "adds", "feature"))).alias("told"))
+    also = F.size(F.filter("told", lambda x: x["adds"]))
+    members = cut(stars.drop("added", "lacked").join(told, ["b", "a"]).withColumn("most", F.col("centre") - F.col("lacking") + also))
+    row = lambda side, *more: members.select("b", F.col("a").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("comp", "main", "linked", "n", "lacking", "most")), *more)
+    apart = row("i", "centre", F.explode("told").alias("x")).where("not linked_i").select("*", "x.adds", "x.feature").drop("x", "linked_i")
+    first = F.greatest(F.size("told") - F.col("shared") + 1, F.lit(0)).cast("int")
+    spare = (F.size("told") - first).alias("spare")
+    probe = row("j", spare, F.explode(F.slice("told", F.lit(1), first)).alias("x")).select("*", "x.adds", "x.feature").drop("x")
+    # a pair with one main centre is looked at there only, where least sets them apart; one of two that aren't linked, from one side
+    wanted = f"comp_i != comp_j and (main_i != main_j or b = main_i) and (linked_j or i < j) and (100 + {percent}) * least(most_i, most_j) >= {percent} * (n_i + n_j)"
+    shared = probe.join(apart, ["b", "adds", "feature"]).where(wanted).groupBy("b", "i", "j", "n_i", "n_j", "lacking_i", "lacking_j", "centre", "spare").agg(F.count(F.lit(1)).alias("found"))
+    needed = F.floor((percent * (F.col("n_i") + F.col("n_j")) + 99 + percent) / (100 + percent)) - F.col("centre") + F.col("lacking_i") + F.col("lacking_j")
+    return shared.where(F.col("found") + F.col("spare") >= needed).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,22 +213,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     weighed = members.select("key", "node").join(met.select("node", "weight"), "node")
     centre = weighed.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("b"), F.col("top.weight").alias("wb"))
     pairs = cut(members.select("key", F.col("node").alias("a")).join(centre, "key").where("a != b").select("a", "b", "wb").distinct())
-    crowd = pairs.groupBy("b").agg((F.count(F.lit(1)) == 1).alias("alone"))
+    # cut, so that nothing but an exchange lies below joins by a centre and hot centres can be split there
+    crowd = cut(pairs.groupBy("b").agg((F.count(F.lit(1)) == 1).alias("alone")))
     main = pairs.groupBy("a").agg(F.max_by("b", F.struct("wb", "b")).alias("main"))
     stars = cut(_against_centres(pairs.join(crowd, "b").join(main, "a"), sets, percent))
     links = stars.where("linked").select("a", "b")
     begun = connected_components(links)
-    stars = stars.drop("linked").join(begun.select(F.col("node").alias("a"), F.col("label").alias("comp")), "a", "left").withColumn("comp", F.coalesce("comp", "a"))
-    adds = stars.where("added is not null").select("b", "a", F.explode("added").alias("feature"))
-    twice = adds.groupBy("b", "feature").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("b", "feature")
-    shareable = adds.join(twice, ["b", "feature"]).groupBy("b", "a").agg(F.count(F.lit(1)).alias("also"))
-    stars = cut(stars.drop("added").join(shareable, ["b", "a"], "left").withColumn("most", F.col("centre") - F.col("lacking") + F.coalesce("also", F.lit(0))))
-    apart = stars.where("apart is not null").select("b", F.col("a").alias("i"), F.col("comp").alias("ci"), F.col("main").alias("mi"), F.col("n").alias("ni"), F.col("lacking").alias("ri"), F.col("most").alias("most_i"), "centre", F.explode("apart").alias("feature"))
-    probe = stars.select("b", F.col("a").alias("j"), F.col("comp").alias("cj"), F.col("main").alias("mj"), F.col("n").alias("nj"), F.col("lacking").alias("rj"), F.col("most").alias("most_j"), "spare", F.explode("probe").alias("feature"))
-    # a pair with one main centre is looked at there only, where least sets them apart
-    shared = probe.join(apart, ["b", "feature"]).where(f"ci != cj and (mi != mj or b = mi) and (100 + {percent}) * least(most_i, most_j) >= {percent} * (ni + nj)").groupBy("b", "i", "j", "ni", "nj", "ri", "rj", "centre", "spare").agg(F.count(F.lit(1)).alias("found"))
-    needed = F.floor((percent * (F.col("ni") + F.col("nj")) + 99 + percent) / (100 + percent)) - F.col("centre") + F.col("ri") + F.col("rj")
-    between = shared.where(F.col("found") + F.col("spare") >= needed).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    between = _between_members(stars, begun, percent)
     more = cut(_confirmed(between, sets, percent))
     labels = begun if more.isEmpty() else connected_components(links.unionByName(more))
     named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -221,10 +233,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The row of ``docs`` with each component's smallest doc_id, and those linked with nothing; the columns stay.
 
-    Of rows with equal doc_id and text one stays.
+    Of rows with equal doc_id and text one stays, chosen by a hash of all its columns.
     """
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.withColumn("_key", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    joined = joined.join(kept, F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
-    return joined.dropDuplicates(["_key", "_hash"]).select(*columns)
+    id_of = lambda c: (F.coalesce(F.col(c).cast("long"), F.lit(0)).alias("id"), F.col(c).isNull().alias("no_id"))
+    kept = near_duplicates(docs, **options).where("kept").select(*id_of("doc_id")).distinct()
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *id_of("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    # equal rows meet where the join has put them
+    place = F.row_number().over(Window.partitionBy("id", "no_id", "text_hash").orderBy(F.xxhash64("row")))
+    return keyed.join(kept, ["id", "no_id"], "left_semi").withColumn("place", place).where("place = 1").select("row.*")
