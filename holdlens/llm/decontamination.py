@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdlens.llm.bitmap import broadcast_bitmap, may_be_in
 from holdlens.llm.cluster import cut
 from holdlens.llm.words import ALNUM, mix, steps, words
 
@@ -98,13 +99,11 @@ def _window_table(table: DataFrame, key: str, n: int, least_words: int, wanted=N
     """``(key, text_hash, place, window, slots)``; with ``wanted``, a bitmap, of the windows it may have only."""
 
     def run(batches):
-        bits = np.frombuffer(wanted.value, np.uint8) if wanted is not None else None
         for batch in batches:
             keys, texts = batch.column("key"), batch.column("text_hash")
             for _, row, place, window, slot, at in _windows(batch.column("text"), n, least_words):
-                if bits is not None:
-                    bit = window & (BITMAP_BITS - 1)
-                    hit = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+                if wanted is not None:
+                    hit = np.flatnonzero(may_be_in(wanted.value, window))
                     row, place, window, at = row[hit], place[hit], window[hit], at[hit]
                 if not len(row):
                     continue
@@ -116,16 +115,6 @@ def _window_table(table: DataFrame, key: str, n: int, least_words: int, wanted=N
     return table.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "key long, text_hash long, place long, window long, slots array<long>")
 
 
-def _bitmap(windows: DataFrame):
-    """A broadcast bitmap of fixed size with the windows' low bits set."""
-    low = F.col("window").bitwiseAND(BITMAP_BITS - 1)
-    parts = windows.select((low / 32768).cast("int").alias("part"), (low % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    out = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for r in parts.toLocalIterator():
-        out[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return windows.sparkSession.sparkContext.broadcast(out.tobytes())
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, least_words: int = 3, coverage: float = 0.5) -> DataFrame:
     """``(doc_id, text_hash, item_id, windows, item_windows, coverage, verbatim)`` of documents and items they hold.
 
@@ -136,7 +125,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, least_wor
     """
     items = cut(_window_table(benchmark, "item_id", n, least_words))
     sizes = items.select("key", "window").distinct().groupBy(F.col("key").alias("item_id")).agg(F.count(F.lit(1)).alias("item_windows"))
-    found = _window_table(docs, "doc_id", n, least_words, _bitmap(items)).distinct()
+    found = _window_table(docs, "doc_id", n, least_words, broadcast_bitmap(items, "window", BITMAP_BITS)).distinct()
     asked = items.select(F.col("key").alias("item_id"), "window", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
     pairs = found.join(asked, "window").withColumn("shift", F.col("place") - F.col("item_place"))
     filled = F.expr("filter(arrays_zip(item_slots, slots), x -> x.item_slots != 0)")

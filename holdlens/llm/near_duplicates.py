@@ -222,9 +222,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, ban
     between = _between_members(stars, begun, percent)
     more = cut(_confirmed(between, sets, percent))
     labels = begun if more.isEmpty() else connected_components(links.unionByName(more))
-    named = nodes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = named.select("node", "label").join(least, "label").select("node", "component_id")
+    linked = nodes.select("node", "doc_id").join(labels, "node")
+    least = cut(linked.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    linked = linked.join(least, "label").select("node", "component_id")
+    named = nodes.select("node", "doc_id").join(linked, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = known.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

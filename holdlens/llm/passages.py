@@ -19,13 +19,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from holdlens.llm.bitmap import broadcast_bitmap, may_be_in
 from holdlens.llm.cluster import cut
 from holdlens.llm.words import SPACED, mix, steps, words
 
 U = np.uint64
 #: Words without a mark after which hashes cut: where one is the least of those up to REACH words away.
 QUIET, REACH = 12, 4
+#: Bits of the bitmap of repeated digests: 16 MB at any number of them.
+BITMAP_BITS = 1 << 27
 _P = U(0x9E3779B97F4A7C15)
 #: By code point below 0x10000: capitals, ends of sentences, what may follow these, and stops that end a word of text without spaces.
 _POINTS = range(0x10000)
@@ -138,6 +142,34 @@ def _digests(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_hash long, low array<long>, high array<int>")
 
 
+def _repeated_places(known: DataFrame) -> DataFrame:
+    """``(id, hash, places)``: the units of a text, by place, that an earlier one has.
+
+    Digests are counted first. A bitmap of those that occur twice lets few others through, so only repeats are moved with
+    where they are; the earliest places are written, so that a digest with very many places can be split in the join.
+    """
+    often = known.select(F.explode("low").alias("low")).groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    wanted = broadcast_bitmap(often, "low", BITMAP_BITS)
+
+    def run(batches):
+        for batch in batches:
+            low, high = (batch.column(c) for c in ("low", "high"))
+            digests = low.flatten().to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(may_be_in(wanted.value, digests))
+            if not len(hit):
+                continue
+            first = low.offsets.to_numpy().astype(np.int64) - low.offsets[0].as_py()
+            row = np.searchsorted(first, hit, side="right") - 1
+            rows, at = pa.array(row), pa.array(hit)
+            yield pa.record_batch([batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array((hit - first[row]).astype(np.int32)), low.flatten().take(at), high.flatten().take(at)], ["doc_id", "text_hash", "place", "low", "high"])
+
+    units = known.mapInArrow(run, "doc_id long, text_hash long, place int, low long, high int")
+    groups = units.groupBy("low", "high").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = cut(groups.where("n > 1").select("low", "high", "first"))
+    repeats = units.join(first, ["low", "high"]).where("not (struct(doc_id, text_hash, place) <=> first)")
+    return repeats.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.collect_set("place").alias("places"))
+
+
 def _edges(mark: np.ndarray) -> list[tuple[int, int]]:
     """First unit and unit after the last of each run of marked ones."""
     edge = np.flatnonzero(np.diff(mark.astype(np.int8), prepend=0, append=0))
@@ -164,22 +196,18 @@ def remove_repeats(docs: DataFrame, *, least_words: int = 25, line_words: int =
     removed, kept: arrays of (start, end) in bytes of the original text as UTF-8, in order; together they
     cover it. No row is dropped. A null text stays null with no spans, an empty one
     stays empty. Rows that share doc_id and text are one document; null ids rank first.
-    Columns that bear the added names are replaced.
+    Columns that bear the added names are replaced; any other name may occur.
     """
     added = ["n_units", "n_removed", "n_spans", "removed", "kept"]
     names = [c for c in docs.columns if c not in added]
-    keyed = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    known = cut(_digests(keyed.select(F.col("_id").alias("doc_id"), F.col("_hash").alias("text_hash"), F.col("text").cast("string").alias("text"))))
-    units = known.select("doc_id", "text_hash", F.posexplode(F.arrays_zip("low", "high")).alias("place", "unit")).select("unit.low", "unit.high", "doc_id", "text_hash", "place")
-    groups = units.groupBy("low", "high").agg(F.min(F.struct("doc_id", "text_hash", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeats = units.join(groups.select("low", "high", "first"), ["low", "high"]).where("not (struct(doc_id, text_hash, place) <=> first)")
-    places = repeats.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("_places")).select(F.col("doc_id").alias("_id2"), F.col("text_hash").alias("_hash2"), "_places")
-    joined = keyed.join(places, keyed["_id"].eqNullSafe(places["_id2"]) & (keyed["_hash"] == places["_hash2"]), "left").drop("_id", "_hash", "_id2", "_hash2")
-    at = names.index("text")
+    others = [F.col(f"`{c}`") for c in names if c != "text"]
+    keyed = docs.select(F.struct(*others).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    places = _repeated_places(cut(_digests(keyed.select("doc_id", "text_hash", "text"))))
+    joined = keyed.join(places, keyed["doc_id"].eqNullSafe(places["id"]) & (keyed["text_hash"] == places["hash"]), "left").select("row", "text", "places")
 
     def run(batches):
         for batch in batches:
-            texts, found = batch.column("text").cast(pa.string()), batch.column("_places")
+            texts, found = batch.column("text").cast(pa.string()), batch.column("places")
             out = [[] for _ in range(6)]
             for i, u in enumerate(_units(texts)):
                 data = texts[i].as_buffer().to_pybytes() if texts[i].is_valid else None
@@ -197,10 +225,9 @@ def remove_repeats(docs: DataFrame, *, least_words: int = 25, line_words: int =
                 continue
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             spans = [pa.array([[{"start": s, "end": e} for s, e in x] for x in y], span) for y in out[4:]]
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(out[0], pa.binary()).cast(pa.string())
-            yield pa.record_batch([*columns, *(pa.array(x, pa.int64()) for x in out[1:4]), *spans], [*names, *added])
+            yield pa.record_batch([batch.column("row"), pa.array(out[0], pa.binary()).cast(pa.string()), *(pa.array(x, pa.int64()) for x in out[1:4]), *spans], ["row", "text", *added])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString() if f.name != 'text' else 'string'}" for f in joined.schema if f.name != "_places")
-    span = "array<struct<start:long,end:long>>"
-    return joined.mapInArrow(run, f"{kinds}, n_units long, n_removed long, n_spans long, removed {span}, kept {span}")
+    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+    kinds = [T.LongType()] * 3 + [span] * 2
+    made = joined.mapInArrow(run, T.StructType([*joined.schema.fields[:2], *(T.StructField(c, k) for c, k in zip(added, kinds, strict=True))]))
+    return made.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names), *added)

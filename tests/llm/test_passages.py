@@ -39,3 +39,40 @@ def test_units_do_not_depend_on_other_rows():
     alone = [next(_units(pa.array([t]))).low.tolist() for t in texts]
     assert [u.low.tolist() for u in _units(pa.array(texts))] == alone
     assert [u.low.tolist() for u in _units(pa.array(texts[::-1]))] == alone[::-1]
+
+
+def _brute_force(texts):
+    """Each repeated line but the first by (id, place) goes, and pieces of lines by the same units; one text at a time."""
+    from holdlens.llm.passages import _runs
+
+    units = {i: next(_units(pa.array([t]))) for i, t in enumerate(texts)}
+    first = {}
+    for i, u in units.items():
+        for place, d in enumerate(zip(u.low.tolist(), u.high.tolist(), strict=True)):
+            first.setdefault(d, (i, place))
+    out = {}
+    for i, u in units.items():
+        repeat = pa.array([first[d] != (i, place) for place, d in enumerate(zip(u.low.tolist(), u.high.tolist(), strict=True))], pa.bool_()).to_numpy(zero_copy_only=False)
+        data, gone = texts[i].encode(), _runs(repeat, u, 25, 4, 24)
+        for s, e in gone[::-1]:
+            data = data[: u.start[s]] + (data[u.start[e] :] if e < len(u.size) else b"")
+        out[i] = data.decode()
+    return out
+
+
+def test_whole_sample_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [r.text for r in docs.where("text is not null").orderBy("doc_id").collect()]
+    got, want = _texts(spark, texts), _brute_force(texts)
+    assert got == want and sum(got[i] != t for i, t in enumerate(texts)) > 20
+    # every line of some length is left once: its first place
+    lines = [" ".join(x.lower().split()) for i in range(len(texts)) for x in got[i].split("\n")]
+    assert max(lines.count(x) for x in {x for x in lines if len(x.split()) >= 4}) == 1
+
+
+def test_columns_may_have_any_name(spark):
+    line = "one line of some words that comes twice"
+    df = spark.createDataFrame([(1, f"a\n{line}", 1, "p", 3), (2, f"b\n{line}", 2, "q", 4)], "doc_id long, text string, _id int, `_hash` string, places int")
+    out = remove_repeats(df)
+    assert out.columns == [*df.columns, "n_units", "n_removed", "n_spans", "removed", "kept"]
+    assert {(r.doc_id, r.text, r["_id"], r["_hash"], r.places) for r in out.collect()} == {(1, f"a\n{line}", 1, "p", 3), (2, "b\n", 2, "q", 4)}
