@@ -23,8 +23,6 @@ _P = U(0x9E3779B97F4A7C15)
 NUMBER, NAME, UNIT = U(11), U(12), U(13)
 #: Bits of the bitmap that tells which windows any item may have; 2 MB at any benchmark size.
 BITMAP_BITS = 1 << 24
-#: Flagged rows up to which dropping them broadcasts their keys.
-BROADCAST_ROWS = 200_000
 
 _NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen"
 _UNIT_WORDS = (
@@ -140,8 +138,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, least_wor
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without rows that hold an item; columns and other rows stay."""
-    bad = cut(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    if bad.count() <= BROADCAST_ROWS:
-        bad = F.broadcast(bad)
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti")
+    """``docs`` without rows that hold an item; columns, whatever their names, and other rows stay."""
+    key = lambda c: (F.coalesce(c, F.lit(0)).alias("id"), c.isNull().alias("no_id"))
+    bad = cut(contaminated(docs, benchmark, **options).select(*key(F.col("doc_id")), "text_hash").distinct())
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *key(F.col("doc_id").cast("long")), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return keyed.join(bad, ["id", "no_id", "text_hash"], "left_anti").select("row.*")

@@ -13,9 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Components of the vectors, letters of an n-gram, characters worked on at once.
-DIMENSIONS, N, STEP_CHARS = 512, 3, 1 << 17
+DIMENSIONS, N, STEP_CHARS = 2048, 3, 1 << 17
+#: Texts are told apart from noise by the cosines of labelled texts of like length: this quantile, and what part of it must be reached.
+QUANTILE, PART = 0.001, 0.75
+#: Labelled texts that a length needs to have a bound of its own, and deviations of the cosine of unlike vectors that are noise at any length.
+LEAST_TEXTS, DEVIATIONS = 20, 3.5
 #: A prototype is a sum of whole numbers, so it doesn't depend on the order of its texts.
 SCALE = 1 << 20
 
@@ -55,6 +60,12 @@ def _steps(texts: list[str | None]):
 
 def text_vectors(texts: list[str | None]):
     """Yields (rows, their vectors as whole numbers in float64); texts without a letter are left out."""
+    for rows, v, _ in _vectors_and_sizes(texts):
+        yield rows, v
+
+
+def _vectors_and_sizes(texts: list[str | None]):
+    """The same with the texts' numbers of n-grams."""
     letter = _letters()
     for rows, chars in _steps(texts):
         ends = np.cumsum([len(x) + 1 for x in chars])
@@ -96,7 +107,7 @@ def text_vectors(texts: list[str | None]):
             made = counts.astype(np.float32) @ vectors
             at = np.flatnonzero(has[s : s + n])
             if len(at):
-                yield [rows[s + i] for i in at], made[at].astype(np.float64)
+                yield [rows[s + i] for i in at], made[at].astype(np.float64), counts.sum(1)[at]
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -129,28 +140,34 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     return {r.lang: np.array([x.x for x in r.v], np.float64) for r in rows}
 
 
-def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the cosine with it, 0 at least.
-
-    A null text, one without a letter, and all texts if nothing was learned: ``und`` and 0. Of equal
-    cosines the first language in the alphabet wins. Columns of these names are replaced.
-    """
+def _predict(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``grams``, the number of n-grams; ``docs`` has none of these names."""
     names = sorted(profiles)
     target = _unit(np.stack([profiles[x] for x in names])).T if names else None
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*(F.col(f"`{c}`") for c in kept))
 
     def run(batches):
         for batch in batches:
-            pred, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
-            for rows, v in text_vectors(batch.column("text").to_pylist()) if names else ():
+            pred, score, grams = ["und"] * batch.num_rows, [0.0] * batch.num_rows, [0] * batch.num_rows
+            for rows, v, sizes in _vectors_and_sizes(batch.column("text").to_pylist()) if names else ():
                 cosine = np.round(_unit(v) @ target, 9)
-                for i, best, x in zip(rows, cosine.argmax(1), cosine.max(1), strict=True):
-                    pred[i], score[i] = names[best], min(1.0, max(0.0, float(x)))
-            yield pa.record_batch([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                for i, best, x, n in zip(rows, cosine.argmax(1), cosine.max(1), sizes.tolist(), strict=True):
+                    pred[i], score[i], grams[i] = names[best], min(1.0, max(0.0, float(x))), n
+            yield pa.record_batch([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(grams, pa.int64())], [*batch.schema.names, "lang_pred", "score", "grams"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("grams", T.LongType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *made]))
+
+
+def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray]) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, the cosine with it, 0 at least.
+
+    A null text, one without a letter, and all texts if nothing was learned: ``und`` and 0. Of equal
+    cosines the first language in the alphabet wins. Columns of these names are replaced.
+    """
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
+    made = _predict(docs.select(row, F.col("text").cast("string").alias("text")), profiles)
+    return made.select(*(F.col(f"row.`{c}`") for c in kept), "lang_pred", "score")
 
 
 def is_held_out(doc_id: str = "doc_id"):
@@ -165,8 +182,35 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     return predict_language(out, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float) -> DataFrame:
-    """Rows of ``docs`` whose text has a language with a cosine of ``least`` or more; the columns stay."""
-    profiles = prototypes(docs.where(~is_held_out()).select("text", "lang"))
-    kept = predict_language(docs, profiles).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+def _length():
+    """Power of two of a text's n-grams."""
+    return F.floor(F.log2(F.greatest("grams", F.lit(1)))).cast("int").alias("length")
+
+
+def least_cosines(labelled: DataFrame, profiles: dict[str, np.ndarray]) -> list[float]:
+    """For each power of two of n-grams, the cosine that a text of that length must have.
+
+    PART of a low quantile of the cosines of labelled texts that get their own language; a length with few such
+    texts has the next shorter one's bound, and none is below what unlike vectors reach by chance.
+    """
+    known = _predict(labelled.where("lang is not null").select(F.col("text").cast("string").alias("text"), "lang"), profiles).where("lang_pred = lang")
+    rows = known.groupBy(_length()).agg(F.percentile_approx("score", QUANTILE, 10000).alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS).collect()  # a row for each length
+    low, noise = {r.length: r.low for r in rows}, DEVIATIONS / DIMENSIONS**0.5
+    out = [noise]
+    for length in range(64):
+        out.append(max(noise, PART * low[length]) if length in low else out[-1])
+    return out[1:]
+
+
+def keep_identified(docs: DataFrame, least: float | None = None) -> DataFrame:
+    """Rows of ``docs(text, lang, doc_id, ...)`` whose text is in a learned language; the columns stay.
+
+    Its cosine is ``least`` or more, by default what ``least_cosines`` asks of its length. Without labelled rows nothing is kept.
+    """
+    learned = docs.where(~is_held_out()).select("text", "lang")
+    profiles = prototypes(learned)
+    bounds = [least] * 64 if least is not None else least_cosines(learned, profiles)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    made = _predict(docs.select(row, F.col("text").cast("string").alias("text")), profiles)
+    bound = F.element_at(F.array(*(F.lit(float(x)) for x in bounds)), _length() + 1)
+    return made.where((F.col("lang_pred") != "und") & (F.col("score") >= bound)).select("row.*")
