@@ -118,10 +118,11 @@ def test_decontamination(spark, docs, odd, empty):
     table = spark.createDataFrame([(1, q), (2, twice), (3, None), (4, "")], "item_id long, text string")
     texts = spark.createDataFrame([(1, same), (2, twice.replace("12", "5", 1)), (3, "nothing of it"), (4, None)], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): r.verbatim for r in decontamination.contaminated(texts, table).collect()}
-    assert got == {(1, 1): False}
+    # the copy with one of two equal numbers changed keeps most of its windows
+    assert got == {(1, 1): False, (2, 2): True}
     assert decontamination.contaminated(odd, table).count() == 0 and decontamination.contaminated(empty, table).count() == 0
     assert decontamination.contaminated(texts, table.limit(0)).count() == 0
-    assert {r.doc_id for r in decontamination.drop_contaminated(texts, table).collect()} == {2, 3, 4}
+    assert {r.doc_id for r in decontamination.drop_contaminated(texts, table).collect()} == {3, 4}
 
 
 def _check_packing(texts, rows):
