@@ -18,13 +18,10 @@ from holdlens.llm.near_duplicates import keep_one_of_each
 from holdlens.llm.packing import pack
 from holdlens.llm.passages import remove_repeats
 
-#: Least cosine with a language's prototype; what has no letters or is below goes.
-LEAST_COSINE = 0.05
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; others go."""
-    return keep_identified(docs, LEAST_COSINE)
+    """Documents in a learned language, by cosines that labelled documents of their length have; others go."""
+    return keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +31,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; none goes."""
-    cut = remove_repeats(docs)
-    return cut.select(*docs.columns).withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut.select(*docs.columns)
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("others")
+    made = remove_repeats(docs.select("doc_id", "text", others))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return made.select(*(new.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
