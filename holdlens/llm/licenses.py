@@ -1,81 +1,28 @@
 """License scanning by ordered signature rules.
 
-Rules are regexes over a text's UTF-8 with A-Z as a-z, one for each license, version and way to
-name it. An Aho-Corasick keyword filter says which rules can match at all. Detections are taken by
+Rules (``license_rules``) are hand-written regexes over a text's UTF-8 with A-Z as a-z, in which each run of white space, with the
+marks that begin a line of comment, is one space. An Aho-Corasick keyword filter over the same text says which rules can match at all. Detections are taken by
 priority, then length; one whose interval lies in that of a detection taken before is suppressed.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from holdlens.llm.license_rules import lines
+from holdlens.llm.words import ALNUM, spans, steps
+
 #: Phrases of whole words and their labels.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label, keyword, name as a regex, versions (a label's ending and what is written), or none.
-FAMILIES = [
-    ("apache", "apache", r"apache", ("1.0", "1.1", "2.0")),
-    ("mit", r"mit", r"mit", ()),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd[- ]2[- ]clause|2[- ]clause bsd)", ()),
-    ("bsd-3-clause", "bsd", r"(?:(?:new|modified|revised) bsd|bsd[- ]3[- ]clause|3[- ]clause bsd)", ()),
-    ("bsd-4-clause", "bsd", r"(?:original bsd|bsd[- ]4[- ]clause|4[- ]clause bsd)", ()),
-    ("isc", "isc", r"isc", ()),
-    ("zlib", "zlib", r"zlib(?:/libpng)?", ()),
-    ("unlicense", "unlicense", r"unlicense", ()),
-    ("wtfpl", "wtfpl", r"wtfpl", ("1.0", "2.0")),
-    ("bsl", "boost", r"boost software", ("1.0",)),
-    ("artistic", "artistic", r"artistic", ("1.0", "2.0")),
-    ("python", "python", r"python(?: software foundation)?", ("2.0",)),
-    ("openssl", "openssl", r"openssl", ()),
-    ("postgresql", "postgresql", r"postgresql", ()),
-    ("ncsa", "ncsa", r"(?:university of illinois/)?ncsa(?: open source)?", ()),
-    ("gpl", "general public", r"(?:gnu )?general public", ("1.0", "2.0", "3.0")),
-    ("lgpl", "lesser general public", r"(?:gnu )?lesser general public", ("2.1", "3.0")),
-    ("lgpl-library", "library general public", r"(?:gnu )?library general public", ("2.0",)),
-    ("agpl", "affero", r"(?:gnu )?affero general public", ("1.0", "3.0")),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation", ("1.1", "1.2", "1.3")),
-    ("mpl", "mozilla", r"mozilla public", ("1.0", "1.1", "2.0")),
-    ("epl", "eclipse", r"eclipse public", ("1.0", "2.0")),
-    ("cddl", "common development", r"common development and distribution", ("1.0", "1.1")),
-    ("cpl", "common public", r"common public", ("1.0",)),
-    ("ipl", "ibm public", r"ibm public", ("1.0",)),
-    ("eupl", "european union public", r"european union public", ("1.0", "1.1", "1.2")),
-    ("osl", "open software", r"open software", ("1.0", "2.0", "2.1", "3.0")),
-    ("afl", "academic free", r"academic free", ("1.1", "1.2", "2.0", "2.1", "3.0")),
-    ("ms-pl", "microsoft public", r"microsoft public", ()),
-    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal", ()),
-    ("ofl", "open font", r"(?:sil )?open font", ("1.0", "1.1")),
-    ("cc0", "cc0", r"cc0", ("1.0",)),
-    ("cc-by", "creative commons", r"creative commons attribution", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", "creative commons", r"creative commons attribution[- ]share[- ]?alike", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", "creative commons", r"creative commons attribution[- ]non[- ]?commercial", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", "creative commons", r"creative commons attribution[- ]no[- ]?deriv(?:ative)?s?", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", "creative commons", r"creative commons attribution[- ]non[- ]?commercial[- ]share[- ]?alike", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-nd", "creative commons", r"creative commons attribution[- ]non[- ]?commercial[- ]no[- ]?deriv(?:ative)?s?", ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("odbl", "open database", r"open database", ("1.0",)),
-    ("pddl", "public domain dedication", r"(?:open data commons )?public domain dedication(?: and)?", ("1.0",)),
-]
-#: Creative Commons short forms.
-CC_SHORT = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
-CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
-#: Single rules of other kinds.
-OTHER = [
-    ("public-domain", "public domain", r"(?:released|placed|dedicated|is|are) (?:in|into|to|under) the public domain", 50, 0.8),
-    ("permissive-mit-text", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 80, 0.95),
-    ("permissive-bsd-text", "redistribution and use", r"redistribution and use in source and binary forms, with or without modification", 80, 0.95),
-    ("copyright", "copyright", r"copyright (?:\(c\)|\xc2\xa9|\d{4})", 20, 0.3),
-    ("proprietary", "proprietary", r"proprietary and confidential", 40, 0.6),
-    ("proprietary", "permission", r"(?:may not|not to) be (?:copied|reproduced|redistributed) without (?:written )?permission", 40, 0.6),
-    ("reserved", "rights reserved", r"(?:all|some|no) rights reserved", 10, 0.4),
-]
-_GRANT = r"(?:licen[sc]ed under|released under|distributed under|available under|provided under|covered by|subject to|under the terms of)(?: the terms of)?(?: an?| the)? "
-
 
 @dataclass
 class Rule:
@@ -86,42 +33,53 @@ class Rule:
     score: float
 
 
-def _loose(pattern: str) -> re.Pattern:
-    """Any white space counts as a space; letters and digits don't continue a match."""
-    body = pattern.replace("[- ]", r"(?:-| )").replace(" ", r"[ \t\r\n]+").encode("latin-1")
-    return re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + body + rb")(?![0-9a-z\x80-\xff])")
-
-
 def rules() -> list[Rule]:
+    """By priority; letters and digits don't continue a match."""
     out = []
-
-    def add(label, keyword, pattern, priority, score):
-        out.append(Rule(label, keyword.encode(), _loose(pattern), priority, score))
-
-    for label, keyword, name, versions in FAMILIES:
-        for v in versions:
-            short = re.escape(v.removesuffix(".0")) + (r"(?:\.0)?" if v.endswith(".0") else "")
-            version = rf"(?:,? ?(?:version|ver\.?|v\.?) ?| ){short}"
-            full = rf"{name}(?:(?:,)? (?:public )?licen[sc]e)?{version}"
-            add(f"{label}-{v}", keyword, _GRANT + full, 90, 0.98)
-            add(f"{label}-{v}", keyword, full + r"(?: (?:international|unported|generic|universal))?(?: licen[sc]e)?", 70, 0.85)
-            add(f"{label}-{v}", "spdx", rf"spdx-licen[sc]e-identifier: ?{label}-{short}(?:-only|-or-later|\+)?", 100, 1.0)
-        add(label, keyword, rf"{_GRANT}{name} licen[sc]e", 60, 0.9)
-        add(label, keyword, rf"{name} licen[sc]e", 30, 0.6)
-        if not versions:
-            add(label, "spdx", rf"spdx-licen[sc]e-identifier: ?{label}", 100, 1.0)
-    for kind in CC_SHORT:
-        name = "cc[- ]" + kind.replace("-", "[- ]")
-        for v in CC_VERSIONS:
-            number = re.escape(v.removesuffix(".0")) + (r"(?:\.0)?" if v.endswith(".0") else "")
-            add(f"cc-{kind}-{v}", "cc", _GRANT + rf"{name}[- ]{number}", 95, 0.98)
-            add(f"cc-{kind}-{v}", "cc", rf"{name}[- ]{number}", 75, 0.9)
-        add(f"cc-{kind}", "cc", name, 35 + len(kind), 0.6)
-    for label, keyword, pattern, priority, score in OTHER:
-        add(label, keyword, pattern, priority, score)
+    for label, priority, score, keyword, pattern in lines():
+        whole = rb"(?<![0-9a-z\x80-\xff])(?:" + pattern.encode("latin-1") + rb")(?![0-9a-z\x80-\xff])"
+        out.append(Rule(label, keyword.encode(), re.compile(whole), priority, score))
     return sorted(out, key=lambda r: -r.priority)
 
 
+#: White space other than one blank, with the marks of comment lines.
+_GAPS = re.compile(rb"(?:[ \t\x0b\x0c]*[\r\n][ \t\x0b\x0c]*(?:(?:[#*;%!>|]+|//+|/\*+|--+|dnl(?= )|rem(?= ))[ \t]*)*)+|[ \t\x0b\x0c]{2,}|[\t\x0b\x0c]")
+
+
+def plain_text(low: bytes) -> tuple[bytes, list[int], list[int]]:
+    """``low`` with gaps as single spaces, the places there after each gap, and what to add to get the places in ``low``."""
+    parts, after, shift, last, gone = [], [], [], 0, 0
+    for m in _GAPS.finditer(low):
+        parts.append(low[last : m.start()])
+        last = m.end()
+        gone += last - m.start() - 1
+        after.append(last - gone)
+        shift.append(gone)
+    parts.append(low[last:])
+    return b" ".join(parts), after, shift
+
+
+class _Ends:
+    """The greatest end of the intervals taken that start at a place or before it."""
+
+    def __init__(self, starts: list[int]):
+        self.starts = sorted(set(starts))
+        self.tree = [-1] * (len(self.starts) + 1)
+
+    def add(self, start: int, end: int):
+        i = bisect_left(self.starts, start) + 1
+        while i < len(self.tree):
+            self.tree[i] = max(self.tree[i], end)
+            i += i & -i
+
+    def greatest(self, start: int) -> int:
+        i, out = bisect_left(self.starts, start) + 1, -1
+        while i:
+            out = max(out, self.tree[i])
+            i -= i & -i
+        return out
+
+
 class Scanner:
     def __init__(self):
         self.rules = rules()
@@ -132,26 +90,34 @@ class Scanner:
 
     def detections(self, low: bytes) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) of what is left after suppression; ``low``: bytes with A-Z as a-z."""
-        # white space inside a keyword may be any run in the text; only presence is asked
-        plain = b" ".join(low.split()).decode("latin-1")
-        present = {key for _, key in self.filter.iter(plain)}
+        plain, after, shift = plain_text(low)
+        present = {key for _, key in self.filter.iter(plain.decode("latin-1"))}
         if not present:
             return []
-        found = [(m.start(), m.end(), r) for r in self.rules if r.keyword in present for m in r.pattern.finditer(low)]
+        found = [(m.start(), m.end(), r) for r in self.rules if r.keyword in present for m in r.pattern.finditer(plain)]
         found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
-        kept: list = []
-        for d in found:
-            if not any(a <= d[0] and d[1] <= b for a, b, _ in kept):
-                kept.append(d)
-        return kept
+        ends, kept = _Ends([x[0] for x in found]), []
+        for start, end, rule in found:
+            if ends.greatest(start) < end:
+                ends.add(start, end)
+                kept.append((start, end, rule))
+        # the last byte of a match is no gap's, so its place in the text is that of the byte and one more
+        at = lambda i: i + (shift[k - 1] if (k := bisect_right(after, i)) else 0)
+        return [(at(a), at(b - 1) + 1, r) for a, b, r in kept]
 
 
-_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _BASE = re.compile(b"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(b"(" + _GAP.join(p.encode().split()) + b")" for p in BASE_PHRASES) + b")(?![0-9a-z\x80-\xff])")
 _BASE_LABELS = list(BASE_PHRASES.values())
 
 
+def _base_places(low: bytes) -> list[tuple[int, int]]:
+    """(start, number of the phrase) of the base phrases; nothing is looked for where no phrase's rarest word is."""
+    if b"reserved" not in low and b"license" not in low and b"cc" not in low:
+        return []
+    return [(m.start(), m.lastindex) for m in _BASE.finditer(low)]
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections)`` of each row.
 
@@ -164,17 +130,19 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     def run(batches):
         scanner = Scanner()
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                low = text.as_buffer().to_pybytes().lower() if text.is_valid else b""
-                n_words = len(_WORD.findall(low))
-                places = [(m.start(), m.lastindex) for m in _BASE.finditer(low)]
-                base = sorted({_BASE_LABELS[i - 1] for _, i in places})
-                at = [len(_WORD.findall(low, 0, places[i][0])) for i in (0, -1)] if places else [None, None]
-                kept = scanner.detections(low)
-                labels = ",".join(sorted({*base, *(r.label for _, _, r in kept)}))
-                spans = [{"label": r.label, "start": a, "end": b} for a, b, r in sorted(kept, key=lambda x: x[:2])]
-                out.append((n_words, len(places), at[0], at[1], ",".join(base), labels, max((r.score for _, _, r in kept), default=0.0), spans))
+            out, texts = [], batch.column("text")
+            for a, b, data, offsets in steps(texts):
+                starts, _ = spans(data, ALNUM)
+                first = np.searchsorted(starts, offsets)
+                for i in range(a, b):
+                    low = texts[i].as_buffer().to_pybytes().lower() if texts[i].is_valid else b""
+                    places = _base_places(low)
+                    base = sorted({_BASE_LABELS[k - 1] for _, k in places})
+                    at = [int(np.searchsorted(starts, offsets[i - a] + places[k][0]) - first[i - a]) for k in (0, -1)] if places else [None, None]
+                    kept = scanner.detections(low)
+                    labels = ",".join(sorted({*base, *(r.label for _, _, r in kept)}))
+                    marks = [{"label": r.label, "start": s, "end": e} for s, e, r in sorted(kept, key=lambda x: x[:2])]
+                    out.append((int(first[i - a + 1] - first[i - a]), len(places), at[0], at[1], ",".join(base), labels, max((r.score for _, _, r in kept), default=0.0), marks))
             if out:
                 span = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), span]

@@ -251,7 +251,7 @@ def test_licenses(spark, docs, odd, empty):
     rows = [(1, "Licensed under the Apache License,\nVersion 2.0."), (2, "under CC BY-NC 4.0 and CC-BY"), (3, "This work is licensed under the GNU Lesser General Public License, version 3."), (4, "SPDX-License-Identifier: MIT"), (5, "admit license")]
     got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "apache-2.0", 2: "cc-by,cc-by-nc-4.0", 3: "gpl,lgpl-3.0", 4: "mit", 5: ""}
-    assert len(licenses.rules()) > 300
+    assert len(licenses.rules()) > 200
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(empty).count() == 0
 
 
