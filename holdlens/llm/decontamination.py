@@ -165,7 +165,7 @@ def _document_windows(docs: DataFrame, n: int, least_words: int, sizes: list[int
                 hit = np.flatnonzero(may_be_in(wanted.value, window))
                 if len(hit):
                     yield _batch(batch, row[hit], place[hit], window[hit], _slots(slot, at[hit], n))
-            for _, row, place, window in _runs(batch.column("text"), sizes):
+            for _, row, place, window in _runs(batch.column("text"), sizes) if sizes else ():
                 hit = np.flatnonzero(may_be_in(wanted.value, window))
                 if len(hit):
                     yield _batch(batch, row[hit], place[hit], window[hit], _no_slots(len(hit)))

@@ -8,8 +8,10 @@ longest carved item at its start, whatever was declared.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 
 import ahocorasick
 import numpy as np
@@ -61,7 +63,7 @@ def png(data: bytes, at: int) -> int:
     return 0
 
 
-def jpeg(data: bytes, at: int) -> int:
+def jpeg(data: bytes, at: int, places: Places) -> int:
     p = at + 2
     while p + 4 <= len(data) and data[p] == 0xFF:
         kind, n = data[p + 1], _u(data, p + 2, 2, "big")
@@ -69,7 +71,7 @@ def jpeg(data: bytes, at: int) -> int:
             return 0
         p += 2 + n
         if kind == 0xDA:
-            end = data.find(b"\xff\xd9", p)
+            end = places.next(b"\xff\xd9", p)
             return end + 2 - at if end >= 0 else 0
     return 0
 
@@ -99,13 +101,28 @@ def bmp(data: bytes, at: int) -> int:
     return size if _u(data, at + 6, 4) == 0 and header in (12, 40, 56, 108, 124) and 14 + header <= pixels <= size <= len(data) - at else 0
 
 
-def pdf(data: bytes, at: int) -> int:
-    end = data.find(b"%%EOF", at + 8)
-    return end + 5 - at if data[at + 5 : at + 6].isdigit() and end >= 0 and data.find(b"startxref", at, end) >= 0 else 0
+class Places:
+    """Where markers stand in the bytes in hand, each looked for once however many items ask."""
 
+    def __init__(self, data: bytes):
+        self.data, self.found = data, {}
 
-def zip_file(data: bytes, at: int) -> int:
-    end = data.find(b"PK\x05\x06", at)
+    def next(self, marker: bytes, at: int) -> int:
+        """The first place of ``marker`` from ``at`` on, or -1."""
+        if marker not in self.found:
+            self.found[marker] = [m.start() for m in re.finditer(re.escape(marker), self.data)]
+        places = self.found[marker]
+        i = bisect_left(places, at)
+        return places[i] if i < len(places) else -1
+
+
+def pdf(data: bytes, at: int, places: Places) -> int:
+    end = places.next(b"%%EOF", at + 8)
+    return end + 5 - at if data[at + 5 : at + 6].isdigit() and 0 <= places.next(b"startxref", at) < end else 0
+
+
+def zip_file(data: bytes, at: int, places: Places) -> int:
+    end = places.next(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(data):
         return 0
     size, start = _u(data, end + 12, 4), _u(data, end + 16, 4)
@@ -113,14 +130,17 @@ def zip_file(data: bytes, at: int) -> int:
 
 
 def gzip_file(data: bytes, at: int) -> int:
-    reader = zlib.decompressobj(31)
+    reader, p = zlib.decompressobj(31), at
     try:
-        reader.decompress(data[at:], 1 << 16)
-        while not reader.eof and reader.unconsumed_tail:
-            reader.decompress(reader.unconsumed_tail, 1 << 16)
+        while not reader.eof and p < len(data):
+            part = data[p : p + (1 << 16)]
+            p += len(part)
+            reader.decompress(part, 1 << 16)
+            while not reader.eof and reader.unconsumed_tail:
+                reader.decompress(reader.unconsumed_tail, 1 << 16)
     except zlib.error:
         return 0
-    return len(data) - at - len(reader.unused_data) if reader.eof else 0
+    return p - at - len(reader.unused_data) if reader.eof else 0
 
 
 def flac(data: bytes, at: int) -> int:
@@ -172,6 +192,8 @@ SIGNATURES = [
     (b"OggS", 0, "audio/ogg", ogg),
     (b"ftyp", 4, "video/mp4", mp4),
 ]
+#: Validators that look for a marker further on.
+SEEKING = {jpeg, pdf, zip_file}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -189,13 +211,13 @@ def carve(data: bytes, search: ahocorasick.Automaton) -> list[tuple[int, int, st
 
     Pages of one Ogg file count once. An item inside another is listed as well.
     """
-    found, ogg_end = [], 0
+    found, ogg_end, places = [], 0, Places(data)
     for end, (size, kinds) in search.iter(data.decode("latin-1")):
         at = end + 1 - size
         for before, kind, check in kinds:
             if kind == "audio/ogg" and at < ogg_end:
                 continue
-            length = check(data, at)
+            length = check(data, at, places) if check in SEEKING else check(data, at)
             if length:
                 found.append((at - before, length, kind))
                 ogg_end = at + length if kind == "audio/ogg" else ogg_end

@@ -70,7 +70,7 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
         grad = np.concatenate(([tail[0]], tail[1:] * gaps)) / max(n, 1)
         grad = np.concatenate((grad, d_w))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-        free = free + 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        free = free + 0.05 * (1 - (t - 1) / ITERATIONS) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     gaps = np.exp(free[1:k])
     return free[k:], free[0] + np.concatenate(([0.0], np.cumsum(gaps)))
 
@@ -95,14 +95,15 @@ def _counts(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``; null labels and ids are left out.
 
-    An id with several labels is toxic if one says so. Without labels or documents nothing is a
+    An id with several labels is toxic if one says so, and so is a text that several rows have; labels above 0 mean toxic. Without labels or documents nothing is a
     feature and the thresholds say that grade 0 is likely.
     """
-    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     part = min(1.0, TRAIN_ROWS / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # TRAIN_ROWS bounds it
-    rows = rows.withColumn("hash", F.xxhash64("text")).dropDuplicates(["hash"])  # copies aren't further evidence
+    # copies aren't further evidence; toxic if one of them is
+    rows = rows.groupBy(F.xxhash64("text").alias("hash")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
     counts = _counts(rows).persist()
     classes = {r.toxic: r["n"] for r in counts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, n_toxic = sum(classes.values()), classes.get(1, 0)
