@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Components of the vectors, letters of an n-gram, characters worked on at once.
-DIMENSIONS, N, STEP_CHARS = 2048, 3, 1 << 17
+DIMENSIONS, N, STEP_CHARS = 1024, 3, 1 << 17
+#: Kinds of n-grams whose vectors are held at once.
+KINDS = 4096
 #: Texts are told apart from noise by the cosines of labelled texts of like length: this quantile, and what part of it must be reached.
 QUANTILE, PART = 0.001, 0.75
 #: Labelled texts that a length needs to have a bound of its own, and deviations of the cosine of unlike vectors that are noise at any length.
@@ -95,19 +97,26 @@ def _vectors_and_sizes(texts: list[str | None]):
         if not len(gram):
             continue
         kinds, kind = np.unique(gram, return_inverse=True)
-        vectors, rest = np.ones((len(kinds), DIMENSIONS), np.float32), kinds.copy()
-        for j in range(N):
-            vectors *= np.roll(base, j, axis=1)[rest % a]
-            rest //= a
-        step = max(1, (1 << 20) // len(kinds))
-        for s in range(0, len(rows), step):
-            mine = (middle >= s) & (middle < s + step)
-            n = min(step, len(rows) - s)
-            counts = np.bincount((middle[mine] - s) * len(kinds) + kind[mine], minlength=n * len(kinds)).reshape(n, -1)
-            made = counts.astype(np.float32) @ vectors
-            at = np.flatnonzero(has[s : s + n])
-            if len(at):
-                yield [rows[s + i] for i in at], made[at].astype(np.float64), counts.sum(1)[at]
+        order = np.argsort(kind, kind="stable")
+        middle, kind = middle[order], kind[order]
+        made, sizes = np.zeros((len(rows), DIMENSIONS), np.float32), np.bincount(middle, minlength=len(rows))
+        for k in range(0, len(kinds), KINDS):
+            rest = kinds[k : k + KINDS].copy()
+            vectors, width = np.ones((len(rest), DIMENSIONS), np.float32), len(rest)
+            for j in range(N):
+                vectors *= np.roll(base, j, axis=1)[rest % a]
+                rest //= a
+            first, last = np.searchsorted(kind, [k, k + width])
+            here, of = middle[first:last], kind[first:last] - k
+            step = max(1, (1 << 20) // width)
+            for s in range(0, len(rows), step):
+                n = min(step, len(rows) - s)
+                mine = (here >= s) & (here < s + step)
+                counts = np.bincount((here[mine] - s) * width + of[mine], minlength=n * width).reshape(n, width)
+                made[s : s + n] += counts.astype(np.float32) @ vectors
+        at = np.flatnonzero(has)
+        if len(at):
+            yield [rows[i] for i in at], made[at].astype(np.float64), sizes[at]
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
