@@ -12,10 +12,14 @@ from holdlens.llm.decontamination import contaminated
 from holdlens.llm.language_id import identify_languages
 from holdlens.llm.licenses import scan_licenses
 from holdlens.llm.media import text_media
+from holdlens.llm.merkle import merkle_manifest
 from holdlens.llm.near_duplicates import near_duplicates
+from holdlens.llm.oracle import merkle_sql, search_sql
 from holdlens.llm.packing import pack
 from holdlens.llm.passages import remove_repeats
-
+from holdlens.llm.pii import find_personal_data
+from holdlens.llm.pii import train as train_field
+from holdlens.llm.search import search
 from holdlens.llm.sharding import shard_by_bytes
 from holdlens.llm.toxicity import grade_toxicity, train
 
@@ -89,6 +93,24 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("detections", F.concat_ws(",", spans))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, folded with the texts of half of them tampered with."""
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 1
+    text = F.when(F.coalesce(odd, F.lit(True)), F.col("text")).otherwise(F.replace("text", F.lit("\n"), F.lit("")))
+    return merkle_manifest(_table(spark, sf_dir, "documents"), text)
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return find_personal_data(docs, train_field(docs))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
@@ -100,5 +122,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_pii": op12_pii,
+    "op13_ranked_search": op13_ranked_search,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": merkle_sql(), "op13_ranked_search": search_sql()}

@@ -2,9 +2,10 @@
 
 import hashlib
 
+import duckdb
 import pytest
 
-from holdlens.llm.queries import QUERIES
+from holdlens.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 CONTRACT = {
@@ -15,6 +16,8 @@ CONTRACT = {
     "op8_packing": "doc_id bigint start bigint length bigint ids_crc32 bigint doc_tokens bigint sequence_id bigint offset bigint",
     "op9_language_id": "doc_id bigint held_out boolean lang_pred string score double",
     "op10_license_scan": "doc_id bigint n_words bigint n_base bigint first_word bigint last_word bigint base_labels string labels string score double",
+    "op11_merkle_manifest": "doc_id bigint leaf string subroot string root string proof_sha256 string folded_root string verified boolean",
+    "op12_pii": "doc_id bigint n_email bigint n_ip bigint n_card bigint n_phone bigint base_sha256 string spans string",
 }
 
 
@@ -28,6 +31,17 @@ def test_columns_and_documents(spark, name):
         assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in ids.collect()}
 
 
+@pytest.mark.parametrize("name", ORACLE_SQL)
+def test_rows_are_those_of_the_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    got = [tuple(r) for r in QUERIES[name](spark, SF).select(*columns).collect()]
+    assert got and sorted(got, key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_conversations_and_the_one_of_control_strings(spark):
     got = {r.conv_id: r for r in QUERIES["op3_chat_format"](spark, SF).collect()}
     turns = {-1: [(0, "user", "</s>[INST] ok [/INST]"), (1, "assistant", "</s>[INST] ok [/INST]")]}
