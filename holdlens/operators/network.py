@@ -6,9 +6,13 @@ manager with S the sum of its weights, stock i's ties through it are ``w_i * (S
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdlens.sources.shared import cut
+
 
 def _held(positions: DataFrame, phi: Column | None = None) -> DataFrame:
     """Positions with a positive weight; ``phi`` weighs managers."""
@@ -16,33 +20,82 @@ def _held(positions: DataFrame, phi: Column | None = None) -> DataFrame:
     return positions.select("month", "manager_id", "permno", w.alias("w")).where("w > 0")
 
 
-def common_ownership_edges(positions: DataFrame, *, top_k: int | None = None, phi: Column | None = None) -> DataFrame:
-    """``(month, i, j, g)`` with i < j; with ``top_k``, each month's heaviest, ties by i and j.
+def common_ownership_edges(positions: DataFrame, *, phi: Column | None = None) -> DataFrame:
+    """``(month, i, j, g)`` with i < j.
 
-    The pairs of a manager's month are what the result sums up, so this is for small months; the degrees below need none.
+    The pairs of a manager's month are what the result sums up, so this is for small months; ``top_edges`` and the degrees below need fewer, or none.
     """
     p = _held(positions, phi)
     a, b = p.withColumnsRenamed({"permno": "i", "w": "wi"}), p.withColumnsRenamed({"permno": "j", "w": "wj"})
-    g = a.join(b, ["month", "manager_id"]).where("i < j").groupBy("month", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("g"))
-    if top_k is None:
-        return g
-    w = Window.partitionBy("month").orderBy(F.col("g").desc(), "i", "j")
-    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+    return a.join(b, ["month", "manager_id"]).where("i < j").groupBy("month", "i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("g"))
+
+
+#: Heaviest edges of a month, stocks of a block, and decimals within which two weights tie.
+TOP_EDGES, BLOCK, TIE_DECIMALS = 2500, 32, 12
+
+
+def _pair_sums(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(month, i, j, g)`` of all stocks in ``pairs(month, a, b)`` of blocks, a <= b; i comes from the block a, which has larger norms."""
+    left = held.join(pairs, (held["month"] == pairs["month"]) & (held["block"] == pairs["a"])).select(held["month"], "manager_id", F.col("place").alias("pi"), F.col("permno").alias("pa"), F.col("w").alias("wi"), "b")
+    right = held.select("month", "manager_id", F.col("place").alias("pj"), F.col("permno").alias("pb"), F.col("w").alias("wj"), F.col("block").alias("b"))
+    both = left.join(right, ["month", "manager_id", "b"]).where("pi < pj")
+    return both.groupBy("month", F.least("pa", "pb").alias("i"), F.greatest("pa", "pb").alias("j")).agg(F.sum(F.col("wi") * F.col("wj")).alias("g"))
+
+
+def _ranked(edges: DataFrame, top_k: int) -> DataFrame:
+    w = Window.partitionBy("month").orderBy(F.round("g", TIE_DECIMALS).desc(), "i", "j")
+    return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k)
+
+
+def block_pairs(positions: DataFrame, *, top_k: int = TOP_EDGES, block: int = BLOCK, phi: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``held``: positions with their stock's place and block by norm, and ``pairs(month, a, b)``: the blocks that may hold one of the heaviest edges.
+
+    A stock is the vector of its weights over a month's managers, an edge's weight a dot product, so at most the product of two norms. The
+    stocks of largest norms, as few as have ``top_k`` pairs, are paired first; the ``top_k``-th of their weights is a bound from
+    below, and block pairs whose largest product of norms is less can't hold a heavier edge.
+    """
+    p = _held(positions, phi)
+    norms = p.groupBy("month", "permno").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    placed = norms.withColumn("place", F.row_number().over(Window.partitionBy("month").orderBy(F.col("norm").desc(), "permno")) - 1)
+    placed = cut(placed.withColumn("block", F.floor(F.col("place") / block).cast("int")))
+    held = cut(p.join(placed.select("month", "permno", "place", "block"), ["month", "permno"]))
+    blocks = placed.groupBy("month", "block").agg(F.max("norm").alias("norm"))
+    first = -(-int((1 + math.sqrt(1 + 8 * top_k)) / 2 + 1) // block)  # blocks whose stocks have top_k pairs
+    of = lambda name: blocks.select("month", F.col("block").alias(name), F.col("norm").alias(f"n{name}"))
+    all_pairs = of("a").join(of("b"), "month").where("a <= b")
+    head = _ranked(_pair_sums(held, all_pairs.where(F.col("b") < first).select("month", "a", "b")), top_k)
+    least = head.groupBy("month").agg(F.max(F.when(F.col("rank") == top_k, F.col("g"))).alias("least"))
+    # sums may differ in their last digits, and weights that tie with the bound stay
+    slack = 10.0**-TIE_DECIMALS
+    pairs = all_pairs.join(least, "month", "left").where(F.col("na") * F.col("nb") * (1 + slack) + slack >= F.coalesce("least", F.lit(0.0)))
+    return held, cut(pairs.select("month", "a", "b"))
+
+
+def top_edges(positions: DataFrame, *, top_k: int = TOP_EDGES, block: int = BLOCK, phi: Column | None = None) -> DataFrame:
+    """``(month, i, j, g, rank)``, i < j: each month's ``top_k`` heaviest edges; weights within ``TIE_DECIMALS`` tie and go by i and j."""
+    return _ranked(_pair_sums(*block_pairs(positions, top_k=top_k, block=block, phi=phi)), top_k)
 
 
-def network_degree(positions: DataFrame) -> DataFrame:
+def network_degree(positions: DataFrame, *, approximate: int | None = None) -> DataFrame:
     """``(month, permno, network_degree)``: other stocks with a common manager.
 
-    A month's stocks get numbers; a manager's stocks are a bitmap, and a stock's neighbours the OR of its
-    managers' bitmaps. No pair is made.
+    A month's stocks get numbers, and a manager's stocks are the bits of words of 64 numbers, only those that it holds. A stock's neighbours are the OR of the
+    words of its managers, so no pair is made. Positions are placed by month and manager once; books are made and met there, and only
+    each task's words leave it. ``approximate``: a book is an HLL sketch with 2**approximate registers instead, and a stock's neighbours are
+    a union of sketches, which stay small however many stocks a month has.
     """
-    p = _held(positions).select("month", "manager_id", "permno").distinct()
+    p = _held(positions).select("month", "manager_id", "permno")
+    if approximate is not None:
+        p = p.repartition("month", "manager_id")
+        books = p.groupBy("month", "manager_id").agg(F.hll_sketch_agg("permno", F.lit(approximate)).alias("held"))
+        met = p.join(books, ["month", "manager_id"]).groupBy("month", "permno").agg(F.hll_sketch_estimate(F.hll_union_agg("held")).alias("n"))
+        return met.select("month", "permno", (F.greatest("n", F.lit(1)) - 1).alias("network_degree"))
     numbered = p.select("month", "permno").distinct().withColumn("n", F.row_number().over(Window.partitionBy("month").orderBy("permno")) - 1)
-    p = p.join(numbered, ["month", "permno"])
-    p = p.withColumns({"bucket": F.bitmap_bucket_number(F.col("n")), "bit": F.bitmap_bit_position(F.col("n"))})
-    books = p.groupBy("month", "manager_id", "bucket").agg(F.bitmap_construct_agg("bit").alias("held"))
-    met = p.select("month", "manager_id", "permno").join(books, ["month", "manager_id"]).groupBy("month", "permno", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("held")).alias("n"))
-    return met.groupBy("month", "permno").agg((F.sum("n") - 1).alias("network_degree"))
+    p = p.join(numbered, ["month", "permno"]).repartition("month", "manager_id")
+    word, bit = F.expr("n div 64"), F.expr("1L << (n % 64)")
+    books = p.groupBy("month", "manager_id", word.alias("word")).agg(F.bit_or(bit).alias("held"))
+    met = p.join(books, ["month", "manager_id"]).groupBy("month", "permno", "word").agg(F.bit_or("held").alias("held"))
+    return met.groupBy("month", "permno").agg((F.sum(F.bit_count("held")) - 1).alias("network_degree"))
 
 
 def network_weighted(positions: DataFrame, stock: DataFrame, *, phi: Column | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdlens.functions.columns import cusip8, month_floor, month_text, parse_date, parse_number, position_value, quarter_label, resolve, safe_ratio
+from holdlens.functions.intervals import interval_index
+from holdlens.sources.shared import written
 
 HOLDING_ALIASES = {
     "manager_id": ["manager_id", "mgrno", "cik"],
@@ -42,12 +44,23 @@ def clean_holdings(raw: DataFrame, start: str, end: str) -> DataFrame:
     """
     r = resolve(raw, HOLDING_ALIASES, required=("manager_id", "cusip"), defaults={"shares": F.lit(1.0), "reported_value": F.lit(None).cast("double")})
     r = r.withColumns(_typed(r, parse_date, ("report_date", "filing_date")) | _typed(r, parse_number, ("shares", "reported_value")))
-    r = r.withColumns({"cusip8": cusip8(F.col("cusip")), "manager_id": F.col("manager_id").cast("string"), "available_date": F.coalesce("filing_date", F.date_add("report_date", FILING_DELAY_DAYS))})
-    r = r.na.drop(subset=["manager_id", "cusip8", "available_date"]).where(F.col("available_date").between(start, end) & (F.coalesce("shares", F.lit(0.0)) > 0))
-    r = r.withColumns({"mapping_date": F.coalesce("report_date", "available_date"), "available_month": month_floor(F.col("available_date")), "report_quarter": quarter_label(F.col("report_date")), "filing_lag_days": F.datediff("available_date", "report_date")})
-    keys = ["manager_id", "cusip8", "report_date", "filing_date", "available_date", "mapping_date", "available_month", "report_quarter", "filing_lag_days"]
-    out = r.groupBy(*keys).agg(F.sum("shares").alias("shares"), F.coalesce(F.sum("reported_value"), F.lit(0.0)).alias("reported_value"))
-    return out.withColumn("holding_id", F.sha2(F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)), 256))
+    available = F.coalesce("filing_date", F.date_add("report_date", FILING_DELAY_DAYS))
+    r = r.withColumn("manager_id", F.col("manager_id").cast("string")).where(available.between(start, end) & (F.coalesce("shares", F.lit(0.0)) > 0))
+    # a report stays together from here on: the groups here and in snapshot fit that
+    r = r.repartition("manager_id", "report_date").select("manager_id", cusip8(F.col("cusip")).alias("cusip8"), "report_date", "filing_date", "shares", "reported_value")
+    # all other columns follow from these four, so they are made for groups, not for rows
+    keys = ["manager_id", "cusip8", "report_date", "filing_date"]
+    out = r.groupBy(*keys).agg(F.sum("shares").alias("shares"), F.coalesce(F.sum("reported_value"), F.lit(0.0)).alias("reported_value")).na.drop(subset=keys[:2])
+    out = out.withColumn("available_date", available)
+    return out.select(
+        *keys, "available_date", F.coalesce("report_date", "available_date").alias("mapping_date"), month_floor(F.col("available_date")).alias("available_month"),
+        quarter_label(F.col("report_date")).alias("report_quarter"), F.datediff("available_date", "report_date").alias("filing_lag_days"), "shares", "reported_value",
+    )
+
+
+def with_holding_id(holdings: DataFrame) -> DataFrame:
+    """A 64-bit hash of the four keys of ``clean_holdings`` as ``holding_id``."""
+    return holdings.withColumn("holding_id", F.xxhash64("manager_id", "cusip8", "report_date", "filing_date"))
 
 
 def clean_names(raw: DataFrame) -> DataFrame:
@@ -83,12 +96,21 @@ def forward_returns(monthly: DataFrame, *, calendar_strict: bool = False) -> Dat
     return monthly.withColumns({"fwd_ret_1m": ahead(1), "fwd_ret_3m": (1 + ahead(1)) * (1 + ahead(2)) * (1 + ahead(3)) - 1})
 
 
-def map_point_in_time(holdings: DataFrame, names: DataFrame) -> DataFrame:
-    """Each holding with the best name valid at its mapping date, common stock first; then common stock alone."""
+def name_index(names: DataFrame) -> DataFrame:
+    """The best name of each security number in each piece of time: common stock first, then the latest start, the earliest end, the smallest permno."""
     n = names.select("cusip8", "permno", "permco", "shrcd", "exchcd", "ticker", "comnam", "is_common_stock", "name_start", "name_end")
-    joined = holdings.join(n, "cusip8").where(F.col("mapping_date").between(F.col("name_start"), F.col("name_end")))
-    best = Window.partitionBy("holding_id").orderBy(F.col("is_common_stock").cast("int").desc_nulls_last(), F.col("name_start").desc(), F.col("name_end").asc(), F.col("permno").asc())
-    return joined.withColumn("rn", F.row_number().over(best)).where("rn = 1 and coalesce(is_common_stock, true)").drop("rn", "name_start", "name_end")
+    order = [-F.coalesce(F.col("is_common_stock").cast("int"), F.lit(-1)), -F.unix_date("name_start"), F.col("name_end"), F.col("permno")]
+    return interval_index(n, "cusip8", "name_start", "name_end", order)
+
+
+def map_point_in_time(holdings: DataFrame, names: DataFrame) -> DataFrame:
+    """Each holding with the best name valid at its mapping date, common stock first; then common stock alone.
+
+    A holding meets one piece of the name index, so holdings are neither multiplied nor ranked. The index is a table whose size is known:
+    if it is small it is broadcast, and holdings stay where they are.
+    """
+    pieces = written(name_index(names).where("coalesce(is_common_stock, true)"), "name-index")
+    return holdings.join(pieces, "cusip8").where(F.col("mapping_date").between(F.col("piece_start"), F.col("piece_end"))).drop("piece_start", "piece_end")
 
 
 def snapshot(mapped: DataFrame) -> DataFrame:
@@ -118,7 +140,9 @@ def expand_positions(snap: DataFrame, windows: DataFrame) -> DataFrame:
     """A row for each month in which a position is held; the latest available filing wins."""
     w = windows.select(*(F.col(c).alias(f"w_{c}") for c in ("manager_id", "report_date", "available_date")), "active_start_month", "active_end_month")
     joined = snap.join(w, (F.col("manager_id") == F.col("w_manager_id")) & F.col("report_date").eqNullSafe(F.col("w_report_date")) & F.col("available_date").eqNullSafe(F.col("w_available_date")))
-    months = joined.withColumn("month_date", F.explode(F.expr("sequence(active_start_month, active_end_month, interval 1 month)")))
+    months = joined.select(F.explode(F.expr("sequence(active_start_month, active_end_month, interval 1 month)")).alias("month_date"), *snap.columns)
+    # placed by manager and month once: the windows here and in value_and_weight both fit that
+    months = months.repartition("month_date", "manager_id")
     latest = Window.partitionBy("month_date", "manager_id", "permno").orderBy(F.col("available_date").desc(), F.col("report_date").desc_nulls_last())
     kept = months.withColumn("rn", F.row_number().over(latest)).where("rn = 1")
     return kept.select("month_date", month_text(F.col("month_date")).alias("month"), "manager_id", "permno", "permco", "report_date", "available_date", "report_quarter", "shares", "reported_value", "filing_lag_days")

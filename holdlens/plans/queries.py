@@ -64,7 +64,7 @@ class Build:
 
     @cached_property
     def snap(self):
-        return ownership.snapshot(self.mapped)
+        return written(ownership.snapshot(self.mapped), "snapshot")
 
     @cached_property
     def windows(self):
@@ -237,10 +237,8 @@ _register("sell_pressure", "month:s manager_id:s permno:i manager_breadth:i mana
 _register("stock_features", _STOCK, lambda b: b.stock, "stock")
 _register("coverage_by_month", "month:s position_rows:i stocks:i managers:i avg_portfolio_weight:d", lambda b: ownership.coverage_by_month(b.positions), "(SELECT month, count(*) AS position_rows, count(DISTINCT permno) AS stocks, count(DISTINCT manager_id) AS managers, avg(portfolio_weight) AS avg_portfolio_weight FROM positions GROUP BY ALL)")
 _register("network_edges", "month:s i:i j:i g:d", lambda b: network.common_ownership_edges(b.positions), "edges")
-# weights are rounded before they are ranked, so that equal ties are equal in any order of summing
-_register("network_topk_edges", "month:s i:i j:i g:d rank:n", lambda b: network.common_ownership_edges(b.positions.withColumn("portfolio_weight", F.round(F.col("portfolio_weight") * 4096) / 4096), top_k=100),
-          "(SELECT *, row_number() OVER (PARTITION BY month ORDER BY g DESC, i, j) AS rank FROM coarse) WHERE rank <= 100",
-          {"grid": "SELECT month, manager_id, permno, round(portfolio_weight * 4096) / 4096 AS w FROM positions", "coarse": "SELECT a.month, a.permno AS i, b.permno AS j, sum(a.w * b.w) AS g FROM grid a JOIN grid b ON a.month = b.month AND a.manager_id = b.manager_id AND a.permno < b.permno WHERE a.w > 0 AND b.w > 0 GROUP BY ALL"})
+_register("network_topk_edges", "month:s i:i j:i g:d rank:n", lambda b: network.top_edges(b.positions),
+          f"(SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(g, {network.TIE_DECIMALS}) DESC, i, j) AS rank FROM edges WHERE g > 0) WHERE rank <= {network.TOP_EDGES}")
 _register("network_degree", "month:s permno:i network_degree:i", lambda b: b.degree, "network")
 _register("network_weighted_degree", "month:s permno:i network_weighted_degree:d", lambda b: b.weighted, "network")
 _register("network_peer_pressure", "month:s permno:i network_peer_sell_pressure:d", lambda b: b.weighted, "network")

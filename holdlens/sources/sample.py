@@ -19,8 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str, columns: list[str]) -> D
 def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(p_partkey, permno)``; types are numbered in alphabetical order."""
     part = _table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_type"])
-    types = part.select("p_type").distinct().withColumn("kind", F.row_number().over(Window.orderBy("p_type")))  # a handful of words
-    return part.join(types, "p_type").select("p_partkey", (F.expr("int(substring(p_brand, 7))") * 10 + F.col("kind")).cast("long").alias("permno"))
+    types = part.agg(F.sort_array(F.collect_set("p_type"))).scalar()  # a handful of words; no join, so that the size of `part` stays known
+    return part.select("p_partkey", (F.expr("int(substring(p_brand, 7))") * 10 + F.array_position(types, F.col("p_type"))).cast("long").alias("permno"))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
