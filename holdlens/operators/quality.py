@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdlens.functions.quantiles import exact_quantiles
+
+
+def _quantile_metrics(df: DataFrame, names: dict[str, tuple[str, float]]) -> DataFrame:
+    """(metric, value) rows; ``names``: the column and the share of each metric."""
+    asked: dict[str, list[float]] = {}
+    for c, p in names.values():
+        asked.setdefault(c, []).append(p)
+    metrics = df.sparkSession.createDataFrame([(m, c, p) for m, (c, p) in names.items()], "metric string, name string, p double")
+    return F.broadcast(metrics).join(exact_quantiles(df, asked), ["name", "p"]).select("metric", "value")
+
 
 def _tall(df: DataFrame, names: list[str], key: str = "metric", value: str = "value") -> DataFrame:
     """One row as (key, value) rows of doubles."""
@@ -27,10 +38,10 @@ def audit_holdings(holdings: DataFrame) -> DataFrame:
     """Filing lags and shares as (metric, value)."""
     lag = F.col("filing_lag_days").cast("double")
     one = holdings.agg(
-        F.avg(lag).alias("lag_mean"), *(F.percentile(lag, F.lit(p)).alias(n) for p, n in ((0.05, "lag_p05"), (0.5, "lag_p50"), (0.95, "lag_p95"))),
-        F.min(lag).alias("lag_min"), F.max(lag).alias("lag_max"), F.avg((F.coalesce("shares", F.lit(0.0)) > 0).cast("int")).alias("shares_positive_rate"), F.avg((lag < 0).cast("int")).alias("negative_lag_share"),
+        F.avg(lag).alias("lag_mean"), F.min(lag).alias("lag_min"), F.max(lag).alias("lag_max"),
+        F.avg((F.coalesce("shares", F.lit(0.0)) > 0).cast("int")).alias("shares_positive_rate"), F.avg((lag < 0).cast("int")).alias("negative_lag_share"),
     )
-    return _tall(one, one.columns)
+    return _tall(one, one.columns).unionByName(_quantile_metrics(holdings, {f"lag_p{p:02d}": ("filing_lag_days", p / 100) for p in (5, 50, 95)}))
 
 
 def audit_key_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -53,8 +64,8 @@ def audit_universe(names: DataFrame) -> DataFrame:
 
 
 def audit_returns(monthly: DataFrame) -> DataFrame:
-    one = monthly.agg(*(F.percentile("ret", F.lit(p)).alias(n) for p, n in ((0.01, "ret_p01"), (0.5, "ret_p50"), (0.99, "ret_p99"))), F.avg((F.abs("prc") >= 5).cast("int")).alias("price_at_least_5_rate"))
-    return _tall(one, one.columns)
+    one = monthly.agg(F.avg((F.abs("prc") >= 5).cast("int")).alias("price_at_least_5_rate"))
+    return _tall(one, one.columns).unionByName(_quantile_metrics(monthly, {f"ret_p{p:02d}": ("ret", p / 100) for p in (1, 50, 99)}))
 
 
 def build_metrics(holdings: DataFrame, mapped: DataFrame, positions: DataFrame, panel: DataFrame) -> DataFrame:
@@ -66,9 +77,9 @@ def build_metrics(holdings: DataFrame, mapped: DataFrame, positions: DataFrame,
     p = panel.agg(
         F.count(F.lit(1)).alias("panel_rows"), F.count_distinct("month").alias("panel_months"), F.count_distinct("permno").alias("panel_stocks"),
         F.avg(F.col("fwd_ret_1m").isNotNull().cast("int")).alias("fwd_ret_1m_coverage"), F.avg(F.col("fwd_ret_3m").isNotNull().cast("int")).alias("fwd_ret_3m_coverage"),
-        F.median("owner_count").alias("median_owner_count"), F.median("network_degree").alias("median_network_degree"),
     )
-    return h.unionByName(m).unionByName(rate).unionByName(count(positions, "position_rows")).unionByName(_tall(p, p.columns))
+    medians = _quantile_metrics(panel, {f"median_{c}": (c, 0.5) for c in ("owner_count", "network_degree")})
+    return h.unionByName(m).unionByName(rate).unionByName(count(positions, "position_rows")).unionByName(_tall(p, p.columns)).unionByName(medians)
 
 
 def quality_gate(metrics: DataFrame, minimums: dict[str, float]) -> DataFrame:
@@ -85,18 +96,24 @@ def describe_panel(panel: DataFrame) -> DataFrame:
 
 
 def feature_coverage(panel: DataFrame, features: list[str], core: set[str], negative: set[str]) -> DataFrame:
-    """A row for each feature, from one pass over the panel."""
-    def parts(f: str) -> list[Column]:
+    """A row for each feature: a pass that sums up months, then one over months; medians by narrowing."""
+    def of_month(f: str) -> list[Column]:
         x = F.col(f).try_cast("double")
-        return [F.count(f).alias(f"{f}__n"), F.count_distinct(F.when(F.col(f).isNotNull(), F.col("month"))).alias(f"{f}__m"), F.avg(x).alias(f"{f}__avg"), F.median(x).alias(f"{f}__med"), F.min(x).alias(f"{f}__lo"), F.max(x).alias(f"{f}__hi")]
+        return [F.count(f).alias(f"{f}__n"), F.sum(x).alias(f"{f}__sum"), F.count(x).alias(f"{f}__c"), F.min(x).alias(f"{f}__lo"), F.max(x).alias(f"{f}__hi")]
+
+    def whole(f: str) -> list[Column]:
+        n = F.col(f"{f}__n")
+        return [F.sum(n).alias(f"{f}__n"), F.count(F.when(n > 0, F.col("month"))).alias(f"{f}__m"), (F.sum(f"{f}__sum") / F.nullif(F.sum(f"{f}__c"), F.lit(0))).alias(f"{f}__avg"), F.min(f"{f}__lo").alias(f"{f}__lo"), F.max(f"{f}__hi").alias(f"{f}__hi")]
 
-    one = panel.agg(F.count(F.lit(1)).alias("total"), *(p for f in features for p in parts(f)))
+    months = panel.groupBy("month").agg(F.count(F.lit(1)).alias("total"), *(p for f in features for p in of_month(f)))
+    one = months.agg(F.sum("total").alias("total"), *(p for f in features for p in whole(f)))
     rows = [
         F.struct(
             F.lit(f).alias("feature"), F.lit(f in core).alias("is_core_signal"), F.lit("negative" if f in negative else "not_prespecified").alias("expected_high_minus_low_sign"),
             F.col(f"{f}__n").alias("non_null_rows"), (F.col(f"{f}__n") / F.greatest(F.col("total"), F.lit(1))).alias("coverage"), F.col(f"{f}__m").alias("months_non_null"),
-            F.col(f"{f}__avg").alias("mean_value"), F.col(f"{f}__med").alias("median_value"), F.col(f"{f}__lo").alias("min_value"), F.col(f"{f}__hi").alias("max_value"),
+            F.col(f"{f}__avg").alias("mean_value"), F.col(f"{f}__lo").alias("min_value"), F.col(f"{f}__hi").alias("max_value"),
         )
         for f in features
     ]
-    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    medians = exact_quantiles(panel.select(*(F.col(f).try_cast("double").alias(f) for f in features)), {f: [0.5] for f in features})
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*").join(medians.select(F.col("name").alias("feature"), F.col("value").alias("median_value")), "feature")
