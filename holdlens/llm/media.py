@@ -163,17 +163,25 @@ def ogg(data: bytes, at: int) -> int:
     return p - at if at < p <= len(data) else 0
 
 
-def mp4(data: bytes, at: int) -> int:
-    """``at`` is that of the type in the first box, four bytes into it."""
+def mp4(data: bytes, at: int, chains: dict[int, tuple[int, bool]]) -> int:
+    """``at`` is that of the type in the first box, four bytes into it.
+
+    ``chains`` remembers where the run of boxes from each box ends and whether it has a movie, so that no box is walked twice.
+    """
     start = p = at - 4
-    kinds = []
-    while start >= 0 and p + 8 <= len(data):
-        n, kind = _u(data, p, 4, "big"), data[p + 4 : p + 8]
-        if n < 8 or p + n > len(data) or not kind.isalnum():
-            break
-        kinds.append(kind)
-        p += n
-    return p - start if b"moov" in kinds else 0
+    walked = []
+    while p >= 0 and p not in chains:
+        n = _u(data, p, 4, "big") if p + 8 <= len(data) else 0
+        if n < 8 or p + n > len(data) or not data[p + 4 : p + 8].isalnum():
+            chains[p] = (p, False)
+        else:
+            walked.append(p)
+            p += n
+    end, movie = chains.get(p, (p, False))
+    for box in reversed(walked):
+        movie = movie or data[box + 4 : box + 8] == b"moov"
+        chains[box] = (end, movie)
+    return end - start if movie else 0
 
 
 #: Magic bytes, place of the item before them, type, validator.
@@ -211,13 +219,13 @@ def carve(data: bytes, search: ahocorasick.Automaton) -> list[tuple[int, int, st
 
     Pages of one Ogg file count once. An item inside another is listed as well.
     """
-    found, ogg_end, places = [], 0, Places(data)
+    found, ogg_end, places, chains = [], 0, Places(data), {}
     for end, (size, kinds) in search.iter(data.decode("latin-1")):
         at = end + 1 - size
         for before, kind, check in kinds:
             if kind == "audio/ogg" and at < ogg_end:
                 continue
-            length = check(data, at, places) if check in SEEKING else check(data, at)
+            length = check(data, at, places) if check in SEEKING else check(data, at, chains) if check is mp4 else check(data, at)
             if length:
                 found.append((at - before, length, kind))
                 ogg_end = at + length if kind == "audio/ogg" else ogg_end
@@ -227,7 +235,8 @@ def carve(data: bytes, search: ahocorasick.Automaton) -> list[tuple[int, int, st
 def sniff(blobs: DataFrame) -> DataFrame:
     """``blobs(id, media, declared)`` with ``actual`` and ``carved``: arrays of (offset, length, type, bytes).
 
-    actual: the type found at the start, else the declared one; null media: no items. Other columns are not kept.
+    actual: the type found at the start, else the declared one; null media: no items. bytes: null for an item that begins within one
+    before it (offset and length say where it is), so the carved bytes are never more than the media's. Other columns are not kept.
     """
 
     def run(batches):
@@ -237,7 +246,11 @@ def sniff(blobs: DataFrame) -> DataFrame:
             for blob, declared in zip(batch.column("media").to_pylist(), batch.column("declared").to_pylist(), strict=True):
                 items = carve(blob, search) if blob else []
                 actual.append(next((k for at, _, k in items if at == 0), declared))
-                carved.append([{"offset": a, "length": n, "type": k, "bytes": blob[a : a + n]} for a, n, k in items])
+                upto, listed = 0, []
+                for a, n, k in items:
+                    listed.append({"offset": a, "length": n, "type": k, "bytes": blob[a : a + n] if a >= upto else None})
+                    upto = max(upto, a + n)
+                carved.append(listed)
             item = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string()), ("bytes", pa.binary())])
             yield pa.record_batch([batch.column("id"), batch.column("declared"), pa.array(actual, pa.string()), pa.array(carved, pa.list_(item))], ["id", "declared", "actual", "carved"])
 

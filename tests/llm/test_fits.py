@@ -53,3 +53,23 @@ def test_validators_take_linear_time():
     assert time.time() - began < 20
     blob = gzip.compress(bytes(range(256)) * 4000)
     assert media.carve(b"x" + blob + b"tail", search)[0][:2] == (1, len(blob))
+
+
+def test_boxes_are_walked_once():
+    """A megabyte of boxes, each of which could begin a file, and boxes inside others."""
+    search = media.automaton()
+    box = lambda kind, body=b"": (8 + len(body)).to_bytes(4, "big") + kind + body
+    began = time.time()
+    assert media.carve(box(b"ftyp") * 130_000, search) == []
+    many = media.carve(box(b"ftyp") * 20_000 + box(b"moov"), search)
+    assert time.time() - began < 10
+    assert [(a, n) for a, n, _ in many] == [(8 * i, 8 * (20_000 - i) + 8) for i in range(20_000)]
+    inner = box(b"ftyp", b"isom") + box(b"moov", b"x")
+    blob = b"junk" + box(b"ftyp", b"mp42") + box(b"mdat", inner) + box(b"moov") + b"\0"
+    assert [(a, n) for a, n, k in media.carve(blob, search)] == [(4, len(blob) - 5), (4 + 12 + 8, len(inner) + 8)]  # the run goes on behind its box
+
+
+def test_carved_bytes_are_no_more_than_the_media(spark):
+    blob = (b"%PDF-1 " * 3000) + b"startxref 1 %%EOF" + b"fLaC" * 500
+    row = media.sniff(spark.createDataFrame([(1, bytearray(blob), "a/b")], "id long, media binary, declared string")).first()
+    assert len(row.carved) > 1000 and sum(len(x.bytes) for x in row.carved if x.bytes is not None) <= len(blob)
