@@ -67,6 +67,59 @@ def fama_macbeth(df: DataFrame, target: str, xs: list[str], *, by: str = "month"
     return sums.mapInPandas(solve, f"{by} string, variable string, coef double, n_obs long, r2 double, adj_r2 double")
 
 
+def _masked_sums(df: DataFrame, by: str, columns: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Sums of the products ``pairs`` of each ``by`` and pattern of present columns (bit i of ``mask``: column i isn't null), in one pass.
+
+    A product with a null counts as nothing; it belongs to a pattern that lacks the column, which no one asks for its sum.
+    """
+    present = sum((F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)), F.lit(0).cast("long"))
+    of = lambda c: F.lit(1.0) if c == "const" else F.col(c).cast("double")
+    return df.groupBy(by, present.alias("mask")).agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(of(x) * of(y)), F.lit(0.0)).alias(f"s{i}") for i, (x, y) in enumerate(pairs)))
+
+
+def fama_macbeth_grid(df: DataFrame, targets: list[str], grid: dict[str, list[str]], *, by: str = "month", least: int = 50, per_regressor: int = 10) -> DataFrame:
+    """``fama_macbeth`` of each target and specification of ``grid``, with columns ``spec`` and ``target``, from one pass over ``df``.
+
+    Rows are summed by their pattern of present columns. A specification's complete rows are the patterns that hold all its columns, so its sums are
+    those patterns' sums; patterns are few, and only their sums are read once for each specification. At most 63 columns.
+    """
+    columns = list(dict.fromkeys([*(x for xs in grid.values() for x in xs), *targets]))
+    if len(columns) > 63:
+        raise ValueError(f"{len(columns)} columns, at most 63")
+    place: dict[tuple[str, str], int] = {}
+    runs = []
+    for target in targets:
+        for spec, xs in grid.items():
+            names = ["const", *xs]
+            wanted = [(x, y) for i, x in enumerate(names) for y in names[i:]] + [(x, target) for x in names] + [(target, target)]
+            at = [place.setdefault(p if p in place or p[::-1] not in place else p[::-1], len(place)) for p in wanted]
+            need = sum(1 << columns.index(c) for c in [*xs, target])
+            runs.append((spec, target, names, need, at))
+    sums = _masked_sums(df, by, columns, list(place))
+    asked = df.sparkSession.createDataFrame([(i, r[3]) for i, r in enumerate(runs)], "run int, need long")
+    # a row for each pattern and the specifications that it serves; the products are the same columns for all
+    served = sums.join(F.broadcast(asked), F.col("mask").bitwiseAND(F.col("need")) == F.col("need"))
+    whole = served.groupBy(by, "run").agg(F.sum("n").alias("n"), F.array(*(F.sum(f"s{i}") for i in range(len(place)))).alias("sums"))
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for month, run, n, sums in zip(pdf[by], pdf["run"], pdf["n"], pdf["sums"], strict=True):
+                spec, target, names, _, at = runs[run]
+                k, x = len(names), np.asarray(sums)[at]
+                if n < max(least, per_regressor * k):
+                    continue
+                sxx, sxy, syy = _square(x[: k * (k + 1) // 2], k), x[k * (k + 1) // 2 : -1], x[-1]
+                beta = _least_norm(sxx, sxy)
+                rss, tss = max(syy - 2 * beta @ sxy + beta @ sxx @ beta, 0.0), syy - sxy[0] ** 2 / n
+                r2 = 1 - rss / tss if tss > 0 else None
+                adj = 1 - (1 - r2) * (n - 1) / max(n - k, 1) if r2 is not None else None
+                out += [(spec, target, month, v, float(b), int(n), r2, adj) for v, b in zip(names, beta, strict=True)]
+            yield pd.DataFrame(out, columns=["spec", "target", by, "variable", "coef", "n_obs", "r2", "adj_r2"])
+
+    return whole.mapInPandas(solve, f"spec string, target string, {by} string, variable string, coef double, n_obs long, r2 double, adj_r2 double")
+
+
 def fama_macbeth_univariate(long: DataFrame, *, least: int = 50, per_regressor: int = 10) -> DataFrame:
     """The one-regressor case for all of ``long(month, feature, target, x, y)`` at once, in aggregates only."""
     out = long.groupBy("feature", "target", "month").agg(F.count(F.lit(1)).alias("n_obs"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2"))

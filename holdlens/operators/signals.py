@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdlens.functions.columns import finite
 from holdlens.functions.stats import plain_t, safe_corr
+from holdlens.sources.shared import written
 
 # Names of features, controls and targets, and the features whose high values are expected to earn less.
 CORE_FEATURES = ["owner_count", "owner_hhi", "top_owner_share", "fragility_proxy", "avg_manager_breadth", "stock_sell_pressure", "network_degree", "network_weighted_degree", "network_peer_sell_pressure"]
@@ -93,26 +96,56 @@ def feature_correlation(panel: DataFrame, features: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
+def _rank_index(long: DataFrame, sides: int) -> DataFrame:
+    """``(a, x, ranks)``: the average rank of each value x of a column a, among the rows of each side; from ``long(a, x, here)``.
+
+    ``here``: whether a row belongs to each of the ``sides``. Values are counted first. Each part between quantiles ranks its own values and
+    starts from the counts of those before, so no window sees all values.
+    """
+    counts = long.groupBy("a", "x").agg(F.array(*(F.sum(F.col("here")[k].cast("long")) for k in range(sides))).alias("n"))
+    n_parts = max(2, min(1000, -(-long.where(F.col("a") == 0).count() // PART_ROWS)))  # parts only divide the work
+    quantiles = F.percentile_approx("x", F.array(*(F.lit(k / n_parts) for k in range(1, n_parts))), 10 * n_parts + 1000)
+    cuts = [(r.a, r.cuts) for r in long.groupBy("a").agg(quantiles.alias("cuts")).collect()]  # n_parts values a column
+    cuts = F.broadcast(long.sparkSession.createDataFrame(cuts, "a int, cuts array<double>"))
+    parts = counts.join(cuts, "a").select("a", "x", "n", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("part"))
+    upto, along = Window.partitionBy("a", "part").orderBy("x"), Window.partitionBy("a").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy("a", "part").agg(*(F.sum(F.col("n")[k]).alias(f"m{k}") for k in range(sides)))
+    starts = sums.select("a", "part", F.array(*(F.coalesce(F.sum(f"m{k}").over(along), F.lit(0)) for k in range(sides))).alias("start"))
+    within = parts.withColumn("upto", F.array(*(F.sum(F.col("n")[k]).over(upto) for k in range(sides))))
+    rank = lambda k: F.col("start")[k] + F.col("upto")[k] - (F.col("n")[k] - 1) / 2
+    return within.join(starts, ["a", "part"]).select("a", "x", F.array(*(rank(k) for k in range(sides))).alias("ranks"))
+
+
 def spearman_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Spearman correlation of all unordered pairs over rows with both.
 
-    Average ranks come from counts of distinct values in parts between quantiles: each part ranks its own values
-    and starts from the counts of those before, so no window sees all rows.
+    A pair's ranks are among the rows that have both columns. So each value of a column is ranked once for each side: all rows, and the rows that have a
+    column with nulls. Each row then meets one index row for each of its columns, not for each pair, and all pairs are summed in one pass.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("row"), *(finite(F.col(c)).alias(c) for c in columns))
-    pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for i, a in enumerate(columns) for b in columns[i + 1 :]))
-    long = rows.select("row", F.explode(pairs).alias("p")).select("row", "p.*").where("x is not null and y is not null")
-    n_parts = max(2, min(1000, -(-rows.count() // PART_ROWS)))  # parts only divide the work
-
-    def ranked(side: str) -> DataFrame:
-        counts = long.groupBy("a", "b", F.col(side).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        quantiles = F.percentile_approx(side, F.array(*(F.lit(k / n_parts) for k in range(1, n_parts))), 10 * n_parts + 1000)
-        cuts = [(r.a, r.b, r.cuts) for r in long.groupBy("a", "b").agg(quantiles.alias("cuts")).collect()]  # n_parts values a pair
-        cuts = F.broadcast(df.sparkSession.createDataFrame(cuts, "a string, b string, cuts array<double>"))
-        parts = counts.join(cuts, ["a", "b"]).select("a", "b", "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("part"))
-        before = parts.groupBy("a", "b", "part").agg(F.sum("n").alias("in_part")).withColumn("start", F.sum("in_part").over(Window.partitionBy("a", "b").orderBy("part")) - F.col("in_part"))
-        upto = F.sum("n").over(Window.partitionBy("a", "b", "part").orderBy("v"))
-        return parts.withColumn("upto", upto).join(before, ["a", "b", "part"]).select("a", "b", F.col("v").alias(side), (F.col("start") + F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{side}"))
-
-    joined = long.join(ranked("x"), ["a", "b", "x"]).join(ranked("y"), ["a", "b", "y"])
-    return joined.groupBy(F.col("a").alias("feature_x"), F.col("b").alias("feature_y")).agg(F.count(F.lit(1)).alias("n_obs"), safe_corr(F.col("rx"), F.col("ry")).alias("spearman"))
+    rows = written(df.select(F.monotonically_increasing_id().alias("row"), *(finite(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns))), "ranked")
+    counted = rows.agg(F.count(F.lit(1)).alias("all"), *(F.count(f"c{i}").alias(f"c{i}") for i in range(len(columns)))).first()
+    holes = [i for i in range(len(columns)) if counted[f"c{i}"] < counted["all"]]
+    side = {i: k for k, i in enumerate(holes, 1)}  # side 0: all rows
+    here = F.array(F.lit(True), *(F.col(f"c{i}").isNotNull() for i in holes))
+    cells = F.array(*(F.struct(F.lit(i).alias("a"), F.col(f"c{i}").alias("x")) for i in range(len(columns))))
+    long = rows.select("row", here.alias("here"), F.explode(cells).alias("p")).select("row", "here", "p.*").where("x is not null")
+    ranked = long.select("row", "a", "x").join(_rank_index(long, 1 + len(holes)), ["a", "x"])
+    wide = ranked.groupBy("row").agg(*(F.max(F.when(F.col("a") == i, F.col("ranks"))).alias(f"r{i}") for i in range(len(columns))))
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    # sums over the rows that have both; columns without nulls are always there, so most pairs share theirs
+    sums: dict[str, tuple[str, Column]] = {}
+
+    def total(i: int, j: int, *factors: Column) -> Column:
+        held = reduce(Column.__and__, (F.col(f"r{k}").isNotNull() for k in sorted({i, j} & set(holes))), F.lit(True))
+        term = F.sum(F.when(held, reduce(Column.__mul__, factors, F.lit(1.0))))
+        return F.col(sums.setdefault(str(term), (f"s{len(sums)}", term))[0])
+
+    found = []
+    for i, j in pairs:
+        x, y = F.col(f"r{i}")[side.get(j, 0)], F.col(f"r{j}")[side.get(i, 0)]
+        n, sx, sy = total(i, j), total(i, j, x), total(i, j, y)
+        vx, vy = n * total(i, j, x, x) - sx * sx, n * total(i, j, y, y) - sy * sy
+        rho = F.when((vx > 0) & (vy > 0), (n * total(i, j, x, y) - sx * sy) / F.sqrt(vx) / F.sqrt(vy))
+        found.append(F.struct(F.lit(columns[i]).alias("feature_x"), F.lit(columns[j]).alias("feature_y"), n.cast("long").alias("n_obs"), rho.alias("spearman")))
+    one = wide.agg(*(term.alias(name) for name, term in sums.values()))
+    return one.select(F.explode(F.array(*found)).alias("p")).select("p.*").where("n_obs > 0")

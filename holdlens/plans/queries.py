@@ -305,12 +305,7 @@ def _specs(b: Build) -> DataFrame:
 def _coefficients(b: Build) -> DataFrame:
     named = lambda xs: [f"z_{x}" for x in xs]
     grid = eco.spec_grid(named(DIRECT), named(NETWORK), named(MECHANISM), named(signals.CONTROLS), [f"z_{x}_x_z_{y}" for x, y in PAIRS])
-    out = None
-    for target in signals.TARGETS:
-        for name, xs in grid.items():
-            part = eco.fama_macbeth(b.winsorized_z, target, xs, least=30, per_regressor=4).withColumns({"spec": F.lit(name), "target": F.lit(target)})
-            out = part if out is None else out.unionByName(part)
-    return written(out, "coefficients")
+    return written(eco.fama_macbeth_grid(b.winsorized_z, signals.TARGETS, grid, least=30, per_regressor=4), "coefficients")
 
 
 _register("fmb_multivariate", "spec:s target:s variable:s months:i mean_coef:d nw_se:d nw_t:d coef_std:d positive_month_share:d", lambda b: eco.fmb_summary(_specs(b), ["spec", "target", "variable"]))
