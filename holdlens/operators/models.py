@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdlens.functions.columns import annualizer, finite
 from holdlens.functions.stats import average_rank, gram, newey_west, rank_share, safe_corr, winsorize
+from holdlens.sources.shared import cut
 
 ALPHAS = (0.1, 1.0, 3.0, 10.0, 30.0, 100.0)
 #: Rows with a target that a split needs for training, validation and test.
@@ -109,24 +113,92 @@ def ridge_oos(panel: DataFrame, splits: DataFrame, target: str, xs: list[str], *
     return rows.select(F.lit(model).alias("model"), F.lit(target).alias("target"), "test_year", "month", "permno", fitted.alias("prediction"), F.col(target).alias("actual_return"))
 
 
-def boosted_oos(panel: DataFrame, splits: DataFrame, target: str, xs: list[str], *, model: str = "boosted_all", rounds: int = 100, depth: int = 5, step: float = 0.1) -> DataFrame:
-    """As ``ridge_oos`` with gradient-boosted trees that stop on the validation months: a fit a split, on the cluster."""
+#: Splits whose trees are grown at once; each is a series of small jobs that leave most of a cluster idle.
+FITS_AT_ONCE = 4
+_PREDICTED = "model string, target string, test_year int, month string, permno long, prediction double, actual_return double"
+
+
+def _vector(xs: list[str]):
     from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=xs, outputCol="features", handleInvalid="error")
+
+
+def boosted_models(panel: DataFrame, splits: DataFrame, target: str, xs: list[str], *, rounds: int = 100, depth: int = 5, step: float = 0.1) -> list[tuple[int, object]]:
+    """``(test_year, fitted)`` of each split: gradient-boosted trees that stop on the validation months, grown on the cluster.
+
+    The target is winsorised within months; rows without one, or with a null feature, are no examples.
+    """
     from pyspark.ml.regression import GBTRegressor
 
-    data = winsorize(panel.where(F.col(target).isNotNull()), ["month"], [target]).select("month", "permno", *xs, F.col(target).alias("label"))
+    data = winsorize(panel.where(F.col(target).isNotNull()), ["month"], [target]).select("month", *xs, F.col(target).alias("label")).na.drop()
+    data = cut(_vector(xs).transform(data).select("month", "label", "features"))
+    months = cut(split_months(panel, splits, target).where("role != 'test'"))
+
+    def fit(year: int):
+        role = F.broadcast(months.where(F.col("test_year") == year).select("month", (F.col("role") == "valid").alias("held")))  # rows of months
+        trees = GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.85, minInstancesPerNode=20, validationIndicatorCol="held", seed=1729)
+        return year, trees.fit(data.join(role, "month").drop("month"))
+
+    years = [r.test_year for r in splits.select("test_year").distinct().orderBy("test_year").collect()]
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(fit, years))
+
+
+def boosted_predict(fits: list[tuple[int, object]], panel: DataFrame, splits: DataFrame, target: str, xs: list[str], *, model: str = "boosted_all") -> DataFrame:
+    """``(model, target, test_year, month, permno, prediction, actual_return)`` of the test months; null where a feature is, as with ``ridge_oos``."""
     raw = panel.where(F.col(target).isNotNull()).select("month", "permno", *xs, F.col(target).alias("actual_return"))
-    vector = VectorAssembler(inputCols=xs, outputCol="features", handleInvalid="skip")
-    months = split_months(panel, splits, target).persist()  # rows of months
-    out = None
-    for year in [r.test_year for r in splits.select("test_year").orderBy("test_year").collect()]:
-        role = F.broadcast(months.where(F.col("test_year") == year).select("month", "role"))
-        fit_rows = data.join(role, "month").where("role != 'test'").withColumn("held", F.col("role") == "valid")
-        fitted = GBTRegressor(maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.85, minInstancesPerNode=20, validationIndicatorCol="held", seed=1729).fit(vector.transform(fit_rows))
-        scored = fitted.transform(vector.transform(raw.join(role, "month").where("role = 'test'")))
-        part = scored.select(F.lit(model).alias("model"), F.lit(target).alias("target"), F.lit(year).alias("test_year"), "month", "permno", "prediction", "actual_return")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else panel.sparkSession.createDataFrame([], "model string, target string, test_year int, month string, permno long, prediction double, actual_return double")
+    tests = cut(split_months(panel, splits, target).where("role = 'test'"))
+    out = panel.sparkSession.createDataFrame([], _PREDICTED)
+    whole = reduce(Column.__and__, (F.col(x).isNotNull() for x in xs))
+    for year, fitted in fits:
+        rows = raw.join(F.broadcast(tests.where(F.col("test_year") == year).select("month")), "month")
+        scored = fitted.transform(_vector(xs).transform(rows.where(whole))).select("month", "permno", "prediction", "actual_return")
+        scored = scored.unionByName(rows.where(~whole).select("month", "permno", F.lit(None).cast("double").alias("prediction"), "actual_return"))
+        out = out.unionByName(scored.select(F.lit(model).alias("model"), F.lit(target).alias("target"), F.lit(year).alias("test_year"), "month", "permno", "prediction", "actual_return"))
+    return out
+
+
+def boosted_oos(panel: DataFrame, splits: DataFrame, target: str, xs: list[str], *, model: str = "boosted_all", rounds: int = 100, depth: int = 5, step: float = 0.1) -> DataFrame:
+    """As ``ridge_oos`` with gradient-boosted trees: a fit a split."""
+    return boosted_predict(boosted_models(panel, splits, target, xs, rounds=rounds, depth=depth, step=step), panel, splits, target, xs, model=model)
+
+
+def tree_importance(fits: list[tuple[int, object]], panel: DataFrame, splits: DataFrame, target: str, xs: list[str], *, model: str = "boosted_all") -> DataFrame:
+    """``(model, target, test_year, feature, gain, rise)`` of each split's trees.
+
+    gain: the feature's share of what the splits of the trees gained. rise: how much the squared error of the validation months grows when the feature
+    takes the values that another stock has in that month; stocks are paired once, by the order of a hash, and each feature is changed alone, so one pass
+    scores a row once for each feature and once as it is.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    spark = panel.sparkSession
+    gains = [(model, target, year, x, float(fitted.featureImportances[i])) for year, fitted in fits for i, x in enumerate(xs)]
+    gain = spark.createDataFrame(gains, "model string, target string, test_year int, feature string, gain double")
+    months = cut(split_months(panel, splits, target).where("role = 'valid'"))
+    rows = panel.where(F.col(target).isNotNull()).select("month", "permno", F.array(*(F.col(x).cast("double") for x in xs)).alias("v"), F.col(target).alias("y")).where(F.size(F.filter("v", F.isnull)) == 0)
+    in_month = Window.partitionBy("month")
+    rows = rows.withColumns({"i": F.row_number().over(in_month.orderBy("permno")), "j": F.row_number().over(in_month.orderBy(F.xxhash64("permno", "month"), "permno"))})
+    pairs = cut(rows.join(rows.select("month", F.col("j").alias("i"), F.col("v").alias("u")), ["month", "i"]).select("month", "v", "u", "y"))
+    changed = F.explode(F.expr(f"transform(sequence(-1, {len(xs) - 1}), k -> struct(k as k, transform(v, (x, at) -> if(at = k, u[at], x)) as x))"))
+    rises = None
+    for year, fitted in fits:
+        held = pairs.join(F.broadcast(months.where(F.col("test_year") == year).select("month")), "month")
+        scored = fitted.transform(held.select("y", changed.alias("c")).select("y", "c.k", array_to_vector("c.x").alias("features")))
+        error = scored.groupBy("k").agg(F.avg((F.col("prediction") - F.col("y")) ** 2).alias("mse")).withColumn("test_year", F.lit(year))
+        rises = error if rises is None else rises.unionByName(error)
+    if rises is None:
+        return gain.withColumn("rise", F.lit(None).cast("double"))
+    names = spark.createDataFrame(list(enumerate(xs)), "k int, feature string")
+    plain = rises.where("k = -1").select("test_year", F.col("mse").alias("plain"))
+    rise = rises.join(F.broadcast(names), "k").join(plain, "test_year").select("test_year", "feature", (F.col("mse") - F.col("plain")).alias("rise"))  # a row a split and feature
+    return gain.join(rise, ["test_year", "feature"], "left").select("model", "target", "test_year", "feature", "gain", "rise")
+
+
+def mean_importance(importance: DataFrame) -> DataFrame:
+    """``(target, feature, gain, rise, models)``: means over all models and splits, the greatest gain first."""
+    return importance.groupBy("target", "feature").agg(F.avg("gain").alias("gain"), F.avg("rise").alias("rise"), F.count_distinct("model").alias("models")).orderBy("target", F.col("gain").desc(), "feature")
 
 
 def feature_importance(panel: DataFrame, splits: DataFrame, target: str, xs: list[str]) -> DataFrame:

@@ -178,9 +178,33 @@ class Build:
     def ridge(self):
         return self._oos(models.ridge_oos, "ridge", ["all", "no_network", "network_pressure"])
 
+    @cached_property
+    def trees(self):
+        """(model, target, features, splits, fits) of boosted trees for both targets and all feature sets."""
+        found = models.feature_sets(self.model_features)
+        splits = {t: written(self.splits_of(t), "splits") for t in signals.TARGETS}
+        return [(f"boosted_{x}", t, xs, splits[t], models.boosted_models(self.features_z, splits[t], t, xs)) for t in signals.TARGETS for x, xs in found.items()]
+
     @cached_property
     def boosted(self):
-        return self._oos(models.boosted_oos, "boosted", ["all", "no_network", "network_pressure"])
+        return written(reduce(DataFrame.unionByName, (models.boosted_predict(fits, self.features_z, splits, t, xs, model=m) for m, t, xs, splits, fits in self.trees)), "boosted")
+
+    @cached_property
+    def tree_importance(self):
+        return written(reduce(DataFrame.unionByName, (models.tree_importance(fits, self.features_z, splits, t, xs, model=m) for m, t, xs, splits, fits in self.trees)), "importance")
+
+    @cached_property
+    def modelled(self):
+        """Predictions of ridge and trees."""
+        return written(self.ridge.unionByName(self.boosted).where("prediction is not null"), "modelled")
+
+    @cached_property
+    def model_folio(self):
+        return written(portfolio.build_portfolio(self.modelled), "folio")
+
+    @cached_property
+    def model_performance(self):
+        return written(portfolio.performance_summary(self.model_folio), "performance")
 
     @cached_property
     def ridge_performance(self):
@@ -323,6 +347,9 @@ _PRED = "model:s target:s test_year:n month:s permno:i prediction:d actual_retur
 _register("ridge_oos", _PRED, lambda b: b.ridge)
 _register("boosted_oos", _PRED, lambda b: b.boosted)
 _register("feature_importance", "target:s feature:s mean_importance:d", lambda b: reduce(DataFrame.unionByName, (models.feature_importance(b.features_z, b.splits_of(t), t, b.model_features) for t in signals.TARGETS)))
+_register("tree_importance", "model:s target:s test_year:n feature:s gain:d rise:d", lambda b: b.tree_importance)
+_register("mean_tree_importance", "target:s feature:s gain:d rise:d models:i", lambda b: models.mean_importance(b.tree_importance))
+_register("model_eval", "model:s target:s oos_rows:i months:i r2_vs_zero:d sign_hit_rate:d rank_ic_mean:d rank_ic_nw_t:d spread_mean:d spread_nw_t:d annualized_spread_approx:d", lambda b: models.oos_eval(b.modelled))
 _register("ridge_eval", "model:s target:s oos_rows:i months:i r2_vs_zero:d sign_hit_rate:d rank_ic_mean:d rank_ic_nw_t:d spread_mean:d spread_nw_t:d annualized_spread_approx:d", lambda b: models.oos_eval(b.ridge))
 _rc = {"ics": "SELECT model, target, month, count(*) AS n, covar_pop(rp, ra) / nullif(stddev_pop(rp) * stddev_pop(ra), 0) AS rank_ic FROM (SELECT *, rank() OVER (PARTITION BY model, target, month ORDER BY prediction) + (count(*) OVER (PARTITION BY model, target, month, prediction) - 1) / 2 AS rp, rank() OVER (PARTITION BY model, target, month ORDER BY actual_return) + (count(*) OVER (PARTITION BY model, target, month, actual_return) - 1) / 2 AS ra FROM predictions) GROUP BY ALL HAVING count(*) >= 20",
        "ics_ok": "SELECT * FROM ics WHERE rank_ic IS NOT NULL",
@@ -343,6 +370,8 @@ _register("max_drawdown", _FALL, lambda b: b.performance, "perf")
 _register("cost_sensitivity", "model:s target:s cost_bps:n months:i annualized_mean_return:d nw_t_mean:d cumulative_return:d avg_turnover_abs_change:d", lambda b: portfolio.cost_sensitivity(b.folio), "(SELECT *, regexp_extract(return_series, '([0-9]+)bps', 1)::INTEGER AS cost_bps FROM perf WHERE return_series LIKE 'net%')")
 _register("ridge_performance", _PERF, lambda b: b.ridge_performance)
 _register("ridge_network_delta", "target:s comparison:s delta_net25_annualized_mean_return:d delta_net25_sharpe:d delta_net25_cumulative_return:d", lambda b: robustness.incremental_delta(robustness.model_comparison(b.ridge_performance), "ridge_all", "ridge_no_network"))
+_register("model_portfolio_performance", _PERF, lambda b: b.model_performance)
+_register("boosted_network_delta", "target:s comparison:s delta_net25_annualized_mean_return:d delta_net25_sharpe:d delta_net25_cumulative_return:d", lambda b: robustness.incremental_delta(robustness.model_comparison(b.model_performance), "boosted_all", "boosted_no_network"))
 _register("holding_counts", "model:s target:s month:s side:n names:i", lambda b: portfolio.holding_counts(b.book), "(SELECT model, target, month, side, count(*) AS names FROM book GROUP BY ALL)")
 _register("select_headline", _PERF, lambda b: portfolio.select_headline(b.performance), "(SELECT * FROM perf ORDER BY (target = 'fwd_ret_1m' AND return_series = 'net_return_25bps')::INTEGER DESC, sharpe_approx DESC NULLS LAST, annualized_mean_return DESC NULLS LAST, model, target, return_series LIMIT 1)")
 _register("factor_attribution", "model:s target:s return_series:s n:i r2:d variable:s coef:d t:d annualized:d", lambda b: portfolio.factor_attribution(b.folio, b.factors))

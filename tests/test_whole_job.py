@@ -4,24 +4,21 @@ from holdlens.operators import econometrics, models
 from holdlens.plans import queries
 
 
-def test_boosted_oos_takes_all_splits_and_the_default_rounds(spark, monkeypatch):
+def test_trees_take_all_splits_sets_and_the_default_rounds(spark, monkeypatch):
     asked = []
-    out = spark.createDataFrame([], "model string, target string, test_year int, month string, permno long, prediction double, actual_return double")
     splits = spark.createDataFrame([(y,) for y in (1999, 2000, 2001, 2002)], "test_year int")
     b = queries.Build(spark, "")
     b.features_z, b.splits_of = None, lambda target: splits
-    monkeypatch.setattr(models, "boosted_oos", lambda *a, **k: asked.append((a, k)) or out)
-    assert b.boosted.count() == 0
-    assert len({(a[2], k["model"]) for a, k in asked}) == len(asked) == 6
+    monkeypatch.setattr(models, "boosted_models", lambda *a, **k: asked.append((a, k)) or [])
+    assert len({(m, t) for m, t, *_ in b.trees}) == len(asked) == 6
     for (_, given, *_), options in asked:
-        assert set(options) == {"model"} and {r.test_year for r in given.collect()} == {1999, 2000, 2001, 2002}
+        assert options == {} and {r.test_year for r in given.collect()} == {1999, 2000, 2001, 2002}
 
 
 def test_fmb_multivariate_runs_the_whole_grid_and_both_targets(spark, monkeypatch):
     asked = []
-    spark_build = queries.build(spark, "/root/testdata/sf0.001")
-    out = spark.createDataFrame([], "month string, variable string, coef double, n_obs long, r2 double, adj_r2 double")
-    monkeypatch.setattr(econometrics, "fama_macbeth", lambda df, target, xs, **k: asked.append((target, tuple(xs))) or out)
-    found = queries._coefficients(spark_build)
-    assert {"spec", "target"} <= set(found.columns)
-    assert len(asked) == len(set(asked)) == 30 and {t for t, _ in asked} == {"fwd_ret_1m", "fwd_ret_3m"}
+    out = spark.createDataFrame([], "spec string, target string, month string, variable string, coef double, n_obs long, r2 double, adj_r2 double")
+    monkeypatch.setattr(econometrics, "fama_macbeth_grid", lambda df, targets, grid, **k: asked.append((targets, grid)) or out)
+    queries._coefficients(queries.build(spark, "/root/testdata/sf0.001"))
+    ((targets, grid),) = asked
+    assert targets == ["fwd_ret_1m", "fwd_ret_3m"] and len(grid) == 15 and len({tuple(x) for x in grid.values()}) == 15
