@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from holdlens.functions import stats
 from holdlens.operators import econometrics as eco
 from holdlens.operators import models, network, ownership, portfolio, quality, robustness, signals
-from holdlens.plans.oracle import FEATURES, direction, metrics, newey_west, r, strata, with_ctes
+from holdlens.plans.oracle import ann as annualizing
+from holdlens.plans.oracle import FEATURES, direction, hac, metrics, newey_west, r, strata, with_ctes
 from holdlens.sources import sample, scans
 from holdlens.sources.shared import written
 
@@ -335,11 +336,13 @@ def _coefficients(b: Build) -> DataFrame:
 _register("fmb_multivariate", "spec:s target:s variable:s months:i mean_coef:d nw_se:d nw_t:d coef_std:d positive_month_share:d", lambda b: eco.fmb_summary(_specs(b), ["spec", "target", "variable"]))
 _register("fmb_strongest", "spec:s target:s variable:s months:i mean_coef:d nw_t:d positive_month_share:d", lambda b: eco.strongest(eco.fmb_summary(_specs(b), ["spec", "target", "variable"]), target="fwd_ret_1m", controls=[f"z_{c}" for c in signals.CONTROLS]))
 _register("fmb_model_summary", "spec:s target:s months:i mean_n:d min_n:i mean_adj_r2:d median_adj_r2:d", lambda b: eco.fmb_model_summary(_specs(b), ["spec", "target"]))
-_register("hac_regression", "model:s target:s n:i r2:d variable:s coef:d t:d", lambda b: eco.hac_regression(b.folio.join(b.factors, "month"), ["model", "target"], "month", "gross_dollar_neutral_return", ["mktrf"]))
-_register("factors", "month:s mktrf:d smb:d hml:d", lambda b: b.factors,
-          "(SELECT month, " + ", ".join(f"{f} / (SELECT CASE WHEN median(abs({f})) > 0.5 THEN 100 ELSE 1 END FROM fac) AS {f}" for f in ("mktrf", "smb", "hml")) + " FROM fac)",
-          {"thirds": "SELECT month, ret, row_number() OVER (PARTITION BY month ORDER BY mktcap_proxy, permno) / count(*) OVER (PARTITION BY month) AS size, row_number() OVER (PARTITION BY month ORDER BY prc, permno) / count(*) OVER (PARTITION BY month) AS price FROM monthly WHERE ret IS NOT NULL",
-           "fac": "SELECT * FROM (SELECT month, avg(ret) AS mktrf, avg(CASE WHEN size <= 1.0::DOUBLE / 3 THEN ret END) - avg(CASE WHEN size > 2.0::DOUBLE / 3 THEN ret END) AS smb, avg(CASE WHEN price > 2.0::DOUBLE / 3 THEN ret END) - avg(CASE WHEN price <= 1.0::DOUBLE / 3 THEN ret END) AS hml FROM thirds GROUP BY month) WHERE mktrf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL"})
+_FACTORS = {"thirds": "SELECT month, ret, row_number() OVER (PARTITION BY month ORDER BY mktcap_proxy, permno) / count(*) OVER (PARTITION BY month) AS size, row_number() OVER (PARTITION BY month ORDER BY prc, permno) / count(*) OVER (PARTITION BY month) AS price FROM monthly WHERE ret IS NOT NULL",
+            "fac": "SELECT * FROM (SELECT month, avg(ret) AS mktrf, avg(CASE WHEN size <= 1.0::DOUBLE / 3 THEN ret END) - avg(CASE WHEN size > 2.0::DOUBLE / 3 THEN ret END) AS smb, avg(CASE WHEN price > 2.0::DOUBLE / 3 THEN ret END) - avg(CASE WHEN price <= 1.0::DOUBLE / 3 THEN ret END) AS hml FROM thirds GROUP BY month) WHERE mktrf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL",
+            "factors": "SELECT month, " + ", ".join(f"{f} / (SELECT CASE WHEN median(abs({f})) > 0.5 THEN 100 ELSE 1 END FROM fac) AS {f}" for f in ("mktrf", "smb", "hml")) + " FROM fac"}
+_register("factors", "month:s mktrf:d smb:d hml:d", lambda b: b.factors, "factors", _FACTORS)
+_HAC = _FACTORS | {"folio_factors": "SELECT f.*, mktrf FROM folio f JOIN factors USING (month)"} | hac("market", "folio_factors", "model, target", "month", "gross_dollar_neutral_return", ["mktrf"])
+_register("hac_regression", "model:s target:s n:i r2:d variable:s coef:d t:d", lambda b: eco.hac_regression(b.folio.join(b.factors, "month"), ["model", "target"], "month", "gross_dollar_neutral_return", ["mktrf"]), "market", _HAC)
+_ATTRIBUTION = _FACTORS | {"series_factors": "SELECT s.model, s.target, s.return_series, s.month, s.r, mktrf, smb, hml FROM series s JOIN factors USING (month) WHERE return_series IN ('gross_dollar_neutral_return', 'net_return_25bps')"} | hac("three", "series_factors", "model, target, return_series", "month", "r", ["mktrf", "smb", "hml"]) | {"attributed": f"SELECT *, CASE WHEN variable = 'const' THEN {annualizing()} * coef END AS annualized FROM three"}
 _split = lambda t, h: f"SELECT '{t}' AS target, y AS test_year, f - {h} - {VALID} - {h} AS train_end, f - {h} - {VALID} AS valid_start, f - {h} AS valid_end, f AS first_test FROM (SELECT substring(month, 1, 4)::INTEGER AS y, min(i) AS f FROM numbered WHERE n_{t} > 0 GROUP BY 1)"
 _register("splits", "target:s test_year:n train_end:n valid_start:n valid_end:n first_test:n", lambda b: b.splits,
           f"(SELECT * FROM ({_split('fwd_ret_1m', 1)} UNION ALL {_split('fwd_ret_3m', 3)}) WHERE train_end >= {MIN_TRAIN})", {"numbered": "SELECT *, row_number() OVER (ORDER BY month) - 1 AS i FROM (SELECT month, count(fwd_ret_1m) AS n_fwd_ret_1m, count(fwd_ret_3m) AS n_fwd_ret_3m FROM panel GROUP BY month)"})
@@ -374,7 +377,8 @@ _register("model_portfolio_performance", _PERF, lambda b: b.model_performance)
 _register("boosted_network_delta", "target:s comparison:s delta_net25_annualized_mean_return:d delta_net25_sharpe:d delta_net25_cumulative_return:d", lambda b: robustness.incremental_delta(robustness.model_comparison(b.model_performance), "boosted_all", "boosted_no_network"))
 _register("holding_counts", "model:s target:s month:s side:n names:i", lambda b: portfolio.holding_counts(b.book), "(SELECT model, target, month, side, count(*) AS names FROM book GROUP BY ALL)")
 _register("select_headline", _PERF, lambda b: portfolio.select_headline(b.performance), "(SELECT * FROM perf ORDER BY (target = 'fwd_ret_1m' AND return_series = 'net_return_25bps')::INTEGER DESC, sharpe_approx DESC NULLS LAST, annualized_mean_return DESC NULLS LAST, model, target, return_series LIMIT 1)")
-_register("factor_attribution", "model:s target:s return_series:s n:i r2:d variable:s coef:d t:d annualized:d", lambda b: portfolio.factor_attribution(b.folio, b.factors))
+_register("factor_attribution", "model:s target:s return_series:s n:i r2:d variable:s coef:d t:d annualized:d", lambda b: portfolio.factor_attribution(b.folio, b.factors), "attributed", _ATTRIBUTION)
+_register("model_factor_attribution", "model:s target:s return_series:s n:i r2:d variable:s coef:d t:d annualized:d", lambda b: portfolio.factor_attribution(b.model_folio, b.factors, least=24))
 
 
 def _register_metrics(name: str, by: str, source: Callable[[Build], DataFrame], cte: str, extra: dict[str, str]):
@@ -385,12 +389,30 @@ def _register_metrics(name: str, by: str, source: Callable[[Build], DataFrame],
 
 _regimes = "SELECT *, CASE WHEN y <= 2016 THEN '2012_2016_early_oos' WHEN y <= 2019 THEN '2017_2019_pre_covid' WHEN y <= 2020 THEN '2020_covid' WHEN y <= 2022 THEN '2021_2022_rate_hike' ELSE '2023_2025_recent' END AS regime FROM (SELECT *, substring(month, 1, 4)::INTEGER AS y FROM predictions)"
 _register_metrics("regime_metrics", "model, target, regime", lambda b: robustness.regime_metrics(b.predictions, least=METRIC_ROWS), "in_regime", {"by_year": _regimes, "in_regime": "SELECT * FROM by_year UNION ALL SELECT * REPLACE ('all_oos' AS regime) FROM by_year"})
+_METRICS = "rows:i months:i rank_ic_mean:d rank_ic_t_hac6:d spread_mean:d spread_t_hac6:d hit_rate_mean:d annualized_spread_approx:d"
+_register("model_regime_metrics", f"model:s target:s regime:s {_METRICS}", lambda b: robustness.regime_metrics(b.modelled, least=METRIC_ROWS))
+_register("model_stratum_metrics", f"model:s target:s stratum:s {_METRICS}", lambda b: robustness.stratum_metrics(b.modelled, b.panel, "avg_manager_breadth", least=METRIC_ROWS))
 _register("tercile_strata", "month:s permno:i stratum:s", lambda b: robustness.tercile_strata(b.panel, "mktcap_proxy"), "strata", {"strata": strata("mktcap_proxy")})
 _register_metrics("stratum_metrics", "model, target, stratum", lambda b: robustness.stratum_metrics(b.predictions, b.panel, "avg_manager_breadth", least=METRIC_ROWS), "in_stratum", {"strata": strata("avg_manager_breadth"), "in_stratum": "SELECT p.*, s.stratum FROM predictions p JOIN strata s ON p.month = s.month AND p.permno = s.permno WHERE s.stratum <> 'missing'"})
 _register("permutation_placebo", "model:s target:s actual_rank_ic_mean:d actual_rank_ic_t_hac6:d placebo_rank_ic_mean:d placebo_rank_ic_t_hac6:d rank_ic_gap_actual_minus_placebo:d spread_gap_actual_minus_placebo:d", lambda b: robustness.permutation_placebo(b.predictions, least=METRIC_ROWS))
 _register("model_comparison", f"{_PERF} rank_by_sharpe_within_target:n", lambda b: robustness.model_comparison(b.performance), "compared")
-_register("scorecard", "model:s target:s oos_rank_ic_mean:d oos_rank_ic_t_hac6:d oos_annualized_spread_approx:d oos_spread_t_hac6:d net25_annualized_mean_return:d net25_sharpe_approx:d net25_nw_t_mean:d net25_cumulative_return:d net25_max_drawdown:d factor_alpha_annualized:d factor_alpha_t_hac6:d factor_r2:d factor_beta_mktrf:d factor_beta_smb:d factor_beta_hml:d placebo_rank_ic_mean:d placebo_rank_ic_t_hac6:d rank_ic_gap_actual_minus_placebo:d spread_gap_actual_minus_placebo:d",
-          lambda b: robustness.scorecard(b.predictions, robustness.model_comparison(b.performance), portfolio.factor_attribution(b.folio, b.factors), least=METRIC_ROWS))
+_SCORE = "oos_rank_ic_mean:d oos_rank_ic_t_hac6:d oos_annualized_spread_approx:d oos_spread_t_hac6:d net25_annualized_mean_return:d net25_sharpe_approx:d net25_nw_t_mean:d net25_cumulative_return:d net25_max_drawdown:d factor_alpha_annualized:d factor_alpha_t_hac6:d factor_r2:d factor_beta_mktrf:d factor_beta_smb:d factor_beta_hml:d"
+_PLACEBO = "placebo_rank_ic_mean:d placebo_rank_ic_t_hac6:d rank_ic_gap_actual_minus_placebo:d spread_gap_actual_minus_placebo:d"
+
+
+def _card(b: Build) -> DataFrame:
+    if "card" not in vars(b):
+        b.card = written(robustness.scorecard(b.predictions, robustness.model_comparison(b.performance), portfolio.factor_attribution(b.folio, b.factors), least=METRIC_ROWS), "scorecard")
+    return b.card
+
+
+_register("scorecard", f"model:s target:s {_SCORE} {_PLACEBO}", _card)
+# the placebo is ordered by a hash that SQL doesn't have; all other columns are checked here
+_fit = ", ".join(f"max(CASE WHEN variable = '{v}' THEN {c} END) AS {n}" for v, c, n in (("const", "annualized", "factor_alpha_annualized"), ("const", "t", "factor_alpha_t_hac6"), *((f, "coef", f"factor_beta_{f}") for f in ("mktrf", "smb", "hml"))))
+_register("scorecard_without_placebo", f"model:s target:s {_SCORE}", _card,
+          "(SELECT m.model, m.target, rank_ic_mean AS oos_rank_ic_mean, rank_ic_t_hac6 AS oos_rank_ic_t_hac6, annualized_spread_approx AS oos_annualized_spread_approx, spread_t_hac6 AS oos_spread_t_hac6, c.annualized_mean_return AS net25_annualized_mean_return, c.sharpe_approx AS net25_sharpe_approx, c.nw_t_mean AS net25_nw_t_mean, c.cumulative_return AS net25_cumulative_return, c.max_drawdown AS net25_max_drawdown, f.* EXCLUDE (model, target) FROM whole_metrics m LEFT JOIN compared c ON m.model = c.model AND m.target = c.target LEFT JOIN fits f ON m.model = f.model AND m.target = f.target)",
+          _ATTRIBUTION | {"whole_metrics": metrics("predictions", "model, target", METRIC_ROWS), "fits": f"SELECT model, target, max(r2) AS factor_r2, {_fit} FROM attributed WHERE return_series = 'net_return_25bps' GROUP BY model, target"})
+_register("model_scorecard", f"model:s target:s {_SCORE} {_PLACEBO}", lambda b: robustness.scorecard(b.modelled, robustness.model_comparison(b.model_performance), portfolio.factor_attribution(b.model_folio, b.factors, least=24), least=METRIC_ROWS))
 _register("incremental_delta", "target:s comparison:s delta_net25_annualized_mean_return:d delta_net25_sharpe:d delta_net25_cumulative_return:d", lambda b: robustness.incremental_delta(robustness.model_comparison(b.performance)),
           "(SELECT a.target, 'all_minus_no_network' AS comparison, a.annualized_mean_return - b.annualized_mean_return AS delta_net25_annualized_mean_return, a.sharpe_approx - b.sharpe_approx AS delta_net25_sharpe, a.cumulative_return - b.cumulative_return AS delta_net25_cumulative_return FROM compared a JOIN compared b ON a.target = b.target AND a.model = 'all' AND b.model = 'no_network')")
 _register("profile_source", "column:s rows:i non_null_rate:d distinct_values:i min_date:D max_date:D", lambda b: quality.profile_source(b.holdings, ["manager_id", "cusip8", "filing_date"], ["filing_date"]),
