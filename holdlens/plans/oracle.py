@@ -99,29 +99,53 @@ CTES: dict[str, str] = {
 }
 
 
+def taken_out(out: dict[str, str], prefix: str, rows: str, by: str, columns: list[str]) -> str:
+    """Adds expressions to ``out`` that take each of ``columns`` out of those after it, group by group; the last one's name."""
+    w = f"OVER (PARTITION BY {by})"
+    for i, v in enumerate(columns[:-1]):
+        rest = ", ".join(f"{c} - sum({v} * {c}) {w} / sum({v} * {v}) {w} * {v} AS {c}" for c in columns[i + 1 :])
+        out[f"{prefix}{i}"] = f"SELECT * REPLACE ({rest}) FROM {rows}"
+        rows = f"{prefix}{i}"
+    return rows
+
+
+def _regression_rows(source: str, by: str, kept: str, y: str, xs: list[str], least: int) -> str:
+    """Complete rows with y, y0 (y again), x0 = 1, x1, ... of groups with ``least`` of them, and their number n."""
+    named = ", ".join(f"{x}::DOUBLE AS x{i}" for i, x in enumerate(xs, 1))
+    return f"SELECT * FROM (SELECT {kept}, {y}::DOUBLE AS y, {y}::DOUBLE AS y0, 1.0::DOUBLE AS x0, {named}, count(*) OVER (PARTITION BY {by}) AS n FROM {source} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [y, *xs])}) WHERE n >= {least}"
+
+
+_R2 = "1 - sum(y * y) / nullif(sum(y0 * y0) - sum(y0) * sum(y0) / count(*), 0)"
+
+
+def ols(name: str, source: str, by: str, y: str, xs: list[str], least: int) -> dict[str, str]:
+    """Expressions that end in ``name`` with by, n_obs, r2, adj_r2, variable, coef: least squares of y on xs and a constant in each group."""
+    names = [f"x{i}" for i in range(len(xs) + 1)]
+    out = {f"{name}_rows": _regression_rows(source, by, by, y, xs, least)}
+    fit = taken_out(out, f"{name}_e", f"{name}_rows", by, [*names, "y"])
+    out[f"{name}_fit"] = f"SELECT {by}, any_value(n) AS n_obs, {_R2} AS r2 FROM {fit} GROUP BY {by}"
+    parts = []
+    for x, label in zip(names, ["const", *xs]):
+        left = taken_out(out, f"{name}_{x}_", f"{name}_rows", by, [*(c for c in names if c != x), x])
+        parts.append(f"SELECT {by}, '{label}' AS variable, sum({x} * y0) / sum({x} * {x}) AS coef FROM {left} GROUP BY {by}")
+    out[f"{name}_all"] = " UNION ALL ".join(parts)
+    out[name] = f"SELECT a.*, n_obs, r2, 1 - (1 - r2) * (n_obs - 1) / greatest(n_obs - {len(names)}, 1) AS adj_r2 FROM {name}_all a JOIN {name}_fit USING ({by})"
+    return out
+
+
 def hac(name: str, source: str, by: str, order: str, y: str, xs: list[str], lags: int = 6, least: int = 36) -> dict[str, str]:
     """Expressions that end in ``name`` with by, n, r2, variable, coef, t: least squares of y on xs and a constant, with HAC errors.
 
     Each coefficient is that of y on what is left of its regressor after the others are taken out one by one; the products of that with the
     residuals have the coefficient's HAC variance.
     """
-    w = f"OVER (PARTITION BY {by})"
     names = [f"x{i}" for i in range(len(xs) + 1)]
-    out = {f"{name}_rows": f"SELECT * FROM (SELECT {by}, {order}, {y}::DOUBLE AS y, {y}::DOUBLE AS y0, 1.0::DOUBLE AS x0, {', '.join(f'{x}::DOUBLE AS {n}' for x, n in zip(xs, names[1:]))}, count(*) {w} AS n FROM {source} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [y, *xs])}) WHERE n >= {least}"}
-
-    def taken_out(prefix: str, columns: list[str]) -> str:
-        last = f"{name}_rows"
-        for i, v in enumerate(columns[:-1]):
-            rest = ", ".join(f"{c} - sum({v} * {c}) {w} / sum({v} * {v}) {w} * {v} AS {c}" for c in columns[i + 1 :])
-            out[f"{prefix}{i}"] = f"SELECT * REPLACE ({rest}) FROM {last}"
-            last = f"{prefix}{i}"
-        return last
-
-    fit = taken_out(f"{name}_e", [*names, "y"])
-    out[f"{name}_fit"] = f"SELECT {by}, 1 - sum(y * y) / nullif(sum(y0 * y0) - sum(y0) * sum(y0) / count(*), 0) AS r2 FROM {fit} GROUP BY {by}"
+    out = {f"{name}_rows": _regression_rows(source, by, f"{by}, {order}", y, xs, least)}
+    fit = taken_out(out, f"{name}_e", f"{name}_rows", by, [*names, "y"])
+    out[f"{name}_fit"] = f"SELECT {by}, {_R2} AS r2 FROM {fit} GROUP BY {by}"
     parts = []
     for x, label in zip(names, ["const", *xs]):
-        left = taken_out(f"{name}_{x}_", [*(c for c in names if c != x), x])
+        left = taken_out(out, f"{name}_{x}_", f"{name}_rows", by, [*(c for c in names if c != x), x])
         u = f"SELECT {by}, {order}, n, y0, r, r * y AS u FROM (SELECT {by}, {order}, n, y0, {x} AS r FROM {left}) JOIN (SELECT {by}, {order}, y FROM {fit}) USING ({by}, {order})"
         lagged = f"SELECT *, {', '.join(f'lag(u, {m}) OVER (PARTITION BY {by} ORDER BY {order}) AS u{m}' for m in range(1, lags + 1))} FROM ({u})"
         var = "sum(u * u) + " + " + ".join(f"2 * (1 - {m} / {lags + 1}.0::DOUBLE) * coalesce(sum(u * u{m}), 0)" for m in range(1, lags + 1))

@@ -15,7 +15,7 @@ from holdlens.functions import stats
 from holdlens.operators import econometrics as eco
 from holdlens.operators import models, network, ownership, portfolio, quality, robustness, signals
 from holdlens.plans.oracle import ann as annualizing
-from holdlens.plans.oracle import FEATURES, direction, hac, metrics, newey_west, r, strata, with_ctes
+from holdlens.plans.oracle import FEATURES, direction, hac, metrics, newey_west, ols, r, strata, with_ctes
 from holdlens.sources import sample, scans
 from holdlens.sources.shared import written
 
@@ -334,6 +334,19 @@ def _coefficients(b: Build) -> DataFrame:
 
 
 _register("fmb_multivariate", "spec:s target:s variable:s months:i mean_coef:d nw_se:d nw_t:d coef_std:d positive_month_share:d", lambda b: eco.fmb_summary(_specs(b), ["spec", "target", "variable"]))
+#: Specifications whose regressors are few enough for SQL to take them out of each other one by one.
+_SMALL = {"sell_pressure_mechanism": [f"z_{x}" for x in [*MECHANISM, *signals.CONTROLS]], "network_core": [f"z_{x}" for x in [*NETWORK, *signals.CONTROLS]]} | {f"univariate__z_{x}": [f"z_{x}"] for x in [*DIRECT, *NETWORK]}
+_SMALL_SQL = _wsql | {"wz": "SELECT month, fwd_ret_1m, fwd_ret_3m, " + ", ".join(f"({c} - avg({c}) OVER (PARTITION BY month)) / nullif(stddev_samp({c}) OVER (PARTITION BY month), 0) AS z_{c}" for c in FEATURES) + " FROM winsor"}
+_small_parts = []
+for _i, (_spec, _xs) in enumerate(_SMALL.items()):
+    for _t in signals.TARGETS:
+        _SMALL_SQL |= ols(f"fit_{_i}_{_t}", "wz", "month", _t, _xs, max(30, 4 * (len(_xs) + 1)))
+        _small_parts.append(f"SELECT '{_spec}' AS spec, '{_t}' AS target, * FROM fit_{_i}_{_t}")
+_SMALL_SQL["small_fits"] = " UNION ALL ".join(_small_parts)
+_register("fmb_small_specs", "spec:s target:s variable:s months:i mean_coef:d nw_se:d nw_t:d coef_std:d positive_month_share:d", lambda b: eco.fmb_summary(_specs(b).where(F.col("spec").isin(*_SMALL)), ["spec", "target", "variable"]),
+          f"(SELECT a.spec, a.target, a.variable, a.n AS months, mean AS mean_coef, se AS nw_se, t AS nw_t, std AS coef_std, positive_month_share FROM {newey_west('small_fits', 'spec, target, variable', 'month', 'coef')} a JOIN (SELECT spec, target, variable, avg((coef > 0)::INTEGER) AS positive_month_share FROM small_fits GROUP BY ALL) USING (spec, target, variable))", _SMALL_SQL)
+_register("fmb_small_models", "spec:s target:s months:i mean_n:d min_n:i mean_adj_r2:d median_adj_r2:d", lambda b: eco.fmb_model_summary(_specs(b).where(F.col("spec").isin(*_SMALL)), ["spec", "target"]),
+          "(SELECT spec, target, count(*) AS months, avg(n_obs) AS mean_n, min(n_obs) AS min_n, avg(adj_r2) AS mean_adj_r2, median(adj_r2) AS median_adj_r2 FROM small_fits WHERE variable = 'const' GROUP BY ALL)", _SMALL_SQL)
 _register("fmb_strongest", "spec:s target:s variable:s months:i mean_coef:d nw_t:d positive_month_share:d", lambda b: eco.strongest(eco.fmb_summary(_specs(b), ["spec", "target", "variable"]), target="fwd_ret_1m", controls=[f"z_{c}" for c in signals.CONTROLS]))
 _register("fmb_model_summary", "spec:s target:s months:i mean_n:d min_n:i mean_adj_r2:d median_adj_r2:d", lambda b: eco.fmb_model_summary(_specs(b), ["spec", "target"]))
 _FACTORS = {"thirds": "SELECT month, ret, row_number() OVER (PARTITION BY month ORDER BY mktcap_proxy, permno) / count(*) OVER (PARTITION BY month) AS size, row_number() OVER (PARTITION BY month ORDER BY prc, permno) / count(*) OVER (PARTITION BY month) AS price FROM monthly WHERE ret IS NOT NULL",
