@@ -20,6 +20,28 @@ def _held(positions: DataFrame, phi: Column | None = None) -> DataFrame:
     return positions.select("month", "manager_id", "permno", w.alias("w")).where("w > 0")
 
 
+def manager_phi(positions: DataFrame) -> DataFrame:
+    """``(month_date, manager_id, phi)``: how much of its weights a manager passes on, from what it did in the month before.
+
+    phi = (1 + turnover) * (1 + concentration), where turnover is half the sum of the changes of weights and concentration the sum of their
+    squares, both of the month before, so that no later month is seen. 1 where the manager had no position then. A first month has no turnover.
+    """
+    w = positions.select("month_date", "manager_id", "permno", F.col("portfolio_weight").alias("w")).where("w > 0")
+    # a weight counts in its month, and against that of the month after
+    ends = F.explode(F.array(F.struct("month_date", F.col("w").alias("now"), F.lit(0.0).alias("then")), F.struct(F.add_months("month_date", 1).alias("month_date"), F.lit(0.0).alias("now"), F.col("w").alias("then"))))
+    each = w.select("manager_id", "permno", ends.alias("e")).groupBy("e.month_date", "manager_id", "permno").agg(F.sum("e.now").alias("now"), F.sum("e.then").alias("then"))
+    whole = each.groupBy("month_date", "manager_id").agg(F.sum(F.abs(F.col("now") - F.col("then"))).alias("moved"), F.sum("now").alias("now"), F.sum("then").alias("then"), F.sum(F.col("now") * F.col("now")).alias("concentration"))
+    turnover = F.when(F.col("then") > 0, F.col("moved") / 2).otherwise(0.0)
+    before = whole.where("now > 0").select(F.add_months("month_date", 1).alias("month_date"), "manager_id", ((1 + turnover) * (1 + F.col("concentration"))).alias("phi"))
+    months = w.select("month_date", "manager_id").distinct()
+    return months.join(before, ["month_date", "manager_id"], "left").select("month_date", "manager_id", F.coalesce("phi", F.lit(1.0)).alias("phi"))
+
+
+def with_phi(positions: DataFrame) -> DataFrame:
+    """``positions`` with ``phi``, for the ``phi`` of the functions below."""
+    return positions.join(manager_phi(positions), ["month_date", "manager_id"])
+
+
 def common_ownership_edges(positions: DataFrame, *, phi: Column | None = None) -> DataFrame:
     """``(month, i, j, g)`` with i < j.
 

@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from holdlens.functions import stats
 from holdlens.operators import econometrics as eco
-from holdlens.operators import models, network, ownership, portfolio, quality, robustness, signals
+from holdlens.operators import downside, models, network, ownership, portfolio, quality, robustness, signals
 from holdlens.plans.oracle import ann as annualizing
 from holdlens.plans.oracle import FEATURES, direction, hac, metrics, newey_west, ols, r, strata, with_ctes
 from holdlens.sources import sample, scans
@@ -267,6 +267,15 @@ _register("network_topk_edges", "month:s i:i j:i g:d rank:n", lambda b: network.
 _register("network_degree", "month:s permno:i network_degree:i", lambda b: b.degree, "network")
 _register("network_weighted_degree", "month:s permno:i network_weighted_degree:d", lambda b: b.weighted, "network")
 _register("network_peer_pressure", "month:s permno:i network_peer_sell_pressure:d", lambda b: b.weighted, "network")
+_PHI = {"both_months": "SELECT month_date, manager_id, permno, portfolio_weight AS now, 0.0::DOUBLE AS before FROM positions UNION ALL SELECT (month_date + INTERVAL 1 MONTH)::DATE, manager_id, permno, 0.0::DOUBLE, portfolio_weight FROM positions",
+        "weighed": "SELECT month_date, manager_id, sum(abs(now - before)) AS moved, sum(now) AS now, sum(before) AS before, sum(now * now) AS concentration FROM (SELECT month_date, manager_id, permno, sum(now) AS now, sum(before) AS before FROM both_months GROUP BY ALL) GROUP BY ALL",
+        "lagged": "SELECT (month_date + INTERVAL 1 MONTH)::DATE AS month_date, manager_id, (1 + CASE WHEN before > 0 THEN moved / 2 ELSE 0 END) * (1 + concentration) AS phi FROM weighed WHERE now > 0",
+        "phis": "SELECT m.month_date, m.manager_id, coalesce(l.phi, 1) AS phi FROM (SELECT DISTINCT month_date, manager_id FROM positions) m LEFT JOIN lagged l ON m.month_date = l.month_date AND m.manager_id = l.manager_id",
+        "phi_edges": "SELECT a.month, a.permno AS i, b.permno AS j, sum(phi * a.portfolio_weight * b.portfolio_weight) AS g FROM positions a JOIN positions b ON a.month = b.month AND a.manager_id = b.manager_id AND a.permno < b.permno JOIN phis f ON f.month_date = a.month_date AND f.manager_id = a.manager_id GROUP BY ALL",
+        "phi_ends": "SELECT month, i AS permno, g FROM phi_edges UNION ALL SELECT month, j, g FROM phi_edges"}
+_register("manager_phi", "month_date:D manager_id:s phi:d", lambda b: network.manager_phi(b.positions), "phis", _PHI)
+_register("network_phi_topk_edges", "month:s i:i j:i g:d rank:n", lambda b: network.top_edges(network.with_phi(b.positions), top_k=500, phi=F.col("phi")), f"(SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(g, {network.TIE_DECIMALS}) DESC, i, j) AS rank FROM phi_edges) WHERE rank <= 500", _PHI)
+_register("network_phi_weighted_degree", "month:s permno:i network_weighted_degree:d", lambda b: network.network_weighted(network.with_phi(b.positions), b.stock, phi=F.col("phi")), "(SELECT h.month, h.permno, coalesce(sum(g), 0) AS network_weighted_degree FROM held h LEFT JOIN phi_ends e ON h.month = e.month AND h.permno = e.permno GROUP BY ALL)", _PHI)
 _register("panel", f"{_STOCK} network_degree:i network_weighted_degree:d network_peer_sell_pressure:d", lambda b: b.full_panel, "panel0")
 _register("describe_panel", "rows:i months:i stocks:i min_month:s max_month:s fwd_ret_1m_coverage:d fwd_ret_3m_coverage:d", lambda b: quality.describe_panel(b.panel), '(SELECT count(*) AS "rows", count(DISTINCT month) AS months, count(DISTINCT permno) AS stocks, min(month) AS min_month, max(month) AS max_month, avg((fwd_ret_1m IS NOT NULL)::INTEGER) AS fwd_ret_1m_coverage, avg((fwd_ret_3m IS NOT NULL)::INTEGER) AS fwd_ret_3m_coverage FROM panel)')
 _register("feature_coverage", "feature:s is_core_signal:b expected_high_minus_low_sign:s non_null_rows:i coverage:d months_non_null:i mean_value:d median_value:d min_value:d max_value:d", lambda b: quality.feature_coverage(b.panel, FEATURES, set(signals.CORE_FEATURES), signals.NEGATIVE),
@@ -450,3 +459,39 @@ def _gate_sql(minimums: dict[str, float]) -> dict[str, str]:
 for _name, _minimums in (("quality_gate", MINIMUMS), ("quality_gate_of_sample", MINIMUMS | {"panel_rows": 1000})):
     _register(_name, "metric:s value:d threshold:d ok:b status:s", lambda b, m=_minimums: quality.quality_gate(quality.build_metrics(b.holdings, b.mapped, b.positions, b.panel), m),
               "(SELECT *, CASE WHEN min(ok::INTEGER) OVER () = 1 THEN 'ok' ELSE 'needs_attention' END AS status FROM (SELECT metric, value, threshold, coalesce(value >= threshold, false) AS ok FROM wanted LEFT JOIN measured USING (metric)))", _gate_sql(_minimums))
+
+
+def _labelled(b: Build, target: str) -> DataFrame:
+    names = vars(b).setdefault("labelled", {})
+    if target not in names:
+        names[target] = written(downside.downside_labels(b.features_z, target), "labelled")
+    return names[target]
+
+
+def _logistic(b: Build) -> DataFrame:
+    """Out-of-sample chances of a fall for both targets and all feature sets."""
+    if "logistic" not in vars(b):
+        sets = models.feature_sets(b.model_features)
+        b.logistic = written(reduce(DataFrame.unionByName, (downside.logistic_oos(_labelled(b, t), b.splits_of(t), t, xs, model=f"logistic_{x}") for t in signals.TARGETS for x, xs in sets.items())), "logistic")
+    return b.logistic
+
+
+def _plain_scores(b: Build) -> DataFrame:
+    """The plain scores as chances of a fall: a low score is a high one."""
+    rows = b.predictions.withColumnRenamed("actual_return", "y")
+    place = F.row_number().over(Window.partitionBy("model", "target", "month").orderBy("y", "permno")) / F.count(F.lit(1)).over(Window.partitionBy("model", "target", "month"))
+    return rows.select("model", "target", "month", "permno", (-F.col("prediction")).alias("prediction"), (place <= downside.WORST).cast("int").alias("downside"))
+
+
+_FALLS = {"falls_of": f"SELECT model, target, month, permno, -prediction AS p, (row_number() OVER (PARTITION BY model, target, month ORDER BY actual_return, permno) / count(*) OVER (PARTITION BY model, target, month) <= {downside.WORST}::DOUBLE)::INTEGER AS d FROM predictions",
+          "fall_ranks": "SELECT *, rank() OVER (PARTITION BY model, target, month ORDER BY p) + (count(*) OVER (PARTITION BY model, target, month, p) - 1) / 2 AS r FROM falls_of",
+          "aucs": "SELECT model, target, month, n, falls, (ranks - falls * (falls + 1) / 2) / (falls * (n - falls)) AS auc FROM (SELECT model, target, month, count(*) AS n, sum(d) AS falls, sum(r * d) AS ranks FROM fall_ranks GROUP BY ALL) WHERE falls > 0 AND falls < n",
+          "auc_excess": "SELECT *, auc - 0.5::DOUBLE AS excess FROM aucs"}
+_AUC = "model:s target:s month:s n:i falls:i auc:d"
+_AUC_SUMMARY = "model:s target:s months:i mean_auc:d excess_t:d"
+_register("downside_labels", "month:s permno:i downside:n", lambda b: downside.downside_labels(b.panel, "fwd_ret_1m"), f"(SELECT month, permno, (row_number() OVER (PARTITION BY month ORDER BY fwd_ret_1m, permno) / count(*) OVER (PARTITION BY month) <= {downside.WORST}::DOUBLE)::INTEGER AS downside FROM panel WHERE fwd_ret_1m IS NOT NULL)")
+_register("downside_auc_of_scores", _AUC, lambda b: downside.auc_monthly(_plain_scores(b)), "aucs", _FALLS)
+_register("downside_auc_summary", _AUC_SUMMARY, lambda b: downside.auc_summary(downside.auc_monthly(_plain_scores(b))), f"(SELECT model, target, n AS months, mean + 0.5::DOUBLE AS mean_auc, t AS excess_t FROM {newey_west('auc_excess', 'model, target', 'month', 'excess')})", _FALLS)
+_register("downside_logistic_oos", "model:s target:s test_year:n month:s permno:i prediction:d downside:n", _logistic)
+_register("downside_logistic_auc", _AUC, lambda b: downside.auc_monthly(_logistic(b)))
+_register("downside_logistic_summary", _AUC_SUMMARY, lambda b: downside.auc_summary(downside.auc_monthly(_logistic(b))))
