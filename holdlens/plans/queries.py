@@ -343,8 +343,9 @@ def _coefficients(b: Build) -> DataFrame:
 
 
 _register("fmb_multivariate", "spec:s target:s variable:s months:i mean_coef:d nw_se:d nw_t:d coef_std:d positive_month_share:d", lambda b: eco.fmb_summary(_specs(b), ["spec", "target", "variable"]))
-#: Specifications whose regressors are few enough for SQL to take them out of each other one by one.
-_SMALL = {"sell_pressure_mechanism": [f"z_{x}" for x in [*MECHANISM, *signals.CONTROLS]], "network_core": [f"z_{x}" for x in [*NETWORK, *signals.CONTROLS]]} | {f"univariate__z_{x}": [f"z_{x}"] for x in [*DIRECT, *NETWORK]}
+#: Specifications whose regressors are few enough for SQL to take them out of each other one by one. Selling pressure has months of the
+#: smallest sample in which it doesn't vary among the stocks with a return; such months have a least-norm fit, which SQL hasn't.
+_SMALL = {"network_core": [f"z_{x}" for x in [*NETWORK, *signals.CONTROLS]]} | {f"univariate__z_{x}": [f"z_{x}"] for x in [*DIRECT, *NETWORK] if x != "stock_sell_pressure"}
 _SMALL_SQL = _wsql | {"wz": "SELECT month, fwd_ret_1m, fwd_ret_3m, " + ", ".join(f"({c} - avg({c}) OVER (PARTITION BY month)) / nullif(stddev_samp({c}) OVER (PARTITION BY month), 0) AS z_{c}" for c in FEATURES) + " FROM winsor"}
 _small_parts = []
 for _i, (_spec, _xs) in enumerate(_SMALL.items()):
