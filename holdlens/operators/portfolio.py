@@ -9,8 +9,10 @@ from holdlens.functions.columns import annualizer, month_text
 from holdlens.functions.stats import newey_west, rank_share
 from holdlens.operators.econometrics import hac_regression
 
+#: Levels of cost in basis points.
 COST_BPS = (0, 5, 10, 25, 50)
 CELL = ["model", "target", "month"]
+#: Names of the factors.
 FACTORS = ["mktrf", "smb", "hml", "umd", "rmw", "cma"]
 
 

@@ -48,12 +48,14 @@ def test_forward_returns_skip_gaps(spark):
 
 
 def test_network(spark):
-    pos = spark.createDataFrame([("2020-01", "a", 1, 0.5), ("2020-01", "a", 2, 0.5), ("2020-01", "b", 2, 0.4), ("2020-01", "b", 3, 0.6), ("2020-01", "c", 9, 1.0)], "month string, manager_id string, permno long, portfolio_weight double")
-    stock = spark.createDataFrame([("2020-01", 1, 0.0), ("2020-01", 2, 0.1), ("2020-01", 3, 0.2)], "month string, permno long, stock_sell_pressure double")
-    assert {(r.i, r.j): round(r.g, 9) for r in network.common_ownership_edges(pos).collect()} == {(1, 2): 0.25, (2, 3): 0.24}
-    assert {r.permno: r.network_degree for r in network.network_degree(pos).collect()} == {1: 1, 2: 2, 3: 1, 9: 0}
+    held = [("north", 11, 0.7), ("north", 12, 0.3), ("south", 12, 0.2), ("south", 14, 0.8), ("east", 19, 1.0)]
+    pos = spark.createDataFrame([("1998-06", *h) for h in held], "month string, manager_id string, permno long, portfolio_weight double")
+    stock = spark.createDataFrame([("1998-06", 11, 0.4), ("1998-06", 12, 0.0), ("1998-06", 14, 0.1)], "month string, permno long, stock_sell_pressure double")
+    assert {(r.i, r.j): round(r.g, 9) for r in network.common_ownership_edges(pos).collect()} == {(11, 12): 0.21, (12, 14): 0.16}
+    assert {r.permno: r.network_degree for r in network.network_degree(pos).collect()} == {11: 1, 12: 2, 14: 1, 19: 0}
     w = {r.permno: (round(r.network_weighted_degree, 7), round(r.network_peer_sell_pressure, 7)) for r in network.network_weighted(pos, stock).collect()}
-    assert w == {1: (0.25, 0.1), 2: (0.49, 0.0979592), 3: (0.24, 0.1), 9: (0.0, 0.0)}
+    # the peers of 12 weigh 0.21 and 0.16: (0.21 * 0.4 + 0.16 * 0.1) / 0.37
+    assert w == {11: (0.21, 0.0), 12: (0.37, 0.2702703), 14: (0.16, 0.0), 19: (0.0, 0.0)}
 
 
 def test_newey_west(spark):
