@@ -12,8 +12,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for the nodes of ``edges(a, b)``; label: the smallest node reachable.
 
     Labels are hooked onto smaller labels of neighbours and short-cut each round,
-    so the rounds grow with the logarithm of a component's diameter. Hot nodes meet
-    only partial minima. No edge: an empty table. Nulls must not occur.
+    so the rounds grow with the logarithm of a component's diameter. The minima of hot nodes are
+    partial before they meet; the joins before that read all edges of a node together, unless adaptive execution splits them. No edge: an empty table. Nulls must not occur.
     """
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
