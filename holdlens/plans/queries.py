@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from holdlens.functions import stats
 from holdlens.operators import econometrics as eco
-from holdlens.operators import downside, models, network, ownership, portfolio, quality, robustness, signals
+from holdlens.operators import downside, horizons, models, network, ownership, portfolio, quality, robustness, signals
 from holdlens.plans.oracle import ann as annualizing
 from holdlens.plans.oracle import FEATURES, direction, hac, metrics, newey_west, ols, r, strata, with_ctes
 from holdlens.sources import sample, scans
@@ -59,6 +59,23 @@ class Build:
     def monthly(self):
         return ownership.forward_returns(ownership.clean_monthly(sample.raw_monthly(self.spark, self.sf_dir)))
 
+    @cached_property
+    def to_the_end(self):
+        """Monthly rows with terminal returns, and forward returns up to them."""
+        rows = ownership.clean_monthly(sample.raw_monthly(self.spark, self.sf_dir))
+        return written(horizons.forward_to_the_end(horizons.with_delistings(rows, sample.raw_delistings(self.spark, self.sf_dir), missing=-0.3)), "delisted")
+
+    @cached_property
+    def daily(self):
+        return written(horizons.daily_forward_returns(sample.raw_daily(self.spark, self.sf_dir)), "daily")
+
+    @cached_property
+    def horizon_long(self):
+        """Features at each month's end against returns over the trading days that follow."""
+        ahead = horizons.month_end_horizons(self.daily)
+        targets = {f"fwd_ret_{h}d": F.round(f"fwd_ret_{h}d", 8) for h in horizons.HORIZONS}
+        return written(signals.to_long(self.panel.join(ahead.withColumns(targets), ["month", "permno"]), FEATURES, [*targets]), "horizons")
+
     @cached_property
     def mapped(self):
         return ownership.map_point_in_time(self.holdings, self.names)
@@ -496,3 +513,25 @@ _register("downside_auc_summary", _AUC_SUMMARY, lambda b: downside.auc_summary(d
 _register("downside_logistic_oos", "model:s target:s test_year:n month:s permno:i prediction:d downside:n", _logistic)
 _register("downside_logistic_auc", _AUC, lambda b: downside.auc_monthly(_logistic(b)))
 _register("downside_logistic_summary", _AUC_SUMMARY, lambda b: downside.auc_summary(downside.auc_monthly(_logistic(b))))
+
+# Returns over trading days, and up to the end of a listing.
+_HORIZON = {
+    "daily0": "SELECT permno, day AS date, avg(l_extendedprice / l_quantity) AS prc FROM trades GROUP BY ALL",
+    "daily1": "SELECT *, prc / lag(prc) OVER (PARTITION BY permno ORDER BY date) - 1 AS ret FROM daily0",
+    "open_days": "SELECT date, row_number() OVER (ORDER BY date) - 1 AS day_index FROM (SELECT DISTINCT date FROM daily1)",
+    "daily2": "SELECT * FROM daily1 JOIN open_days USING (date)",
+    "daily": "SELECT *, " + ", ".join(f"CASE WHEN day_index + {h} <= (SELECT max(day_index) FROM open_days) THEN product(1 + ret) OVER (PARTITION BY permno ORDER BY day_index RANGE BETWEEN 1 FOLLOWING AND {h} FOLLOWING) - 1 END AS fwd_ret_{h}d" for h in horizons.HORIZONS) + " FROM daily2",
+    "month_ends": "SELECT month, permno, " + ", ".join(f"round(fwd_ret_{h}d, 8) AS fwd_ret_{h}d" for h in horizons.HORIZONS) + " FROM (SELECT *, strftime(date, '%Y-%m') AS month, row_number() OVER (PARTITION BY permno, date_trunc('month', date) ORDER BY date DESC) AS place FROM daily) WHERE place = 1",
+    "horizon_long": " UNION ALL ".join(f"SELECT month, permno, feature, 'fwd_ret_{h}d' AS target, x, fwd_ret_{h}d AS y FROM long_features JOIN month_ends USING (month, permno) WHERE x IS NOT NULL AND isfinite(x) AND fwd_ret_{h}d IS NOT NULL AND isfinite(fwd_ret_{h}d)" for h in horizons.HORIZONS),
+    "horizon_ic": f"SELECT feature, target, month, count(*) AS n_obs, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS rank_ic FROM (SELECT *, percent_rank() OVER (PARTITION BY feature, target, month ORDER BY x) AS rx, percent_rank() OVER (PARTITION BY feature, target, month ORDER BY y) AS ry FROM horizon_long) GROUP BY ALL HAVING count(*) >= {METRIC_ROWS}",
+    "events": "SELECT permno, day + [0, 40, -70][(permno % 4 % 3 + 1)::INTEGER]::INTEGER AS date, coalesce(CASE WHEN permno % 5 <> 0 THEN (permno % 7) / 10.0::DOUBLE - 0.5::DOUBLE END, -0.3::DOUBLE) AS dlret FROM (SELECT permno, max(day) AS day FROM trades WHERE permno % 3 = 0 GROUP BY ALL)",
+    "lasts": "SELECT m.permno, max(m.month_date) AS last_month FROM monthly0 m GROUP BY ALL",
+    "ends": "SELECT permno, date, dlret, last_month, date_trunc('month', date)::DATE AS month_date FROM events JOIN lasts USING (permno) WHERE date_trunc('month', date) >= last_month",
+    "stitched": "SELECT m.permno, m.date, m.month, CASE WHEN e.permno IS NOT NULL THEN (1 + coalesce(m.ret, 0)) * (1 + e.dlret) - 1 ELSE m.ret END AS ret, e.permno IS NOT NULL AS delisted FROM monthly0 m LEFT JOIN ends e ON m.permno = e.permno AND m.month_date = e.month_date UNION ALL SELECT permno, date, strftime(date, '%Y-%m'), dlret, true FROM ends WHERE month_date > last_month",
+    "placed_legs": "SELECT *, row_number() OVER (PARTITION BY permno ORDER BY date DESC) AS from_end, bool_or(delisted) OVER (PARTITION BY permno) AS ended, lead(ret) OVER w AS r1, lead(ret, 2) OVER w AS r2, lead(ret, 3) OVER w AS r3 FROM stitched WINDOW w AS (PARTITION BY permno ORDER BY date)",
+    "to_the_end": "SELECT permno, month, ret, delisted, r1 AS fwd_ret_1m, (1 + r1) * (1 + CASE WHEN ended AND from_end <= 2 THEN 0 ELSE r2 END) * (1 + CASE WHEN ended AND from_end <= 3 THEN 0 ELSE r3 END) - 1 AS fwd_ret_3m FROM placed_legs",
+}
+_register("delisting_forward_returns", "permno:i month:s ret:d delisted:b fwd_ret_1m:d fwd_ret_3m:d", lambda b: b.to_the_end, "to_the_end", _HORIZON)
+_register("daily_horizon_returns", "permno:i date:D day_index:i ret:d fwd_ret_21d:d fwd_ret_63d:d", lambda b: b.daily, "daily", _HORIZON)
+_register("month_end_horizons", "month:s permno:i fwd_ret_21d:d fwd_ret_63d:d", lambda b: horizons.month_end_horizons(b.daily), "month_ends", _HORIZON)
+_register("horizon_rank_ic", "feature:s target:s month:s n_obs:i rank_ic:d", lambda b: signals.rank_ic_monthly(b.horizon_long, least=METRIC_ROWS), "horizon_ic", _HORIZON)

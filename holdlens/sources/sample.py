@@ -56,3 +56,16 @@ def raw_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = t.agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("prc"), F.sum("l_quantity").alias("vol"), (F.count(F.lit(1)) * 1000.0).alias("shrout"))
     ret = F.col("prc") / F.lag("prc").over(Window.partitionBy("permno").orderBy("date")) - 1
     return m.select("permno", "date", (F.col("permno") * 10).alias("permco"), ret.alias("ret"), (ret - 0.001).alias("retx"), "prc", "shrout", "vol", F.lit(10).alias("shrcd"), F.lit(1).alias("exchcd"))
+
+
+def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean price of each security and day, and its change since the security's last day."""
+    d = trades(spark, sf_dir).groupBy("permno", F.col("day").alias("date")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("prc"))
+    return d.withColumn("ret", F.col("prc") / F.lag("prc").over(Window.partitionBy("permno").orderBy("date")) - 1)
+
+
+def raw_delistings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A terminal event for some securities: on their last day, 40 days after it or, to be ignored, 70 days before it."""
+    last = trades(spark, sf_dir).groupBy("permno").agg(F.max("day").alias("day")).where("permno % 3 = 0")
+    away = F.element_at(F.array(F.lit(0), F.lit(40), F.lit(-70)), (F.col("permno") % 4 % 3 + 1).cast("int"))
+    return last.select("permno", F.date_add("day", away).alias("date"), F.when(F.col("permno") % 5 != 0, (F.col("permno") % 7) / 10 - 0.5).alias("dlret"))
