@@ -521,8 +521,8 @@ _HORIZON = {
     "open_days": "SELECT date, row_number() OVER (ORDER BY date) - 1 AS day_index FROM (SELECT DISTINCT date FROM daily1)",
     "daily2": "SELECT * FROM daily1 JOIN open_days USING (date)",
     "daily": "SELECT *, " + ", ".join(f"CASE WHEN day_index + {h} <= (SELECT max(day_index) FROM open_days) THEN product(1 + ret) OVER (PARTITION BY permno ORDER BY day_index RANGE BETWEEN 1 FOLLOWING AND {h} FOLLOWING) - 1 END AS fwd_ret_{h}d" for h in horizons.HORIZONS) + " FROM daily2",
-    "month_ends": "SELECT month, permno, " + ", ".join(f"round(fwd_ret_{h}d, 8) AS fwd_ret_{h}d" for h in horizons.HORIZONS) + " FROM (SELECT *, strftime(date, '%Y-%m') AS month, row_number() OVER (PARTITION BY permno, date_trunc('month', date) ORDER BY date DESC) AS place FROM daily) WHERE place = 1",
-    "horizon_long": " UNION ALL ".join(f"SELECT month, permno, feature, 'fwd_ret_{h}d' AS target, x, fwd_ret_{h}d AS y FROM long_features JOIN month_ends USING (month, permno) WHERE x IS NOT NULL AND isfinite(x) AND fwd_ret_{h}d IS NOT NULL AND isfinite(fwd_ret_{h}d)" for h in horizons.HORIZONS),
+    "month_ends": "SELECT month, permno, " + ", ".join(f"fwd_ret_{h}d" for h in horizons.HORIZONS) + " FROM (SELECT *, strftime(date, '%Y-%m') AS month, row_number() OVER (PARTITION BY permno, date_trunc('month', date) ORDER BY date DESC) AS place FROM daily) WHERE place = 1",
+    "horizon_long": " UNION ALL ".join(f"SELECT month, permno, feature, 'fwd_ret_{h}d' AS target, x, round(fwd_ret_{h}d, 8) AS y FROM long_features JOIN month_ends USING (month, permno) WHERE x IS NOT NULL AND isfinite(x) AND fwd_ret_{h}d IS NOT NULL AND isfinite(fwd_ret_{h}d)" for h in horizons.HORIZONS),
     "horizon_ic": f"SELECT feature, target, month, count(*) AS n_obs, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) AS rank_ic FROM (SELECT *, percent_rank() OVER (PARTITION BY feature, target, month ORDER BY x) AS rx, percent_rank() OVER (PARTITION BY feature, target, month ORDER BY y) AS ry FROM horizon_long) GROUP BY ALL HAVING count(*) >= {METRIC_ROWS}",
     "events": "SELECT permno, day + [0, 40, -70][(permno % 4 % 3 + 1)::INTEGER]::INTEGER AS date, coalesce(CASE WHEN permno % 5 <> 0 THEN (permno % 7) / 10.0::DOUBLE - 0.5::DOUBLE END, -0.3::DOUBLE) AS dlret FROM (SELECT permno, max(day) AS day FROM trades WHERE permno % 3 = 0 GROUP BY ALL)",
     "lasts": "SELECT m.permno, max(m.month_date) AS last_month FROM monthly0 m GROUP BY ALL",
