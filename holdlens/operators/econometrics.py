@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdlens.functions.columns import require_columns
 from holdlens.functions.stats import gram, newey_west
 
 
@@ -47,6 +48,7 @@ def fama_macbeth(df: DataFrame, target: str, xs: list[str], *, by: str = "month"
 
     Enough: max(least, per_regressor * number of coefficients). Collinear regressors get the solution of least norm.
     """
+    require_columns(df, [by, target, *xs])
     k = len(xs) + 1
     sums = gram(df, [by], target, xs).where(F.col("n") >= max(least, per_regressor * k))
     names = ["const", *xs]
@@ -86,6 +88,7 @@ def fama_macbeth_grid(df: DataFrame, targets: list[str], grid: dict[str, list[st
     columns = list(dict.fromkeys([*(x for xs in grid.values() for x in xs), *targets]))
     if len(columns) > 63:
         raise ValueError(f"{len(columns)} columns, at most 63")
+    require_columns(df, [by, *columns])
     place: dict[tuple[str, str], int] = {}
     runs = []
     for target in targets:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdlens.functions.columns import annualizer, finite
+from holdlens.functions.columns import annualizer, finite, require_columns
 from holdlens.functions.stats import average_rank, gram, newey_west, rank_share, safe_corr, winsorize
 from holdlens.sources.shared import cut
 
@@ -27,7 +27,7 @@ def expanding_splits(panel: DataFrame, target: str, *, valid: int = 24, min_trai
 
     The embargo between the parts is the target's horizon. Years without enough months before them are left out.
     """
-    months = panel.groupBy("month").agg(F.count(target).alias("n"))  # a row for each month
+    months = require_columns(panel, ["month", target]).groupBy("month").agg(F.count(target).alias("n"))  # a row for each month
     months = months.withColumn("i", F.row_number().over(Window.orderBy("month")) - 1)
     first = months.where("n > 0").groupBy(F.substring("month", 1, 4).cast("int").alias("test_year")).agg(F.min("i").alias("first_test"))
     h = horizon(target)

@@ -11,13 +11,14 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from holdlens.functions.columns import require_columns
 from holdlens.sources.shared import cut
 
 
 def _held(positions: DataFrame, phi: Column | None = None) -> DataFrame:
     """Positions with a positive weight; ``phi`` weighs managers."""
     w = F.col("portfolio_weight") * (F.sqrt(phi) if phi is not None else F.lit(1.0))
-    return positions.select("month", "manager_id", "permno", w.alias("w")).where("w > 0")
+    return require_columns(positions, ["month", "manager_id", "permno", "portfolio_weight"]).select("month", "manager_id", "permno", w.alias("w")).where("w > 0")
 
 
 def manager_phi(positions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdlens.functions.columns import annualizer, month_text
+from holdlens.functions.columns import annualizer, month_text, require_columns
 from holdlens.functions.stats import newey_west, rank_share
 from holdlens.operators.econometrics import hac_regression
 
@@ -18,7 +18,7 @@ FACTORS = ["mktrf", "smb", "hml", "umd", "rmw", "cma"]
 
 def decile_holdings(predictions: DataFrame) -> DataFrame:
     """The top and bottom tenth of each month by place over size, with weights of half over their number."""
-    sel = predictions.withColumn("share", rank_share(CELL, "prediction"))
+    sel = require_columns(predictions, [*CELL, "permno", "prediction", "actual_return"]).withColumn("share", rank_share(CELL, "prediction"))
     sel = sel.withColumn("side", F.when(F.col("share") >= 0.9, 1).when(F.col("share") <= 0.1, -1).otherwise(0)).where("side != 0")
     sel = sel.withColumn("n_side", F.count("permno").over(Window.partitionBy(*CELL, "side")))
     return sel.select(*CELL, "permno", "side", "prediction", "actual_return", "n_side", (0.5 * F.col("side") / F.col("n_side")).alias("weight"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdlens.functions.columns import annualizer, finite, regime
+from holdlens.functions.columns import annualizer, finite, regime, require_columns
 from holdlens.functions.stats import average_rank, newey_west, rank_share, safe_corr
 
 
@@ -15,7 +15,7 @@ def group_metrics(df: DataFrame, by: list[str], *, returns: str = "actual_return
     ``df(target, month, permno, prediction, ...)``; ``by`` has the target.
     """
     cell = [*by, "month"]
-    p = df.select(*cell, "permno", finite(F.col("prediction")).alias("p"), finite(F.col(returns)).alias("y")).where("p is not null and y is not null")
+    p = require_columns(df, [*cell, "permno", "prediction", returns]).select(*cell, "permno", finite(F.col("prediction")).alias("p"), finite(F.col(returns)).alias("y")).where("p is not null and y is not null")
     p = p.withColumns({"rp": average_rank(cell, "p"), "ry": average_rank(cell, "y"), "share": rank_share(cell, "p")})
     leg = lambda c: F.when(c, F.col("y"))
     m = p.groupBy(*cell).agg(

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdlens.functions.columns import finite
+from holdlens.functions.columns import finite, require_columns
 from holdlens.functions.stats import plain_t, safe_corr
 from holdlens.sources.shared import written
 
@@ -22,6 +22,7 @@ PART_ROWS = 1 << 18
 
 def to_long(panel: DataFrame, features: list[str], targets: list[str]) -> DataFrame:
     """``(month, permno, feature, target, x, y)`` of finite pairs: one scan of the panel for all tests."""
+    require_columns(panel, ["month", "permno", *features, *targets])
     xs = F.array(*(F.struct(F.lit(f).alias("feature"), finite(F.col(f)).alias("x")) for f in features))
     ys = F.array(*(F.struct(F.lit(t).alias("target"), finite(F.col(t)).alias("y")) for t in targets))
     long = panel.select("month", "permno", xs.alias("xs"), ys.alias("ys")).select("month", "permno", F.explode("xs").alias("a"), "ys").where("a.x is not null")

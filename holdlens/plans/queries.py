@@ -162,7 +162,8 @@ class Build:
         m = m.withColumns({"size": third["mktcap_proxy"], "price": third["prc"]})
         of = lambda c: F.avg(F.when(c, F.col("ret")))
         raw = m.groupBy(F.last_day("date").alias("date")).agg(F.avg("ret").alias("mkt_rf"), (of(F.col("size") <= 1 / 3) - of(F.col("size") > 2 / 3)).alias("smb"), (of(F.col("price") > 2 / 3) - of(F.col("price") <= 1 / 3)).alias("hml"))
-        return portfolio.prepare_factors(raw, "1995-01", "2002-12")
+        stored = written(raw.select(F.to_timestamp("date").alias("DATEFF"), F.col("mkt_rf").alias("mkt-rf"), F.col("smb").alias("SMB"), "hml", F.lit("monthly").alias("kind")), "factors")
+        return portfolio.prepare_factors(scans.factor_scan(stored, sample.START, sample.END), "1995-01", "2002-12")
 
     @cached_property
     def winsorized_z(self):
@@ -229,12 +230,21 @@ class Build:
         return written(portfolio.performance_summary(portfolio.build_portfolio(self.ridge)), "performance")
 
 
-_builds: dict[tuple[str, str], Build] = {}
+_builds: dict[tuple[str, str], tuple[tuple, Build]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Number and hash of the files that the tables are in now, their sizes and times."""
+    files = reduce(DataFrame.unionByName, (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/{t}.parquet").select("path", "length", "modificationTime") for t in ("lineitem", "part")))
+    return tuple(files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first())
 
 
 def build(spark: SparkSession, sf_dir: str) -> Build:
-    """One for each application and folder, so that queries share what is written; see ``forget``."""
-    return _builds.setdefault((spark.sparkContext.applicationId, sf_dir), Build(spark, sf_dir))
+    """One for each application, folder and state of its files, so that queries share what is written; see ``forget``."""
+    key, state = (spark.sparkContext.applicationId, sf_dir), _state(spark, sf_dir)
+    if _builds.get(key, (None,))[0] != state:
+        _builds[key] = (state, Build(spark, sf_dir))
+    return _builds[key][1]
 
 
 def forget() -> None:

@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from holdlens.functions.columns import parse_date, require_columns, resolve, role_columns
+
+# Names under which factor tables have their columns.
+FACTOR_ALIASES = {
+    "date": ["date", "dateff", "mcaldt", "caldt", "month"], "mktrf": ["mktrf", "mkt_rf", "mkt-rf", "mkt"], "smb": ["smb"], "hml": ["hml"],
+    "rf": ["rf"], "umd": ["umd", "mom"], "rmw": ["rmw"], "cma": ["cma"],
+}
+
 
 def calendar_windows(spark: SparkSession, start: str, end: str, months: int) -> DataFrame:
     """``(window_start, window_end)``: closed windows of whole months from start's month on, the last cut at ``end``."""
@@ -42,6 +50,25 @@ def read_jdbc(spark: SparkSession, url: str, table: str, columns: list[str], pro
     return spark.read.jdbc(url, table, properties=properties or {}).select(*columns)
 
 
+def factor_scan(table: DataFrame, start: str, end: str) -> DataFrame:
+    """Date, market and the other factors that ``table`` has, under one name each, of the days in [start, end] (ISO); no other column is read.
+
+    Dates may be dates, times, yyyymmdd numbers or texts; a table whose dates are numbers or texts is filtered after they are parsed. Without a date, a market
+    factor and two of smb, hml and rf it raises.
+    """
+    wanted = table.select(*(F.col(f"`{c}`") for c in role_columns(table.columns, FACTOR_ALIASES)))
+    known = {c.lower() for c in wanted.columns}
+    found = {n: options for n, options in FACTOR_ALIASES.items() if known & {*options}}
+    require_columns(wanted.select(*(F.lit(None).alias(n) for n in found)), ["date", "mktrf"])
+    if len({"smb", "hml", "rf"} & {*found}) < 2:
+        raise ValueError("a factor table needs two of smb, hml and rf")
+    out = resolve(wanted, found, required=("date", "mktrf"))
+    kind = out.schema["date"].dataType
+    if not isinstance(kind, T.NumericType | T.StringType):
+        return out.where(date_predicate(kind, "date", start, end)).withColumn("date", F.col("date").cast("date"))
+    return out.withColumn("date", parse_date(F.col("date"), kind)).where(date_predicate(T.DateType(), "date", start, end))
+
+
 def sample_scan(df: DataFrame, predicate: str, n: int) -> DataFrame:
     """``n`` rows of the window, or of the whole where the window has none."""
     part = df.where(predicate).limit(n)

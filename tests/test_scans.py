@@ -2,8 +2,10 @@
 
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import types as T
 
+from holdlens.plans import queries
 from holdlens.sources import scans
 
 
@@ -48,3 +50,25 @@ def test_jdbc_windows_are_partitions(spark, tmp_path):
     got = scans.read_jdbc_windows(spark, url, "held", ["id"], '"d"', windows, T.LongType(), properties=driver)
     assert got.rdd.getNumPartitions() == 2 and sorted(r.id for r in got.collect()) == [0, 1, 2, 3, 4]
     assert scans.read_jdbc(spark, url, "held", ["id"], driver).count() == 6
+
+
+def test_factor_tables_of_several_makes(spark):
+    days = [datetime(1996, 12, 31, 8), datetime(1997, 1, 31, 23, 30), datetime(1997, 2, 28)]
+    made = [(d, 0.01 * k, 0.02, 0.03, "x") for k, d in enumerate(days)]
+    stamped = spark.createDataFrame(made, "CalDt timestamp, `Mkt-RF` double, SMB double, hml double, note string")
+    got = scans.factor_scan(stamped, "1997-01-01", "1997-01-31")
+    assert got.columns == ["date", "mktrf", "smb", "hml"] and [tuple(r) for r in got.collect()] == [(date(1997, 1, 31), 0.01, 0.02, 0.03)]
+    numbers = spark.createDataFrame([(199612, 1.0, 2.0, 3.0), (199701, 4.0, 5.0, 6.0)], "month long, mkt double, rf double, smb double")
+    assert [tuple(r) for r in scans.factor_scan(numbers, "1997-01-01", "1997-12-31").collect()] == [(date(1997, 1, 1), 4.0, 6.0, 5.0)]
+    for bad, why in ((stamped.drop("CalDt"), "date"), (stamped.drop("Mkt-RF"), "mktrf"), (stamped.drop("SMB"), "two of")):
+        with pytest.raises(ValueError, match=why):
+            scans.factor_scan(bad, "1997-01-01", "1997-01-31")
+
+
+def test_changed_tables_are_read_again(spark, tmp_path):
+    for t, n in (("lineitem", 3), ("part", 2)):
+        spark.range(n).write.parquet(str(tmp_path / f"{t}.parquet"))
+    first = queries.build(spark, str(tmp_path))
+    assert queries.build(spark, str(tmp_path)) is first
+    spark.range(1).write.mode("append").parquet(str(tmp_path / "part.parquet"))
+    assert queries.build(spark, str(tmp_path)) is not first
