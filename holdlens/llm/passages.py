@@ -6,7 +6,7 @@ end, or where a capital follows a word without one. Where there is no such mark
 passage are the same wherever it was put. Text without spaces is cut after its full-width stops. A unit's digest is that of its words (runs without ASCII
 white space, A-Z as a-z), so spacing and ASCII case don't matter. Whole lines of several
 units have a digest as well. Digests are grouped over all documents; the occurrence with the
-smallest (doc_id, text hash, place) stays. Later whole lines go from a few words or bytes on, and pieces of lines
+smallest (doc_id, text hash, place) stays. All later whole lines go, and pieces of lines
 where repeats that stand side by side have ``least_words`` words or more: short stock phrases inside lines stay.
 """
 
@@ -28,6 +28,8 @@ from holdlens.llm.words import SPACED, mix, steps, words
 U = np.uint64
 #: Words without a mark after which hashes cut: where one is the least of those up to REACH words away.
 QUIET, REACH = 12, 4
+#: Bounds for ``remove_repeats`` under which short stock lines ("Thanks.") of otherwise clean documents stay.
+KEEP_STOCK_LINES = {"line_words": 4, "line_bytes": 24}
 #: Bits of the bitmap of repeated digests: 16 MB at any number of them.
 BITMAP_BITS = 1 << 27
 _P = U(0x9E3779B97F4A7C15)
@@ -189,10 +191,10 @@ def _runs(repeat: np.ndarray, u: Units, least_words: int, line_words: int, line_
     return _edges(gone)
 
 
-def remove_repeats(docs: DataFrame, *, least_words: int = 25, line_words: int = 4, line_bytes: int = 24) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, least_words: int = 25, line_words: int = 1, line_bytes: int = 1) -> DataFrame:
     """All columns of ``docs`` with the text cut, and ``n_units``, ``n_removed``, ``n_spans``, ``removed``, ``kept``.
 
-    A repeated line goes if it has ``line_words`` words or ``line_bytes`` bytes; other repeats from ``least_words`` words or ten times as many bytes on.
+    Every repeated line goes, with other bounds those of ``line_words`` words or ``line_bytes`` bytes; repeats inside lines from ``least_words`` words or ten times as many bytes on.
     removed, kept: arrays of (start, end) in bytes of the original text as UTF-8, in order; together they
     cover it. No row is dropped. A null text stays null with no spans, an empty one
     stays empty. Rows that share doc_id and text are one document; null ids rank first.

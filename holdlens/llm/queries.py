@@ -16,7 +16,7 @@ from holdlens.llm.merkle import merkle_manifest
 from holdlens.llm.near_duplicates import near_duplicates
 from holdlens.llm.oracle import merkle_sql, search_sql
 from holdlens.llm.packing import pack
-from holdlens.llm.passages import remove_repeats
+from holdlens.llm.passages import KEEP_STOCK_LINES, remove_repeats
 from holdlens.llm.pii import find_personal_data
 from holdlens.llm.pii import train as train_field
 from holdlens.llm.search import search
@@ -56,8 +56,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with repeated passages cut out; spans are start-end in bytes of the original."""
-    out = remove_repeats(_table(spark, sf_dir, "documents"))
+    """Every document with repeated passages cut out, short stock lines apart; spans are start-end in bytes of the original."""
+    out = remove_repeats(_table(spark, sf_dir, "documents"), **KEEP_STOCK_LINES)
     return out.select("doc_id", "text", "n_units", "n_removed", "n_spans", _span_text("removed"), _span_text("kept"))
 
 

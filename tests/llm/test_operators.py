@@ -94,7 +94,7 @@ def test_near_duplicates_odd_rows(odd, empty):
 def test_passages(spark, odd, empty):
     passage = " ".join(f"Passage {w} here." for w in "abcdefghijklmnopqrstuvwxyz")
     rows = [(1, f"Own start and some {passage} own end of one"), (2, f"Other words come in\n{passage.replace(' ', '  ')} then more"), (3, "Short. Short. Clean text\nShort."), (4, None)]
-    got = {r.doc_id: r for r in passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in passages.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), **passages.KEEP_STOCK_LINES).collect()}
     assert got[1].text == rows[0][1] and got[3].text == rows[2][1] and got[4].text is None
     assert "Passage b" not in got[2].text and got[2].text.startswith("Other words come in\n") and got[2].text.endswith("then more")
     for i, t in rows[:3]:  # the spans cover the original and the kept ones make the text
