@@ -16,7 +16,7 @@ from holdlens.llm.decontamination import drop_contaminated
 from holdlens.llm.language_id import keep_identified
 from holdlens.llm.near_duplicates import keep_one_of_each
 from holdlens.llm.packing import pack
-from holdlens.llm.passages import remove_repeats
+from holdlens.llm.passages import KEEP_STOCK_LINES, remove_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +30,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has; none goes."""
+    """Documents without the passages that an earlier one has, short stock lines apart; none goes."""
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("others")
-    made = remove_repeats(docs.select("doc_id", "text", others))
+    made = remove_repeats(docs.select("doc_id", "text", others), **KEEP_STOCK_LINES)
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return made.select(*(new.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns))
 
