@@ -1,7 +1,7 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse word features.
 
-Grades are 0 for rows labelled clean; toxic ones get 1 to GRADES by the share of their words that the
-labels associate with toxicity, cut at equal counts. ``P(grade <= k) = sigmoid(threshold_k - w.x)``: the
+Grades are 0 for rows labelled clean; toxic ones get 1 to GRADES by the summed log(1 + count) of their words that the
+labels associate with toxicity, cut at equal counts of rows that have such words; rows without any get 1. ``P(grade <= k) = sigmoid(threshold_k - w.x)``: the
 weights w are shared by all thresholds, which are kept in order. Features are log(1 + count) of the words
 (runs of ASCII letters, digits and non-ASCII characters, A-Z as a-z) that tell the classes apart best.
 The fit sees at most about TRAIN_ROWS labelled rows, chosen by a hash of the id, and one of equal texts.
@@ -24,7 +24,7 @@ TRAIN_ROWS, FEATURES, LEAST_ROWS = 8000, 1024, 10
 LEAST_CHI = 15.0
 GRADES = 3
 #: Penalty on the weights, steps of the fit.
-RIDGE, ITERATIONS = 0.0003, 400
+RIDGE, ITERATIONS = 0.00003, 400
 
 
 @dataclass
@@ -75,8 +75,18 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade
     return free[k:], free[0] + np.concatenate(([0.0], np.cumsum(gaps)))
 
 
+def severity_grades(toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """0 where not ``toxic``, else 1 to GRADES by ``weight``, cut at equal counts of those that have any; without any 1."""
+    grade = (toxic == 1).astype(np.int64)
+    told = (toxic == 1) & (weight > 0)
+    if told.any():
+        some = np.round(weight[told], 9)  # sums in another order tie alike
+        grade[told] += np.searchsorted(np.round(np.quantile(some, np.arange(1, GRADES) / GRADES), 9), some, side="right")
+    return grade
+
+
 def _counts(docs: DataFrame) -> DataFrame:
-    """``(toxic, n_words, words, counts)``: the distinct words' hashes of each row."""
+    """``(hash, toxic, n_words, words, counts)``: the distinct words' hashes of each row."""
 
     def run(batches):
         for batch in batches:
@@ -87,9 +97,9 @@ def _counts(docs: DataFrame) -> DataFrame:
                     h, c = np.unique(w.hash[w.rows[i] : w.rows[i + 1]], return_counts=True)
                     out.append((int(c.sum()), h.view(np.int64), c))
             if out:
-                yield pa.record_batch([batch.column("toxic"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["toxic", "n_words", "words", "counts"])
+                yield pa.record_batch([batch.column("hash"), batch.column("toxic"), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["hash", "toxic", "n_words", "words", "counts"])
 
-    return docs.select(F.col("text").cast("string"), F.col("toxic").cast("int")).mapInArrow(run, "toxic int, n_words long, words array<long>, counts array<long>")
+    return docs.select("hash", F.col("text").cast("string"), F.col("toxic").cast("int")).mapInArrow(run, "hash long, toxic int, n_words long, words array<long>, counts array<long>")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -100,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     part = min(1.0, TRAIN_ROWS / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
+    chosen = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53) < part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # TRAIN_ROWS bounds it
     # copies aren't further evidence; toxic if one of them is
     rows = rows.groupBy(F.xxhash64("text").alias("hash")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
@@ -120,8 +130,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     known_words = F.broadcast(counts.sparkSession.createDataFrame([(int(x),) for x in vocabulary.view(np.int64)], "word long")) if len(vocabulary) else None
     data = []
     if known_words is not None:
-        each = counts.select(F.monotonically_increasing_id().alias("row"), "toxic", "n_words", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", "toxic", "n_words", F.col("x.words").alias("word"), F.col("x.counts").alias("count"))
-        data = each.join(known_words, "word").groupBy("row").agg(F.first("toxic").alias("toxic"), F.first("n_words").alias("n_words"), F.collect_list(F.struct("word", "count")).alias("x")).collect()
+        each = counts.select("hash", "toxic", "n_words", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("hash", "toxic", "n_words", F.col("x.words").alias("word"), F.col("x.counts").alias("count"))
+        data = each.join(known_words, "word").groupBy("hash").agg(F.first("toxic").alias("toxic"), F.first("n_words").alias("n_words"), F.collect_list(F.struct("word", "count")).alias("x")).collect()
     counts.unpersist()
     toxic = np.array([r.toxic for r in data] + [1] * max(0, n_toxic - sum(r.toxic for r in data)) , np.int64)
     toxic = np.append(toxic, np.zeros(max(0, n - len(toxic)), np.int64))  # rows without any feature
@@ -129,13 +139,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     word = np.array([x["word"] for r in data for x in r.x], np.int64).view(np.uint64)
     count = np.array([x["count"] for r in data for x in r.x], np.float64)
     column = np.searchsorted(vocabulary, word)
-    share = np.zeros(len(toxic))
+    weight = np.zeros(len(toxic))
     if len(index):
-        share[: len(data)] = np.bincount(index, count * lexicon[column], minlength=len(data)) / np.array([max(1, r.n_words) for r in data])
-    grade = np.zeros(len(toxic), np.int64)
-    if toxic.any():
-        cuts = np.quantile(share[toxic == 1], np.arange(1, GRADES) / GRADES)
-        grade[toxic == 1] = 1 + np.searchsorted(cuts, share[toxic == 1], side="right")
+        weight[: len(data)] = np.bincount(index, np.log1p(count) * lexicon[column], minlength=len(data))
+    grade = severity_grades(toxic, weight)
     weights, thresholds = fit_ordinal(index, column, np.log1p(count), grade, len(vocabulary))
     return Model(vocabulary, weights, thresholds)
 
