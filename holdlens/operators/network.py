@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdlens.functions.columns import require_columns
-from holdlens.sources.shared import cut
+from holdlens.sources.shared import cut, written
 
 
 def _held(positions: DataFrame, phi: Column | None = None) -> DataFrame:
@@ -103,8 +103,7 @@ def network_degree(positions: DataFrame, *, approximate: int | None = None) -> D
     """``(month, permno, network_degree)``: other stocks with a common manager.
 
     A month's stocks get numbers, and a manager's stocks are the bits of words of 64 numbers, only those that it holds. A stock's neighbours are the OR of the
-    words of its managers, so no pair is made. Positions are placed by month and manager once; books are made and met there, and only
-    each task's words leave it. ``approximate``: a book is an HLL sketch with 2**approximate registers instead, and a stock's neighbours are
+    words of its managers, so no pair is made. Only words are shuffled: a manager's words meet each other, not its positions. ``approximate``: a book is an HLL sketch with 2**approximate registers instead, and a stock's neighbours are
     a union of sketches, which stay small however many stocks a month has.
     """
     p = _held(positions).select("month", "manager_id", "permno")
@@ -114,11 +113,14 @@ def network_degree(positions: DataFrame, *, approximate: int | None = None) -> D
         met = p.join(books, ["month", "manager_id"]).groupBy("month", "permno").agg(F.hll_sketch_estimate(F.hll_union_agg("held")).alias("n"))
         return met.select("month", "permno", (F.greatest("n", F.lit(1)) - 1).alias("network_degree"))
     numbered = p.select("month", "permno").distinct().withColumn("n", F.row_number().over(Window.partitionBy("month").orderBy("permno")) - 1)
-    p = p.join(numbered, ["month", "permno"]).repartition("month", "manager_id")
-    word, bit = F.expr("n div 64"), F.expr("1L << (n % 64)")
-    books = p.groupBy("month", "manager_id", word.alias("word")).agg(F.bit_or(bit).alias("held"))
-    met = p.join(books, ["month", "manager_id"]).groupBy("month", "permno", "word").agg(F.bit_or("held").alias("held"))
-    return met.groupBy("month", "permno").agg((F.sum(F.bit_count("held")) - 1).alias("network_degree"))
+    numbered = written(numbered, "numbered")  # its size is known; a small one is broadcast
+    words = p.join(numbered, ["month", "permno"]).groupBy("month", "manager_id", F.expr("n div 64").alias("word")).agg(F.bit_or(F.expr("1L << (n % 64)")).alias("held"))
+    books = words.groupBy("month", "manager_id").agg(F.collect_list(F.struct("word", "held")).alias("book"))
+    # a word's bits are laid out and picked, then each stock meets its book's words
+    held = books.select("month", F.explode("book").alias("x"), "book").select("month", "x", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bit"), "book")
+    stocks = held.where("shiftrightunsigned(x.held, bit) % 2 != 0").select("month", F.expr("64 * x.word + bit").alias("n"), F.explode("book").alias("y"))
+    met = stocks.groupBy("month", "n", "y.word").agg(F.bit_or("y.held").alias("held"))
+    return met.groupBy("month", "n").agg((F.sum(F.bit_count("held")) - 1).alias("network_degree")).join(numbered, ["month", "n"]).select("month", "permno", "network_degree")
 
 
 def network_weighted(positions: DataFrame, stock: DataFrame, *, phi: Column | None = None) -> DataFrame:

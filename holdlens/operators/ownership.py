@@ -31,6 +31,10 @@ FILING_DELAY_DAYS = 45
 #: Months after its first that a filing stays active without a successor.
 EXPIRY_MONTHS = 5
 LAG_KEYS = ["manager_id", "permno"]
+BOOK = ["manager_id", "month_date"]
+PRICES = ["ret", "retx", "prc", "shrout", "vol", "mktcap_proxy", "fwd_ret_1m", "fwd_ret_3m"]
+#: Parts into which managers are dealt, for each shuffle partition: a filing's rows become several months of rows there.
+SPREAD = 4
 
 
 def _typed(df: DataFrame, parse, names: tuple[str, ...]) -> dict[str, Column]:
@@ -46,11 +50,15 @@ def clean_holdings(raw: DataFrame, start: str, end: str) -> DataFrame:
     r = r.withColumns(_typed(r, parse_date, ("report_date", "filing_date")) | _typed(r, parse_number, ("shares", "reported_value")))
     available = F.coalesce("filing_date", F.date_add("report_date", FILING_DELAY_DAYS))
     r = r.withColumn("manager_id", F.col("manager_id").cast("string")).where(available.between(start, end) & (F.coalesce("shares", F.lit(0.0)) > 0))
-    # a report stays together from here on: the groups here and in snapshot fit that
-    r = r.repartition("manager_id", "report_date").select("manager_id", cusip8(F.col("cusip")).alias("cusip8"), "report_date", "filing_date", "shares", "reported_value")
+    # each code is cleaned once, not for each row; the table's size is known, and a small one is broadcast
+    codes = written(r.select("cusip").distinct().withColumn("cusip8", cusip8(F.col("cusip"))).where("cusip8 is not null"), "codes")
+    r = r.join(codes, "cusip")
+    # a manager stays together from here on: the groups here and in snapshot, and the windows up to the books, fit that
+    parts = SPREAD * int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    r = r.where("manager_id is not null").repartition(parts, "manager_id").select("manager_id", "cusip8", "report_date", "filing_date", "shares", "reported_value")
     # all other columns follow from these four, so they are made for groups, not for rows
     keys = ["manager_id", "cusip8", "report_date", "filing_date"]
-    out = r.groupBy(*keys).agg(F.sum("shares").alias("shares"), F.coalesce(F.sum("reported_value"), F.lit(0.0)).alias("reported_value")).na.drop(subset=keys[:2])
+    out = r.groupBy(*keys).agg(F.sum("shares").alias("shares"), F.coalesce(F.sum("reported_value"), F.lit(0.0)).alias("reported_value"))
     out = out.withColumn("available_date", available)
     return out.select(
         *keys, "available_date", F.coalesce("report_date", "available_date").alias("mapping_date"), month_floor(F.col("available_date")).alias("available_month"),
@@ -116,7 +124,7 @@ def map_point_in_time(holdings: DataFrame, names: DataFrame) -> DataFrame:
 def snapshot(mapped: DataFrame) -> DataFrame:
     """One row for each manager, security and filing, whatever the number of its cusips."""
     return mapped.groupBy("manager_id", "permno", "report_date", "available_date", "available_month", "mapping_date").agg(
-        F.max("permco").alias("permco"), F.max("report_quarter").alias("report_quarter"), F.sum("shares").alias("shares"), F.sum("reported_value").alias("reported_value"), F.avg("filing_lag_days").alias("filing_lag_days")
+        F.max("permco").alias("permco"), quarter_label(F.col("report_date")).alias("report_quarter"), F.sum("shares").alias("shares"), F.sum("reported_value").alias("reported_value"), F.avg("filing_lag_days").alias("filing_lag_days")
     )
 
 
@@ -128,65 +136,135 @@ def filing_windows(snap: DataFrame, end: str, *, expiry: int = EXPIRY_MONTHS, su
     """
     f = snap.where(F.col("available_month") <= F.lit(end).cast("date")).select("manager_id", "report_date", "available_date", F.col("available_month").alias("active_start_month")).distinct()
     w = Window.partitionBy("manager_id").orderBy("active_start_month", "available_date", F.col("report_date").asc_nulls_last())
-    following = F.lead("active_start_month").over(w)
-    f = f.withColumn("following", following)
+    f = f.withColumn("following", F.lead("active_start_month").over(w))
     if supersede_same_month:
-        f = f.where(F.col("following").isNull() | (F.col("following") > F.col("active_start_month")))
-    until = F.when(F.col("following") > F.col("active_start_month"), F.add_months("following", -1)).otherwise(F.add_months("active_start_month", expiry))
-    return f.select("manager_id", "report_date", "available_date", "active_start_month", until.alias("active_end_month"))
+        f = f.where(_lasts())
+    return f.select("manager_id", "report_date", "available_date", "active_start_month", _until(expiry).alias("active_end_month"))
+
+
+def _lasts() -> Column:
+    """No other filing of the month comes after it."""
+    return F.col("following").isNull() | (F.col("following") > F.col("active_start_month"))
+
+
+def _until(expiry: int) -> Column:
+    return F.when(F.col("following") > F.col("active_start_month"), F.add_months("following", -1)).otherwise(F.add_months("active_start_month", expiry))
 
 
 def expand_positions(snap: DataFrame, windows: DataFrame) -> DataFrame:
     """A row for each month in which a position is held; the latest available filing wins."""
     w = windows.select(*(F.col(c).alias(f"w_{c}") for c in ("manager_id", "report_date", "available_date")), "active_start_month", "active_end_month")
     joined = snap.join(w, (F.col("manager_id") == F.col("w_manager_id")) & F.col("report_date").eqNullSafe(F.col("w_report_date")) & F.col("available_date").eqNullSafe(F.col("w_available_date")))
-    months = joined.select(F.explode(F.expr("sequence(active_start_month, active_end_month, interval 1 month)")).alias("month_date"), *snap.columns)
+    months = _by_month(joined, snap.columns)
     # placed by manager and month once: the windows here and in value_and_weight both fit that
-    months = months.repartition("month_date", "manager_id")
-    latest = Window.partitionBy("month_date", "manager_id", "permno").orderBy(F.col("available_date").desc(), F.col("report_date").desc_nulls_last())
-    kept = months.withColumn("rn", F.row_number().over(latest)).where("rn = 1")
+    return _latest(months.repartition("month_date", "manager_id"))
+
+
+def expand_filings(snap: DataFrame, end: str, *, expiry: int = EXPIRY_MONTHS, supersede_same_month: bool = False) -> DataFrame:
+    """As ``expand_positions`` with ``filing_windows``, by windows over a manager's rows: where a manager is in one place already, nothing is moved or joined."""
+    filing = Window.partitionBy("manager_id").orderBy("available_month", "available_date", F.col("report_date").asc_nulls_last())
+    f = snap.where((F.col("available_month") <= F.lit(end).cast("date")) & F.col("manager_id").isNotNull()).withColumn("filing", F.dense_rank().over(filing))
+    after = Window.partitionBy("manager_id").orderBy("filing").rangeBetween(1, 1)
+    f = f.withColumns({"following": F.first("available_month").over(after), "active_start_month": F.col("available_month")})
+    if supersede_same_month:
+        f = f.where(_lasts())
+    f = f.withColumn("active_end_month", _until(expiry))
+    return _latest(_by_month(f, snap.columns))
+
+
+def _by_month(filed: DataFrame, columns: list[str]) -> DataFrame:
+    number = lambda c: 12 * F.year(c) + F.month(c)
+    later = F.sequence(F.lit(0), number("active_end_month") - number("active_start_month"))
+    return filed.withColumn("later", F.explode(later)).select(F.add_months("active_start_month", F.col("later")).alias("month_date"), *columns)
+
+
+def _latest(months: DataFrame) -> DataFrame:
+    w = Window.partitionBy(*LAG_KEYS, "month_date").orderBy(F.col("available_date").desc(), F.col("report_date").desc_nulls_last())
+    kept = months.withColumn("rn", F.row_number().over(w)).where("rn = 1")
     return kept.select("month_date", month_text(F.col("month_date")).alias("month"), "manager_id", "permno", "permco", "report_date", "available_date", "report_quarter", "shares", "reported_value", "filing_lag_days")
 
 
 def value_and_weight(positions: DataFrame, monthly: DataFrame, *, price_floor: float | None = None) -> DataFrame:
     """Positions of positive value with prices, forward returns and the weight in their manager's month."""
-    m = monthly.select("permno", "month_date", "ret", "retx", "prc", "shrout", "vol", "mktcap_proxy", "fwd_ret_1m", "fwd_ret_3m")
-    v = positions.join(m, ["permno", "month_date"], "left").withColumn("position_value_proxy", position_value(F.col("reported_value"), F.col("shares"), F.col("prc"))).where("position_value_proxy > 0")
-    if price_floor is not None:
-        v = v.where(F.abs("prc") >= price_floor)
-    v = v.withColumn("manager_total_value_proxy", F.sum("position_value_proxy").over(Window.partitionBy("month_date", "manager_id"))).where("manager_total_value_proxy > 0")
-    return v.withColumns({"portfolio_weight": safe_ratio(F.col("position_value_proxy"), F.col("manager_total_value_proxy")), "year": F.year("month_date")})
+    return _weigh(_value(positions, monthly, price_floor))
+
+
+def _value(positions: DataFrame, monthly: DataFrame, price_floor: float | None = None) -> DataFrame:
+    v = positions.join(monthly.select("permno", "month_date", *PRICES), ["permno", "month_date"], "left").withColumn("position_value_proxy", position_value(F.col("reported_value"), F.col("shares"), F.col("prc"))).where("position_value_proxy > 0")
+    return v if price_floor is None else v.where(F.abs("prc") >= price_floor)
+
+
+def _weigh(valued: DataFrame) -> DataFrame:
+    v = valued.withColumn("manager_total_value_proxy", F.sum("position_value_proxy").over(Window.partitionBy(*BOOK))).where("manager_total_value_proxy > 0")
+    return v.withColumns({"portfolio_weight": _weight(), "year": F.year("month_date")})
+
+
+def _weight() -> Column:
+    return safe_ratio(F.col("position_value_proxy"), F.col("manager_total_value_proxy"))
+
+
+def _sales(valued: DataFrame) -> DataFrame:
+    """The position's value in the manager's last row of the stock, and what was sold since."""
+    before = F.lag("position_value_proxy").over(Window.partitionBy(*LAG_KEYS).orderBy("month_date"))
+    p = valued.withColumn("lag_position_value_proxy", before)
+    return p.withColumn("sell_amount_proxy", F.greatest(F.coalesce("lag_position_value_proxy", "position_value_proxy") - F.col("position_value_proxy"), F.lit(0.0)))
+
+
+def _books(weighted: DataFrame) -> DataFrame:
+    """Breadth and concentration of the manager's month; a stock occurs once in it, so its rows are its breadth."""
+    book = Window.partitionBy(*BOOK)
+    return weighted.withColumns({"manager_breadth": F.count("permno").over(book), "manager_concentration": F.sum(F.col("portfolio_weight") * F.col("portfolio_weight")).over(book)})
+
+
+#: What ``books`` leaves out, since ``with_prices`` has it from other columns.
+_DERIVED = [*PRICES, "portfolio_weight", "year", "report_quarter"]
+
+
+def books(expanded: DataFrame, monthly: DataFrame) -> DataFrame:
+    """All that a manager's rows say of each position, without prices: for a table that ``with_prices`` and ``weights`` read.
+
+    Value, book total, breadth, concentration and sales in one go, by windows over a manager's rows alone.
+    """
+    return _books(_weigh(_sales(_value(expanded, monthly)))).drop(*_DERIVED)
+
+
+def with_prices(held: DataFrame, monthly: DataFrame) -> DataFrame:
+    """The positions of ``value_and_weight`` with sales, breadth and concentration, from the table of ``books``."""
+    p = held.join(monthly.select("permno", "month_date", *PRICES), ["permno", "month_date"], "left")
+    return p.withColumns({"portfolio_weight": _weight(), "year": F.year("month_date"), "report_quarter": quarter_label(F.col("report_date"))})
+
+
+def weights(held: DataFrame) -> DataFrame:
+    """``(month_date, month, manager_id, permno, portfolio_weight)`` from the table of ``books``."""
+    return held.select("month_date", "month", "manager_id", "permno", _weight().alias("portfolio_weight"))
 
 
 def manager_features(positions: DataFrame) -> DataFrame:
-    """Breadth, total value and concentration of each manager and month."""
+    """Breadth, total value and concentration of each manager and month; a stock occurs once in a manager's month, so its rows are its breadth."""
     return positions.groupBy("month_date", "month", "manager_id").agg(
-        F.count_distinct("permno").alias("manager_breadth"), F.sum("position_value_proxy").alias("manager_total_value_proxy"), F.sum(F.col("portfolio_weight") ** 2).alias("manager_concentration")
+        F.count("permno").alias("manager_breadth"), F.sum("position_value_proxy").alias("manager_total_value_proxy"), F.sum(F.col("portfolio_weight") * F.col("portfolio_weight")).alias("manager_concentration")
     )
 
 
 def sell_pressure(positions: DataFrame) -> DataFrame:
     """Positions with manager features, owner shares and the value sold since the manager's last row of the stock.
 
-    A complete exit leaves no row, so it counts nothing; a first row counts 0.
+    A complete exit leaves no row, so it counts nothing; a first row counts 0. Columns that ``books`` has made are taken as they are. The stocks' totals are
+    a table whose size is known: if it is small it is broadcast, and positions stay where they are.
     """
-    of_manager = Window.partitionBy("month_date", "manager_id")
-    # a stock occurs once in a manager's month, so its rows are its breadth
-    p = positions.withColumns({"manager_breadth": F.count("permno").over(of_manager), "manager_concentration": F.sum(F.col("portfolio_weight") ** 2).over(of_manager)})
-    p = p.withColumn("stock_total_value_proxy", F.sum("position_value_proxy").over(Window.partitionBy("month_date", "permno")))
-    before = F.lag("position_value_proxy").over(Window.partitionBy(*LAG_KEYS).orderBy("month_date"))
-    p = p.withColumns({"stock_owner_share": safe_ratio(F.col("position_value_proxy"), F.col("stock_total_value_proxy")), "lag_position_value_proxy": before})
-    return p.withColumn("sell_amount_proxy", F.greatest(F.coalesce("lag_position_value_proxy", "position_value_proxy") - F.col("position_value_proxy"), F.lit(0.0)))
+    p = positions if "sell_amount_proxy" in positions.columns else _books(_sales(positions))
+    totals = written(p.groupBy("month_date", "permno").agg(F.sum("position_value_proxy").alias("stock_total_value_proxy")), "stock-totals")
+    p = p.join(totals, ["month_date", "permno"], "left")
+    return p.withColumn("stock_owner_share", safe_ratio(F.col("position_value_proxy"), F.col("stock_total_value_proxy")))
 
 
 def stock_features(enriched: DataFrame) -> DataFrame:
     """Ownership features of each stock and month."""
-    prices = ("ret", "retx", "prc", "shrout", "vol", "mktcap_proxy", "fwd_ret_1m", "fwd_ret_3m")
     return enriched.groupBy("month_date", "month", "permno").agg(
         F.max("permco").alias("permco"), F.count("manager_id").alias("owner_count"), F.sum("position_value_proxy").alias("total_position_value_proxy"),
-        F.sum(F.col("stock_owner_share") ** 2).alias("owner_hhi"), F.max("stock_owner_share").alias("top_owner_share"), F.avg("manager_concentration").alias("fragility_proxy"),
+        F.sum(F.col("stock_owner_share") * F.col("stock_owner_share")).alias("owner_hhi"), F.max("stock_owner_share").alias("top_owner_share"), F.avg("manager_concentration").alias("fragility_proxy"),
         F.avg("manager_breadth").alias("avg_manager_breadth"), safe_ratio(F.sum("sell_amount_proxy"), F.sum("position_value_proxy")).alias("stock_sell_pressure"),
-        *(F.max(c).alias(c) for c in prices), F.year("month_date").alias("year"),
+        *(F.max(c).alias(c) for c in PRICES), F.year("month_date").alias("year"),
     )
 
 

@@ -47,9 +47,13 @@ class Build:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def trades(self):
+        return written(sample.trades(self.spark, self.sf_dir), "trades")
+
     @cached_property
     def holdings(self):
-        return ownership.clean_holdings(sample.raw_holdings(self.spark, self.sf_dir), sample.START, sample.END)
+        return ownership.clean_holdings(sample.raw_holdings(self.trades), sample.START, sample.END)
 
     @cached_property
     def names(self):
@@ -57,17 +61,18 @@ class Build:
 
     @cached_property
     def monthly(self):
-        return ownership.forward_returns(ownership.clean_monthly(sample.raw_monthly(self.spark, self.sf_dir)))
+        """Written, so that its size is known: positions meet it by a broadcast where it is small."""
+        return written(ownership.forward_returns(ownership.clean_monthly(sample.raw_monthly(self.trades))), "monthly")
 
     @cached_property
     def to_the_end(self):
         """Monthly rows with terminal returns, and forward returns up to them."""
-        rows = ownership.clean_monthly(sample.raw_monthly(self.spark, self.sf_dir))
-        return written(horizons.forward_to_the_end(horizons.with_delistings(rows, sample.raw_delistings(self.spark, self.sf_dir), missing=-0.3)), "delisted")
+        rows = ownership.clean_monthly(sample.raw_monthly(self.trades))
+        return written(horizons.forward_to_the_end(horizons.with_delistings(rows, sample.raw_delistings(self.trades), missing=-0.3)), "delisted")
 
     @cached_property
     def daily(self):
-        return written(horizons.daily_forward_returns(sample.raw_daily(self.spark, self.sf_dir)), "daily")
+        return written(horizons.daily_forward_returns(sample.raw_daily(self.trades)), "daily")
 
     @cached_property
     def horizon_long(self):
@@ -82,7 +87,7 @@ class Build:
 
     @cached_property
     def snap(self):
-        return written(ownership.snapshot(self.mapped), "snapshot")
+        return ownership.snapshot(self.mapped)
 
     @cached_property
     def windows(self):
@@ -90,11 +95,20 @@ class Build:
 
     @cached_property
     def expanded(self):
-        return ownership.expand_positions(self.snap, self.windows)
+        return ownership.expand_filings(self.snap, sample.END)
+
+    @cached_property
+    def books(self):
+        """All of a manager's rows from raw holdings on, after one shuffle by manager."""
+        return written(ownership.books(self.expanded, self.monthly), "books")
 
     @cached_property
     def positions(self):
-        return written(ownership.value_and_weight(self.expanded, self.monthly), "positions")
+        return ownership.with_prices(self.books, self.monthly)
+
+    @cached_property
+    def weights(self):
+        return ownership.weights(self.books)
 
     @cached_property
     def enriched(self):
@@ -106,11 +120,11 @@ class Build:
 
     @cached_property
     def degree(self):
-        return network.network_degree(self.positions)
+        return network.network_degree(self.weights)
 
     @cached_property
     def weighted(self):
-        return network.network_weighted(self.positions, self.stock)
+        return network.network_weighted(self.weights, self.stock)
 
     @cached_property
     def full_panel(self):
@@ -288,8 +302,8 @@ _register("manager_features", "month_date:D month:s manager_id:s manager_breadth
 _register("sell_pressure", "month:s manager_id:s permno:i manager_breadth:i manager_concentration:d stock_owner_share:d lag_position_value_proxy:d sell_amount_proxy:d", lambda b: b.enriched, "enriched")
 _register("stock_features", _STOCK, lambda b: b.stock, "stock")
 _register("coverage_by_month", "month:s position_rows:i stocks:i managers:i avg_portfolio_weight:d", lambda b: ownership.coverage_by_month(b.positions), "(SELECT month, count(*) AS position_rows, count(DISTINCT permno) AS stocks, count(DISTINCT manager_id) AS managers, avg(portfolio_weight) AS avg_portfolio_weight FROM positions GROUP BY ALL)")
-_register("network_edges", "month:s i:i j:i g:d", lambda b: network.common_ownership_edges(b.positions), "edges")
-_register("network_topk_edges", "month:s i:i j:i g:d rank:n", lambda b: network.top_edges(b.positions),
+_register("network_edges", "month:s i:i j:i g:d", lambda b: network.common_ownership_edges(b.weights), "edges")
+_register("network_topk_edges", "month:s i:i j:i g:d rank:n", lambda b: network.top_edges(b.weights),
           f"(SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(g, {network.TIE_DECIMALS}) DESC, i, j) AS rank FROM edges WHERE g > 0) WHERE rank <= {network.TOP_EDGES}")
 _register("network_degree", "month:s permno:i network_degree:i", lambda b: b.degree, "network")
 _register("network_weighted_degree", "month:s permno:i network_weighted_degree:d", lambda b: b.weighted, "network")
@@ -300,9 +314,9 @@ _PHI = {"both_months": "SELECT month_date, manager_id, permno, portfolio_weight
         "phis": "SELECT m.month_date, m.manager_id, coalesce(l.phi, 1) AS phi FROM (SELECT DISTINCT month_date, manager_id FROM positions) m LEFT JOIN lagged l ON m.month_date = l.month_date AND m.manager_id = l.manager_id",
         "phi_edges": "SELECT a.month, a.permno AS i, b.permno AS j, sum(phi * a.portfolio_weight * b.portfolio_weight) AS g FROM positions a JOIN positions b ON a.month = b.month AND a.manager_id = b.manager_id AND a.permno < b.permno JOIN phis f ON f.month_date = a.month_date AND f.manager_id = a.manager_id GROUP BY ALL",
         "phi_ends": "SELECT month, i AS permno, g FROM phi_edges UNION ALL SELECT month, j, g FROM phi_edges"}
-_register("manager_phi", "month_date:D manager_id:s phi:d", lambda b: network.manager_phi(b.positions), "phis", _PHI)
-_register("network_phi_topk_edges", "month:s i:i j:i g:d rank:n", lambda b: network.top_edges(network.with_phi(b.positions), top_k=500, phi=F.col("phi")), f"(SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(g, {network.TIE_DECIMALS}) DESC, i, j) AS rank FROM phi_edges) WHERE rank <= 500", _PHI)
-_register("network_phi_weighted_degree", "month:s permno:i network_weighted_degree:d", lambda b: network.network_weighted(network.with_phi(b.positions), b.stock, phi=F.col("phi")), "(SELECT h.month, h.permno, coalesce(sum(g), 0) AS network_weighted_degree FROM held h LEFT JOIN phi_ends e ON h.month = e.month AND h.permno = e.permno GROUP BY ALL)", _PHI)
+_register("manager_phi", "month_date:D manager_id:s phi:d", lambda b: network.manager_phi(b.weights), "phis", _PHI)
+_register("network_phi_topk_edges", "month:s i:i j:i g:d rank:n", lambda b: network.top_edges(network.with_phi(b.weights), top_k=500, phi=F.col("phi")), f"(SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(g, {network.TIE_DECIMALS}) DESC, i, j) AS rank FROM phi_edges) WHERE rank <= 500", _PHI)
+_register("network_phi_weighted_degree", "month:s permno:i network_weighted_degree:d", lambda b: network.network_weighted(network.with_phi(b.weights), b.stock, phi=F.col("phi")), "(SELECT h.month, h.permno, coalesce(sum(g), 0) AS network_weighted_degree FROM held h LEFT JOIN phi_ends e ON h.month = e.month AND h.permno = e.permno GROUP BY ALL)", _PHI)
 _register("panel", f"{_STOCK} network_degree:i network_weighted_degree:d network_peer_sell_pressure:d", lambda b: b.full_panel, "panel0")
 _register("describe_panel", "rows:i months:i stocks:i min_month:s max_month:s fwd_ret_1m_coverage:d fwd_ret_3m_coverage:d", lambda b: quality.describe_panel(b.panel), '(SELECT count(*) AS "rows", count(DISTINCT month) AS months, count(DISTINCT permno) AS stocks, min(month) AS min_month, max(month) AS max_month, avg((fwd_ret_1m IS NOT NULL)::INTEGER) AS fwd_ret_1m_coverage, avg((fwd_ret_3m IS NOT NULL)::INTEGER) AS fwd_ret_3m_coverage FROM panel)')
 _register("feature_coverage", "feature:s is_core_signal:b expected_high_minus_low_sign:s non_null_rows:i coverage:d months_non_null:i mean_value:d median_value:d min_value:d max_value:d", lambda b: quality.feature_coverage(b.panel, FEATURES, set(signals.CORE_FEATURES), signals.NEGATIVE),

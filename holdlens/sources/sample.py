@@ -25,17 +25,17 @@ def securities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = _table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"])
-    return line.join(securities(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey")).select("permno", "l_suppkey", "l_quantity", "l_extendedprice", F.col("l_shipdate").cast("date").alias("day"))
+    day = F.col("l_shipdate").cast("date")
+    report = F.last_day(F.add_months(F.trunc(day, "quarter"), 2))
+    return line.join(securities(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey")).select("permno", "l_suppkey", "l_quantity", "l_extendedprice", day.alias("day"), report.alias("report"))
 
 
-def raw_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir)
-    report = F.last_day(F.add_months(F.trunc("day", "quarter"), 2))
+def raw_holdings(t: DataFrame) -> DataFrame:
     return t.select(
         F.concat(F.lit("M"), F.col("l_suppkey").cast("string")).alias("MGRNO"),
         F.concat(F.lit("c-"), F.lpad(F.col("permno").cast("string"), 7, "0"), F.lit("x9")).alias("cusip"),
-        report.alias("rdate"),
-        F.when(F.col("l_suppkey") % 11 != 0, F.date_add(report, (20 + F.col("l_suppkey") % 50).cast("int"))).alias("fdate"),
+        F.col("report").alias("rdate"),
+        F.when(F.col("l_suppkey") % 11 != 0, F.date_add("report", (20 + F.col("l_suppkey") % 50).cast("int"))).alias("fdate"),
         F.col("l_quantity").alias("shares"),
         F.when(F.col("l_suppkey") % 7 != 0, F.col("l_extendedprice")).alias("value"),
     )
@@ -51,21 +51,20 @@ def raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades(spark, sf_dir).groupBy("permno", F.last_day("day").alias("date"))
-    m = t.agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("prc"), F.sum("l_quantity").alias("vol"), (F.count(F.lit(1)) * 1000.0).alias("shrout"))
+def raw_monthly(t: DataFrame) -> DataFrame:
+    m = t.groupBy("permno", F.last_day("day").alias("date")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("prc"), F.sum("l_quantity").alias("vol"), (F.count(F.lit(1)) * 1000.0).alias("shrout"))
     ret = F.col("prc") / F.lag("prc").over(Window.partitionBy("permno").orderBy("date")) - 1
     return m.select("permno", "date", (F.col("permno") * 10).alias("permco"), ret.alias("ret"), (ret - 0.001).alias("retx"), "prc", "shrout", "vol", F.lit(10).alias("shrcd"), F.lit(1).alias("exchcd"))
 
 
-def raw_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_daily(t: DataFrame) -> DataFrame:
     """Mean price of each security and day, and its change since the security's last day."""
-    d = trades(spark, sf_dir).groupBy("permno", F.col("day").alias("date")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("prc"))
+    d = t.groupBy("permno", F.col("day").alias("date")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("prc"))
     return d.withColumn("ret", F.col("prc") / F.lag("prc").over(Window.partitionBy("permno").orderBy("date")) - 1)
 
 
-def raw_delistings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_delistings(t: DataFrame) -> DataFrame:
     """A terminal event for some securities: on their last day, 40 days after it or, to be ignored, 70 days before it."""
-    last = trades(spark, sf_dir).groupBy("permno").agg(F.max("day").alias("day")).where("permno % 3 = 0")
+    last = t.groupBy("permno").agg(F.max("day").alias("day")).where("permno % 3 = 0")
     away = F.element_at(F.array(F.lit(0), F.lit(40), F.lit(-70)), (F.col("permno") % 4 % 3 + 1).cast("int"))
     return last.select("permno", F.date_add("day", away).alias("date"), F.when(F.col("permno") % 5 != 0, (F.col("permno") % 7) / 10 - 0.5).alias("dlret"))
