@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdlens.functions.columns import require_columns
-from holdlens.sources.shared import cut, written
+from holdlens.sources.shared import cut, spread, written
 
 
 def _held(positions: DataFrame, phi: Column | None = None) -> DataFrame:
@@ -27,15 +27,19 @@ def manager_phi(positions: DataFrame) -> DataFrame:
     phi = (1 + turnover) * (1 + concentration), where turnover is half the sum of the changes of weights and concentration the sum of their
     squares, both of the month before, so that no later month is seen. 1 where the manager had no position then. A first month has no turnover.
     """
-    w = positions.select("month_date", "manager_id", "permno", F.col("portfolio_weight").alias("w")).where("w > 0")
-    # a weight counts in its month, and against that of the month after
-    ends = F.explode(F.array(F.struct("month_date", F.col("w").alias("now"), F.lit(0.0).alias("then")), F.struct(F.add_months("month_date", 1).alias("month_date"), F.lit(0.0).alias("now"), F.col("w").alias("then"))))
-    each = w.select("manager_id", "permno", ends.alias("e")).groupBy("e.month_date", "manager_id", "permno").agg(F.sum("e.now").alias("now"), F.sum("e.then").alias("then"))
-    whole = each.groupBy("month_date", "manager_id").agg(F.sum(F.abs(F.col("now") - F.col("then"))).alias("moved"), F.sum("now").alias("now"), F.sum("then").alias("then"), F.sum(F.col("now") * F.col("now")).alias("concentration"))
-    turnover = F.when(F.col("then") > 0, F.col("moved") / 2).otherwise(0.0)
-    before = whole.where("now > 0").select(F.add_months("month_date", 1).alias("month_date"), "manager_id", ((1 + turnover) * (1 + F.col("concentration"))).alias("phi"))
-    months = w.select("month_date", "manager_id").distinct()
-    return months.join(before, ["month_date", "manager_id"], "left").select("month_date", "manager_id", F.coalesce("phi", F.lit(1.0)).alias("phi"))
+    # a manager is placed once; all that follows stays there
+    w = spread(positions.select("month_date", "manager_id", "permno", F.col("portfolio_weight").alias("w")).where("w > 0"), "manager_id")
+    w = w.groupBy("manager_id", "permno", "month_date").agg(F.sum("w").alias("w"))
+    stock = Window.partitionBy("manager_id", "permno").orderBy("month_date")
+    follows = lambda along: F.add_months(F.lag("month_date").over(along), 1) == F.col("month_date")
+    left = F.lead("month_date").over(stock).isNull() | (F.lead("month_date").over(stock) != F.add_months("month_date", 1))
+    w = w.withColumns({"then": F.when(follows(stock), F.lag("w").over(stock)).otherwise(0.0), "gone": F.when(left, F.col("w")).otherwise(0.0)})
+    whole = w.groupBy("manager_id", "month_date").agg(F.sum(F.abs(F.col("w") - F.col("then"))).alias("moved"), F.sum("w").alias("now"), F.sum("gone").alias("gone"), F.sum(F.col("w") * F.col("w")).alias("concentration"))
+    months = Window.partitionBy("manager_id").orderBy("month_date")
+    # what a manager gave up entirely has moved in the month after
+    turnover = F.when(follows(months), (F.col("moved") + F.lag("gone").over(months)) / 2).otherwise(0.0)
+    whole = whole.withColumn("own", (1 + turnover) * (1 + F.col("concentration")))
+    return whole.select("month_date", "manager_id", F.when(follows(months), F.lag("own").over(months)).otherwise(1.0).alias("phi"))
 
 
 def with_phi(positions: DataFrame) -> DataFrame:

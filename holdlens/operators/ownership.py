@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from holdlens.functions.columns import cusip8, month_floor, month_text, parse_date, parse_number, position_value, quarter_label, resolve, safe_ratio
 from holdlens.functions.intervals import interval_index
-from holdlens.sources.shared import written
+from holdlens.sources.shared import spread, written
 
 HOLDING_ALIASES = {
     "manager_id": ["manager_id", "mgrno", "cik"],
@@ -33,8 +33,6 @@ EXPIRY_MONTHS = 5
 LAG_KEYS = ["manager_id", "permno"]
 BOOK = ["manager_id", "month_date"]
 PRICES = ["ret", "retx", "prc", "shrout", "vol", "mktcap_proxy", "fwd_ret_1m", "fwd_ret_3m"]
-#: Parts into which managers are dealt, for each shuffle partition: a filing's rows become several months of rows there.
-SPREAD = 4
 
 
 def _typed(df: DataFrame, parse, names: tuple[str, ...]) -> dict[str, Column]:
@@ -54,8 +52,7 @@ def clean_holdings(raw: DataFrame, start: str, end: str) -> DataFrame:
     codes = written(r.select("cusip").distinct().withColumn("cusip8", cusip8(F.col("cusip"))).where("cusip8 is not null"), "codes")
     r = r.join(codes, "cusip")
     # a manager stays together from here on: the groups here and in snapshot, and the windows up to the books, fit that
-    parts = SPREAD * int(r.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = r.where("manager_id is not null").repartition(parts, "manager_id").select("manager_id", "cusip8", "report_date", "filing_date", "shares", "reported_value")
+    r = spread(r.where("manager_id is not null"), "manager_id").select("manager_id", "cusip8", "report_date", "filing_date", "shares", "reported_value")
     # all other columns follow from these four, so they are made for groups, not for rows
     keys = ["manager_id", "cusip8", "report_date", "filing_date"]
     out = r.groupBy(*keys).agg(F.sum("shares").alias("shares"), F.coalesce(F.sum("reported_value"), F.lit(0.0)).alias("reported_value"))

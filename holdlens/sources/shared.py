@@ -39,3 +39,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Parts of a ``spread``, for each shuffle partition.
+SPREAD = 4
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into more parts than a shuffle has, and they stay that many: for steps that make several rows of one, or sort and keep them."""
+    return df.repartition(SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

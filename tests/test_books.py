@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from holdlens.operators import ownership
+from holdlens.operators import network, ownership
 
 SNAP = "manager_id string, permno long, permco long, report_date date, available_date date, available_month date, mapping_date date, report_quarter string, shares double, reported_value double, filing_lag_days double"
 #: manager, permno, report, available, value: two filings in a month, a missing report date, a gap, an exit
@@ -57,3 +57,12 @@ def test_a_manager_is_shuffled_once(spark):
     books = ownership.books(ownership.expand_filings(ownership.snapshot(mapped), "2020-12-31"), F.broadcast(monthly))
     plan = books._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and books.count() == 6
+
+
+def test_phi_counts_what_was_given_up(spark):
+    rows = [("a", 1, 1, 0.5), ("a", 1, 2, 0.5), ("a", 2, 1, 1.0), ("a", 3, 1, 1.0), ("a", 5, 1, 1.0)]
+    df = spark.createDataFrame([(date(2020, m, 1), f"2020-{m:02d}", x, p, w) for x, m, p, w in rows], "month_date date, month string, manager_id string, permno long, portfolio_weight double")
+    phi = network.manager_phi(df)
+    # in February 0.5 went from stock 2 to stock 1: turnover 0.5, concentration 1
+    assert {r.month_date.month: r.phi for r in phi.collect()} == {1: 1.0, 2: 1.5, 3: 3.0, 5: 1.0}
+    assert network.manager_phi(df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
