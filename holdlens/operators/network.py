@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from holdlens.functions.columns import require_columns
+from holdlens.functions.columns import month_text, require_columns
 from holdlens.sources.shared import cut, spread, written
 
 
@@ -44,7 +44,8 @@ def manager_phi(positions: DataFrame) -> DataFrame:
 
 def with_phi(positions: DataFrame) -> DataFrame:
     """``positions`` with ``phi``, for the ``phi`` of the functions below."""
-    return positions.join(manager_phi(positions), ["month_date", "manager_id"])
+    phi = manager_phi(positions).select(month_text(F.col("month_date")).alias("month"), "manager_id", "phi")
+    return positions.join(phi, ["month", "manager_id"])  # placed by the keys of the books below
 
 
 def common_ownership_edges(positions: DataFrame, *, phi: Column | None = None) -> DataFrame:
