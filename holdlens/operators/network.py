@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdlens.functions.columns import month_text, require_columns
-from holdlens.sources.shared import cut, spread, written
+from holdlens.sources.shared import spread, written
 
 
 def _held(positions: DataFrame, phi: Column | None = None) -> DataFrame:
@@ -59,7 +59,9 @@ def common_ownership_edges(positions: DataFrame, *, phi: Column | None = None) -
 
 
 #: Heaviest edges of a month, stocks of a block, and decimals within which two weights tie.
-TOP_EDGES, BLOCK, TIE_DECIMALS = 2500, 32, 12
+TOP_EDGES, BLOCK, TIE_DECIMALS = 2500, 64, 12
+#: A month of fewer blocks than so many times those of the bound is paired whole.
+FEW_HEADS = 4
 
 
 def _pair_sums(held: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -83,20 +85,26 @@ def block_pairs(positions: DataFrame, *, top_k: int = TOP_EDGES, block: int = BL
     below, and block pairs whose largest product of norms is less can't hold a heavier edge.
     """
     p = _held(positions, phi)
+    if phi is not None:  # read twice
+        p = written(p, "weighed")
     norms = p.groupBy("month", "permno").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     placed = norms.withColumn("place", F.row_number().over(Window.partitionBy("month").orderBy(F.col("norm").desc(), "permno")) - 1)
-    placed = cut(placed.withColumn("block", F.floor(F.col("place") / block).cast("int")))
-    held = cut(p.join(placed.select("month", "permno", "place", "block"), ["month", "permno"]))
+    placed = written(placed.withColumn("block", F.floor(F.col("place") / block).cast("int")), "placed")  # tables, so that their size is known: small ones are broadcast
+    held = written(p.join(placed.select("month", "permno", "place", "block"), ["month", "permno"]), "held")
     blocks = placed.groupBy("month", "block").agg(F.max("norm").alias("norm"))
     first = -(-int((1 + math.sqrt(1 + 8 * top_k)) / 2 + 1) // block)  # blocks whose stocks have top_k pairs
     of = lambda name: blocks.select("month", F.col("block").alias(name), F.col("norm").alias(f"n{name}"))
     all_pairs = of("a").join(of("b"), "month").where("a <= b")
-    head = _ranked(_pair_sums(held, all_pairs.where(F.col("b") < first).select("month", "a", "b")), top_k)
+    # where the first blocks are a large part of a month, a bound saves less than it costs
+    wide = blocks.groupBy("month").agg(F.max("block").alias("last")).where(F.col("last") >= FEW_HEADS * first).select("month")
+    if wide.isEmpty():
+        return held, written(all_pairs.select("month", "a", "b"), "block-pairs")
+    head = _ranked(_pair_sums(held, all_pairs.join(wide, "month", "left_semi").where(F.col("b") < first).select("month", "a", "b")), top_k)
     least = head.groupBy("month").agg(F.max(F.when(F.col("rank") == top_k, F.col("g"))).alias("least"))
     # sums may differ in their last digits, and weights that tie with the bound stay
     slack = 10.0**-TIE_DECIMALS
     pairs = all_pairs.join(least, "month", "left").where(F.col("na") * F.col("nb") * (1 + slack) + slack >= F.coalesce("least", F.lit(0.0)))
-    return held, cut(pairs.select("month", "a", "b"))
+    return held, written(pairs.select("month", "a", "b"), "block-pairs")
 
 
 def top_edges(positions: DataFrame, *, top_k: int = TOP_EDGES, block: int = BLOCK, phi: Column | None = None) -> DataFrame:

@@ -66,3 +66,18 @@ def test_phi_counts_what_was_given_up(spark):
     # in February 0.5 went from stock 2 to stock 1: turnover 0.5, concentration 1
     assert {r.month_date.month: r.phi for r in phi.collect()} == {1: 1.0, 2: 1.5, 3: 3.0, 5: 1.0}
     assert network.manager_phi(df)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_small_months_are_paired_at_once(spark, monkeypatch):
+    rows = [("2020-01", f"M{m}", p, 1.0 / (p + 1)) for m in range(3) for p in range(m, 12)]
+    df = spark.createDataFrame(rows, "month string, manager_id string, permno long, portfolio_weight double")
+    made = []
+    pair_sums = network._pair_sums
+    monkeypatch.setattr(network, "_pair_sums", lambda *a: made.append(1) or pair_sums(*a))
+    got = {(r.i, r.j): r.g for r in network.top_edges(df, top_k=5, block=4).collect()}
+    want = {}
+    for m in range(3):
+        for i in range(m, 12):
+            for j in range(i + 1, 12):
+                want[i, j] = want.get((i, j), 0.0) + 1 / (i + 1) / (j + 1)
+    assert set(got) == set(sorted(want, key=lambda k: (-round(want[k], 12), k))[:5]) and len(made) == 1
