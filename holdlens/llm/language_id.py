@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Components of the vectors, letters of an n-gram, characters worked on at once.
-DIMENSIONS, N, STEP_CHARS = 1024, 3, 1 << 17
+DIMENSIONS, N, STEP_CHARS = 1024, 3, 1 << 19
 #: Kinds of n-grams whose vectors are held at once.
 KINDS = 4096
+#: Possible n-grams that are counted in a table; of larger alphabets they are sorted.
+FEW_VALUES = 1 << 22
 #: Texts are told apart from noise by the cosines of labelled texts of like length: this quantile, and what part of it must be reached.
 QUANTILE, PART = 0.001, 0.75
 #: Labelled texts that a length needs to have a bound of its own, and deviations of the cosine of unlike vectors that are noise at any length.
@@ -60,6 +62,18 @@ def _steps(texts: list[str | None]):
         yield rows, chars
 
 
+def _numbered(gram: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values below ``most``, sorted, and the place of each value among them; few possible ones are counted, not sorted."""
+    if most > FEW_VALUES:
+        return np.unique(gram, return_inverse=True)
+    seen = np.zeros(most, bool)
+    seen[gram] = True
+    kinds = np.flatnonzero(seen)
+    place = np.empty(most, np.int64)
+    place[kinds] = np.arange(len(kinds))
+    return kinds, place[gram]
+
+
 def text_vectors(texts: list[str | None]):
     """Yields (rows, their vectors as whole numbers in float64); texts without a letter are left out."""
     for rows, v, _ in _vectors_and_sizes(texts):
@@ -96,23 +110,25 @@ def _vectors_and_sizes(texts: list[str | None]):
         gram, middle = gram[within], middle[within]
         if not len(gram):
             continue
-        kinds, kind = np.unique(gram, return_inverse=True)
-        order = np.argsort(kind, kind="stable")
-        middle, kind = middle[order], kind[order]
+        kinds, kind = _numbered(gram, a**N)
         made, sizes = np.zeros((len(rows), DIMENSIONS), np.float32), np.bincount(middle, minlength=len(rows))
+        rolled = [np.roll(base, j, axis=1) for j in range(N)]
         for k in range(0, len(kinds), KINDS):
-            rest = kinds[k : k + KINDS].copy()
-            vectors, width = np.ones((len(rest), DIMENSIONS), np.float32), len(rest)
-            for j in range(N):
-                vectors *= np.roll(base, j, axis=1)[rest % a]
-                rest //= a
-            first, last = np.searchsorted(kind, [k, k + width])
-            here, of = middle[first:last], kind[first:last] - k
+            rest = kinds[k : k + KINDS]
+            vectors, width = rolled[0][rest % a], len(rest)
+            for j in range(1, N):
+                rest = rest // a
+                vectors *= rolled[j][rest % a]
+            here, of = middle, kind
+            if width < len(kinds):
+                mine = (kind >= k) & (kind < k + width)
+                here, of = middle[mine], kind[mine] - k
+            # texts stand in order, so the n-grams of some of them are one range
             step = max(1, (1 << 20) // width)
             for s in range(0, len(rows), step):
                 n = min(step, len(rows) - s)
-                mine = (here >= s) & (here < s + step)
-                counts = np.bincount((here[mine] - s) * width + of[mine], minlength=n * width).reshape(n, width)
+                first, last = np.searchsorted(here, [s, s + n])
+                counts = np.bincount((here[first:last] - s) * width + of[first:last], minlength=n * width).reshape(n, width)
                 made[s : s + n] += counts.astype(np.float32) @ vectors
         at = np.flatnonzero(has)
         if len(at):

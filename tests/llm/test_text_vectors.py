@@ -60,3 +60,17 @@ def test_texts_in_no_learned_language_go(spark):
     assert not kept & {i for i, *_ in strange + odd}
     assert len(kept & {i for i, *_ in short}) == len(short)
     assert len([i for i in kept if i < 10**6]) >= 0.995 * docs.count()
+
+
+def test_few_possible_n_grams_are_counted_without_sorting(monkeypatch):
+    texts = [r * 3 for r in ("a longer text, with words", "Zug und Bahn", "жук и дом", "x")]
+    made = lambda: {i: x for rows, v in language_id.text_vectors(texts) for i, x in zip(rows, v, strict=True)}
+    unique, sorted_sizes = np.unique, []
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: sorted_sizes.append(k.get("return_inverse", False)) or unique(x, *a, **k))
+    counted = made()
+    assert not any(sorted_sizes)
+    monkeypatch.setattr(language_id, "FEW_VALUES", 0)
+    monkeypatch.setattr(language_id, "KINDS", 7)
+    by_sorting = made()
+    assert any(sorted_sizes) and set(counted) == set(by_sorting) == {0, 1, 2, 3}
+    assert all(np.array_equal(counted[i], by_sorting[i]) for i in counted)
