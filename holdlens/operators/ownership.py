@@ -48,9 +48,8 @@ def clean_holdings(raw: DataFrame, start: str, end: str) -> DataFrame:
     r = r.withColumns(_typed(r, parse_date, ("report_date", "filing_date")) | _typed(r, parse_number, ("shares", "reported_value")))
     available = F.coalesce("filing_date", F.date_add("report_date", FILING_DELAY_DAYS))
     r = r.withColumn("manager_id", F.col("manager_id").cast("string")).where(available.between(start, end) & (F.coalesce("shares", F.lit(0.0)) > 0))
-    # each code is cleaned once, not for each row; the table's size is known, and a small one is broadcast
-    codes = written(r.select("cusip").distinct().withColumn("cusip8", cusip8(F.col("cusip"))).where("cusip8 is not null"), "codes")
-    r = r.join(codes, "cusip")
+    # cleaned where it is read: a list of all codes would take one more pass over the rows
+    r = r.withColumn("cusip8", cusip8(F.col("cusip"))).where("cusip8 is not null")
     # a manager stays together from here on: the groups here and in snapshot, and the windows up to the books, fit that
     r = spread(r.where("manager_id is not null"), "manager_id").select("manager_id", "cusip8", "report_date", "filing_date", "shares", "reported_value")
     # all other columns follow from these four, so they are made for groups, not for rows
@@ -232,8 +231,8 @@ def with_prices(held: DataFrame, monthly: DataFrame) -> DataFrame:
 
 
 def weights(held: DataFrame) -> DataFrame:
-    """``(month_date, month, manager_id, permno, portfolio_weight)`` from the table of ``books``."""
-    return held.select("month_date", "month", "manager_id", "permno", _weight().alias("portfolio_weight"))
+    """``(month_date, month, manager_id, permno, position_value_proxy, portfolio_weight)`` from the table of ``books``."""
+    return held.select("month_date", "month", "manager_id", "permno", "position_value_proxy", _weight().alias("portfolio_weight"))
 
 
 def manager_features(positions: DataFrame) -> DataFrame:

@@ -298,7 +298,7 @@ _register("snapshot", f"{_FILING} available_month:D mapping_date:D", lambda b: b
 _register("filing_windows", "manager_id:s report_date:D available_date:D active_start_month:D active_end_month:D", lambda b: b.windows, "wins")
 _register("expand_positions", f"month_date:D month:s {_FILING}", lambda b: b.expanded, "expanded")
 _register("position_weights", f"month_date:D month:s {_FILING} {_PRICES} position_value_proxy:d manager_total_value_proxy:d portfolio_weight:d year:n", lambda b: b.positions, "positions")
-_register("manager_features", "month_date:D month:s manager_id:s manager_breadth:i manager_total_value_proxy:d manager_concentration:d", lambda b: ownership.manager_features(b.positions), "mgr")
+_register("manager_features", "month_date:D month:s manager_id:s manager_breadth:i manager_total_value_proxy:d manager_concentration:d", lambda b: ownership.manager_features(b.weights), "mgr")
 _register("sell_pressure", "month:s manager_id:s permno:i manager_breadth:i manager_concentration:d stock_owner_share:d lag_position_value_proxy:d sell_amount_proxy:d", lambda b: b.enriched, "enriched")
 _register("stock_features", _STOCK, lambda b: b.stock, "stock")
 _register("coverage_by_month", "month:s position_rows:i stocks:i managers:i avg_portfolio_weight:d", lambda b: ownership.coverage_by_month(b.positions), "(SELECT month, count(*) AS position_rows, count(DISTINCT permno) AS stocks, count(DISTINCT manager_id) AS managers, avg(portfolio_weight) AS avg_portfolio_weight FROM positions GROUP BY ALL)")

@@ -5,6 +5,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from holdlens.operators import network, ownership
+from holdlens.plans import queries
 
 SNAP = "manager_id string, permno long, permco long, report_date date, available_date date, available_month date, mapping_date date, report_quarter string, shares double, reported_value double, filing_lag_days double"
 #: manager, permno, report, available, value: two filings in a month, a missing report date, a gap, an exit
@@ -81,3 +82,23 @@ def test_small_months_are_paired_at_once(spark, monkeypatch):
             for j in range(i + 1, 12):
                 want[i, j] = want.get((i, j), 0.0) + 1 / (i + 1) / (j + 1)
     assert set(got) == set(sorted(want, key=lambda k: (-round(want[k], 12), k))[:5]) and len(made) == 1
+
+
+def test_codes_are_cleaned_in_the_one_pass_over_holdings(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(ownership, "written", lambda df, name: made.append(name) or df)
+    day = [_d("2020-03-31"), None, 5.0, 1.0]
+    raw = spark.createDataFrame([("m", c, *day) for c in ("c-0000012x9", "C0000012", "12", None, "c0000013")], "mgrno string, cusip string, rdate date, fdate date, shares double, value double")
+    got = ownership.clean_holdings(raw, "2020-01-01", "2020-12-31")
+    assert not made and {(r.cusip8, r.shares) for r in got.collect()} == {("C0000012", 10.0), ("C0000013", 5.0)}
+
+
+def test_manager_features_need_no_prices(spark, monkeypatch):
+    monthly = _monthly(spark)
+    held = ownership.books(ownership.expand_filings(_snap(spark), "2021-12-31"), monthly)
+    b = queries.Build(spark, "")
+    b.books = held  # no monthly table, whose raw tables would have to be read
+    monkeypatch.setattr(queries, "build", lambda *a: b)
+    columns = ["month_date", "month", "manager_id", "manager_breadth"]
+    want = ownership.manager_features(ownership.with_prices(held, monthly))
+    assert _sorted(queries.QUERIES["manager_features"](spark, ""), columns) == _sorted(want, columns)
