@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from holdlens.functions.columns import month_text, require_columns
-from holdlens.sources.shared import spread, written
+from holdlens.sources.shared import small, spread, written
 
 
 def _held(positions: DataFrame, phi: Column | None = None) -> DataFrame:
@@ -28,7 +28,7 @@ def manager_phi(positions: DataFrame) -> DataFrame:
     squares, both of the month before, so that no later month is seen. 1 where the manager had no position then. A first month has no turnover.
     """
     # a manager is placed once; all that follows stays there
-    w = spread(positions.select("month_date", "manager_id", "permno", F.col("portfolio_weight").alias("w")).where("w > 0"), "manager_id")
+    w = spread(positions.select("month_date", "manager_id", "permno", F.col("portfolio_weight").alias("w")).where("w > 0"), "manager_id", rows=positions.count())
     w = w.groupBy("manager_id", "permno", "month_date").agg(F.sum("w").alias("w"))
     stock = Window.partitionBy("manager_id", "permno").orderBy("month_date")
     follows = lambda along: F.add_months(F.lag("month_date").over(along), 1) == F.col("month_date")
@@ -45,7 +45,8 @@ def manager_phi(positions: DataFrame) -> DataFrame:
 def with_phi(positions: DataFrame) -> DataFrame:
     """``positions`` with ``phi``, for the ``phi`` of the functions below."""
     phi = manager_phi(positions).select(month_text(F.col("month_date")).alias("month"), "manager_id", "phi")
-    return positions.join(phi, ["month", "manager_id"])  # placed by the keys of the books below
+    placed = spread(positions, "month", "manager_id", rows=positions.count())  # by the keys of the books below
+    return placed.join(phi, ["month", "manager_id"])
 
 
 def common_ownership_edges(positions: DataFrame, *, phi: Column | None = None) -> DataFrame:
@@ -126,7 +127,7 @@ def network_degree(positions: DataFrame, *, approximate: int | None = None) -> D
         met = p.join(books, ["month", "manager_id"]).groupBy("month", "permno").agg(F.hll_sketch_estimate(F.hll_union_agg("held")).alias("n"))
         return met.select("month", "permno", (F.greatest("n", F.lit(1)) - 1).alias("network_degree"))
     numbered = p.select("month", "permno").distinct().withColumn("n", F.row_number().over(Window.partitionBy("month").orderBy("permno")) - 1)
-    numbered = written(numbered, "numbered")  # its size is known; a small one is broadcast
+    numbered = small(written(numbered, "numbered"))
     words = p.join(numbered, ["month", "permno"]).groupBy("month", "manager_id", F.expr("n div 64").alias("word")).agg(F.bit_or(F.expr("1L << (n % 64)")).alias("held"))
     books = words.groupBy("month", "manager_id").agg(F.collect_list(F.struct("word", "held")).alias("book"))
     # a word's bits are laid out and picked, then each stock meets its book's words
@@ -139,6 +140,8 @@ def network_degree(positions: DataFrame, *, approximate: int | None = None) -> D
 def network_weighted(positions: DataFrame, stock: DataFrame, *, phi: Column | None = None) -> DataFrame:
     """``(month, permno, network_weighted_degree, network_peer_sell_pressure)``; peer pressure is 0 for an isolated stock."""
     p = _held(positions, phi).join(stock.select("month", "permno", F.coalesce("stock_sell_pressure", F.lit(0.0)).alias("s")), ["month", "permno"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    if phi is None:  # ``with_phi`` has placed them
+        p = spread(p, "month", "manager_id", rows=positions.count())
     book = Window.partitionBy("month", "manager_id")
     p = p.withColumns({"n": F.count(F.lit(1)).over(book), "s1": F.sum("w").over(book), "s2": F.sum(F.col("w") * F.col("s")).over(book)})
     # a manager with one stock ties it to nothing; rounding must not leave a trace

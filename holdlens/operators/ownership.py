@@ -51,7 +51,8 @@ def clean_holdings(raw: DataFrame, start: str, end: str) -> DataFrame:
     # cleaned where it is read: a list of all codes would take one more pass over the rows
     r = r.withColumn("cusip8", cusip8(F.col("cusip"))).where("cusip8 is not null")
     # a manager stays together from here on: the groups here and in snapshot, and the windows up to the books, fit that
-    r = spread(r.where("manager_id is not null"), "manager_id").select("manager_id", "cusip8", "report_date", "filing_date", "shares", "reported_value")
+    # a row is held for some months, and each of these is kept by several windows: it counts as ten
+    r = spread(r.where("manager_id is not null"), "manager_id", rows=10 * raw.count()).select("manager_id", "cusip8", "report_date", "filing_date", "shares", "reported_value")
     # all other columns follow from these four, so they are made for groups, not for rows
     keys = ["manager_id", "cusip8", "report_date", "filing_date"]
     out = r.groupBy(*keys).agg(F.sum("shares").alias("shares"), F.coalesce(F.sum("reported_value"), F.lit(0.0)).alias("reported_value"))

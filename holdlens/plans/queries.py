@@ -17,7 +17,7 @@ from holdlens.operators import downside, horizons, models, network, ownership, p
 from holdlens.plans.oracle import ann as annualizing
 from holdlens.plans.oracle import FEATURES, direction, hac, metrics, newey_west, ols, r, strata, with_ctes
 from holdlens.sources import sample, scans
-from holdlens.sources.shared import written
+from holdlens.sources.shared import small, written
 
 #: The sample has 83 months and about a hundred stocks, so gates are lower than the operators' own.
 IC_ROWS, METRIC_ROWS, VALID, MIN_TRAIN, LEAST_ROWS = 50, 30, 12, 24, (1000, 100, 100)
@@ -100,11 +100,11 @@ class Build:
     @cached_property
     def books(self):
         """All of a manager's rows from raw holdings on, after one shuffle by manager."""
-        return written(ownership.books(self.expanded, self.monthly), "books")
+        return written(ownership.books(self.expanded, small(self.monthly)), "books")
 
     @cached_property
     def positions(self):
-        return ownership.with_prices(self.books, self.monthly)
+        return ownership.with_prices(self.books, small(self.monthly))
 
     @cached_property
     def weights(self):
@@ -124,7 +124,7 @@ class Build:
 
     @cached_property
     def weighted(self):
-        return network.network_weighted(self.weights, self.stock)
+        return network.network_weighted(self.weights, small(self.stock))
 
     @cached_property
     def full_panel(self):
@@ -316,7 +316,7 @@ _PHI = {"both_months": "SELECT month_date, manager_id, permno, portfolio_weight
         "phi_ends": "SELECT month, i AS permno, g FROM phi_edges UNION ALL SELECT month, j, g FROM phi_edges"}
 _register("manager_phi", "month_date:D manager_id:s phi:d", lambda b: network.manager_phi(b.weights), "phis", _PHI)
 _register("network_phi_topk_edges", "month:s i:i j:i g:d rank:n", lambda b: network.top_edges(network.with_phi(b.weights), top_k=500, phi=F.col("phi")), f"(SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(g, {network.TIE_DECIMALS}) DESC, i, j) AS rank FROM phi_edges) WHERE rank <= 500", _PHI)
-_register("network_phi_weighted_degree", "month:s permno:i network_weighted_degree:d", lambda b: network.network_weighted(network.with_phi(b.weights), b.stock, phi=F.col("phi")), "(SELECT h.month, h.permno, coalesce(sum(g), 0) AS network_weighted_degree FROM held h LEFT JOIN phi_ends e ON h.month = e.month AND h.permno = e.permno GROUP BY ALL)", _PHI)
+_register("network_phi_weighted_degree", "month:s permno:i network_weighted_degree:d", lambda b: network.network_weighted(network.with_phi(b.weights), small(b.stock), phi=F.col("phi")), "(SELECT h.month, h.permno, coalesce(sum(g), 0) AS network_weighted_degree FROM held h LEFT JOIN phi_ends e ON h.month = e.month AND h.permno = e.permno GROUP BY ALL)", _PHI)
 _register("panel", f"{_STOCK} network_degree:i network_weighted_degree:d network_peer_sell_pressure:d", lambda b: b.full_panel, "panel0")
 _register("describe_panel", "rows:i months:i stocks:i min_month:s max_month:s fwd_ret_1m_coverage:d fwd_ret_3m_coverage:d", lambda b: quality.describe_panel(b.panel), '(SELECT count(*) AS "rows", count(DISTINCT month) AS months, count(DISTINCT permno) AS stocks, min(month) AS min_month, max(month) AS max_month, avg((fwd_ret_1m IS NOT NULL)::INTEGER) AS fwd_ret_1m_coverage, avg((fwd_ret_3m IS NOT NULL)::INTEGER) AS fwd_ret_3m_coverage FROM panel)')
 _register("feature_coverage", "feature:s is_core_signal:b expected_high_minus_low_sign:s non_null_rows:i coverage:d months_non_null:i mean_value:d median_value:d min_value:d max_value:d", lambda b: quality.feature_coverage(b.panel, FEATURES, set(signals.CORE_FEATURES), signals.NEGATIVE),

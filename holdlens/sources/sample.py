@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from holdlens.sources.shared import small
+
 #: First and last day that holdings may become available, and no date of the sample is after the last.
 START, END = "1995-01-01", "2002-12-31"
 
@@ -27,7 +29,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = _table(spark, sf_dir, "lineitem", ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"])
     day = F.col("l_shipdate").cast("date")
     report = F.last_day(F.add_months(F.trunc(day, "quarter"), 2))
-    return line.join(securities(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey")).select("permno", "l_suppkey", "l_quantity", "l_extendedprice", day.alias("day"), report.alias("report"))
+    return line.join(small(securities(spark, sf_dir)), F.col("l_partkey") == F.col("p_partkey")).select("permno", "l_suppkey", "l_quantity", "l_extendedprice", day.alias("day"), report.alias("report"))
 
 
 def raw_holdings(t: DataFrame) -> DataFrame:

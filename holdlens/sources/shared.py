@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -41,10 +42,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Parts of a ``spread``, for each shuffle partition.
-SPREAD = 4
+#: Parts of a ``spread``, for each shuffle partition at least, and rows of a part at most (a few columns each).
+SPREAD, PART_ROWS = 4, 500_000
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` dealt by ``keys`` into more parts than a shuffle has, and they stay that many: for steps that make several rows of one, or sort and keep them."""
-    return df.repartition(SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """``df`` dealt by ``keys`` into more parts than a shuffle has, and they stay that many: for steps that make several rows of one, or sort and keep them.
+
+    ``rows``: how many there are. Parts grow with them, whatever the session's number of shuffle partitions, so what a task sorts stays in its memory.
+    """
+    parts = SPREAD * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-rows // PART_ROWS)), *keys)
+
+
+#: Rows of a table of a few columns that is broadcast whatever Spark takes its size for.
+SMALL_ROWS = 2_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast in a join if it has at most ``SMALL_ROWS`` rows, else hashed by parts: the other side isn't sorted. It is counted, so it should be a file's or a written table."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df.hint("shuffle_hash")
