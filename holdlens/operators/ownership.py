@@ -255,14 +255,28 @@ def sell_pressure(positions: DataFrame) -> DataFrame:
     return p.withColumn("stock_owner_share", safe_ratio(F.col("position_value_proxy"), F.col("stock_total_value_proxy")))
 
 
-def stock_features(enriched: DataFrame) -> DataFrame:
-    """Ownership features of each stock and month."""
-    return enriched.groupBy("month_date", "month", "permno").agg(
-        F.max("permco").alias("permco"), F.count("manager_id").alias("owner_count"), F.sum("position_value_proxy").alias("total_position_value_proxy"),
-        F.sum(F.col("stock_owner_share") * F.col("stock_owner_share")).alias("owner_hhi"), F.max("stock_owner_share").alias("top_owner_share"), F.avg("manager_concentration").alias("fragility_proxy"),
-        F.avg("manager_breadth").alias("avg_manager_breadth"), safe_ratio(F.sum("sell_amount_proxy"), F.sum("position_value_proxy")).alias("stock_sell_pressure"),
-        *(F.max(c).alias(c) for c in PRICES), F.year("month_date").alias("year"),
+def stock_features(enriched: DataFrame, monthly: DataFrame | None = None) -> DataFrame:
+    """Ownership features of each stock and month.
+
+    ``monthly``: ``enriched`` is the table of ``books``, whose rows have neither prices nor their share of the stock. Sums of a stock's month give all features,
+    and only these rows meet the prices, so no position is joined or moved.
+    """
+    value = F.col("position_value_proxy")
+    total = F.sum(value)
+    if monthly is None:
+        share = F.col("stock_owner_share")
+        hhi, top, prices = F.sum(share * share), F.max(share), [F.max(c).alias(c) for c in PRICES]
+    else:
+        hhi, top, prices = safe_ratio(F.sum(value * value), total * total), safe_ratio(F.max(value), total), []
+    out = enriched.groupBy("month_date", "month", "permno").agg(
+        F.max("permco").alias("permco"), F.count("manager_id").alias("owner_count"), total.alias("total_position_value_proxy"),
+        hhi.alias("owner_hhi"), top.alias("top_owner_share"), F.avg("manager_concentration").alias("fragility_proxy"),
+        F.avg("manager_breadth").alias("avg_manager_breadth"), safe_ratio(F.sum("sell_amount_proxy"), total).alias("stock_sell_pressure"),
+        *prices,
     )
+    if monthly is not None:
+        out = out.join(monthly.select("permno", "month_date", *PRICES), ["permno", "month_date"], "left").select("month_date", "month", "permno", *out.columns[3:], *PRICES)
+    return out.withColumn("year", F.year("month_date"))
 
 
 def coverage_by_month(positions: DataFrame) -> DataFrame:

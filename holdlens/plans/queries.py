@@ -116,7 +116,7 @@ class Build:
 
     @cached_property
     def stock(self):
-        return written(ownership.stock_features(self.enriched), "stock")
+        return written(ownership.stock_features(self.books, self.monthly), "stock")
 
     @cached_property
     def degree(self):
