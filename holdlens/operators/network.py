@@ -7,6 +7,7 @@ manager with S the sum of its weights, stock i's ties through it are ``w_i * (S
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,13 +145,47 @@ def network_weighted(positions: DataFrame, stock: DataFrame, *, phi: Column | No
         p = spread(p, "month", "manager_id", rows=positions.count())
     book = Window.partitionBy("month", "manager_id")
     p = p.withColumns({"n": F.count(F.lit(1)).over(book), "s1": F.sum("w").over(book), "s2": F.sum(F.col("w") * F.col("s")).over(book)})
-    # a manager with one stock ties it to nothing; rounding must not leave a trace
-    alone = F.col("n") == 1
-    ties = F.when(alone, 0.0).otherwise(F.col("w") * (F.col("s1") - F.col("w")))
+    return _tied(p, ["month", "permno"], F.col("n") == 1, F.col("s1"))
+
+
+def _named(sums: DataFrame, numbers: DataFrame) -> DataFrame:
+    return sums.join(numbers, "n").withColumn("month", month_text(F.col("month_date")))
+
+
+def folio_degree(folios: DataFrame, numbers: DataFrame) -> DataFrame:
+    """As ``network_degree``, from ``ownership.folios`` with ``words``: a book's words stand in its row, so a stock meets them there and only the stocks' words are shuffled."""
+    words = [f"w{k}" for k in range(-(-numbers.count() // 64))]
+    b = folios.select("month_date", F.explode(F.coalesce("some", F.col("held.n"))).alias("n"), *(F.get("words", F.lit(k)).alias(w) for k, w in enumerate(words)))
+    met = b.groupBy("month_date", "n").agg(*(F.bit_or(w).alias(w) for w in words))
+    degree = reduce(Column.__add__, (F.bit_count(w) for w in words)) - 1 if words else F.lit(0)
+    return _named(met.select("month_date", "n", degree.cast("long").alias("network_degree")), numbers).select("month", "permno", "network_degree")
+
+
+def folio_weighted(folios: DataFrame, numbers: DataFrame, stock: DataFrame) -> DataFrame:
+    """As ``network_weighted``, from ``ownership.folios`` with its ``numbers``: a month's sell pressures are an array by number, so a book is summed up in its row and nothing but the stocks' sums is shuffled."""
+    day, s = F.unix_date("month_date"), F.coalesce("stock_sell_pressure", F.lit(0.0)).alias("s")
+    pressure = written(stock.join(numbers, "permno").select(day.alias("day"), "n", s), "pressure")
+    every = pressure.select("day").distinct().crossJoin(numbers.select("n")).join(pressure, ["day", "n"], "left")
+    months = every.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("n", F.coalesce("s", F.lit(0.0)).alias("s")))).alias("of")).select("day", F.col("of.s").alias("of"))
+    total = F.col("manager_total_value_proxy")
+    b = folios.select(day.alias("day"), "month_date", total, "held").join(small(written(months, "pressures")), "day")
+    s2 = F.aggregate("held", F.lit(0.0), lambda a, x: a + x["position_value_proxy"] * F.get("of", x["n"])) / total
+    p = b.select("day", "month_date", total, s2.alias("s2"), F.size("held").alias("size"), "held")
+    p = p.select("day", "month_date", total, "s2", "size", F.explode("held").alias("x"))
+    p = p.select("day", "month_date", "x.n", (F.col("x.position_value_proxy") / total).alias("w"), "s2", "size").where("w > 0").join(small(pressure), ["day", "n"])
+    return _named(_tied(p, ["month_date", "n"], F.col("size") == 1, F.lit(1.0)), numbers).select("month", "permno", "network_weighted_degree", "network_peer_sell_pressure")
+
+
+def _tied(p: DataFrame, by: list[str], alone: Column, whole: Column) -> DataFrame:
+    """Weighted degree and peer pressure of rows with the weight ``w``, the sell pressure ``s`` and the book's ``s2``, the sum of both's products; ``whole`` is the sum of its weights.
+
+    A manager with one stock ties it to nothing; rounding must not leave a trace.
+    """
+    ties = F.when(alone, 0.0).otherwise(F.col("w") * (whole - F.col("w")))
     pressed = F.when(alone, 0.0).otherwise(F.col("w") * (F.col("s2") - F.col("w") * F.col("s")))
-    out = p.groupBy("month", "permno").agg(F.sum(ties).alias("network_weighted_degree"), F.sum(pressed).alias("pressed"))
+    out = p.groupBy(*by).agg(F.sum(ties).alias("network_weighted_degree"), F.sum(pressed).alias("pressed"))
     peer = F.when(F.col("network_weighted_degree") != 0, F.col("pressed") / F.nullif(F.col("network_weighted_degree"), F.lit(0.0))).otherwise(0.0)
-    return out.select("month", "permno", "network_weighted_degree", peer.alias("network_peer_sell_pressure"))
+    return out.select(*by, "network_weighted_degree", peer.alias("network_peer_sell_pressure"))
 
 
 def attach_network(stock: DataFrame, degree: DataFrame, weighted: DataFrame) -> DataFrame:

@@ -48,8 +48,8 @@ def clean_holdings(raw: DataFrame, start: str, end: str) -> DataFrame:
     r = r.withColumns(_typed(r, parse_date, ("report_date", "filing_date")) | _typed(r, parse_number, ("shares", "reported_value")))
     available = F.coalesce("filing_date", F.date_add("report_date", FILING_DELAY_DAYS))
     r = r.withColumn("manager_id", F.col("manager_id").cast("string")).where(available.between(start, end) & (F.coalesce("shares", F.lit(0.0)) > 0))
-    # cleaned where it is read: a list of all codes would take one more pass over the rows
-    r = r.withColumn("cusip8", cusip8(F.col("cusip"))).where("cusip8 is not null")
+    # cleaned where it is read: a list of all codes would take one more pass over the rows; by explode, since a filter would clean each code again
+    r = r.withColumn("code", cusip8(F.col("cusip"))).select("manager_id", "report_date", "filing_date", "shares", "reported_value", F.explode(F.array_compact(F.array("code"))).alias("cusip8"))
     # a manager stays together from here on: the groups here and in snapshot, and the windows up to the books, fit that
     # a row is held for some months, and each of these is kept by several windows: it counts as ten
     r = spread(r.where("manager_id is not null"), "manager_id", rows=10 * raw.count()).select("manager_id", "cusip8", "report_date", "filing_date", "shares", "reported_value")
@@ -154,11 +154,16 @@ def expand_positions(snap: DataFrame, windows: DataFrame) -> DataFrame:
     joined = snap.join(w, (F.col("manager_id") == F.col("w_manager_id")) & F.col("report_date").eqNullSafe(F.col("w_report_date")) & F.col("available_date").eqNullSafe(F.col("w_available_date")))
     months = _by_month(joined, snap.columns)
     # placed by manager and month once: the windows here and in value_and_weight both fit that
-    return _latest(months.repartition("month_date", "manager_id"))
+    return _dated(_latest(months.repartition("month_date", "manager_id")))
 
 
 def expand_filings(snap: DataFrame, end: str, *, expiry: int = EXPIRY_MONTHS, supersede_same_month: bool = False) -> DataFrame:
     """As ``expand_positions`` with ``filing_windows``, by windows over a manager's rows: where a manager is in one place already, nothing is moved or joined."""
+    return _dated(_latest(filing_months(snap, end, expiry=expiry, supersede_same_month=supersede_same_month)))
+
+
+def filing_months(snap: DataFrame, end: str, *, expiry: int = EXPIRY_MONTHS, supersede_same_month: bool = False) -> DataFrame:
+    """A row for each month of each filing's positions, also where several filings have the same one."""
     filing = Window.partitionBy("manager_id").orderBy("available_month", "available_date", F.col("report_date").asc_nulls_last())
     f = snap.where((F.col("available_month") <= F.lit(end).cast("date")) & F.col("manager_id").isNotNull()).withColumn("filing", F.dense_rank().over(filing))
     after = Window.partitionBy("manager_id").orderBy("filing").rangeBetween(1, 1)
@@ -166,7 +171,7 @@ def expand_filings(snap: DataFrame, end: str, *, expiry: int = EXPIRY_MONTHS, su
     if supersede_same_month:
         f = f.where(_lasts())
     f = f.withColumn("active_end_month", _until(expiry))
-    return _latest(_by_month(f, snap.columns))
+    return _by_month(f, snap.columns)
 
 
 def _by_month(filed: DataFrame, columns: list[str]) -> DataFrame:
@@ -175,9 +180,12 @@ def _by_month(filed: DataFrame, columns: list[str]) -> DataFrame:
     return filed.withColumn("later", F.explode(later)).select(F.add_months("active_start_month", F.col("later")).alias("month_date"), *columns)
 
 
-def _latest(months: DataFrame) -> DataFrame:
-    w = Window.partitionBy(*LAG_KEYS, "month_date").orderBy(F.col("available_date").desc(), F.col("report_date").desc_nulls_last())
-    kept = months.withColumn("rn", F.row_number().over(w)).where("rn = 1")
+def _latest(months: DataFrame, keys: list[str] = LAG_KEYS) -> DataFrame:
+    w = Window.partitionBy(*keys, "month_date").orderBy(F.col("available_date").desc(), F.col("report_date").desc_nulls_last())
+    return months.withColumn("rn", F.row_number().over(w)).where("rn = 1")
+
+
+def _dated(kept: DataFrame) -> DataFrame:
     return kept.select("month_date", month_text(F.col("month_date")).alias("month"), "manager_id", "permno", "permco", "report_date", "available_date", "report_quarter", "shares", "reported_value", "filing_lag_days")
 
 
@@ -200,9 +208,9 @@ def _weight() -> Column:
     return safe_ratio(F.col("position_value_proxy"), F.col("manager_total_value_proxy"))
 
 
-def _sales(valued: DataFrame) -> DataFrame:
+def _sales(valued: DataFrame, keys: list[str] = LAG_KEYS) -> DataFrame:
     """The position's value in the manager's last row of the stock, and what was sold since."""
-    before = F.lag("position_value_proxy").over(Window.partitionBy(*LAG_KEYS).orderBy("month_date"))
+    before = F.lag("position_value_proxy").over(Window.partitionBy(*keys).orderBy("month_date"))
     p = valued.withColumn("lag_position_value_proxy", before)
     return p.withColumn("sell_amount_proxy", F.greatest(F.coalesce("lag_position_value_proxy", "position_value_proxy") - F.col("position_value_proxy"), F.lit(0.0)))
 
@@ -225,6 +233,52 @@ def books(expanded: DataFrame, monthly: DataFrame) -> DataFrame:
     return _books(_weigh(_sales(_value(expanded, monthly)))).drop(*_DERIVED)
 
 
+#: Fields of ``held`` in ``folios``, beside the stock's number.
+HELD = ["permco", "position_value_proxy", "sell_amount_proxy"]
+
+
+def stock_numbers(names: DataFrame) -> DataFrame:
+    """``(permno, n)``: the securities of ``names`` in the order of permno, from 0."""
+    return names.select("permno").distinct().withColumn("n", (F.row_number().over(Window.orderBy("permno")) - 1).cast("int"))
+
+
+#: Words of 64 stocks that a book's row has at most; with more securities ``network.network_degree`` makes them.
+FOLIO_WORDS = 32
+
+
+def folios(snap: DataFrame, monthly: DataFrame, numbers: DataFrame, end: str) -> DataFrame:
+    """What ``books`` says of ``expand_filings``, as far as stocks and their network need it, in one row for each manager and month; its positions are the array ``held``.
+
+    ``held`` has ``n`` of ``numbers`` and ``HELD``. ``words`` are the bits of the stocks whose weight is above 0 (null with more than ``FOLIO_WORDS``), ``some`` their
+    numbers where these aren't all. Whoever sums up a book reads its row, so nothing is moved for that.
+    """
+    keys = ["place", *LAG_KEYS]  # a number before the keys: sorts compare it first, and it tells almost all of them apart
+    kept = _latest(filing_months(snap.withColumn("place", F.xxhash64(*LAG_KEYS)), end), keys)
+    priced = kept.join(monthly.select("permno", "month_date", "prc"), ["permno", "month_date"], "left").join(numbers, "permno")
+    value, n = F.col("position_value_proxy"), F.col("n")
+    v = priced.withColumn("position_value_proxy", position_value(F.col("reported_value"), F.col("shares"), F.col("prc"))).where("position_value_proxy > 0")
+    v = _sales(v.select(*keys, "month_date", "permco", "n", value), keys).drop("lag_position_value_proxy")
+    last = -(-numbers.count() // 64)
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(63))
+    words = [F.bit_or(F.when(F.shiftright(n, 6) == k, bit(n)).otherwise(0)).alias(f"w{k}") for k in range(last)] if last <= FOLIO_WORDS else []
+    total = F.col("manager_total_value_proxy")
+    f = v.groupBy(F.xxhash64(*BOOK).alias("place"), *BOOK).agg(
+        F.sum(value).alias("manager_total_value_proxy"), F.count(F.lit(1)).alias("manager_breadth"), F.sum(value * value).alias("squares"), F.min(value).alias("least"), F.collect_list(F.struct("n", *HELD)).alias("held"), *words
+    ).where("manager_total_value_proxy > 0")
+    # a weight may be too small for a double
+    whole = F.col("least") / total > 0
+    some = F.transform(F.filter("held", lambda x: x["position_value_proxy"] / total > 0), lambda x: x["n"])
+    bits = lambda k: F.aggregate(some, F.lit(0).cast("long"), lambda a, i: F.when(F.shiftright(i, 6) == k, a.bitwiseOR(bit(i))).otherwise(a))
+    made = F.array(*(F.when(whole, F.col(f"w{k}")).otherwise(bits(k)) for k in range(last))) if words else F.lit(None).cast("array<bigint>")
+    return f.select("month_date", "manager_id", total, "manager_breadth", safe_ratio(F.col("squares"), total * total).alias("manager_concentration"), "held", F.when(~whole, some).alias("some"), made.alias("words"))
+
+
+def held_rows(of: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The positions of ``folios``, with what ``stock_features`` needs."""
+    sums = ["month_date", "manager_breadth", "manager_concentration"]
+    return of.select(*sums, F.explode("held").alias("x")).select(*sums, *(F.col(f"x.{c}") for c in ("n", *HELD))).join(numbers, "n")
+
+
 def with_prices(held: DataFrame, monthly: DataFrame) -> DataFrame:
     """The positions of ``value_and_weight`` with sales, breadth and concentration, from the table of ``books``."""
     p = held.join(monthly.select("permno", "month_date", *PRICES), ["permno", "month_date"], "left")
@@ -258,7 +312,7 @@ def sell_pressure(positions: DataFrame) -> DataFrame:
 def stock_features(enriched: DataFrame, monthly: DataFrame | None = None) -> DataFrame:
     """Ownership features of each stock and month.
 
-    ``monthly``: ``enriched`` is the table of ``books``, whose rows have neither prices nor their share of the stock. Sums of a stock's month give all features,
+    ``monthly``: ``enriched`` is the table of ``books``, or ``held_rows``, whose rows have neither prices nor their share of the stock. Sums of a stock's month give all features,
     and only these rows meet the prices, so no position is joined or moved.
     """
     value = F.col("position_value_proxy")
@@ -268,12 +322,15 @@ def stock_features(enriched: DataFrame, monthly: DataFrame | None = None) -> Dat
         hhi, top, prices = F.sum(share * share), F.max(share), [F.max(c).alias(c) for c in PRICES]
     else:
         hhi, top, prices = safe_ratio(F.sum(value * value), total * total), safe_ratio(F.max(value), total), []
-    out = enriched.groupBy("month_date", "month", "permno").agg(
-        F.max("permco").alias("permco"), F.count("manager_id").alias("owner_count"), total.alias("total_position_value_proxy"),
+    known = "month" in enriched.columns
+    out = enriched.groupBy("month_date", *(["month"] if known else []), "permno").agg(
+        F.max("permco").alias("permco"), F.count(F.col("manager_id") if known else F.lit(1)).alias("owner_count"), total.alias("total_position_value_proxy"),
         hhi.alias("owner_hhi"), top.alias("top_owner_share"), F.avg("manager_concentration").alias("fragility_proxy"),
         F.avg("manager_breadth").alias("avg_manager_breadth"), safe_ratio(F.sum("sell_amount_proxy"), total).alias("stock_sell_pressure"),
         *prices,
     )
+    if not known:
+        out = out.select("month_date", month_text(F.col("month_date")).alias("month"), *out.columns[1:])
     if monthly is not None:
         out = out.join(monthly.select("permno", "month_date", *PRICES), ["permno", "month_date"], "left").select("month_date", "month", "permno", *out.columns[3:], *PRICES)
     return out.withColumn("year", F.year("month_date"))

@@ -97,6 +97,15 @@ class Build:
     def expanded(self):
         return ownership.expand_filings(self.snap, sample.END)
 
+    @cached_property
+    def numbers(self):
+        return small(written(ownership.stock_numbers(self.names), "numbers"))
+
+    @cached_property
+    def folios(self):
+        """A row for each month of a manager, after one shuffle by manager; what the panel needs of positions."""
+        return written(ownership.folios(self.snap, small(self.monthly), self.numbers, sample.END), "folios")
+
     @cached_property
     def books(self):
         """All of a manager's rows from raw holdings on, after one shuffle by manager."""
@@ -116,15 +125,16 @@ class Build:
 
     @cached_property
     def stock(self):
-        return written(ownership.stock_features(self.books, self.monthly), "stock")
+        return written(ownership.stock_features(ownership.held_rows(self.folios, self.numbers), self.monthly), "stock")
 
     @cached_property
     def degree(self):
-        return network.network_degree(self.weights)
+        few = self.numbers.count() <= 64 * ownership.FOLIO_WORDS
+        return network.folio_degree(self.folios, self.numbers) if few else network.network_degree(self.weights)
 
     @cached_property
     def weighted(self):
-        return network.network_weighted(self.weights, small(self.stock))
+        return network.folio_weighted(self.folios, self.numbers, self.stock)
 
     @cached_property
     def full_panel(self):
