@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from holdlens.operators import network, ownership
 from holdlens.plans import queries
+from holdlens.sources.shared import written
 from tests.test_books import _monthly, _snap
 
 END = "2021-12-31"
@@ -57,7 +58,7 @@ def test_more_securities_than_words(spark, monkeypatch):
 def test_the_panel_moves_no_position_after_the_books(spark):
     b = queries.Build(spark, "")
     b.folios, b.books, b.monthly, b.numbers = _made(spark, _snap(spark))
-    b.stock = ownership.stock_features(b.books, b.monthly)
+    b.folios, b.numbers, b.stock = written(b.folios, "folios"), F.broadcast(written(b.numbers, "numbers")), ownership.stock_features(b.books, b.monthly)
     for df in (b.degree, b.weighted):  # each stock's sums are shuffled, by month and number, and no book is placed or windowed
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(month_date" in plan and "REPARTITION" not in plan and "Window" not in plan
