@@ -7,8 +7,11 @@ manager with S the sum of its weights, stock i's ties through it are ``w_i * (S
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +117,99 @@ def top_edges(positions: DataFrame, *, top_k: int = TOP_EDGES, block: int = BLOC
     return _ranked(_pair_sums(*block_pairs(positions, top_k=top_k, block=block, phi=phi)), top_k)
 
 
+#: Cells of a matrix of weights at most, and parts of a month whose pairs are summed up apart.
+CELLS, HANDS = 1 << 22, 16
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values and their rows."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _cuts(batches: Iterator[pa.RecordBatch], stocks: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose rows by ``stocks`` are ``CELLS`` at most."""
+    step = max(1, CELLS // stocks)
+    return (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step))
+
+
+def _matrix(values: np.ndarray, rows: np.ndarray, n: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(shape)
+    out[rows, n] = values
+    return out
+
+
+def folio_weights(folios: DataFrame, numbers: DataFrame, *, lagged: bool) -> DataFrame:
+    """``(month_date, hand, phi, n, w)``, a row for each row of ``ownership.folios``: its stocks' numbers and weights, and, where ``lagged``, phi as in ``manager_phi``, else 1.
+
+    A manager's months follow each other, so a month's weights meet those of the one before in the next row; ``hand`` is one of ``HANDS`` for a manager.
+    """
+    hand = F.pmod(F.xxhash64("manager_id"), F.lit(HANDS)).cast("int").alias("hand")
+    months = Window.partitionBy("manager_id").orderBy("month_date")
+    follows = F.coalesce(F.add_months(F.lag("month_date").over(months), 1) == F.col("month_date"), F.lit(False)) if lagged else F.lit(False)
+    w = F.transform("held", lambda x: x["position_value_proxy"] / F.col("manager_total_value_proxy"))
+    rows = folios.select("month_date", hand, follows.alias("follows"), F.col("held.n").alias("n"), w.alias("w"))
+    if not lagged:
+        return rows.select("month_date", "hand", F.lit(1.0).alias("phi"), "n", "w")
+    stocks = max(1, numbers.count())
+
+    def phis(batches):
+        last, own = np.zeros((1, stocks)), np.ones(1)
+        for b in _cuts(batches, stocks):
+            (values, of), n = _lists(b.column("w")), b.column("n").flatten().to_numpy(zero_copy_only=False)
+            now, after = _matrix(values, of, n, (b.num_rows, stocks)), b.column("follows").to_numpy(zero_copy_only=False)
+            turnover = np.where(after, np.abs(np.diff(now, axis=0, prepend=last)).sum(1) / 2, 0.0)
+            owns = (1 + turnover) * (1 + (now * now).sum(1))
+            phi = np.where(after, np.concatenate([own, owns[:-1]]), 1.0)
+            last, own = now[-1:], owns[-1:]
+            yield pa.RecordBatch.from_arrays([b.column("month_date"), b.column("hand"), pa.array(phi), b.column("n"), b.column("w")], ["month_date", "hand", "phi", "n", "w"])
+
+    return rows.mapInArrow(phis, "month_date date, hand int, phi double, n array<int>, w array<double>")
+
+
+def folio_edges(folios: DataFrame, numbers: DataFrame, *, lagged: bool = False) -> DataFrame:
+    """``(month, i, j, g)``, i < j, of stocks with a positive weight in common, as ``common_ownership_edges``, from ``ownership.folios`` with its ``numbers``; ``lagged``: phi of ``manager_phi`` weighs managers.
+
+    A book's weights are a row of a matrix, and a month's edges the product of that matrix with itself. Books are dealt by month and hand and added up one month after the
+    other, so no pair of a book is shuffled, a task keeps one month's square, and what it passes on doesn't grow with managers.
+    """
+    stocks = max(1, numbers.count())
+
+    def squares(batches):
+        month, g, met = None, None, None
+
+        def made():
+            i, j = np.nonzero(np.triu(met, 1))
+            return pa.RecordBatch.from_arrays([pa.array([month] * len(i), pa.date32()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(g[i, j])], ["month_date", "a", "b", "g"])
+
+        for b in _cuts(batches, stocks):
+            days = b.column("month_date").cast(pa.int32()).to_numpy(zero_copy_only=False)
+            (values, of), n, phi = _lists(b.column("w")), b.column("n").flatten().to_numpy(zero_copy_only=False), b.column("phi").to_numpy(zero_copy_only=False)
+            now = _matrix(values, of, n, (b.num_rows, stocks))
+            starts = np.flatnonzero(np.diff(days, prepend=days[:1] - 1))
+            for first, after in zip(starts, [*starts[1:], len(days)]):
+                w, day = now[first:after], b.column("month_date")[int(first)].as_py()
+                if day != month:
+                    if month is not None:
+                        yield made()
+                    month, g, met = day, np.zeros((stocks, stocks)), np.zeros((stocks, stocks))
+                g += (w * phi[first:after, None]).T @ w
+                held = (w > 0).astype(float)
+                met += held.T @ held
+        if month is not None:
+            yield made()
+
+    rows = folio_weights(folios, numbers, lagged=lagged).repartition("month_date", "hand").sortWithinPartitions("month_date")
+    sums = rows.mapInArrow(squares, "month_date date, a int, b int, g double").groupBy("month_date", "a", "b").agg(F.sum("g").alias("g"))
+    of = lambda k, name: numbers.select(F.col("n").alias(k), F.col("permno").alias(name))
+    named = sums.join(of("a", "i"), "a").join(of("b", "j"), "b")
+    return named.select(month_text(F.col("month_date")).alias("month"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "g")
+
+
+def folio_top_edges(folios: DataFrame, numbers: DataFrame, *, top_k: int = TOP_EDGES, lagged: bool = False) -> DataFrame:
+    """As ``top_edges``, from ``folio_edges``."""
+    return _ranked(folio_edges(folios, numbers, lagged=lagged), top_k)
+
+
 def network_degree(positions: DataFrame, *, approximate: int | None = None) -> DataFrame:
     """``(month, permno, network_degree)``: other stocks with a common manager.
 

@@ -106,6 +106,12 @@ class Build:
         """A row for each month of a manager, after one shuffle by manager; what the panel needs of positions."""
         return written(ownership.folios(self.snap, small(self.monthly), self.numbers, sample.END), "folios")
 
+    def phi_top_edges(self, top_k: int) -> DataFrame:
+        """By squares of a month's weights where its stocks have words; the books' rows are read once, so they aren't written."""
+        if self.numbers.count() > 64 * ownership.FOLIO_WORDS:
+            return network.top_edges(network.with_phi(self.weights), top_k=top_k, phi=F.col("phi"))
+        return network.folio_top_edges(ownership.folios(self.snap, small(self.monthly), self.numbers, sample.END), self.numbers, top_k=top_k, lagged=True)
+
     @cached_property
     def books(self):
         """All of a manager's rows from raw holdings on, after one shuffle by manager."""
@@ -325,7 +331,7 @@ _PHI = {"both_months": "SELECT month_date, manager_id, permno, portfolio_weight
         "phi_edges": "SELECT a.month, a.permno AS i, b.permno AS j, sum(phi * a.portfolio_weight * b.portfolio_weight) AS g FROM positions a JOIN positions b ON a.month = b.month AND a.manager_id = b.manager_id AND a.permno < b.permno JOIN phis f ON f.month_date = a.month_date AND f.manager_id = a.manager_id GROUP BY ALL",
         "phi_ends": "SELECT month, i AS permno, g FROM phi_edges UNION ALL SELECT month, j, g FROM phi_edges"}
 _register("manager_phi", "month_date:D manager_id:s phi:d", lambda b: network.manager_phi(b.weights), "phis", _PHI)
-_register("network_phi_topk_edges", "month:s i:i j:i g:d rank:n", lambda b: network.top_edges(network.with_phi(b.weights), top_k=500, phi=F.col("phi")), f"(SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(g, {network.TIE_DECIMALS}) DESC, i, j) AS rank FROM phi_edges) WHERE rank <= 500", _PHI)
+_register("network_phi_topk_edges", "month:s i:i j:i g:d rank:n", lambda b: b.phi_top_edges(500), f"(SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(g, {network.TIE_DECIMALS}) DESC, i, j) AS rank FROM phi_edges) WHERE rank <= 500", _PHI)
 _register("network_phi_weighted_degree", "month:s permno:i network_weighted_degree:d", lambda b: network.network_weighted(network.with_phi(b.weights), small(b.stock), phi=F.col("phi")), "(SELECT h.month, h.permno, coalesce(sum(g), 0) AS network_weighted_degree FROM held h LEFT JOIN phi_ends e ON h.month = e.month AND h.permno = e.permno GROUP BY ALL)", _PHI)
 _register("panel", f"{_STOCK} network_degree:i network_weighted_degree:d network_peer_sell_pressure:d", lambda b: b.full_panel, "panel0")
 _register("describe_panel", "rows:i months:i stocks:i min_month:s max_month:s fwd_ret_1m_coverage:d fwd_ret_3m_coverage:d", lambda b: quality.describe_panel(b.panel), '(SELECT count(*) AS "rows", count(DISTINCT month) AS months, count(DISTINCT permno) AS stocks, min(month) AS min_month, max(month) AS max_month, avg((fwd_ret_1m IS NOT NULL)::INTEGER) AS fwd_ret_1m_coverage, avg((fwd_ret_3m IS NOT NULL)::INTEGER) AS fwd_ret_3m_coverage FROM panel)')
