@@ -233,6 +233,16 @@ def books(expanded: DataFrame, monthly: DataFrame) -> DataFrame:
     return _books(_weigh(_sales(_value(expanded, monthly)))).drop(*_DERIVED)
 
 
+def valued(expanded: DataFrame, monthly: DataFrame) -> DataFrame:
+    """Positions of positive value, without prices; what ``weighed`` makes of them is enough for ``with_prices``, and has no breadth, concentration and sales."""
+    return _value(expanded, monthly).drop(*PRICES, "report_quarter")
+
+
+def weighed(positions: DataFrame) -> DataFrame:
+    """Positions with the total of their manager's month, where that is above 0."""
+    return _weigh(positions).drop("portfolio_weight", "year")
+
+
 #: Fields of ``held`` in ``folios``, beside the stock's number.
 HELD = ["permco", "position_value_proxy", "sell_amount_proxy"]
 

@@ -1,6 +1,6 @@
 """The registered queries over the sample mapping, each beside its SQL.
 
-Columns are named and typed once for both: s string, i long, n int, d rounded double, D date, b boolean.
+Columns are named and typed once for both: s string, i long, n int, d rounded double, e double that its source has rounded, D date, b boolean.
 """
 
 from __future__ import annotations
@@ -34,8 +34,10 @@ def rounded(c: Column) -> Column:
     A small shift keeps values that lie between two results from falling either way.
     """
     size = F.abs(c)
-    large = F.when(size >= 1e9, F.format_string("%.8e", c).cast("double")).when(size >= 1e6, F.round(c + 0.00137, 2))
-    return large.when(size >= 1000, F.round(c + 0.0000137, 4)).otherwise(F.round(c + 0.00000000137, 6) + 0.0)
+    # as F.round does, half away from 0, without its decimal numbers: a long table has many values
+    to = lambda x, unit: F.signum(x) * F.floor(F.abs(x) * unit + 0.5) / unit
+    large = F.when(size >= 1e9, F.format_string("%.8e", c).cast("double")).when(size >= 1e6, to(c + 0.00137, 1e2))
+    return large.when(size >= 1000, to(c + 0.0000137, 1e4)).otherwise(to(c + 0.00000000137, 1e6) + 0.0)
 
 
 class Build:
@@ -121,6 +123,20 @@ class Build:
     def positions(self):
         return ownership.with_prices(self.books, small(self.monthly))
 
+    @cached_property
+    def priced(self):
+        """Positions for a query that returns them all: not written, and rounded step by step.
+
+        Prices are rounded in their own table, a position's own numbers before its manager's month is summed up. So they are few at the end: the JVM leaves
+        a method of many to its interpreter.
+        """
+        own = ["shares", "reported_value", "filing_lag_days"]
+        of = lambda names: {c: rounded(F.col(c).cast("double")) for c in names}
+        prices = self.monthly.withColumns(of(ownership.PRICES))
+        valued = ownership.valued(self.expanded, small(self.monthly)).withColumns(of(own) | {"returned": rounded(F.col("position_value_proxy"))})
+        made = ownership.with_prices(ownership.weighed(valued), small(prices))
+        return made.drop("position_value_proxy").withColumnRenamed("returned", "position_value_proxy")
+
     @cached_property
     def weights(self):
         return ownership.weights(self.books)
@@ -282,7 +298,7 @@ def forget() -> None:
     _builds.clear()
 
 
-_TYPES = {"s": ("string", "VARCHAR"), "i": ("long", "BIGINT"), "n": ("int", "INTEGER"), "D": ("date", "DATE"), "b": ("boolean", "BOOLEAN")}
+_TYPES = {"e": ("double", "DOUBLE"), "s": ("string", "VARCHAR"), "i": ("long", "BIGINT"), "n": ("int", "INTEGER"), "D": ("date", "DATE"), "b": ("boolean", "BOOLEAN")}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -296,7 +312,7 @@ def _register(name: str, columns: str, source: Callable[[Build], DataFrame], sql
 
     QUERIES[name] = run
     if sql:
-        ORACLE_SQL[name] = with_ctes("SELECT " + ", ".join(r(f'"{c}"', f'"{c}"') if k == "d" else f'"{c}"::{_TYPES[k][1]} AS "{c}"' for c, k in spec) + f" FROM {sql}", extra)
+        ORACLE_SQL[name] = with_ctes("SELECT " + ", ".join(r(f'"{c}"', f'"{c}"') if k in "de" else f'"{c}"::{_TYPES[k][1]} AS "{c}"' for c, k in spec) + f" FROM {sql}", extra)
 
 
 _PRICES = "ret:d retx:d prc:d shrout:d vol:d mktcap_proxy:d fwd_ret_1m:d fwd_ret_3m:d"
@@ -313,7 +329,7 @@ _register("map_point_in_time", "manager_id:s cusip8:s report_date:D available_da
 _register("snapshot", f"{_FILING} available_month:D mapping_date:D", lambda b: b.snap, "snap")
 _register("filing_windows", "manager_id:s report_date:D available_date:D active_start_month:D active_end_month:D", lambda b: b.windows, "wins")
 _register("expand_positions", f"month_date:D month:s {_FILING}", lambda b: b.expanded, "expanded")
-_register("position_weights", f"month_date:D month:s {_FILING} {_PRICES} position_value_proxy:d manager_total_value_proxy:d portfolio_weight:d year:n", lambda b: b.positions, "positions")
+_register("position_weights", f"month_date:D month:s {_FILING} {_PRICES} position_value_proxy:d ".replace(":d", ":e") + "manager_total_value_proxy:d portfolio_weight:d year:n", lambda b: b.priced, "positions")
 _register("manager_features", "month_date:D month:s manager_id:s manager_breadth:i manager_total_value_proxy:d manager_concentration:d", lambda b: ownership.manager_features(b.weights), "mgr")
 _register("sell_pressure", "month:s manager_id:s permno:i manager_breadth:i manager_concentration:d stock_owner_share:d lag_position_value_proxy:d sell_amount_proxy:d", lambda b: b.enriched, "enriched")
 _register("stock_features", _STOCK, lambda b: b.stock, "stock")
