@@ -166,11 +166,11 @@ def folio_weights(folios: DataFrame, numbers: DataFrame, *, lagged: bool) -> Dat
     return rows.mapInArrow(phis, "month_date date, hand int, phi double, n array<int>, w array<double>")
 
 
-def folio_edges(folios: DataFrame, numbers: DataFrame, *, lagged: bool = False) -> DataFrame:
+def folio_edges(folios: DataFrame, numbers: DataFrame, *, lagged: bool = False, rows: int = 0) -> DataFrame:
     """``(month, i, j, g)``, i < j, of stocks with a positive weight in common, as ``common_ownership_edges``, from ``ownership.folios`` with its ``numbers``; ``lagged``: phi of ``manager_phi`` weighs managers.
 
     A book's weights are a row of a matrix, and a month's edges the product of that matrix with itself. Books are dealt by month and hand and added up one month after the
-    other, so no pair of a book is shuffled, a task keeps one month's square, and what it passes on doesn't grow with managers.
+    other, so no pair of a book is shuffled, a task keeps one month's square, and what it passes on doesn't grow with managers. ``rows``: see ``spread``.
     """
     stocks = max(1, numbers.count())
 
@@ -198,16 +198,16 @@ def folio_edges(folios: DataFrame, numbers: DataFrame, *, lagged: bool = False)
         if month is not None:
             yield made()
 
-    rows = folio_weights(folios, numbers, lagged=lagged).repartition("month_date", "hand").sortWithinPartitions("month_date")
-    sums = rows.mapInArrow(squares, "month_date date, a int, b int, g double").groupBy("month_date", "a", "b").agg(F.sum("g").alias("g"))
+    dealt = spread(folio_weights(folios, numbers, lagged=lagged), "month_date", "hand", rows=rows).sortWithinPartitions("month_date")
+    sums = dealt.mapInArrow(squares, "month_date date, a int, b int, g double").groupBy("month_date", "a", "b").agg(F.sum("g").alias("g"))
     of = lambda k, name: numbers.select(F.col("n").alias(k), F.col("permno").alias(name))
     named = sums.join(of("a", "i"), "a").join(of("b", "j"), "b")
     return named.select(month_text(F.col("month_date")).alias("month"), F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "g")
 
 
-def folio_top_edges(folios: DataFrame, numbers: DataFrame, *, top_k: int = TOP_EDGES, lagged: bool = False) -> DataFrame:
+def folio_top_edges(folios: DataFrame, numbers: DataFrame, *, top_k: int = TOP_EDGES, lagged: bool = False, rows: int = 0) -> DataFrame:
     """As ``top_edges``, from ``folio_edges``."""
-    return _ranked(folio_edges(folios, numbers, lagged=lagged), top_k)
+    return _ranked(folio_edges(folios, numbers, lagged=lagged, rows=rows), top_k)
 
 
 def network_degree(positions: DataFrame, *, approximate: int | None = None) -> DataFrame:

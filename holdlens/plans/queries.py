@@ -112,7 +112,7 @@ class Build:
         """By squares of a month's weights where its stocks have words; the books' rows are read once, so they aren't written."""
         if self.numbers.count() > 64 * ownership.FOLIO_WORDS:
             return network.top_edges(network.with_phi(self.weights), top_k=top_k, phi=F.col("phi"))
-        return network.folio_top_edges(ownership.folios(self.snap, small(self.monthly), self.numbers, sample.END), self.numbers, top_k=top_k, lagged=True)
+        return network.folio_top_edges(ownership.folios(self.snap, small(self.monthly), self.numbers, sample.END), self.numbers, top_k=top_k, lagged=True, rows=self.trades.count())
 
     @cached_property
     def books(self):

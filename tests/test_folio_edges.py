@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from holdlens.operators import network, ownership
 from holdlens.plans import queries
-from holdlens.sources import sample
+from holdlens.sources import sample, shared
 from tests.test_books import _monthly, _snap
 from tests.test_folios import END, _close, _made
 
@@ -35,6 +35,14 @@ def test_edges_are_those_of_all_pairs(spark, monkeypatch, cells):
     _close(network.folio_top_edges(folios, numbers, top_k=7, lagged=True), top, ["month", "rank"])
 
 
+def test_parts_grow_with_rows(spark, monkeypatch):
+    folios, _, _, numbers = _made(spark, _snap(spark))
+    plan = lambda: network.folio_edges(folios, numbers, rows=50)._jdf.queryExecution().executedPlan().toString()
+    assert ", 16), REPARTITION_BY_NUM" in plan()
+    monkeypatch.setattr(shared, "PART_ROWS", 1)
+    assert ", 50), REPARTITION_BY_NUM" in plan()
+
+
 def test_a_weight_of_nothing_and_no_row(spark):
     rows = [("a", p, 10 * p, date(2020, 3, 31), date(2020, 5, 12), date(2020, 5, 1), date(2020, 3, 31), "2020Q1", 3.0, v, 0.0) for p, v in ((1, 1e-200), (2, 1e200), (3, 1e-60), (70, 1e-50))]
     folios, books, _, numbers = _made(spark, spark.createDataFrame(rows, _snap(spark).schema))
@@ -47,7 +55,7 @@ def test_a_weight_of_nothing_and_no_row(spark):
 def test_the_query_needs_no_books(spark, monkeypatch):
     b = queries.Build(spark, "")
     snap, b.monthly = _many(spark), _monthly(spark)
-    b.snap, b.numbers, made = snap, F.broadcast(ownership.stock_numbers(snap)), []
+    b.snap, b.trades, b.numbers, made = snap, snap, F.broadcast(ownership.stock_numbers(snap)), []
     monkeypatch.setattr(sample, "END", END)
     monkeypatch.setattr(network, "written", lambda df, name: made.append(name) or df)
     monkeypatch.setattr(ownership, "written", lambda df, name: made.append(name) or df)
